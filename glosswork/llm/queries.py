@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from glosswork.llm import exact_dedup, sharding, simhash
+from glosswork.llm import chat, exact_dedup, packing, sharding, simhash
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
+    "op2_sum_of_squares_packing": packing.op2_sum_of_squares_packing,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+    "op7_chat_format": chat.op7_chat_format,
     "op8_feistel_sharding": sharding.op8_feistel_sharding,
 }
 ORACLES = {
     "op4_exact_dedup": exact_dedup.OP4_SQL,
+    "op7_chat_format": chat.OP7_SQL,
 }
