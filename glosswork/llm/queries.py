@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from glosswork.llm import chat, exact_dedup, packing, sharding, simhash, toxicity
+from glosswork.llm import chat, exact_dedup, lm, packing, sharding, simhash, toxicity
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op2_sum_of_squares_packing": packing.op2_sum_of_squares_packing,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+    "op5_deleted_interpolation": lm.op5_deleted_interpolation,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_chat_format": chat.op7_chat_format,
     "op8_feistel_sharding": sharding.op8_feistel_sharding,
