@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from glosswork.llm import ann, chat, exact_dedup, lm, packing, sharding, simhash, toxicity
+from glosswork.llm import ann, chat, exact_dedup, html_text, lm, packing, sharding, simhash, toxicity
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op2_sum_of_squares_packing": packing.op2_sum_of_squares_packing,
+    "op3_html_layout": html_text.op3_html_layout,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_deleted_interpolation": lm.op5_deleted_interpolation,
     "op6_toxicity": toxicity.op6_toxicity,
