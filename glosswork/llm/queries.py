@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from glosswork.llm import ann, chat, exact_dedup, html_text, lm, packing, sharding, simhash, toxicity
+from glosswork.llm import ann, bpe, chat, exact_dedup, html_text, lm, packing, sharding, simhash, toxicity
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_chat_format": chat.op7_chat_format,
     "op8_feistel_sharding": sharding.op8_feistel_sharding,
     "op9_pruned_graph_search": ann.op9_pruned_graph_search,
+    "op10_byte_bpe": bpe.op10_byte_bpe,
 }
 ORACLES = {
     "op4_exact_dedup": exact_dedup.OP4_SQL,
