@@ -81,6 +81,11 @@ class Model:
         x = np.add.reduceat(self.weights["char"][code], begin, axis=0) / many[:, None] + self.weights["word"][ids]
         return np.concatenate([x, np.zeros((1, EMBED))]).astype(np.float32), (ids, code, begin, many)
 
+    def table(self, words: list[bytes], step: int = 1 << 15) -> np.ndarray:
+        """Inputs of many distinct words, worked out in steps so that their trigrams' rows never lie in memory together."""
+        parts = [self.inputs(words[i : i + step])[0][:-1] for i in range(0, len(words), step)]
+        return np.concatenate([*parts, np.zeros((1, EMBED), np.float32)])
+
     def run(self, x: np.ndarray, rows: np.ndarray, keep: bool = False):
         """Logits of windows ``rows`` (n, WINDOW) over input rows ``x``; with ``keep`` also what the gradient needs."""
         w, n, pad = self.weights, len(rows), len(x) - 1
@@ -161,8 +166,7 @@ class Model:
         if not self.weights:
             return np.zeros(len(docs))
         words, rows, first = windows(docs)
-        x, _ = self.inputs(words)
-        return np.maximum.reduceat(self.each(x, rows), first)
+        return np.maximum.reduceat(self.each(self.table(words), rows), first)
 
     def each(self, x: np.ndarray, rows: np.ndarray, step: int = 4096) -> np.ndarray:
         return np.concatenate([self.run(x, rows[i : i + step]) for i in range(0, len(rows), step)])
@@ -174,9 +178,9 @@ def windows(docs: list[list[bytes]]) -> tuple[list[bytes], np.ndarray, np.ndarra
     A text shorter than a window is padded by one past the last number; the last window ends with the text.
     """
     number: dict[bytes, int] = {}
-    flat = [np.fromiter((number.setdefault(w, len(number)) for w in d), np.int64, len(d)) for d in docs]
+    flat = [np.fromiter((number.setdefault(w, len(number)) for w in d), np.int32, len(d)) for d in docs]
     pad, sizes = len(number), np.fromiter(map(len, flat), np.int64, len(flat))
-    whole = np.concatenate([np.append(f, np.full(WINDOW - len(f), pad)) if len(f) < WINDOW else f for f in flat])
+    whole = np.concatenate([np.append(f, np.full(WINDOW - len(f), pad, np.int32)) if len(f) < WINDOW else f for f in flat])
     held = np.maximum(sizes, WINDOW)
     offset = np.cumsum(held) - held
     many = -(-(held - WINDOW) // STRIDE) + 1
@@ -196,17 +200,19 @@ def train(texts: list[str], toxic: np.ndarray, seed: int = 6) -> Model:
     frequent = sorted((w for w, k in seen.items() if k >= 5), key=lambda w: (-seen[w], w))[:WORDS]
     model = Model.start({w: i + 1 for i, w in enumerate(frequent)}, seed)
     rng = np.random.default_rng(seed)
-    held = rng.random(len(docs)) < 0.2  # sets scale and shift, and the epoch that stays
+    held = rng.random(len(texts)) < 0.2  # sets scale and shift, and the epoch that stays
     if len({*toxic[held]}) < 2 or len({*toxic[~held]}) < 2:
         held[:] = False
     words, rows, first = windows(docs)
+    rows = rows.astype(np.int32)
+    del docs, seen
     last = np.append(first[1:], len(rows))
     use = np.flatnonzero(~held)
     moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in model.weights.items()}
     steps, best = 0, None
     for epoch in range(EPOCHS):
         pick = []
-        logits = model.each(model.inputs(words)[0], rows) if epoch >= 2 else None
+        logits = model.each(model.table(words), rows) if epoch >= 2 else None
         for i in use:
             a, b = first[i], last[i]
             if logits is None:  # at first any window, more of toxic texts, as which of theirs is toxic isn't known
@@ -233,7 +239,7 @@ def train(texts: list[str], toxic: np.ndarray, seed: int = 6) -> Model:
                 v += 0.01 * (g * g - v)
                 model.weights[k] -= (rate * (m / (1 - 0.9**steps)) / (np.sqrt(v / (1 - 0.99**steps)) + 1e-6)).astype(np.float32)
         if held.any() and epoch >= 2:
-            out = np.maximum.reduceat(model.each(model.inputs(words)[0], rows), first)[held]
+            out = np.maximum.reduceat(model.each(model.table(words), rows), first)[held]
             fit = calibrate(out, toxic[held])
             if best is None or fit[2] < best[2]:
                 best = (*fit, {k: v.copy() for k, v in model.weights.items()})
