@@ -348,7 +348,7 @@ ORACLES = {
         f AS (SELECT item_id, stem, min(pos) AS pos FROM t WHERE length(stem) >= 2 GROUP BY ALL) SELECT item_id, string_agg(stem, '|' ORDER BY pos) AS words FROM f GROUP BY item_id""",
     "tail_predicate": rf"""WITH {_SENT}, x AS (SELECT doc_id, pos, {_WORDS.format(c="substr(sentence, strpos(sentence, ' de ') + 4)")} AS w FROM s WHERE contains(sentence, ' de ')),
         y AS (SELECT doc_id, pos, regexp_replace(array_to_string(w[greatest(len(w) - 1, 1):], ' '), '[.!?,…]+$', '') AS tail FROM x) SELECT doc_id, pos, tail FROM y WHERE length(tail) >= 3""",
-    "nearest_term": f"""WITH w AS (SELECT DISTINCT word FROM (SELECT unnest({_WORDS.format(c='lower(text)')}) AS word FROM benchmark) WHERE regexp_full_match(word, '[a-z]{3,8}')),
+    "nearest_term": f"""WITH w AS (SELECT DISTINCT word FROM (SELECT unnest({_WORDS.format(c='lower(text)')}) AS word FROM benchmark) WHERE regexp_full_match(word, '[a-z]{{3,8}}')),
         t AS (SELECT * FROM (VALUES (0, 'tion'), (1, 'ment'), (2, 'heit'), (3, 'ando'), (4, 'ering'), (5, 'elle')) AS v(i, term)),
         x AS (SELECT word, term, d AS distance, row_number() OVER (PARTITION BY word ORDER BY d, i) AS r FROM (SELECT word, term, i,
           levenshtein(word, term) AS d FROM w, t)) SELECT word, term, distance FROM x WHERE r = 1 AND distance <= CASE WHEN length(word) <= 4 THEN 1 ELSE 2 END""",
