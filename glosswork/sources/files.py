@@ -14,7 +14,9 @@ BAD = "_bad"
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType, *, strict: bool = True) -> DataFrame:
     """Rows of JSON lines with their file; blank lines are skipped. With ``strict`` a line that isn't an object of the schema raises, else it goes."""
     full = T.StructType([*schema.fields, T.StructField(BAD, T.StringType())])
-    rows = spark.read.schema(full).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", BAD).json(path).withColumn("_file", F.col("_metadata.file_path"))
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file")).where("trim(value) != ''")
+    parsed = F.from_json("value", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD})
+    rows = lines.select(parsed.alias("r"), "_file").select("r.*", "_file")
     if strict and (found := rows.where(F.col(BAD).isNotNull()).limit(1).collect()):
         raise ValueError(f"{found[0]['_file']}: not a record: {found[0][BAD][:200]}")
     return rows.where(F.col(BAD).isNull()).drop(BAD)
