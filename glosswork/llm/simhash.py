@@ -187,13 +187,189 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(by_print, "fp").select("doc_id", "rid", "fp", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
-    """The rows of ``docs`` that stay, with all columns: of each component the row of smallest doc_id.
+#: Sketch of the similarity search: fingerprints of a document, over shingles of so many words.
+SKETCHES, SKETCH_WORDS = 5, 2
+#: Share of differing sketch bits up to which a candidate pair goes on to be compared.
+SKETCH_SHARE = 0.22
+#: Members of a table entry up to which all its pairs are candidates; of more, each joins its nearest before it and the first.
+ALL_PAIRS_UP_TO = 24
+
+
+def tokens_of(data: bytes) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """Lower-cased words joined by single spaces, and where each begins and ends."""
+    tokens = data.translate(_LOWER).split()
+    length = np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1
+    ends = np.cumsum(length) - 1
+    return b" ".join(tokens), ends - length + 1, ends
+
+
+def shingle_hashes(joined: bytes, starts: np.ndarray, ends: np.ndarray, words: int) -> np.ndarray:
+    """XXH64 of each shingle; of a text with fewer words, of the whole."""
+    if len(starts) <= words:
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)] if len(starts) else [], np.uint64)
+    digest = xxhash.xxh64_intdigest
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(starts[: len(starts) - words + 1].tolist(), ends[words - 1 :].tolist(), strict=True)], np.uint64)
+
+
+def sketch(hashes: np.ndarray) -> list[int]:
+    """SKETCHES fingerprints from one hash a shingle, each from its own mix of it."""
+    out = []
+    for k in range(SKETCHES):
+        votes = np.zeros(64, np.int64)
+        for i in range(0, len(hashes), SLAB):
+            with np.errstate(over="ignore"):
+                h = (hashes[i : i + SLAB] ^ np.uint64(0x9E3779B97F4A7C15 * (k + 1) & (2**64 - 1))) * np.uint64(0xD6E8FEB86659FD93)
+                h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+            h ^= h >> np.uint64(32)
+            votes += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out.append(int.from_bytes(np.packbits(votes * 2 > len(hashes), bitorder="little").tobytes(), "little"))
+    return out
+
+
+def ball_keys(sketches: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, row) of all segments' balls for rows of fingerprints: each 32-bit value and it with one set bit cleared.
+
+    Values one bit apart share a key, and so do values that each have one bit the other lacks. A key also
+    holds its segment's number.
+    """
+    halves = np.ascontiguousarray(sketches).view("<u4").astype(np.uint64)  # rows x segments
+    n, m = halves.shape
+    masks = np.uint64(1) << np.arange(32, dtype=np.uint64)
+    row, seg, bit = np.nonzero((halves[:, :, None] & masks) != 0)
+    number = np.arange(m, dtype=np.uint64) << np.uint64(32)
+    cleared = (halves[row, seg] ^ masks[bit]) | number[seg]
+    return np.concatenate([(halves | number).reshape(-1), cleared]).view(np.int64), np.concatenate([np.repeat(np.arange(n), m), row])
+
+
+def _sketched(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, rid, t1, t2, sketch): t1 and t2 identify the sequence of words."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("rid"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, sketches = [], []
+            for value in batch.column("text"):
+                joined, starts, ends = tokens_of(value.as_buffer().to_pybytes())
+                ids.append(xxhash.xxh128_intdigest(joined))
+                sketches.append(sketch(shingle_hashes(joined, starts, ends, SKETCH_WORDS)))
+            half = lambda shift: pa.array(np.array([(i >> shift) & (2**64 - 1) for i in ids], np.uint64).view(np.int64))  # noqa: B023, E731
+            flat = pa.array(np.array(sketches, np.uint64).reshape(-1).view(np.int64))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1) * SKETCHES, pa.int32()), flat)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("rid"), half(64), half(0), lists], names=["doc_id", "rid", "t1", "t2", "sketch"])
+
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, rid long, t1 long, t2 long, sketch array<long>")
+
+
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(0, batch.num_rows, 2000):
+            part = batch.slice(i, 2000)
+            sketches = part.column("sketch").flatten().to_numpy().view(np.uint64).reshape(-1, SKETCHES)
+            keys, row = ball_keys(sketches)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(part.column("node").to_numpy()[row])], names=["key", "node"])
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by key, those whose key another row has."""
+    last_key = last_node = None
+    last_out = False
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys, nodes = batch.column("key").to_numpy(), batch.column("node").to_numpy()
+        same = np.zeros(len(keys), bool)
+        same[1:] = keys[1:] == keys[:-1]
+        joins = last_key is not None and keys[0] == last_key
+        keep = same.copy()
+        keep[:-1] |= same[1:]
+        keep[0] |= joins
+        first = ([last_key], [last_node]) if joins and not last_out else ([], [])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([first[0], keys[keep]]).astype(np.int64)), pa.array(np.concatenate([first[1], nodes[keep]]).astype(np.int64))], names=["key", "node"])
+        last_key, last_node, last_out = keys[-1], nodes[-1], bool(keep[-1])
+
+
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Candidate pairs of each entry, from rows sorted by key; whole sketches decide."""
+    limit = SKETCH_SHARE * 64 * SKETCHES
+    key, nodes, sketches = None, [], []
+
+    def pairs() -> list[tuple[int, int]]:
+        if len(nodes) < 2:
+            return []
+        s, out = np.array(sketches, np.uint64), []
+        for j in range(1, len(nodes)):
+            apart = np.bitwise_count(s[:j] ^ s[j]).sum(axis=1)
+            at = np.flatnonzero(apart <= limit) if len(nodes) <= ALL_PAIRS_UP_TO else np.unique([0, int(apart.argmin())])
+            out += [(min(nodes[i], nodes[j]), max(nodes[i], nodes[j])) for i in at if apart[i] <= limit]
+        return out
+
+    for batch in batches:
+        found: list[tuple[int, int]] = []
+        for k, n, s in zip(batch.column("key").to_pylist(), batch.column("node").to_pylist(), batch.column("sketch").flatten().to_numpy().view(np.uint64).reshape(-1, SKETCHES), strict=True):
+            if k != key:
+                found += pairs()
+                key, nodes, sketches = k, [], []
+            nodes.append(n)
+            sketches.append(s)
+        yield _edges(found)
+    yield _edges(pairs())
+
+
+def _edges(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    some = sorted(set(found))
+    return pa.RecordBatch.from_arrays([pa.array([x[0] for x in some], pa.int64()), pa.array([x[1] for x in some], pa.int64())], names=["u", "v"])
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One row per row of ``docs``: doc_id, rid, component: linked where the shingle sets of ``words`` words have a Jaccard of ``similarity``.
+
+    Sketches of SKETCHES fingerprints find candidates by multi-index hashing over all their 32-bit segments; the
+    shingle sets themselves decide. Distinct sequences of words take part, so copies cost one row.
+    Null and blank texts are one sequence; a text of fewer words is a shingle of its own.
+    """
+    spark = docs.sparkSession
+    bound_batches(spark)
+    prints = materialise(_sketched(docs, id_col, text_col))
+    nodes = materialise(prints.groupBy("t1", "t2").agg(F.min("rid").alias("node"), F.first("sketch").alias("sketch")))
+    keys = nodes.select("node", "sketch").mapInArrow(_keys, "key long, node long")
+    shared = materialise(keys.repartition("key").sortWithinPartitions("key").mapInArrow(_shared, "key long, node long"))
+    with_sketch = shared.join(nodes.select("node", "sketch"), "node").select("key", "node", "sketch")
+    pairs = materialise(with_sketch.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_candidates, "u long, v long").distinct())
+    wanted = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
+    wanted = small_or_shuffled(wanted, wanted.count(), 16)
+    rid = fresh(docs, "_rid")
+    texts = docs.withColumn(rid, F.monotonically_increasing_id()).join(wanted.withColumnRenamed("node", rid), rid).select(F.col(rid).alias("node"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.unique((shingle_hashes(*tokens_of(v.as_buffer().to_pybytes()), words) & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)) for v in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(found, pa.list_(pa.int32()))], names=["node", "s"])
+
+    shingles = materialise(texts.mapInArrow(sets, "node long, s array<int>"))
+    left, right = shingles.select(F.col("node").alias("u"), F.col("s").alias("a")), shingles.select(F.col("node").alias("v"), F.col("s").alias("b"))
+    both = F.size(F.array_intersect("a", "b"))
+    edges = pairs.join(left, "u").join(right, "v").where(both >= similarity * (F.size("a") + F.size("b") - both)).select("u", "v")
+    roots = components(edges)
+    named = nodes.select("t1", "t2", "node").join(roots, "node", "left").select("t1", "t2", F.coalesce("root", "node").alias("component"))
+    return prints.join(named, ["t1", "t2"]).select("doc_id", "rid", "component")
+
+
+def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of ``docs`` that stay, with all columns: of each component of similar documents the row of smallest doc_id.
 
     Rows are matched by their place in the scan, so ``docs`` must be a table of files.
     """
-    found = near_duplicates(docs, id_col, text_col, words)
-    first = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("first"))
+    return _first_of(docs, similar_documents(docs, id_col, text_col, words, similarity), "component")
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
+    """The rows of ``docs`` that stay, with all columns: of each component of linked fingerprints the row of smallest doc_id."""
+    return _first_of(docs, near_duplicates(docs, id_col, text_col, words), "component_id")
+
+
+def _first_of(docs: DataFrame, found: DataFrame, component: str) -> DataFrame:
+    found = materialise(found)
+    first = found.groupBy(component).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("first"))
     stay = first.select(F.col("first.rid").alias("rid"))
     gone = materialise(found.select("rid").join(stay, "rid", "left_anti"))
     rid = fresh(docs, "_rid")
