@@ -1,9 +1,11 @@
 """Byte-level BPE by Spark higher-order functions over distinct pieces.
 
-Texts are cut by the tokenizer's pattern; each block of texts lists its distinct
-pieces once. For each piece a fold over its byte array merges the pair of lowest
-rank until none is left, all inside Spark expressions with the ranks as a literal
-table. Decoding is a fold that concatenates the binary pieces of ids.
+Texts are cut by the tokenizer's pattern; each block of texts sends its distinct pieces
+to the ranges of hashes that own them, so a piece is folded once for the whole corpus.
+The fold over its byte array merges the pair of lowest rank until none is left, inside
+Spark expressions with the ranks as a literal table. Blocks get the ids back and put their
+documents together; decoding concatenates the binary pieces of ids. Texts themselves
+are read once and never shuffled: blocks travel as numbers of pieces.
 """
 
 from __future__ import annotations
@@ -14,16 +16,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
+import xxhash
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from glosswork.llm import vocab
 from glosswork.llm.common import bound_batches, table
 
-#: Characters of text that share a list of distinct pieces; a longer text is a block of its own.
-BLOCK_CHARS = 20 << 20
-#: Rows whose pieces are folded first and shared, so that blocks list only what is new; a cache of bounded size, without effect on results.
-CACHE_ROWS, CACHE_PIECES = 8_000, 300_000
+#: Characters of text that make a block; a longer text is a block of its own.
+BLOCK_CHARS = 10 << 20
 #: Bytes of a piece up to which it is folded as it is; a longer one is cut where no merge can reach across.
 WHOLE = 48
 #: Bytes of an uncuttable piece beyond which the fold's quadratic copying gives way to the library's merge loop.
@@ -96,11 +100,6 @@ def encode_sql(ids: str) -> str:
     return f"aggregate(array_repeat(0, size({ids}) - 1), named_struct('ids', {ids}, 'ranks', {ranks}), (a, x) -> {step}, a -> a.ids)"
 
 
-def decode_sql(ids: str) -> str:
-    """SQL that concatenates the binary pieces of an array of ids; names ``pieces_of``."""
-    return f"aggregate({ids}, cast('' as binary), (b, id) -> concat(b, pieces_of[id]))"
-
-
 class _Cutter:
     """Cuts texts into pieces by the pattern, and pieces into the parts that are folded."""
 
@@ -108,154 +107,213 @@ class _Cutter:
         self.find = regex.compile(pattern).findall
         ranks = vocab.ranks_of_tiktoken(data)
         self.held = cut_table(ranks)
-        self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
 
     def parts(self, piece: str) -> list[bytes]:
         b = piece.encode()
         return [b] if len(b) <= WHOLE else cut(b, self.held)
 
-    def lists(self, parts: list[bytes]) -> pa.Array:
-        """Byte ids of each part; of a part that is too long for the fold, none."""
-        short = [p if len(p) <= LONGEST else b"" for p in parts]
-        ends = np.concatenate([[0], np.cumsum([len(p) for p in short])]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(ends), pa.array(self.byte_ids[np.frombuffer(b"".join(short), np.uint8)]))
 
+def shrink(values: np.ndarray) -> bytes:
+    """Byte planes of 32-bit numbers, compressed."""
+    planes = np.ascontiguousarray(values.astype(np.int32).view(np.uint8).reshape(-1, 4).T)
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
-def _blocks(batches: Iterator[pa.RecordBatch], pattern: str, data: bytes, known: list[str]) -> Iterator[pa.RecordBatch]:
-    """A row for each block: its documents, the byte ids of its distinct new parts, and each document's pieces by number.
 
-    Numbers below len(known) mean shared pieces; the block's own follow.
-    """
-    cutter, key_type = _Cutter(pattern, data), pa.int64()
-    shared = {w: i for i, w in enumerate(known)}
+def grow(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data, max_output_size=1 << 34), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).reshape(-1).view(np.int32)
+
+
+def bundle(parts: list[bytes]) -> tuple[bytes, bytes]:
+    """(lengths, bytes) of byte strings, compressed."""
+    return shrink(np.fromiter(map(len, parts), np.int64, len(parts))), zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
+
+
+def unbundle(lengths: bytes, data: bytes) -> list[bytes]:
+    ends = np.cumsum(grow(lengths)).tolist()
+    whole = zstandard.ZstdDecompressor().decompress(data, max_output_size=1 << 34)
+    return [whole[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+
+def by_hash(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, order) of parts; the same wherever it is worked out."""
+    hashes = np.array([xxhash.xxh64_intdigest(p) for p in parts], np.uint64)
+    return hashes, np.argsort(hashes, kind="stable")
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], pattern: str, data: bytes) -> Iterator[pa.RecordBatch]:
+    """A row for each block: its documents, each one's pieces by number, and the parts of its distinct pieces."""
+    cutter, key_type, task, count = _Cutter(pattern, data), pa.int64(), TaskContext.get().partitionId() << 32, 0
     number: dict[str, int] = {}
     docs: list = []
     orders: list[np.ndarray] = []
-    chars, base = 0, len(known)
+    chars = 0
 
     def out() -> pa.RecordBatch:
         parts, begin = [], [0]
         for word in number:
             parts += cutter.parts(word)
             begin.append(len(parts))
+        lengths, joined = bundle(parts)
         return pa.RecordBatch.from_arrays(
             [
+                pa.array([task + count]),
                 pa.array([docs], pa.list_(key_type)),
-                pa.ListArray.from_arrays(pa.array([0, len(parts)], pa.int32()), cutter.lists(parts)),
-                pa.array([np.array(begin, np.int32).tobytes()], pa.binary()),
-                pa.array([[o.tobytes() for o in orders]], pa.list_(pa.binary())),
-                pa.array([[p for p in parts if len(p) > LONGEST]], pa.list_(pa.binary())),
-                pa.array([[j for j, p in enumerate(parts) if len(p) > LONGEST]], pa.list_(pa.int32())),
+                pa.array([[len(o) for o in orders]], pa.list_(pa.int32())),
+                pa.array([shrink(np.concatenate(orders)) if orders else b""], pa.binary()),
+                pa.array([shrink(np.diff(begin))], pa.binary()),
+                pa.array([lengths], pa.binary()),
+                pa.array([joined], pa.binary()),
             ],
-            names=["docs", "parts", "begin", "orders", "long", "long_at"],
+            names=["block", "docs", "sizes", "orders", "split", "lengths", "parts"],
         )
 
     for batch in batches:
         key_type = batch.schema.field("doc_id").type
         for doc, value in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
             text = value.as_py() or ""
+            pieces = cutter.find(text)
             docs.append(doc)
-            new = lambda w: number.setdefault(w, base + len(number))  # noqa: B023, E731
-            orders.append(np.array([shared[w] if w in shared else new(w) for w in cutter.find(text)], np.int32))
+            for w in set(pieces):
+                if w not in number:
+                    number[w] = len(number)
+            orders.append(np.fromiter(map(number.__getitem__, pieces), np.int32, len(pieces)))
             chars += len(text) + 1
             if chars >= BLOCK_CHARS:
                 yield out()
-                number, docs, orders, chars = {}, [], [], 0
+                number, docs, orders, chars, count = {}, [], [], 0, count + 1
     if docs:
         yield out()
 
 
-def _finish(batches: Iterator[pa.RecordBatch], data: bytes, known: tuple[list[str], list[bytes]], with_ids: bool) -> Iterator[pa.RecordBatch]:
-    """Put documents together from the ids and the decoded bytes of their pieces."""
-    known_counts = [x.count(" ") + 1 for x in known[0]]
+def _asks(batches: Iterator[pa.RecordBatch], ranges: int) -> Iterator[pa.RecordBatch]:
+    """A row for each block and range of hashes: the block's parts there."""
+    bounds = np.array([(i << 64) // ranges for i in range(1, ranges)], np.uint64)
     for batch in batches:
         for i in range(batch.num_rows):
-            docs = batch.column("docs")[i].values
-            begin = np.frombuffer(batch.column("begin")[i].as_py(), np.int32).tolist()
-            listed = batch.column("ids")[i].values
-            parts = listed.to_pylist()
-            decoded = batch.column("decoded")[i].values.to_pylist()
-            for j, raw in zip(batch.column("long_at")[i].as_py(), batch.column("long")[i].as_py(), strict=True):
-                enc = vocab.encoding(data)
-                parts[j] = enc._core_bpe.encode_single_piece(raw)
-                decoded[j] = enc.decode_bytes(parts[j])
-            ids_of, text_of, count_of = list(known[0]), list(known[1]), list(known_counts)
-            for a, b in zip(begin, begin[1:], strict=False):
-                own = parts[a] if b == a + 1 else [x for part in parts[a:b] for x in part]
-                ids_of.append(" ".join(map(str, own)))
-                text_of.append(decoded[a] if b == a + 1 else b"".join(decoded[a:b]))
-                count_of.append(len(own))
-            count_of = np.array(count_of, np.int64)
-            n, ids_sha, text_sha, ids_out = [], [], [], []
-            for order in batch.column("orders")[i].values:
-                at = np.frombuffer(order.as_buffer(), np.int32)
-                seq = at.tolist()
-                n.append(int(count_of[at].sum()))
-                line = " ".join([ids_of[k] for k in seq])
-                ids_sha.append(hashlib.sha256(line.encode()).hexdigest())
-                text_sha.append(hashlib.sha256(b"".join([text_of[k] for k in seq])).hexdigest())
-                if with_ids:
-                    ids_out.append([int(x) for x in line.split()])
-            cols = [docs, pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
-            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-            if with_ids:
-                cols.append(pa.array(ids_out, pa.list_(pa.int32())))
-                names.append("ids")
-            yield pa.RecordBatch.from_arrays(cols, names=names)
-
-
-class Folder:
-    """Folds byte ids into ids and back, as Spark expressions over literal tables."""
-
-    def __init__(self, spark: SparkSession, ranks: dict[bytes, int]) -> None:
-        by_id = {r: p for p, r in ranks.items()}
-        self.literal = spark.createDataFrame(
-            [(pair_table(ranks).tolist(), [by_id.get(i, b"") for i in range(max(by_id) + 1)])], "pairs array<bigint>, pieces_of array<binary>"
-        )
-
-    def fold(self, df: DataFrame, parts: str = "parts") -> DataFrame:
-        """Add ids and decoded for the array of byte-id arrays in ``parts``, which goes."""
-        named = df.select("*", *[self.literal.select(c).scalar().alias(c) for c in self.literal.columns])
-        folded = named.withColumn("ids", F.expr(f"transform({parts}, w -> {encode_sql('w')})"))
-        return folded.withColumn("decoded", F.expr(f"transform(ids, x -> {decode_sql('x')})")).drop(parts, "pairs", "pieces_of")
-
-
-def _common_pieces(rows: DataFrame, folder: Folder, pattern: str, data: bytes) -> tuple[list[str], list[str], list[bytes]]:
-    """(pieces, their ids as text, their bytes decoded) of the first rows: at most CACHE_PIECES, none longer than WHOLE."""
+            parts = unbundle(batch.column("lengths")[i].as_py(), batch.column("parts")[i].as_py())
+            hashes, order = by_hash(parts)
+            ends = [*np.searchsorted(hashes[order], bounds).tolist(), len(parts)]
+            rows, order = [], order.tolist()
+            for r, (a, b) in enumerate(zip([0, *ends], ends, strict=False)):
+                if a < b:
+                    rows.append((r, batch.column("block")[i].as_py(), *bundle([parts[k] for k in order[a:b]])))
+            kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate(kinds)], names=["range", "block", "lengths", "parts"])
+
+
+def _distinct(asked: pa.Table, byte_ids: list[int]) -> pa.Table:
+    """One row for a range: byte ids of its distinct parts, and for each block which of them it asked for, in its order."""
+    number: dict[bytes, int] = {}
+    who = []
+    for lengths, parts in zip(asked.column("lengths").to_pylist(), asked.column("parts").to_pylist(), strict=True):
+        who.append(shrink(np.array([number.setdefault(p, len(number)) for p in unbundle(lengths, parts)])))
+    long = {i: p for p, i in number.items() if len(p) > LONGEST}
+    short = [b"" if i in long else p for p, i in number.items()]
+    ends = np.concatenate([[0], np.cumsum([len(p) for p in short])]).astype(np.int32)
+    flat = np.array(byte_ids, np.int32)[np.frombuffer(b"".join(short), np.uint8)]
+    return pa.table(
+        {
+            "range": asked.column("range").slice(0, 1),
+            "words": pa.ListArray.from_arrays(pa.array([0, len(short)], pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))),
+            "blocks": pa.array([asked.column("block").to_pylist()], pa.list_(pa.int64())),
+            "who": pa.array([who], pa.list_(pa.binary())),
+            "long": pa.array([list(long.values())], pa.list_(pa.binary())),
+            "long_at": pa.array([list(long)], pa.list_(pa.int32())),
+        }
+    )
 
-    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cutter, seen = _Cutter(pattern, data), {}
-        for batch in batches:
-            for value in batch.column("text"):
-                for w in cutter.find(value.as_py() or ""):
-                    seen[w] = seen.get(w, 0) + 1
-        words = [w for w in sorted(seen, key=lambda w: (-seen[w], w))[:CACHE_PIECES] if len(w.encode()) <= WHOLE]
-        for i in range(0, len(words), 4096):
-            yield pa.RecordBatch.from_arrays([pa.array(words[i : i + 4096]), cutter.lists([w.encode() for w in words[i : i + 4096]])], names=["piece", "one"])
 
-    few = rows.limit(CACHE_ROWS).mapInArrow(distinct, "piece string, one array<int>").repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    got = folder.fold(few.withColumn("parts", F.array("one")).drop("one")).select("piece", F.array_join(F.col("ids")[0].cast("array<string>"), " "), F.col("decoded")[0]).collect()
-    return [r[0] for r in got], [r[1] for r in got], [bytes(r[2]) for r in got]
+def _replies(batches: Iterator[pa.RecordBatch], data: bytes) -> Iterator[pa.RecordBatch]:
+    """A row for each block and range: the ids of the parts it asked for, as counts and numbers."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            listed = batch.column("ids")[i].values
+            begin = np.asarray(listed.offsets, np.int64)  # offsets count from the start of the unsliced values
+            flat = listed.values.to_numpy(zero_copy_only=False)
+            if long := batch.column("long")[i].as_py():
+                parts = [flat[a:b] for a, b in zip(begin, begin[1:], strict=False)]
+                for j, raw in zip(batch.column("long_at")[i].as_py(), long, strict=True):
+                    parts[j] = np.array(vocab.encoding(data)._core_bpe.encode_single_piece(raw), np.int32)
+                flat, begin = np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+            many, rows = np.diff(begin), []
+            for block, who in zip(batch.column("blocks")[i].as_py(), batch.column("who")[i].as_py(), strict=True):
+                at = grow(who)
+                n = many[at]
+                inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                rows.append((block, batch.column("range")[i].as_py(), shrink(n), shrink(flat[np.repeat(begin[at], n) + inner])))
+            kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate(kinds)], names=["block", "range", "counts", "ids"])
+
+
+def _finish(block: pa.Table, replies: pa.Table, by_id: list[bytes], with_ids: bool, key_type: pa.DataType) -> pa.Table:
+    """Documents of a block, from its numbers of pieces and the ids of its parts."""
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids]
+    kinds = [key_type, pa.int64(), pa.string(), pa.string(), *[pa.list_(pa.int32())] * with_ids]
+    cols: list[list] = [[] for _ in names]
+    for row in block.to_pylist():
+        order = by_hash(unbundle(row["lengths"], row["parts"]))[1]
+        cells = sorted(zip(replies.column("range").to_pylist(), replies.column("counts").to_pylist(), replies.column("ids").to_pylist(), strict=True))
+        n = np.concatenate([grow(c[1]) for c in cells]) if cells else np.zeros(0, np.int32)
+        if len(n) != len(order):
+            raise ValueError(f"a block asked for {len(order)} parts and got {len(n)}")
+        text = list(map(str, range(len(by_id))))
+        flat = np.concatenate([grow(c[2]) for c in cells]).tolist() if cells else []
+        ends = np.cumsum(n).tolist()
+        sorted_ids = [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+        parts: list[list[int]] = [[]] * len(order)
+        for at, ids in zip(order.tolist(), sorted_ids, strict=True):
+            parts[at] = ids
+        split = grow(row["split"])
+        if len(split) != len(parts):  # pieces that were cut
+            begin = np.cumsum(split).tolist()
+            parts = [[x for p in parts[a:b] for x in p] for a, b in zip([0, *begin], begin, strict=False)]
+        line_of = [" ".join([text[x] for x in ids]) for ids in parts]
+        bytes_of = [b"".join([by_id[x] for x in ids]) for ids in parts]
+        count_of = np.fromiter(map(len, parts), np.int64, len(parts))
+        numbers, at = grow(row["orders"]) if row["orders"] else np.zeros(0, np.int32), 0
+        for doc, size in zip(row["docs"], row["sizes"], strict=True):
+            own = numbers[at : at + size]
+            at += size
+            seq = own.tolist()
+            line = " ".join([line_of[k] for k in seq])
+            values = [doc, int(count_of[own].sum()), hashlib.sha256(line.encode()).hexdigest(), hashlib.sha256(b"".join([bytes_of[k] for k in seq])).hexdigest()]
+            if with_ids:
+                values.append([int(x) for x in line.split()])
+            for c, v in zip(cols, values, strict=True):
+                c.append(v)
+    return pa.table({n: pa.array(c, t) for n, c, t in zip(names, cols, kinds, strict=True)})
 
 
 def encode(docs: DataFrame, ranks_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256, ids) for every row; whole texts, which no shuffle moves.
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256, ids) for every row and whole text.
 
     Null counts as empty and has no ids. Rows that repeat are encoded each. Other columns are not read.
     """
     spark = docs.sparkSession
     bound_batches(spark)
     file = vocab.share(spark, ranks_file)
-    folder = Folder(spark, vocab.ranks_of_tiktoken(file.value))
+    ranks = vocab.ranks_of_tiktoken(file.value)
+    pieces = {r: p for p, r in ranks.items()}
+    by_id = spark.sparkContext.broadcast([pieces.get(i, b"") for i in range(max(pieces) + 1)])
+    byte_ids = [ranks[bytes([b])] for b in range(256)]
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    pieces, ids, decoded = _common_pieces(rows, folder, pattern, file.value)
-    known, values = spark.sparkContext.broadcast(pieces), spark.sparkContext.broadcast((ids, decoded))
+    kind = rows.schema["doc_id"].dataType
+    key_type = to_arrow_type(kind)
+    kind = kind.simpleString()
     blocks = rows.mapInArrow(
-        lambda b: _blocks(b, pattern, file.value, known.value), f"docs array<{kind}>, parts array<array<int>>, begin binary, orders array<binary>, long array<binary>, long_at array<int>"
+        lambda b: _blocks(b, pattern, file.value), f"block long, docs array<{kind}>, sizes array<int>, orders binary, split binary, lengths binary, parts binary"
+    ).repartition(ranges, "block")  # one exchange, read for the asks and again for the documents
+    asks = blocks.mapInArrow(lambda b: _asks(b, ranges), "range int, block long, lengths binary, parts binary")
+    distinct = asks.groupBy("range").applyInArrow(
+        lambda t: _distinct(t, byte_ids), "range int, words array<array<int>>, blocks array<long>, who array<binary>, long array<binary>, long_at array<int>"
     )
+    literal = spark.createDataFrame([(pair_table(ranks).tolist(),)], "pairs array<bigint>")
+    folded = distinct.withColumn("pairs", literal.scalar()).withColumn("ids", F.expr(f"transform(words, w -> {encode_sql('w')})")).drop("words", "pairs")
+    replies = folded.mapInArrow(lambda b: _replies(b, file.value), "block long, range int, counts binary, ids binary")
     schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
-    return folder.fold(blocks).mapInArrow(lambda b: _finish(b, file.value, values.value, with_ids), schema)
+    return blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(lambda left, right: _finish(left, right, by_id.value, with_ids, key_type), schema)
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
