@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from glosswork.operators.durable import ship
+
 #: Most bytes of one Arrow batch handed to Python; a row longer than this travels alone.
 BATCH_BYTES = 16 << 20
 #: Most bytes that a side may have before it is joined by shuffle instead of broadcast.
@@ -15,7 +17,8 @@ BROADCAST_BYTES = 8 << 20
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Bound Arrow batches by bytes, as texts differ in length by orders of magnitude."""
+    """Before Python functions run: bound Arrow batches by bytes, as texts differ in length by orders of magnitude, and ship the package."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 

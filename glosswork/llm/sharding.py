@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glosswork.llm.common import fresh, materialise, table
+from glosswork.llm.common import bound_batches, fresh, materialise, table
 
 ROUNDS = 6
 SHARDS = 16
@@ -117,6 +117,7 @@ def shard_rows(df: DataFrame, order: list[str], shards: int = SHARDS, seed: int
     Slots are gapless from 0 in every shard.
     """
     df = df.drop(*[c for c in df.columns if c.lower() in ("row_number", "shard", "slot")])
+    bound_batches(df.sparkSession)
     numbered, n = number_rows(df, order)
 
     @F.pandas_udf("long")

@@ -190,9 +190,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 #: Sketch of the similarity search: fingerprints of a document, over shingles of so many words.
 SKETCHES, SKETCH_WORDS = 5, 2
 #: Share of differing sketch bits up to which a candidate pair goes on to be compared.
-SKETCH_SHARE = 0.22
-#: Members of a table entry up to which all its pairs are candidates; of more, each joins its nearest before it and the first.
-ALL_PAIRS_UP_TO = 24
+SKETCH_SHARE = 0.14
 
 
 def tokens_of(data: bytes) -> tuple[bytes, np.ndarray, np.ndarray]:
@@ -289,34 +287,42 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs of each entry, from rows sorted by key; whole sketches decide."""
+    """Candidate pairs of each entry, from rows sorted by key: each member with the nearest before it by the whole sketch.
+
+    So an entry gives a tree over its members, not their pairs; every other entry is gone through backwards.
+    """
     limit = SKETCH_SHARE * 64 * SKETCHES
     key, nodes, sketches = None, [], []
 
     def pairs() -> list[tuple[int, int]]:
         if len(nodes) < 2:
             return []
-        s, out = np.array(sketches, np.uint64), []
-        for j in range(1, len(nodes)):
+        back = slice(None, None, -1 if key & 1 else 1)
+        s, n, out = np.array(sketches, np.uint64)[back], nodes[back], []
+        for j in range(1, len(n)):
             apart = np.bitwise_count(s[:j] ^ s[j]).sum(axis=1)
-            at = np.flatnonzero(apart <= limit) if len(nodes) <= ALL_PAIRS_UP_TO else np.unique([0, int(apart.argmin())])
-            out += [(min(nodes[i], nodes[j]), max(nodes[i], nodes[j])) for i in at if apart[i] <= limit]
+            i = int(apart.argmin())
+            if apart[i] <= limit:
+                out.append((min(n[i], n[j]), max(n[i], n[j])))
         return out
 
+    found: set[tuple[int, int]] = set()
     for batch in batches:
-        found: list[tuple[int, int]] = []
         for k, n, s in zip(batch.column("key").to_pylist(), batch.column("node").to_pylist(), batch.column("sketch").flatten().to_numpy().view(np.uint64).reshape(-1, SKETCHES), strict=True):
             if k != key:
-                found += pairs()
+                found.update(pairs())
                 key, nodes, sketches = k, [], []
             nodes.append(n)
             sketches.append(s)
-        yield _edges(found)
-    yield _edges(pairs())
+        if len(found) > 200_000:
+            yield _edges(found)
+            found = set()
+    found.update(pairs())
+    yield _edges(found)
 
 
-def _edges(found: list[tuple[int, int]]) -> pa.RecordBatch:
-    some = sorted(set(found))
+def _edges(found: set[tuple[int, int]]) -> pa.RecordBatch:
+    some = sorted(found)
     return pa.RecordBatch.from_arrays([pa.array([x[0] for x in some], pa.int64()), pa.array([x[1] for x in some], pa.int64())], names=["u", "v"])
 
 
