@@ -1,9 +1,11 @@
-"""Cutting lineage in the folder that driver and executors share."""
+"""What outlives tasks: tables in the shared folder, and the package itself on executors."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,3 +23,19 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once for a context, so that Python functions load where it isn't installed."""
+    context = spark.sparkContext
+    if getattr(context, "_glosswork_shipped", False):
+        return
+    package = Path(__file__).resolve().parent.parent
+    if not package.is_dir():  # it runs from an archive that was shipped already
+        return
+    path = Path(tempfile.mkdtemp(prefix="glosswork-")) / f"{package.name}.zip"
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as out:
+        for file in sorted(package.rglob("*.py")):
+            out.write(file, file.relative_to(package.parent))
+    context.addPyFile(str(path))
+    context._glosswork_shipped = True

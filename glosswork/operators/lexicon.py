@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glosswork.functions.text import matching
+from glosswork.operators.durable import ship
 
 #: Terms compared inside one expression; larger lexicons go through ``term_hits``.
 INLINE_TERMS = 200
@@ -43,6 +44,7 @@ def term_hits(texts: DataFrame, terms: DataFrame) -> DataFrame:
 
 
 def _automaton_hits(texts: DataFrame, terms: list[str]) -> DataFrame:
+    ship(texts.sparkSession)
     shared = texts.sparkSession.sparkContext.broadcast(terms)
     kind = texts.schema["id"].dataType.simpleString()
 

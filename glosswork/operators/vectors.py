@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glosswork.operators.durable import ship
+
 #: Queries that one pass over the corpus answers. Their vectors are broadcast, so this bounds the broadcast.
 QUERY_BLOCK = 4096
 
@@ -31,6 +33,7 @@ def search(queries: DataFrame, corpus: DataFrame, k: int = 5, *, not_itself: boo
     each query, so what is shuffled depends on tasks and queries, not on the corpus.
     """
     spark = corpus.sparkSession
+    ship(spark)
     blocks = max(1, -(-queries.count() // QUERY_BLOCK))
     held = queries.select("query_id", "embedding").withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
     passes = None

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from glosswork.functions.text import clock_to_ms, squash
+from glosswork.operators.durable import ship
 
 BAD = "_bad"
 
@@ -100,6 +101,7 @@ def paged(spark: SparkSession, pages: int, fetch, schema: str) -> DataFrame:
 
     import pyarrow as pa
 
+    ship(spark)
     arrow = spark.createDataFrame([], schema).toArrow().schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
