@@ -25,8 +25,10 @@ EMBED, HIDDEN, ATTEND = 16, 8, 8
 TRIGRAMS = 8192
 WORDS = 8192
 #: Bound of the training sample: documents of each class, and characters of a document that may train.
-TOXIC_DOCS, CLEAN_DOCS, TRAIN_CHARS = 2500, 5000, 20_000
+TOXIC_DOCS, CLEAN_DOCS, TRAIN_CHARS = 2000, 4000, 10_000
 EPOCHS, BATCH, RATE = 8, 256, 0.01
+#: Steps that a small sample trains at least, by more epochs and smaller batches; and most epochs.
+LEAST_STEPS, MOST_EPOCHS = 350, 60
 #: Bytes of text scored at a time.
 SCORE_BYTES = 2 << 20
 
@@ -190,6 +192,33 @@ def windows(docs: list[list[bytes]]) -> tuple[list[bytes], np.ndarray, np.ndarra
     return list(number), whole[start[:, None] + np.arange(WINDOW)], first
 
 
+def hints(words: list[bytes], rows: np.ndarray, first: np.ndarray, toxic: np.ndarray, use: np.ndarray) -> np.ndarray:
+    """For each window, how much more often its most telling word and that word's trigrams stand in toxic documents.
+
+    Which windows of a toxic document are toxic isn't known at first; this says where to begin.
+    """
+    last = np.append(first[1:], len(rows))
+    seen = np.zeros((2, len(words) + 1))
+    for i in use:
+        seen[int(toxic[i]), np.unique(rows[first[i] : last[i]])] += 1
+    docs = np.array([(toxic[use] == 0).sum(), (toxic[use] == 1).sum()])
+    odds = lambda clean, bad: np.log((bad + 0.1) / docs[1]) - np.log((clean + 0.1) / docs[0])
+    score = np.full(len(words) + 1, -1e9)
+    for i in range(0, len(words), 1 << 15):
+        code, begin = trigrams(words[i : i + (1 << 15)])
+        many = np.diff(np.append(begin, len(code)))
+        if i == 0:
+            bad, clean = np.zeros(TRIGRAMS), np.zeros(TRIGRAMS)
+        np.add.at(clean, code, np.repeat(seen[0, i : i + len(many)], many))
+        np.add.at(bad, code, np.repeat(seen[1, i : i + len(many)], many))
+    for i in range(0, len(words), 1 << 15):
+        code, begin = trigrams(words[i : i + (1 << 15)])
+        many = np.diff(np.append(begin, len(code)))
+        score[i : i + len(many)] = np.add.reduceat(odds(clean, bad)[code], begin) / many
+    score[:-1] += 0.5 * odds(seen[0, :-1], seen[1, :-1])
+    return score[rows].max(axis=1)
+
+
 def train(texts: list[str], toxic: np.ndarray, seed: int = 6) -> Model:
     """Fit on texts and 0/1 labels. With one class only, the model is that class's rate."""
     toxic = np.asarray(toxic, np.float32)
@@ -209,22 +238,25 @@ def train(texts: list[str], toxic: np.ndarray, seed: int = 6) -> Model:
     last = np.append(first[1:], len(rows))
     use = np.flatnonzero(~held)
     moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in model.weights.items()}
-    steps, best = 0, None
-    for epoch in range(EPOCHS):
+    steps, best, hint = 0, None, hints(words, rows, first, toxic, use)
+    batch = int(np.clip(len(use) // 6, 32, BATCH))
+    epochs = int(np.clip(LEAST_STEPS * batch / (2 * len(use)), EPOCHS, MOST_EPOCHS))
+    early = epochs // 4
+    for epoch in range(epochs):
         pick = []
-        logits = model.each(model.table(words), rows) if epoch >= 2 else None
+        logits = model.each(model.table(words), rows) if epoch >= early else None
         for i in use:
             a, b = first[i], last[i]
-            if logits is None:  # at first any window, more of toxic texts, as which of theirs is toxic isn't known
-                pick += [(j, i) for j in rng.choice(np.arange(a, b), min(b - a, 4 if toxic[i] else 2), replace=False)]
+            if logits is None:  # at first those that hints name, and any other
+                pick += [(a + int(np.argmax(hint[a:b])), i), (int(rng.integers(a, b)), i)] if not toxic[i] else [(a + int(np.argmax(hint[a:b])), i)] * 2
             else:
                 pick.append((a + int(np.argmax(logits[a:b])), i))
                 if not toxic[i]:
                     pick.append((int(rng.integers(a, b)), i))
         order = rng.permutation(len(pick))
-        rate = RATE * (1.0 if epoch < EPOCHS - 2 else 0.3)
-        for s in range(0, len(order), BATCH):
-            part = [pick[j] for j in order[s : s + BATCH]]
+        rate = RATE * (1.0 if epoch < 0.75 * epochs else 0.3)
+        for s in range(0, len(order), batch):
+            part = [pick[j] for j in order[s : s + batch]]
             at = rows[[p[0] for p in part]]
             inner, local = np.unique(at, return_inverse=True)
             real = inner[inner < len(words)]
@@ -238,7 +270,7 @@ def train(texts: list[str], toxic: np.ndarray, seed: int = 6) -> Model:
                 m += 0.1 * (g - m)
                 v += 0.01 * (g * g - v)
                 model.weights[k] -= (rate * (m / (1 - 0.9**steps)) / (np.sqrt(v / (1 - 0.99**steps)) + 1e-6)).astype(np.float32)
-        if held.any() and epoch >= 2:
+        if held.any() and epoch >= early:
             out = np.maximum.reduceat(model.each(model.table(words), rows), first)[held]
             fit = calibrate(out, toxic[held])
             if best is None or fit[2] < best[2]:
