@@ -48,6 +48,14 @@ def occurrences(text: Column, term: str) -> Column:
     return ((F.length(text) - F.length(F.replace(text, F.lit(term), F.lit("")))) / len(term)).cast("long")
 
 
+def positions(text: Column, term: str) -> Column:
+    """Where a literal term begins, from 1, without overlap."""
+    sizes = F.transform(F.split(text, rf"\Q{term}\E", -1), lambda x: F.length(x))
+    start = F.struct(F.lit(1).alias("at"), F.array().cast("array<int>").alias("found"))
+    before_last = F.slice(sizes, 1, F.size(sizes) - 1)
+    return F.aggregate(before_last, start, lambda a, n: F.struct((a["at"] + n + len(term)).alias("at"), F.concat(a["found"], F.array(a["at"] + n)).alias("found")), lambda a: a["found"])
+
+
 def snippet(text: Column, limit: int = 60) -> Column:
     """Squashed and cut with an ellipsis beyond ``limit`` characters."""
     flat = squash(text)

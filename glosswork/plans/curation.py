@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from glosswork.functions import text as tx
 from glosswork.operators import curate as cu
 from glosswork.operators import evaluate as ev
+from glosswork.operators import extract as xt
 from glosswork.operators import lexicon as lx
 from glosswork.operators import sampling as sa
 from glosswork.operators import validate as va
@@ -316,6 +317,26 @@ def flatten_props(spark, d):
     return e.select("event_id", F.coalesce("p.k", F.lit(0)).alias("k"), F.coalesce("p.big.url", "p.small.url", F.lit("")).alias("thumbnail"), F.to_json(F.array("event_type", F.col("user_id").cast("string"))).alias("tags"))
 
 
+def _client(asked: str, attempt: int) -> str:
+    """Stands in for a model: names the first two words; some first answers are no JSON, some never hold."""
+    import json
+
+    words = asked.split("\n\n", 1)[1].split()[:2]
+    if len(words[0]) % 3 == 0 and attempt == 1:
+        return "no JSON"
+    evidence = "made up" if len(words[0]) % 7 == 0 else " ".join(words)
+    entities = [{"name": w, "type": "word", "evidence": evidence, "confidence": "high"} for w in dict.fromkeys(words)]
+    relations = [{"source": words[0], "target": words[-1], "type": "before", "evidence": evidence, "confidence": "low"}]
+    return "```json\n" + json.dumps({"entities": entities, "relations": relations}) + "\n```"
+
+
+def extraction_run(spark, d):
+    """Extraction over the benchmark items by a stand-in client: records and what was set aside; rows only."""
+    chunks = table(spark, d, "benchmark").select(F.col("item_id").alias("chunk_id"), "text")
+    good, quarantine, _ = xt.extract(chunks, _client, ["word"], ["before"])
+    return good.select("chunk_id", "attempt", F.size("parsed.entities").alias("entities"), F.lit(None).cast("string").alias("rules")).unionByName(quarantine.select("chunk_id", F.lit(2).alias("attempt"), F.lit(0).alias("entities"), F.array_join("rules", "|").alias("rules")))
+
+
 _WORDS5 = r"SELECT doc_id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda w: length(w) >= 5))) AS word FROM documents"
 _LEX = f"w AS ({_WORDS5}), lx AS (SELECT q.query_id, a.doc_id AS id, count(*) AS hits FROM q JOIN w b ON b.doc_id = q.query_id JOIN w a ON a.word = b.word AND a.doc_id <> q.query_id GROUP BY ALL)"
 _SNIP = "CASE WHEN length({t}) > {n} THEN left({t}, {n}) || '…' ELSE {t} END"
@@ -340,7 +361,7 @@ QUERIES = {
         scan_chunks, scan_jsonl, scan_csv, vtt_parse, approved_ids, metadata_semi, semi_anti, set_difference, keep_last, dedupe_question, coalesce_fields, systematic_sample, seeded_sample, stratified_sample,
         stratified_two_level, batch_ids, eligible_filter, split_filter, chunk_header, corpus_union, prefix_resolve, validate_rows, validate_unique, validate_single_config, incremental_plan, grounding_check,
         hash_join_lookup, anchor_join, ledger_merge, qa_siblings, ordered_distinct, corpus_fingerprint, two_net_pool, hybrid_merge, gold_union, hash_encode, prompt_render, answer_pipeline, backfill_merge,
-        synthetic_build, label_import, flatten_props,
+        synthetic_build, label_import, flatten_props, extraction_run,
     )
 }
 _DRAW = f"md5('{SEED}|' || doc_id)"

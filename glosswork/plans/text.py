@@ -116,8 +116,8 @@ def occurrences(spark, d):
 
 
 def occurrence_positions(spark, d):
-    """Character positions of each occurrence of 'idiot' or 'moron', from 1; rows only."""
-    return _docs(spark, d).select("doc_id", F.explode(F.filter(F.transform(F.split("text", "idiot|moron"), lambda x: F.length(x)), lambda n: n > 0)).alias("gap"))
+    """Character positions of 'idiot' in each document that has it."""
+    return _docs(spark, d).where("contains(text, 'idiot')").select("doc_id", F.explode(tx.positions(F.col("text"), "idiot").cast("array<long>")).alias("position"))
 
 
 def suffix_strip(spark, d):
@@ -342,6 +342,8 @@ ORACLES = {
     "topic_tags": f"WITH {_SENT} SELECT * FROM (SELECT doc_id, pos, {_joined([(_any('sentence', w), t) for t, w in TOPICS.items()])} AS topics FROM s) WHERE topics <> ''",
     "numeric_regex": r"SELECT * FROM (SELECT doc_id, regexp_extract(text, '(\d{3,4}[- ]?\d{4,})', 1) AS number FROM documents) WHERE number <> ''",
     "occurrences": " UNION ALL ".join(f"SELECT doc_id, '{t}' AS term, CAST((length(text) - length(replace(text, '{t}', ''))) // {len(t)} AS BIGINT) AS n FROM documents WHERE contains(text, '{t}')" for t in ["de", "th", "en "]),
+    "occurrence_positions": """WITH p AS (SELECT doc_id, string_split(text, 'idiot') AS s FROM documents WHERE contains(text, 'idiot')), e AS (SELECT doc_id, s, unnest(range(1, len(s))) AS i FROM p)
+        SELECT doc_id, CAST(list_sum(list_transform(s[1:i], lambda x: length(x))) + (i - 1) * 5 + 1 AS BIGINT) AS position FROM e""",
     "suffix_strip": f"WITH w AS (SELECT item_id, {_WORDS.format(c='text')} AS w FROM benchmark), e AS (SELECT item_id, unnest(range(0, len(w))) AS pos, unnest(w) AS word FROM w) SELECT item_id, pos, {_strip_sql('word', ['ing', 'ed', 'er', 'en', 'es', 's'])} AS stem FROM e",
     "keywords": rf"""WITH w AS (SELECT item_id, list_filter(regexp_extract_all(lower(text), '(\p{{L}}+)', 1), lambda w: length(w) >= 2 AND w NOT IN ('the', 'of', 'and', 'de', 'la')) AS w FROM benchmark),
         e AS (SELECT item_id, unnest(range(0, len(w))) AS pos, unnest(w) AS word FROM w), t AS (SELECT item_id, pos, {_strip_sql('word', ['ing', 'ed', 'er', 'en'])} AS stem FROM e),
