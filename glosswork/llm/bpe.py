@@ -100,6 +100,14 @@ def encode_sql(ids: str) -> str:
     return f"aggregate(array_repeat(0, size({ids}) - 1), named_struct('ids', {ids}, 'ranks', {ranks}), (a, x) -> {step}, a -> a.ids)"
 
 
+class _Numbers(dict):
+    """Numbers for keys in order of first sight."""
+
+    def __missing__(self, key):
+        number = self[key] = len(self)
+        return number
+
+
 class _Cutter:
     """Cuts texts into pieces by the pattern, and pieces into the parts that are folded."""
 
@@ -144,10 +152,7 @@ def by_hash(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 def _blocks(batches: Iterator[pa.RecordBatch], pattern: str, data: bytes) -> Iterator[pa.RecordBatch]:
     """A row for each block: its documents, each one's pieces by number, and the parts of its distinct pieces."""
     cutter, key_type, task, count = _Cutter(pattern, data), pa.int64(), TaskContext.get().partitionId() << 32, 0
-    number: dict[str, int] = {}
-    docs: list = []
-    orders: list[np.ndarray] = []
-    chars = 0
+    number, docs, orders, chars = _Numbers(), [], [], 0
 
     def out() -> pa.RecordBatch:
         parts, begin = [], [0]
@@ -174,14 +179,11 @@ def _blocks(batches: Iterator[pa.RecordBatch], pattern: str, data: bytes) -> Ite
             text = value.as_py() or ""
             pieces = cutter.find(text)
             docs.append(doc)
-            for w in set(pieces):
-                if w not in number:
-                    number[w] = len(number)
             orders.append(np.fromiter(map(number.__getitem__, pieces), np.int32, len(pieces)))
             chars += len(text) + 1
             if chars >= BLOCK_CHARS:
                 yield out()
-                number, docs, orders, chars, count = {}, [], [], 0, count + 1
+                number, docs, orders, chars, count = _Numbers(), [], [], 0, count + 1
     if docs:
         yield out()
 
@@ -251,26 +253,28 @@ def _finish(block: pa.Table, replies: pa.Table, by_id: list[bytes], with_ids: bo
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids]
     kinds = [key_type, pa.int64(), pa.string(), pa.string(), *[pa.list_(pa.int32())] * with_ids]
     cols: list[list] = [[] for _ in names]
+    text = list(map(str, range(len(by_id))))
     for row in block.to_pylist():
         order = by_hash(unbundle(row["lengths"], row["parts"]))[1]
         cells = sorted(zip(replies.column("range").to_pylist(), replies.column("counts").to_pylist(), replies.column("ids").to_pylist(), strict=True))
         n = np.concatenate([grow(c[1]) for c in cells]) if cells else np.zeros(0, np.int32)
         if len(n) != len(order):
             raise ValueError(f"a block asked for {len(order)} parts and got {len(n)}")
-        text = list(map(str, range(len(by_id))))
         flat = np.concatenate([grow(c[2]) for c in cells]).tolist() if cells else []
         ends = np.cumsum(n).tolist()
-        sorted_ids = [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)]
-        parts: list[list[int]] = [[]] * len(order)
-        for at, ids in zip(order.tolist(), sorted_ids, strict=True):
-            parts[at] = ids
+        words, raw = list(map(text.__getitem__, flat)), list(map(by_id.__getitem__, flat))
+        line_of, bytes_of, count_of = [""] * len(order), [b""] * len(order), np.zeros(len(order), np.int64)
+        count_of[order] = n
+        for k, a, b in zip(order.tolist(), [0, *ends], ends, strict=False):
+            line_of[k], bytes_of[k] = " ".join(words[a:b]), b"".join(raw[a:b])
         split = grow(row["split"])
-        if len(split) != len(parts):  # pieces that were cut
-            begin = np.cumsum(split).tolist()
-            parts = [[x for p in parts[a:b] for x in p] for a, b in zip([0, *begin], begin, strict=False)]
-        line_of = [" ".join([text[x] for x in ids]) for ids in parts]
-        bytes_of = [b"".join([by_id[x] for x in ids]) for ids in parts]
-        count_of = np.fromiter(map(len, parts), np.int64, len(parts))
+        if len(split) != len(order):  # pieces that were cut
+            ends = np.cumsum(split)
+            begin = (ends - split).tolist()
+            count_of = np.add.reduceat(count_of, begin)
+            ends = ends.tolist()
+            line_of = [" ".join(line_of[a:b]) for a, b in zip(begin, ends, strict=True)]
+            bytes_of = [b"".join(bytes_of[a:b]) for a, b in zip(begin, ends, strict=True)]
         numbers, at = grow(row["orders"]) if row["orders"] else np.zeros(0, np.int32), 0
         for doc, size in zip(row["docs"], row["sizes"], strict=True):
             own = numbers[at : at + size]
