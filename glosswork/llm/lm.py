@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from glosswork.llm.common import bound_batches, materialise, table
 
 #: Tokens of a block and distinct n-grams, at most, that a range gets on average.
-BLOCK_TOKENS, RANGE_TOKENS = 1_200_000, 1_000_000
+BLOCK_TOKENS, RANGE_TOKENS = 1_000_000, 1_000_000
 #: Tokens of a document that lie in one block; a longer one goes on in the next, with its context.
 SEGMENT_TOKENS = 1_000_000
 START, END = 0, 1
