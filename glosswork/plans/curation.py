@@ -28,7 +28,7 @@ def scan_chunks(spark, d):
 
 
 def scan_jsonl(spark, d):
-    """Documents through JSON lines and back; rows only."""
+    """Documents through JSON lines and back."""
     import uuid
 
     docs = _docs(spark, d).select("doc_id", "text", "lang")
@@ -38,7 +38,7 @@ def scan_jsonl(spark, d):
 
 
 def scan_csv(spark, d):
-    """Customers through CSV and back; rows only."""
+    """Customers through CSV and back."""
     import uuid
 
     path = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
@@ -47,7 +47,7 @@ def scan_csv(spark, d):
 
 
 def vtt_parse(spark, d):
-    """Captions made of conversations and parsed again; rows only."""
+    """Captions made of conversations and parsed again."""
     line = F.concat(tx.ms_to_clock(F.col("turn") * 2000), F.lit(" --> "), tx.ms_to_clock(F.col("turn") * 2000 + 1500), F.lit("\n<b>"), F.regexp_replace("text", "\n+", " "), F.lit("</b>\n\n"))
     made = table(spark, d, "conversations").select("conv_id", "turn", line.alias("l")).groupBy(F.col("conv_id").alias("id")).agg(F.concat(F.lit("WEBVTT\n\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "l"))), lambda x: x["l"]), "")).alias("text"))
     return files.parse_captions(made)
@@ -367,6 +367,10 @@ QUERIES = {
 _DRAW = f"md5('{SEED}|' || doc_id)"
 ORACLES = {
     "scan_chunks": "SELECT source, doc_id, length(text) AS chars, n_chars FROM documents",
+    "scan_jsonl": "SELECT doc_id, sha256(text) AS text_sha256, lang FROM documents",
+    "scan_csv": "SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name FROM customer",
+    "vtt_parse": r"""SELECT conv_id AS id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS cue_index, turn * 2000 AS start_ms, turn * 2000 + 1500 AS end_ms,
+        trim(regexp_replace(regexp_replace(text, '<[^>]+>', '', 'g'), '\s+', ' ', 'g')) AS text FROM conversations""",
     "approved_ids": "SELECT DISTINCT o_custkey AS id FROM orders WHERE o_orderstatus = 'F'",
     "metadata_semi": "SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')",
     "semi_anti": "SELECT c_custkey, c_custkey IN (SELECT o_custkey FROM orders) AS has_order FROM customer",

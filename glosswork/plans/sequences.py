@@ -198,6 +198,14 @@ def description_parse(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", (part(1).cast("long") * 60 + part(2).cast("long")).alias("start_seconds"), part(3).alias("title"))
 
 
+def description_intro(spark, d):
+    """The lines before the first that stops an introduction: a short one, or one with an address."""
+    stop = (F.length("line") <= 40) | F.contains("line", F.lit("@"))
+    before = F.sum(stop.cast("int")).over(Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
+    kept = lines(_docs(spark, d)).withColumn("n", before).where("n = 0").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("l"))
+    return kept.select("doc_id", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("intro"))
+
+
 def chunk_pack(spark, d):
     """Sentences of each document packed to 420 characters, at most 480."""
     s = sentences(_docs(spark, d)).groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "sentence"))), lambda x: x["sentence"]).alias("units"))
@@ -244,11 +252,11 @@ def duration_stats(spark, d):
 
 
 def sentence_ts(spark, d):
-    """Sentences with the time of the latest cue before their first character, a cue for each 100 characters; rows only."""
+    """Sentences with the time of the latest cue before their first character, a cue for each 100 characters."""
     order = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     s = sentences(_docs(spark, d)).withColumn("at", F.coalesce(F.sum(F.length("sentence") + 1).over(order), F.lit(0)))
     cues = _docs(spark, d).select("doc_id", F.explode(F.expr("sequence(0L, n_chars, 100L)")).alias("at")).withColumn("ms", F.col("at") * 20)
-    return iv.as_of(s, cues, "doc_id", "at", "ms").select("doc_id", "pos", "at", "ms")
+    return iv.as_of(s, cues, "doc_id", "at", "ms").select("doc_id", "pos", F.col("at").alias("at_char"), "ms")
 
 
 _E = "e AS (SELECT event_id, user_id, event_type, value, epoch_us(ts) // 1000 AS s, epoch_us(ts) // 1000 + 21600000 AS t FROM events)"
@@ -270,7 +278,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         transcript_bounds, interval_overlap_join, chapter_assign, asof_lookup, interval_merge, soft_boundaries, validate_span_bounds, validate_contiguous, validate_increasing, ts_format, ts_parse, iso_duration,
-        rolling_dedup, rolling_counts, prefix_diff, rollup_fold, heading_promotion, blank_collapse, section_split, parent_carry, hard_wrap, line_clean, ingest_log, pdf_line_clean, description_parse, chunk_pack,
+        rolling_dedup, rolling_counts, prefix_diff, rollup_fold, heading_promotion, blank_collapse, section_split, parent_carry, hard_wrap, line_clean, ingest_log, pdf_line_clean, description_parse, description_intro, chunk_pack,
         segment_chunk, chunk_ids, boundary_split, front_matter, duration_stats, sentence_ts,
     )
 }
@@ -303,6 +311,12 @@ ORACLES = {
     "blank_collapse": f"WITH {_LINES}, p AS (SELECT *, lag(line) OVER (PARTITION BY doc_id ORDER BY pos) AS q FROM l) SELECT doc_id, count(*) AS kept, CAST(sum(pos) AS BIGINT) AS positions FROM p WHERE q IS NULL OR q <> line GROUP BY doc_id",
     "section_split": f"""WITH {_LINES}, h AS (SELECT *, length(line) <= 40 AS h FROM l), s AS (SELECT *, sum(CAST(h AS INT)) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS section FROM h)
         SELECT doc_id, CAST(section AS BIGINT) AS section, max(CASE WHEN h THEN line END) AS heading, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT h), '') AS body, count(*) FILTER (WHERE NOT h) AS lines FROM s GROUP BY doc_id, section""",
+    "parent_carry": f"""WITH {_LINES}, h AS (SELECT *, length(line) <= 40 AS h FROM l), s AS (SELECT *, sum(CAST(h AS INT)) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS section FROM h),
+        g AS (SELECT doc_id, CAST(section AS BIGINT) AS section, max(CASE WHEN h THEN line END) AS heading, string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT h) AS body FROM s GROUP BY doc_id, section),
+        i AS (SELECT *, coalesce(sum(CASE WHEN body IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY section ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS i FROM g)
+        SELECT doc_id, max(section) FILTER (WHERE body IS NOT NULL) AS section, coalesce(string_agg(heading, ' > ' ORDER BY section) FILTER (WHERE heading IS NOT NULL), '') AS heading_path, max(body) AS body FROM i GROUP BY doc_id, i HAVING max(body) IS NOT NULL""",
+    "sentence_ts": f"""WITH {_SENT}, a AS (SELECT doc_id, pos, CAST(coalesce(sum(length(sentence) + 1) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS at_char FROM s)
+        SELECT doc_id, pos, at_char, least(at_char // 100, n_chars // 100) * 2000 AS ms FROM a JOIN documents USING (doc_id)""",
     "hard_wrap": f"""WITH {_LINES}, n AS (SELECT doc_id, list_sort(list(length(line))) AS n FROM l GROUP BY doc_id)
         SELECT doc_id, len(n) AS lines, len(n) >= 10 AND len(list_filter(n, lambda x: x <= 60)) / len(n) >= 0.3 AND n[len(n) // 2 + 1] <= 200 AS wrapped FROM n""",
     "line_clean": f"WITH {_LINES} SELECT * FROM (SELECT doc_id, pos, {_REASON} AS reason FROM l) WHERE reason IS NOT NULL",
@@ -311,6 +325,8 @@ ORACLES = {
     "pdf_line_clean": rf"""WITH {_LINES}, f AS (SELECT doc_id, replace(replace(line, 'ﬁ', 'fi'), 'ﬂ', 'fl') AS line FROM l), g AS (SELECT line FROM f GROUP BY line HAVING count(DISTINCT doc_id) >= 3)
         SELECT doc_id, count(*) FILTER (WHERE NOT d) AS kept, count(*) FILTER (WHERE d) AS dropped FROM (SELECT doc_id, line IN (SELECT line FROM g) OR regexp_matches(line, '^\d+$') AS d FROM f) GROUP BY doc_id""",
     "description_parse": "SELECT conv_id, turn, turn * 97 AS start_seconds, role AS title FROM conversations",
+    "description_intro": f"""WITH {_LINES}, s AS (SELECT *, sum(CASE WHEN length(line) <= 40 OR contains(line, '@') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS n FROM l)
+        SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) AS intro FROM s WHERE n = 0 GROUP BY doc_id""",
     "chunk_pack": f"""WITH RECURSIVE {_SENT}, n AS (SELECT doc_id, max(pos) AS n FROM s GROUP BY doc_id), g AS (SELECT doc_id, CAST(0 AS BIGINT) AS pos, '' AS open, CAST([] AS VARCHAR[]) AS done FROM n
         UNION ALL SELECT g.doc_id, g.pos + 1, CASE WHEN open <> '' AND length(open) + 1 + length(sentence) > 480 THEN sentence WHEN length(CASE WHEN open = '' THEN sentence ELSE open || ' ' || sentence END) >= 420 THEN '' ELSE CASE WHEN open = '' THEN sentence ELSE open || ' ' || sentence END END,
           CASE WHEN open <> '' AND length(open) + 1 + length(sentence) > 480 THEN list_append(done, open) WHEN length(CASE WHEN open = '' THEN sentence ELSE open || ' ' || sentence END) >= 420 THEN list_append(done, CASE WHEN open = '' THEN sentence ELSE open || ' ' || sentence END) ELSE done END
