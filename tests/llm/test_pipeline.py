@@ -65,3 +65,26 @@ def test_all_that_stays_is_packed(stages):
 def test_run_equals_the_stages(spark, small, stages):
     key = lambda df: sorted((r.doc_id, r.doc_tokens, r.start == 0) for r in df.where("start = 0").collect())
     assert key(cp.run(spark, small)) == key(stages[4])
+
+
+def test_stages_on_odd_rows(spark, small, tmp_path):
+    """Nulls in any column, empty and long texts, repeated rows and columns named like the operators' own."""
+    names = ["doc_id", "text", "lang", "source", "n_chars", "rid", "_rid", "component", "score", "norm", "part", "probe", "node", "u", "key"]
+    long = "word " * 40_000
+    rows = [(1, None), (2, ""), (2, ""), (3, " \n"), (None, "only text"), (4, long), (5, long + "end"), (6, "a b c d e f"), (7, "A  b c d e f"), (None, None)]
+    df = spark.createDataFrame([(i, t, None, "s", None, *[str(k)] * 10) for k, (i, t) in enumerate(rows)], ", ".join(f"{n} {'long' if n in ('doc_id', 'n_chars') else 'string'}" for n in names))
+    for empty in (False, True):
+        docs = df.where("false") if empty else df
+        docs.write.parquet(f"{tmp_path}/{empty}/0")
+        docs = spark.read.parquet(f"{tmp_path}/{empty}/0")
+        for i, (_, stage) in enumerate(cp.STAGES, 1):
+            stage(spark, docs, small).write.parquet(f"{tmp_path}/{empty}/{i}")
+            kept, docs = docs, spark.read.schema(docs.schema).parquet(f"{tmp_path}/{empty}/{i}") if i < len(cp.STAGES) else spark.read.parquet(f"{tmp_path}/{empty}/{i}")
+            if i < len(cp.STAGES):
+                assert docs.columns == names and docs.count() <= kept.count()
+        if empty:
+            assert docs.count() == 0
+        else:
+            left = sorted(((r.doc_id is None, r.doc_id) for r in kept.select("doc_id").collect()), key=str)
+            assert [x[1] for x in left] == [1, 4, 5, 6, None]
+            assert docs.select("doc_id").distinct().count() == 5
