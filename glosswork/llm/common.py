@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from glosswork.operators.durable import ship
 
+#: Splits that the files of a table make at least.
+SPLITS = "spark.sql.files.minPartitionNum"
 #: Most bytes of one Arrow batch handed to Python; a row longer than this travels alone.
 BATCH_BYTES = 16 << 20
 #: Most bytes that a side may have before it is joined by shuffle instead of broadcast.
@@ -17,8 +19,14 @@ BROADCAST_BYTES = 8 << 20
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Before Python functions run: bound Arrow batches by bytes, as texts differ in length by orders of magnitude, and ship the package."""
+    """Before Python functions run: bound Arrow batches by bytes, as texts differ in length by orders of magnitude, and ship the package.
+
+    Files are split by a number that is set once, not by the executors there happen to be, so that a table read
+    again has its rows in the same places even if executors were lost in between.
+    """
     ship(spark)
+    if spark.conf.get(SPLITS, None) is None:
+        spark.conf.set(SPLITS, str(max(8, spark.sparkContext.defaultParallelism)))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 

@@ -192,3 +192,13 @@ def test_crowded_entries_still_join(table):
     base = [f"w{i}" for i in range(200)]
     rows = [(i, " ".join([*base[:i], f"x{i}", *base[i + 1 :]])) for i in range(60)]
     assert len({r.component for r in sh.similar_documents(table(rows)).collect()}) == 1
+
+
+def test_rows_keep_their_places_when_executors_change(spark, table):
+    from glosswork.llm import common
+
+    common.bound_batches(spark)
+    held = spark.conf.get(common.SPLITS)
+    assert int(held) >= 8
+    common.bound_batches(spark)
+    assert spark.conf.get(common.SPLITS) == held
