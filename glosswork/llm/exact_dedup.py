@@ -186,8 +186,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("first"),
         F.count(F.lit(1)).alias("group_size"),
     )
-    several = groups.where("group_size > 1")
-    joined = prints.join(several, key, "left")
+    several = materialise(groups.where("group_size > 1"))
+    joined = prints.join(small_or_shuffled(several, several.count(), 160), key, "left")
     return joined.select(
         "doc_id",
         "rid",
