@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glosswork.operators.durable import ship
+from glosswork.operators.durable import written as materialise  # noqa: F401  tables in the shared folder
 
 #: Splits that the files of a table make at least.
 SPLITS = "spark.sql.files.minPartitionNum"
@@ -30,23 +28,6 @@ def bound_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; where the session names none (tests), a temporary one."""
-    at = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not at:
-        at = getattr(spark.sparkContext, "_glosswork_folder", None)
-        if at is None:
-            at = spark.sparkContext._glosswork_folder = "file://" + tempfile.mkdtemp(prefix="glosswork-")
-    return at
-
-
-def materialise(df: DataFrame) -> DataFrame:
-    """Write a table to the shared folder and read it again: cuts lineage and outlives executors."""
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/glosswork-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def fresh(df: DataFrame, name: str) -> str:
     """A column name like ``name`` that ``df`` does not use."""
     used = {c.lower() for c in df.columns}
