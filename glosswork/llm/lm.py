@@ -230,7 +230,7 @@ def _count_blocks(blocks: DataFrame, answers: DataFrame, n_train: int, n_docs: i
             raise ValueError(f"block {row['block']} asked for {len(grams.sorted)} n-grams and got {len(counts)}")
         word, pair = grams.receive(counts)
         context = np.where(grams.context == START, n_docs, word[grams.context])
-        single, t = word[grams.token], grams.trained
+        single, t, lengths = word[grams.token], grams.trained, np.array(row["sizes"]) - 1
         c1, c12, c2 = context[t] - 1, pair[t] - 1, single[t] - 1
         p2, p1 = np.where(c1 > 0, c12 / np.maximum(c1, 1), 0.0), c2 / max(1, n_train - 1)
         keys, weights = np.unique((bucket(c1) << 16) | (_bin(p2) << 8) | _bin(p1), return_counts=True)
@@ -239,7 +239,7 @@ def _count_blocks(blocks: DataFrame, answers: DataFrame, n_train: int, n_docs: i
                 "docs": pa.array([row["docs"]], types[0][1]),
                 "rids": pa.array([row["rids"]], pa.list_(pa.int64())),
                 "sizes": pa.array([row["sizes"]], pa.list_(pa.int32())),
-                "context": pa.array([shrink(context)], pa.binary()),
+                "lead": pa.array([context[np.cumsum(lengths) - lengths].tolist()], pa.list_(pa.int64())),
                 "pair": pa.array([shrink(pair)], pa.binary()),
                 "single": pa.array([shrink(single)], pa.binary()),
                 "keys": pa.array([keys.tolist()], pa.list_(pa.int64())),
@@ -248,11 +248,11 @@ def _count_blocks(blocks: DataFrame, answers: DataFrame, n_train: int, n_docs: i
         )
 
     key_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[blocks.schema["docs"].dataType.elementType.simpleString()]
-    types = [("docs", pa.list_(key_type)), ("rids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("context", pa.binary()), ("pair", pa.binary()), ("single", pa.binary()), ("keys", pa.list_(pa.int64())), ("weights", pa.list_(pa.int64()))]
+    types = [("docs", pa.list_(key_type)), ("rids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("lead", pa.list_(pa.int64())), ("pair", pa.binary()), ("single", pa.binary()), ("keys", pa.list_(pa.int64())), ("weights", pa.list_(pa.int64()))]
     left = blocks.select("block", "docs", "rids", "train", "sizes", "ids", "words")
     docs = left.schema["docs"].dataType.simpleString()
     return left.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
-        run, f"docs {docs}, rids array<long>, sizes array<int>, context binary, pair binary, single binary, keys array<long>, weights array<long>"
+        run, f"docs {docs}, rids array<long>, sizes array<int>, lead array<long>, pair binary, single binary, keys array<long>, weights array<long>"
     )
 
 
@@ -285,12 +285,14 @@ def _score_blocks(counted: DataFrame, weights: np.ndarray, n_train: int, words:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, row in enumerate(batch.to_pylist()):
-                context, pair, single = (grow(row[c], np.int64) for c in ("context", "pair", "single"))
+                pair, single = grow(row["pair"], np.int64), grow(row["single"], np.int64)
+                sizes = np.array(row["sizes"]) - 1
+                first = np.cumsum(sizes) - sizes
+                context = np.concatenate([single[:1], single[:-1]])  # a token's context is the token before it
+                context[first] = row["lead"]
                 mix = weights[bucket(context)]
                 p = mix[:, 0] * (pair / np.maximum(context, 1)) + mix[:, 1] * (single / max(1, n_train)) + mix[:, 2] / (words + 1)
                 base = np.log10((single + 1) / (n_train + 1.0 * (words + 1)))
-                sizes = np.array(row["sizes"]) - 1
-                first = np.cumsum(sizes) - sizes
                 add = lambda x: np.add.reduceat(np.append(x, 0), first) * (sizes > 0)  # noqa: B023, E731
                 yield pa.RecordBatch.from_arrays(
                     [
