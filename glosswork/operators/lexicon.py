@@ -12,7 +12,7 @@ from glosswork.functions.text import matching
 from glosswork.operators.durable import ship
 
 #: Terms compared inside one expression; larger lexicons go through ``term_hits``.
-INLINE_TERMS = 200
+INLINE_TERMS = 32
 #: Terms of one automaton, which is broadcast as a list.
 BLOCK_TERMS = 100_000
 DISCLAIMER = " [This is general information.]"
