@@ -19,7 +19,7 @@ from glosswork.llm.common import bound_batches, materialise, table
 DEGREE, BEAM, RELAX = 32, 64, 1.2
 SEARCH_BEAM = 96
 #: Distinct vectors of a shard, and queries that search a shard together.
-SHARD_VECTORS, QUERY_BLOCK = 50_000, 20_000
+SHARD_VECTORS, QUERY_BLOCK = 5_000, 20_000
 LEAST_SHARDS = 24
 #: Nodes expanded at a time in each search, and searches run together.
 EXPAND, TOGETHER = 4, 256
