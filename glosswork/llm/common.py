@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,3 +45,16 @@ def small_or_shuffled(df: DataFrame, rows: int, bytes_per_row: int) -> DataFrame
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shrink(values: np.ndarray) -> bytes:
+    """Byte planes of an array, compressed."""
+    planes = np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.dtype.itemsize).T)
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def grow(data: bytes, dtype) -> np.ndarray:
+    """What ``shrink`` compressed."""
+    size = np.dtype(dtype).itemsize
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data, max_output_size=1 << 34), np.uint8).reshape(size, -1)
+    return np.ascontiguousarray(planes.T).reshape(-1).view(dtype)

@@ -17,12 +17,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glosswork.llm.common import bound_batches, materialise, table
+from glosswork.llm.common import bound_batches, grow, materialise, shrink, table
 
 #: Tokens of a block and distinct n-grams, at most, that a range gets on average.
 BLOCK_TOKENS, RANGE_TOKENS = 1_000_000, 1_000_000
@@ -35,18 +34,6 @@ _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _FIXED = [xxhash.xxh64_intdigest(b" start"), xxhash.xxh64_intdigest(b" end")]  # no word holds a space
 
 
-def shrink(values: np.ndarray) -> bytes:
-    """Byte planes of an array, compressed."""
-    planes = np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.dtype.itemsize).T)
-    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
-
-
-def grow(data: bytes, dtype) -> np.ndarray:
-    size = np.dtype(dtype).itemsize
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data, max_output_size=1 << 34), np.uint8).reshape(size, -1)
-    return np.ascontiguousarray(planes.T).reshape(-1).view(dtype)
-
-
 def pair_hashes(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Hashes of pairs; odd, where those of single words are even."""
     with np.errstate(over="ignore"):

@@ -13,8 +13,7 @@ connection and grows in proportion.
 
 from __future__ import annotations
 
-import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,24 +33,34 @@ SLAB = 1 << 16
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
-def simhash(data: bytes, words: int = 3) -> int:
-    """Fingerprint of a UTF-8 text over its word shingles, repeats included; 0 if it has no word."""
-    tokens = data.translate(_LOWER).split()  # bytes split at exactly 0x20 and 0x09-0x0D
-    if not tokens:
-        return 0
-    joined = b" ".join(tokens)
-    if len(tokens) < words:
-        tokens, words = [joined], 1
+def tokens_of(data: bytes) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """Lower-cased words joined by single spaces, and where each begins and ends; bytes split at exactly 0x20 and 0x09-0x0D."""
+    tokens = data.translate(_LOWER).split()
     length = np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1
     ends = np.cumsum(length) - 1
-    starts = (ends - length + 1)[: len(tokens) - words + 1].tolist()
-    ends = ends[words - 1 :].tolist()
-    digest = xxhash.xxh64_intdigest
-    votes = np.zeros(64, np.int64)
-    for i in range(0, len(starts), SLAB):
-        h = np.array([digest(joined[a:b], SEED) for a, b in zip(starts[i : i + SLAB], ends[i : i + SLAB], strict=True)], np.uint64)
+    return b" ".join(tokens), ends - length + 1, ends
+
+
+def shingle_hashes(joined: bytes, starts: np.ndarray, ends: np.ndarray, words: int) -> np.ndarray:
+    """XXH64 of each shingle of a run of words; of fewer words, of them all."""
+    words, digest = min(words, max(1, len(starts))), xxhash.xxh64_intdigest
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(starts[: len(starts) - words + 1].tolist(), ends[words - 1 :].tolist(), strict=True)], np.uint64)
+
+
+def majority(hashes: Iterator[np.ndarray]) -> int:
+    """Fingerprint of hashes given in slabs: the bits that over half of them have; 0 for none."""
+    votes, many = np.zeros(64, np.int64), 0
+    for h in hashes:
         votes += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(votes * 2 > len(starts), bitorder="little").tobytes(), "little")
+        many += len(h)
+    return int.from_bytes(np.packbits(votes * 2 > many, bitorder="little").tobytes(), "little")
+
+
+def simhash(data: bytes, words: int = 3) -> int:
+    """Fingerprint of a UTF-8 text over its word shingles, repeats included; 0 if it has no word."""
+    joined, starts, ends = tokens_of(data)
+    slabs = [slice(i, i + SLAB + words - 1) for i in range(0, max(1, len(starts) - words + 1), SLAB)]
+    return majority(shingle_hashes(joined, starts[at], ends[at], words) for at in slabs)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
@@ -188,236 +197,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(by_print, "fp").select("doc_id", "rid", "fp", "component_id")
 
 
-#: Texts whose shingles are counted to tell the frequent ones, and the share of larger tables (one text in so many).
-COUNTED_TEXTS, COUNTED_SHARE = 20_000, 16
-#: Counted texts that hold a frequent shingle at least, and how many frequent shingles are sent to tasks at most.
-FREQUENT_IN, FREQUENT_UP_TO = 4, 100_000
-#: Pairs gathered before they are passed on.
-PAIRS_AT_ONCE = 200_000
-
-
-def tokens_of(data: bytes) -> tuple[bytes, np.ndarray, np.ndarray]:
-    """Lower-cased words joined by single spaces, and where each begins and ends."""
-    tokens = data.translate(_LOWER).split()
-    length = np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1
-    ends = np.cumsum(length) - 1
-    return b" ".join(tokens), ends - length + 1, ends
-
-
-def shingle_hashes(joined: bytes, starts: np.ndarray, ends: np.ndarray, words: int) -> np.ndarray:
-    """XXH64 of each shingle; of a text with fewer words, of the whole."""
-    if len(starts) <= words:
-        return np.array([xxhash.xxh64_intdigest(joined, SEED)] if len(starts) else [], np.uint64)
-    digest = xxhash.xxh64_intdigest
-    return np.array([digest(joined[a:b], SEED) for a, b in zip(starts[: len(starts) - words + 1].tolist(), ends[words - 1 :].tolist(), strict=True)], np.uint64)
-
-
-def _sets(words: int) -> Callable[[pa.Array], list[np.ndarray]]:
-    """Of a column of texts: each text's distinct shingle hashes, ascending."""
-    return lambda texts: [np.unique(shingle_hashes(*tokens_of(v.as_buffer().to_pybytes()), words)) for v in texts]
-
-
-def _frequent(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of frequent shingles, ascending, and each one's rank by frequency, as a share of the texts tells them.
-
-    They only settle an order of shingles, which may be any: results don't depend on what the share holds.
-    """
-    every = max(1, min(COUNTED_SHARE, rows.count() // COUNTED_TEXTS))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for s in _sets(words)(batch.column("text")):
-                yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64))], names=["key"])
-
-    counts = rows.where(f"pmod(xxhash64(rid), {every}) = 0").select("text").mapInArrow(run, "key long").groupBy("key").agg(F.count(F.lit(1)).alias("texts"))
-    top = counts.where(f"texts >= {FREQUENT_IN}").orderBy(F.desc("texts"), "key").limit(FREQUENT_UP_TO).select("key").toArrow()
-    keys = top.column("key").to_numpy().view(np.uint64)
-    order = np.argsort(keys)
-    return keys[order], len(keys) - order
-
-
-def prefix(hashes: np.ndarray, frequent: np.ndarray, rank: np.ndarray, similarity: float) -> np.ndarray:
-    """The first shingles of a set in an order that all texts share, rare ones first.
-
-    Two sets of ``similarity`` have a shingle in common among these: without one, each would lack too many of the other's.
-    """
-    if len(frequent):
-        at = np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)
-        often = frequent[at] == hashes
-        hashes = np.concatenate([hashes[~often], hashes[often][np.argsort(rank[at[often]])]])
-    return hashes[: len(hashes) - math.ceil(similarity * len(hashes) - 1e-9) + 1] if len(hashes) else hashes
-
-
-def _prefixed(rows: DataFrame, words: int, similarity: float) -> DataFrame:
-    """(doc_id, rid, t1, t2, n, prefix): t1 and t2 identify the sequence of words, n counts its distinct shingles."""
-    frequent, rank = _frequent(rows, words)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, sizes, firsts = [], [], []
-            for value in batch.column("text"):
-                joined, starts, ends = tokens_of(value.as_buffer().to_pybytes())
-                ids.append(xxhash.xxh128_intdigest(joined))
-                hashes = np.unique(shingle_hashes(joined, starts, ends, words))
-                sizes.append(len(hashes))
-                firsts.append(prefix(hashes, frequent, rank, similarity).view(np.int64))
-            half = lambda shift: pa.array(np.array([(i >> shift) & (2**64 - 1) for i in ids], np.uint64).view(np.int64))  # noqa: B023, E731
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("rid"), half(64), half(0), pa.array(sizes, pa.int64()), pa.array(firsts, pa.list_(pa.int64()))], names=["doc_id", "rid", "t1", "t2", "n", "prefix"]
-            )
-
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, rid long, t1 long, t2 long, n long, prefix array<long>")
-
-
-def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, node, at) of each shingle of each prefix: at is the size of the set and, above 32 bits, the shingles from this one on."""
-    for batch in batches:
-        lists = batch.column("prefix")
-        length = lists.value_lengths().to_numpy()
-        n = np.repeat(batch.column("n").to_numpy(), length)
-        place = np.arange(len(n)) - np.repeat(np.cumsum(length) - length, length)
-        yield pa.RecordBatch.from_arrays([lists.flatten(), pa.array(np.repeat(batch.column("node").to_numpy(), length)), pa.array((n - place) << 32 | n)], names=["key", "node", "at"])
-
-
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by key, those whose key another row has."""
-    last, last_out = None, False
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        keys = batch.column("key").to_numpy()
-        same = np.zeros(len(keys), bool)
-        same[1:] = keys[1:] == keys[:-1]
-        joins = last is not None and keys[0] == last.column("key")[0].as_py()
-        keep = same.copy()
-        keep[:-1] |= same[1:]
-        keep[0] |= joins
-        if joins and not last_out:
-            yield last
-        yield batch.filter(pa.array(keep))
-        last, last_out = batch.slice(batch.num_rows - 1), bool(keep[-1])
-
-
-def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
-    """The columns after the key, for each key of rows sorted by it."""
-    rest = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        columns = [c.to_numpy() for c in batch.columns]
-        if rest is not None:
-            columns = [np.concatenate(x) for x in zip(rest, columns, strict=True)]
-        cuts = [0, *(np.flatnonzero(columns[0][1:] != columns[0][:-1]) + 1).tolist()]
-        for i, j in zip(cuts[:-1], cuts[1:], strict=True):
-            yield [c[i:j] for c in columns[1:]]
-        rest = [c[cuts[-1] :] for c in columns]
-    if rest is not None:
-        yield rest[1:]
-
-
-def _candidates(similarity: float, every: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Candidate pairs from rows (key, node, at, root) sorted by key and the order in which members are to be met.
-
-    A pair is one whose sets can still reach ``similarity`` if this is the first shingle they share. Each member
-    goes with the first before it; if ``every``, with each before it that has another root.
-    """
-    share = similarity / (1 + similarity)
-
-    def pairs(entries: Iterator[list[np.ndarray]]) -> Iterator[tuple[int, int]]:
-        for node, at, root in entries:
-            if every and (root == root[0]).all():
-                continue
-            size, left = at & 0xFFFFFFFF, at >> 32
-            for j in range(1, len(node)):
-                able = np.minimum(left[:j], left[j]) >= share * (size[:j] + size[j]) - 1e-9
-                if every:
-                    able &= root[:j] != root[j]
-                met = np.flatnonzero(able)
-                for other in node[met if every else met[:1]].tolist():
-                    yield min(other, int(node[j])), max(other, int(node[j]))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: set[tuple[int, int]] = set()
-        for pair in pairs(_entries(batches)):
-            found.add(pair)
-            if len(found) >= PAIRS_AT_ONCE:
-                yield _edges(found)
-                found = set()
-        yield _edges(found)
-
-    return run
-
-
-def _edges(found: set[tuple[int, int]]) -> pa.RecordBatch:
-    some = sorted(found)
-    return pa.RecordBatch.from_arrays([pa.array([x[0] for x in some], pa.int64()), pa.array([x[1] for x in some], pa.int64())], names=["u", "v"])
-
-
-def _alike(rows: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Of the pairs (u, v) of places, those whose shingle sets have the similarity."""
-    wanted = pairs.select(F.col("u").alias("rid")).union(pairs.select("v")).distinct()
-    wanted = small_or_shuffled(wanted, wanted.count(), 16)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [s.view(np.int64) for s in _sets(words)(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("rid"), pa.array(found, pa.list_(pa.int64()))], names=["node", "s"])
-
-    sets = materialise(rows.join(wanted, "rid").select("rid", "text").mapInArrow(run, "node long, s array<long>"))
-    left, right = sets.select(F.col("node").alias("u"), F.col("s").alias("a")), sets.select(F.col("node").alias("v"), F.col("s").alias("b"))
-    both = F.size(F.array_intersect("a", "b"))
-    return materialise(pairs.join(left, "u").join(right, "v").where(both >= similarity * (F.size("a") + F.size("b") - both)).select("u", "v"))
-
-
-def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """One row per row of ``docs``: doc_id, rid, component: linked where the shingle sets of ``words`` words have a Jaccard of ``similarity``.
-
-    Every such link counts. Texts meet in the entries of a table of the first shingles of their sets (prefix filter),
-    and the sets themselves decide. First each member of an entry meets one other, the one most of whose shingles are
-    shared; then every pair that this left in different components meets, so that no link's connection is lost.
-
-    Distinct sequences of words take part, so copies cost one row. Null and blank texts are one sequence; a text of
-    fewer words is a shingle of its own.
-    """
-    bound_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("rid"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    prints = materialise(_prefixed(rows, words, similarity))
-    nodes = materialise(prints.groupBy("t1", "t2").agg(F.min("rid").alias("node")))
-    copies = prints.select("rid").join(nodes.select(F.col("node").alias("rid")), "rid", "left_anti")
-    copies = small_or_shuffled(copies, prints.count() - nodes.count(), 16)
-    postings = prints.join(copies, "rid", "left_anti").select(F.col("rid").alias("node"), "n", "prefix").mapInArrow(_postings, "key long, node long, at long")
-    shared = materialise(postings.repartition("key").sortWithinPartitions("key").mapInArrow(_shared, "key long, node long, at long"))
-
-    meet = lambda members, every, *order: materialise(
-        members.repartition("key").sortWithinPartitions("key", *order).select("key", "node", "at", "root").mapInArrow(_candidates(similarity, every), "u long, v long").distinct()
-    )
-    lone = shared.groupBy("node").agg((F.count(F.lit(1)) / F.max(F.expr("at & 4294967295"))).alias("fit"))
-    first = meet(shared.join(lone, "node").withColumn("root", F.col("node")), False, F.desc("fit"), "node")
-    edges = _alike(rows, first, words, similarity)
-    roots = materialise(components(edges))
-    members = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    others = materialise(meet(members, True, "node").join(first, ["u", "v"], "left_anti"))
-    more = _alike(rows, others, words, similarity)
-    if not more.isEmpty():
-        roots = components(edges.unionByName(more))
-    named = nodes.join(roots, "node", "left").select("t1", "t2", F.coalesce("root", "node").alias("component"))
-    return prints.join(named, ["t1", "t2"]).select("doc_id", "rid", "component")
-
-
-def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows of ``docs`` that stay, with all columns: of each component of similar documents the row of smallest doc_id.
-
-    Rows are matched by their place in the scan, so ``docs`` must be a table of files.
-    """
-    return _first_of(docs, similar_documents(docs, id_col, text_col, words, similarity), "component")
-
-
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
     """The rows of ``docs`` that stay, with all columns: of each component of linked fingerprints the row of smallest doc_id."""
-    return _first_of(docs, near_duplicates(docs, id_col, text_col, words), "component_id")
+    return keep_first(docs, near_duplicates(docs, id_col, text_col, words), "component_id")
 
 
-def _first_of(docs: DataFrame, found: DataFrame, component: str) -> DataFrame:
+def keep_first(docs: DataFrame, found: DataFrame, component: str) -> DataFrame:
+    """Of the rows of ``docs`` that ``found`` (doc_id, rid, component) groups, the first of each group by id, null last."""
     found = materialise(found)
     first = found.groupBy(component).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("first"))
     stay = first.select(F.col("first.rid").alias("rid"))

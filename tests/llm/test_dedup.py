@@ -10,7 +10,7 @@ import pytest
 import xxhash
 
 from glosswork.llm import exact_dedup as ex
-from glosswork.llm import queries
+from glosswork.llm import queries, similar
 from glosswork.llm import simhash as sh
 
 SCHEMA = "doc_id long, text string, extra string, fp string, rid long, component string"
@@ -79,7 +79,7 @@ def test_empty_tables(table):
     none = table([(1, "a")]).where("false")
     assert ex.exact_duplicates(none).count() == 0
     assert sh.near_duplicates(none).count() == 0
-    assert sh.similar_documents(none).count() == 0
+    assert similar.similar_documents(none).count() == 0
 
 
 def plain_simhash(text, words=3):
@@ -176,7 +176,7 @@ def test_similar_documents(table):
             for at in rng.sample(range(150), (0, 1, 2, 3, 15)[j]):
                 w[at] = "other"
             rows.append((k * 10 + j, " ".join(w)))
-    comp = {r.doc_id: r.component for r in sh.similar_documents(table(rows)).collect()}
+    comp = {r.doc_id: r.component for r in similar.similar_documents(table(rows)).collect()}
     for i, a in rows:
         for j, b in rows:
             if i < j and i // 10 == j // 10 and jaccard(a, b) >= 0.85:
@@ -185,13 +185,13 @@ def test_similar_documents(table):
                 assert comp[i] != comp[j]
     for k in range(12):  # fifteen changed words leave too little in common
         assert comp[k * 10 + 4] != comp[k * 10]
-    assert sorted(r.doc_id for r in sh.drop_similar(table(rows)).collect()) == sorted(x for k in range(12) for x in (k * 10, k * 10 + 4))
+    assert sorted(r.doc_id for r in similar.drop_similar(table(rows)).collect()) == sorted(x for k in range(12) for x in (k * 10, k * 10 + 4))
 
 
 def test_crowded_entries_still_join(table):
     base = [f"w{i}" for i in range(200)]
     rows = [(i, " ".join([*base[:i], f"x{i}", *base[i + 1 :]])) for i in range(60)]
-    assert len({r.component for r in sh.similar_documents(table(rows)).collect()}) == 1
+    assert len({r.component for r in similar.similar_documents(table(rows)).collect()}) == 1
 
 
 def test_rows_keep_their_places_when_executors_change(spark, table):
