@@ -1,18 +1,31 @@
 """Hand-computed retrieval cases: metrics, score statistics, gates and bands."""
 
+import random
+import statistics
+
 import pytest
 from pyspark.sql import functions as F
 
 from glosswork.operators import evaluate as ev
 from glosswork.operators import vectors as vec
 
-#: Scores of three queries over a1..a4, b0..b2, and the ids that answer each span.
-SCORES = {1: [0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3], 2: [0.3, 0.4, 0.8, 0.9, 0.7, 0.6, 0.5], 3: [0.9, 0.8, 0.6, 0.5, 0.4, 0.7, 0.3]}
-GOLD = [(1, 0, 0), (2, 0, 1), (2, 0, 2), (3, 0, 5), (3, 1, 6)]
+RNG = random.Random(21)
+#: Scores of queries over nine items in steps of a 32nd, so that ties occur, and the items that answer each span.
+SCORES = {q: [RNG.randint(-32, 32) / 32 for _ in range(9)] for q in range(25)}
+GOLD = sorted({(q, RNG.randint(0, 2), RNG.randint(0, 8)) for q in range(22) for _ in range(RNG.randint(1, 4))})
+
+
+def plain_measures(query, cutoff=5):
+    """First relevant rank, reciprocal rank, recall and span recall of a query, by sorting."""
+    best = sorted(range(9), key=lambda i: (-SCORES[query][i], i))[:cutoff]
+    own = [(s, i) for q, s, i in GOLD if q == query]
+    ids, spans = {i for _, i in own}, {s for s, _ in own}
+    first = next((r for r, i in enumerate(best, 1) if i in ids), None)
+    return first, 1 / first if first else 0.0, len(ids & set(best)) / len(ids), len({s for s, i in own if i in best}) / len(spans)
 
 
 def search(spark, scores, k=5):
-    corpus = spark.createDataFrame([(i, [1.0 if j == i else 0.0 for j in range(7)]) for i in range(7)], "id long, embedding array<float>")
+    corpus = spark.createDataFrame([(i, [1.0 if j == i else 0.0 for j in range(9)]) for i in range(9)], "id long, embedding array<float>")
     queries = spark.createDataFrame([(100 + q, s) for q, s in scores.items()], "query_id long, embedding array<float>")
     return vec.search(queries, corpus, k)
 
@@ -21,11 +34,15 @@ def test_metrics(spark):
     ranks = vec.ranking(search(spark, SCORES))
     gold = spark.createDataFrame([(100 + q, s, i) for q, s, i in GOLD], "query_id long, span_id int, id long")
     rows = ev.per_query(ranks, gold)
-    got = {r.query_id - 100: (r.first_relevant_rank, round(r.reciprocal_rank, 6), r.recall, r.span_recall) for r in rows.collect()}
-    assert got == {1: (1, 1.0, 1.0, 1.0), 2: (2, 0.5, 0.5, 1.0), 3: (3, 0.333333, 0.5, 0.5)}
+    want = {q: plain_measures(q) for q in {q for q, _, _ in GOLD}}
+    got = {r.query_id - 100: (r.first_relevant_rank, r.reciprocal_rank, r.recall, r.span_recall) for r in rows.collect()}
+    assert got == {q: pytest.approx(w) for q, w in want.items()}
     t = ev.totals(rows).first()
-    assert (t.hit1, t.hit3, t.hit5, t.queries) == (1, 3, 3, 3)
-    assert (t.mrr, t.recall, t.span_recall, t.covered_spans, t.total_spans) == (0.611111, 0.666667, 0.833333, 3, 4)
+    assert (t.queries, t.hit1, t.hit3, t.hit5) == (len(want), *(sum(w[0] is not None and w[0] <= k for w in want.values()) for k in (1, 3, 5)))
+    for name, at in (("mrr", 1), ("recall", 2), ("span_recall", 3)):
+        assert t[name] == pytest.approx(sum(w[at] for w in want.values()) / len(want), abs=1e-6)
+    spans = [len({s for q, s, _ in GOLD if q == x}) for x in want]
+    assert t.total_spans == sum(spans) and t.covered_spans == round(sum(w[3] * k for w, k in zip(want.values(), spans, strict=True)))
 
 
 def test_no_queries_give_zero_ratios(spark):
@@ -36,10 +53,11 @@ def test_no_queries_give_zero_ratios(spark):
 
 
 def test_statistics_follow_the_whole_corpus(spark):
-    r = vec.score_statistics(search(spark, {1: [0.9, 0.2, 0.15, 0.1, 0.05, 0.05, 0.05]})).first()
-    assert r.top1_score == pytest.approx(0.9, abs=1e-6)
-    assert r.corpus_mean_score == pytest.approx(1.5 / 7, abs=1e-6)
-    assert r.top1_minus_top5 == pytest.approx(0.85, abs=1e-6)
+    for r in vec.score_statistics(search(spark, SCORES)).collect():
+        s = sorted(SCORES[r.query_id - 100], reverse=True)
+        assert (r.top1_score, r.corpus_mean_score) == pytest.approx((s[0], sum(s) / 9))
+        assert (r.score_gap, r.top1_minus_top2, r.top1_minus_top5) == pytest.approx((s[0] - sum(s) / 9, s[0] - s[1], s[0] - s[4]))
+        assert r.top5_std == pytest.approx(statistics.pstdev(s[:5]))
 
 
 def test_small_corpus_has_no_margins(spark):
@@ -66,7 +84,7 @@ def test_bands_and_gate_are_inclusive_upwards(spark):
 
 def test_order_of_rows_changes_nothing(spark):
     a = vec.ranking(search(spark, SCORES)).collect()
-    corpus = spark.createDataFrame([(i, [1.0 if j == i else 0.0 for j in range(7)]) for i in reversed(range(7))], "id long, embedding array<float>").repartition(5)
+    corpus = spark.createDataFrame([(i, [1.0 if j == i else 0.0 for j in range(9)]) for i in reversed(range(9))], "id long, embedding array<float>").repartition(5)
     queries = spark.createDataFrame([(100 + q, s) for q, s in SCORES.items()], "query_id long, embedding array<float>")
     assert sorted(a) == sorted(vec.ranking(vec.search(queries, corpus, 5)).collect())
 

@@ -1,5 +1,7 @@
 """Captions, chunks, chapters and intervals on hand-computed cases."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,12 +9,30 @@ from glosswork.operators import intervals as iv
 from glosswork.operators import sequence as sq
 
 
+def plain_rolling(cues):
+    """What each cue adds to the one before, word by word."""
+    out, last = [], []
+    for words in cues:
+        shared = max(k for k in range(min(len(last), len(words)) + 1) if k == 0 or last[-k:] == words[:k])
+        out.append(None if not words or words == last or shared == len(words) else " ".join(words[shared:]))
+        last = words
+    return out
+
+
 def test_rolling_captions(spark):
-    cues = [w.split() for w in ("A", "A", "A B", "B", "B C", "C", "C D", "D")]
-    df = sq.rolling(spark.createDataFrame([(1, i, w) for i, w in enumerate(cues)], "doc_id int, cue int, words array<string>"))
-    assert [r.emitted for r in df.orderBy("cue").collect() if r.emitted] == ["A", "B", "C", "D"]
-    r = sq.rolling_diagnostics(df).first()
-    assert (r.rolling_overlaps, r.excluded_without_new_text, r.output_segments) == (6, 4, 4)
+    rng, rows, want = random.Random(12), [], {}
+    for doc in range(12):
+        cues, flow = [], [rng.choice("rstuv") for _ in range(60)]
+        for i in range(30):
+            cues.append(flow[i : i + rng.randint(0, 4)])
+        rows += [(doc, i, c) for i, c in enumerate(cues)]
+        want[doc] = plain_rolling(cues)
+    df = sq.rolling(spark.createDataFrame(rows, "doc_id int, cue int, words array<string>"))
+    for doc, emitted in want.items():
+        assert [r.emitted for r in df.where(F.col("doc_id") == doc).orderBy("cue").collect()] == emitted
+    for r in sq.rolling_diagnostics(df).collect():
+        assert (r.total_cues, r.output_segments) == (30, sum(x is not None for x in want[r.doc_id]))
+        assert r.final_word_count == sum(len(x.split()) for x in want[r.doc_id] if x)
 
 
 def test_empty_cue_resets(spark):
@@ -20,28 +40,52 @@ def test_empty_cue_resets(spark):
     assert [r.kind for r in df.orderBy("cue").collect()] == ["new", "empty", "new"]
 
 
-@pytest.mark.parametrize(
-    ("sizes", "texts", "want"),
-    [
-        ((10, 3, 20), ["aaa", ">>bbb"], ["aaa >>bbb"]),
-        ((8, 3, 20), ["abcdefgh", ">>q"], ["abcdefgh", ">>q"]),
-        ((5, 3, 20), ["done?", ">>next"], ["done?", ">>next"]),
-        ((10, 5, 20), ["aaaa.", "bbbb", "cccc"], ["aaaa.", "bbbb cccc"]),
-        ((8, 4, 10), ["aaaa", "bbbb", "cccc"], ["aaaa bbbb", "cccc"]),
-        ((5, 5, 12), ["aaaa.", "b", "cc"], ["aaaa. b cc"]),
-    ],
-)
-def test_segment_chunks(spark, sizes, texts, want):
-    rows = [(k, i, i * 10, i * 10 + 10, t) for k in ("x", "y") for i, t in enumerate(texts)]
-    df = sq.chunk_segments(spark.createDataFrame(rows, "doc string, idx long, start_ms long, end_ms long, text string"), "doc", *sizes)
-    for key in ("x", "y"):  # keys never share a chunk
-        assert [r.text for r in df.where(F.col("doc") == key).orderBy("chunk_index").collect()] == want
-
-
-def test_pause_is_a_soft_boundary(spark):
-    rows = [(1, 0, 0, 10, "aaaa"), (1, 1, 2000, 2010, "bbbb"), (1, 2, 2010, 2020, "cccc")]
-    df = sq.chunk_segments(spark.createDataFrame(rows, "doc int, idx long, start_ms long, end_ms long, text string"), "doc", 9, 4, 20)
-    assert [r.text for r in df.orderBy("chunk_index").collect()] == ["aaaa", "bbbb cccc"]
+def plain_chunks(rows, target, least, most, gap=1200):
+    """Chunks by trying, for each beginning, every end in turn: the rule that holds first decides."""
+    texts, n, s, out = [r[3] for r in rows], len(rows), 0, []
+    size = lambda a, b: sum(map(len, texts[a:b])) + b - a - 1
+    pause = lambda j: j < n and rows[j][1] - rows[j - 1][2] >= gap
+    stop = lambda j: texts[j - 1].rstrip()[-1:] in set(".!?…")
+    while s < n:
+        end, soft = n, None
+        for j in range(s + 1, n + 1):
+            if stop(j) and size(s, j) >= least:
+                soft = j
+            if size(s, j) >= target and soft:
+                end = soft
+                break
+            if j == n:
+                break
+            if pause(j) and size(s, j) >= least:
+                soft = j
+            if size(s, j) >= target and (soft or texts[j].startswith(">>")) or size(s, j) + 1 + len(texts[j]) > most:
+                end = soft or j
+                break
+        out.append((s, end))
+        s = end
+    if len(out) > 1 and size(*out[-1]) < least and size(*out[-2]) + size(*out[-1]) <= most:
+        out[-2:] = [(out[-2][0], out[-1][1])]
+    return [" ".join(texts[a:b]) for a, b in out]
+
+
+@pytest.mark.parametrize("sizes", [(30, 12, 40), (25, 25, 60), (9, 1, 14), (40, 10, 41)])
+def test_segment_chunks_follow_the_rules(spark, sizes):
+    rng, rows = random.Random(sum(sizes)), []
+    for key in range(40):
+        at = 0
+        for i in range(rng.randint(1, 40)):
+            start = at + rng.choice([0, 0, 300, 1199, 1200, 5000])
+            at = start + rng.randint(1, 900)
+            text = rng.choice(["", "", ">>"]) + "q" * rng.randint(0, 22) + rng.choice(["", "", "", ".", "? ", "…"])
+            rows.append((key, i, start, at, text))
+    df = sq.chunk_segments(spark.createDataFrame(rows, "doc long, idx long, start_ms long, end_ms long, text string").repartition(3), "doc", *sizes)
+    got = df.orderBy("doc", "chunk_index").collect()
+    for key in range(40):
+        own = [r[1:] for r in rows if r[0] == key]
+        mine = [r for r in got if r.doc == key]
+        assert [r.text for r in mine] == plain_chunks(own, *sizes)
+        assert [r.chunk_index for r in mine] == list(range(len(mine)))
+        assert [(r.first_idx, r.start_ms) for r in mine] == [(r.first_idx, own[r.first_idx][1]) for r in mine] and mine[-1].last_idx == len(own) - 1
 
 
 def test_packing(spark):
@@ -73,8 +117,20 @@ def test_overlapping_spans_are_merged_before_cutting(spark):
 
 
 def test_fold_rollups(spark):
-    df = spark.createDataFrame([(1, ["a", "a b", "b", "c"])], "id int, lines array<string>")
-    assert sq.fold_rollups(df).first().lines == ["a b", "c"]
+    """Against a loop over lines: of two lines in a row of which one goes on from the other, the longer stays."""
+    rng, rows, want = random.Random(3), [], {}
+    for key in range(30):
+        lines = ["".join(rng.choice("xy") for _ in range(rng.randint(0, 4))) for _ in range(12)]
+        kept = []
+        for line in lines:
+            if kept and (kept[-1].endswith(line) or line.startswith(kept[-1])):
+                kept[-1] = max(kept[-1], line, key=len)
+            else:
+                kept.append(line)
+        rows.append((key, lines))
+        want[key] = kept
+    got = sq.fold_rollups(spark.createDataFrame(rows, "id int, lines array<string>"))
+    assert {r.id: r.lines for r in got.collect()} == want
 
 
 def test_parents_go_to_the_next_section_with_text(spark):
