@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from glosswork.functions.text import squash
+
 
 def keep(df: DataFrame, keys: list[str], *order: F.Column) -> DataFrame:
     """Of each key the first row in ``order``, by an aggregate that merges where rows are read."""
@@ -61,21 +63,43 @@ def ordered_distinct(df: DataFrame, key: str, order: list[str], value: str) -> D
 def fingerprint(df: DataFrame, key: str, text: str, prefix: int = 4) -> DataFrame:
     """(n, fingerprint) of a table, whatever the order of its rows.
 
-    Rows are hashed with their keys, hashes are gathered by their first ``prefix`` hex digits and hashed in order, and so
+    A null key or text counts, and not as an empty one. Rows are hashed with their keys, hashes are gathered by their first ``prefix`` hex digits and hashed in order, and so
     are the groups' hashes: a tree, so that no task holds all rows.
     """
-    row = F.sha2(F.concat(F.col(key).cast("string").cast("binary"), F.unhex(F.lit("00")), F.col(text).cast("binary"), F.unhex(F.lit("00"))), 256)
+    end = lambda c: F.coalesce(F.concat(F.col(c).cast("string").cast("binary"), F.unhex(F.lit("00"))), F.unhex(F.lit("01")))
+    row = F.sha2(F.concat(end(key), end(text)), 256)
     leaves = df.select(row.alias("h")).groupBy(F.left("h", F.lit(prefix)).alias("p")).agg(F.count(F.lit(1)).alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("g"))
     return leaves.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "g"))), lambda x: x["g"]), ""), 256).alias("fingerprint"))
 
 
+def citations(evidence: DataFrame) -> DataFrame:
+    """(query_id, number, chunk_id): which chunk each number of a prompt stands for, from evidence (query_id, ordinal, chunk_id, citable)."""
+    order = Window.partitionBy("query_id").orderBy("ordinal")
+    return evidence.where("citable").select("query_id", F.row_number().over(order).cast("long").alias("number"), "chunk_id")
+
+
+def normalise_questions(rows: DataFrame, key: list[str], question: str = "question", least: int = 40) -> DataFrame:
+    """Add question (squashed, end marks of a list and quotes off) and reason: empty, short, seen before (an earlier row of ``key`` says the same), else null.
+
+    Rows come from a model and may hold anything: nulls are empty ones. The first row of a question is found by an aggregate that merges
+    where rows are read, so a question that a model repeats without end costs a row a task.
+    """
+    text = F.regexp_replace(squash(F.coalesce(F.col(question), F.lit(""))), r"^(?:[-*•]|\d+[.)])\s+|^[\"'“]|[\"'”]$", "")
+    clean = rows.withColumn(question, text).withColumn("_same", F.lower(F.regexp_replace(question, r"\s", "")))
+    usable = F.length(question) >= least
+    first = clean.where(usable).groupBy("_same").agg(F.min(F.struct(*key)).alias("_first"))
+    marked = clean.join(first, "_same", "left")
+    reason = F.when(F.col(question) == "", "empty").when(~usable, "short").when(F.struct(*key) != F.col("_first"), "seen before")
+    return marked.withColumn("reason", reason).drop("_same", "_first")
+
+
 RULES = "Answer from the sources only.\nCite sources by their numbers.\nSay so if they do not answer the question."
 HEDGE_RULE = "The sources match weakly; say how sure the answer is."
 CONTEXT_RULE = "Cases are context and must not be cited."
 
 
-def prompts(questions: DataFrame, evidence: DataFrame) -> DataFrame:
-    """(query_id, prompt): rules, numbered sources that may be cited, unnumbered cases, the question.
+def prompts(questions: DataFrame, evidence: DataFrame, profile: str = "") -> DataFrame:
+    """(query_id, prompt): rules, the reader's ``profile`` if there is one, numbered sources that may be cited, unnumbered cases, the question.
 
     ``questions`` is (query_id, question, band), ``evidence`` (query_id, ordinal, header, text, citable). Only what
     may be cited gets a number, from 1 without gaps.
@@ -91,6 +115,7 @@ def prompts(questions: DataFrame, evidence: DataFrame) -> DataFrame:
         F.lit(RULES),
         F.when(F.col("band") == "hedge", F.lit("\n" + HEDGE_RULE)).otherwise(""),
         F.when(cases != "", F.lit("\n" + CONTEXT_RULE)).otherwise(""),
+        F.lit(f"\n\nReader:\n{profile}" if profile else ""),
         F.lit("\n\nSources:\n"),
         F.coalesce("_s", F.lit("")),
         F.when(cases != "", F.concat(F.lit("\n\nCases:\n"), cases)).otherwise(""),

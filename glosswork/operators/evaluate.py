@@ -33,6 +33,10 @@ def per_query(ranks: DataFrame, gold: DataFrame, cutoff: int = 5) -> DataFrame:
     relevant = gold.groupBy("query_id").agg(F.countDistinct("id").alias("relevant_count"), F.countDistinct("span_id").alias("span_count"))
     hits = ranks.where(F.col("rank") <= cutoff).join(gold, ["query_id", "id"])
     met = hits.groupBy("query_id").agg(F.min("rank").alias("first_relevant_rank"), F.countDistinct("id").alias("found"), F.countDistinct("span_id").alias("covered_spans"))
+    return _measured(relevant, met)
+
+
+def _measured(relevant: DataFrame, met: DataFrame) -> DataFrame:
     none = lambda c: F.coalesce(c, F.lit(0))
     return relevant.join(met, "query_id", "left").select(
         "query_id",
@@ -46,6 +50,24 @@ def per_query(ranks: DataFrame, gold: DataFrame, cutoff: int = 5) -> DataFrame:
     )
 
 
+def per_query_of_classes(ranks: DataFrame, queries: DataFrame, items: DataFrame, cls: str, cutoff: int = 5) -> DataFrame:
+    """``per_query`` where all items of a query's class but itself are gold: (id, cls, span_id) and (query_id, cls).
+
+    Gold is counted by class and span and looked up for what was found, so it is never listed for each query.
+    """
+    spans = items.groupBy(cls, "span_id").agg(F.count(F.lit(1)).alias("k"))
+    whole = spans.groupBy(cls).agg(F.sum("k").alias("_n"), F.count(F.lit(1)).alias("_spans"))
+    own = queries.join(items.select(F.col("id").alias("query_id"), F.col("span_id").alias("_own"), F.col(cls).alias("_class")), "query_id", "left")
+    alone = spans.where("k = 1").select(cls, F.col("span_id").alias("_own"), F.lit(1).alias("_alone"))
+    inside = F.coalesce(F.col("_class") == F.col(cls), F.lit(False))
+    many = own.join(whole, cls).join(alone, [cls, "_own"], "left").select(
+        "query_id", cls, (F.col("_n") - inside.cast("int")).alias("relevant_count"), (F.col("_spans") - F.coalesce(F.when(inside, F.col("_alone")), F.lit(0))).alias("span_count")
+    ).where("relevant_count > 0")
+    hits = ranks.where(F.col("rank") <= cutoff).where("id != query_id").join(many.select("query_id", cls), "query_id").join(items, ["id", cls])
+    met = hits.groupBy("query_id").agg(F.min("rank").alias("first_relevant_rank"), F.count(F.lit(1)).alias("found"), F.size(F.collect_set("span_id")).cast("long").alias("covered_spans"))
+    return _measured(many.drop(cls), met)
+
+
 def totals(rows: DataFrame, cutoffs: tuple[int, ...] = (1, 3, 5)) -> DataFrame:
     """One row over all queries: hits, mean reciprocal rank, recall and span measures; ratios of nothing are zero."""
     mean = lambda c, n: F.round(F.coalesce(F.avg(c), F.lit(0.0)), 6).alias(n)

@@ -23,10 +23,11 @@ def fold(entities: DataFrame, relations: DataFrame, aliases: DataFrame, edge_typ
     nodes = named.groupBy(F.col("name_name").alias("node"), "type").agg(
         F.count_distinct("chunk").alias("chunks"), F.min("chunk").alias("first_chunk"), F.array_sort(F.collect_set(F.when(F.col("name") != F.col("name_name"), F.col("name")))).alias("aliases")
     )
-    kind = entities.groupBy("chunk", "name").agg(F.max(F.struct("pos", "type")).alias("last")).select("chunk", "name", F.col("last.type").alias("t"))
+    # Ends are looked up in one table of the chunks' names, which has their canonical names already.
+    kind = named.groupBy("chunk", "name").agg(F.max(F.struct("pos", "type")).alias("last"), F.min("name_name").alias("to"))
     ends = relations
     for side in ("source", "target"):
-        ends = canonical(ends.join(kind.select("chunk", F.col("name").alias(side), F.col("t").alias(f"{side}_type")), ["chunk", side], "left"), side, aliases)
+        ends = ends.join(kind.select("chunk", F.col("name").alias(side), F.col("last.type").alias(f"{side}_type"), F.col("to").alias(f"{side}_name")), ["chunk", side], "left")
     why = F.when(F.col("source_type").isNull() | F.col("target_type").isNull(), "not an entity of this chunk").when(~F.col("type").isin(*edge_types), "unknown type")
     checked = ends.withColumn("reason", why)
     edges = checked.where("reason is null").groupBy(F.col("source_name").alias("source"), "source_type", "type", F.col("target_name").alias("target"), "target_type").agg(F.count_distinct("chunk").alias("chunks"), F.min("chunk").alias("first_chunk"))
@@ -77,26 +78,64 @@ def incoming_paths(edges: DataFrame, target: str, types: list[str], hops: int =
 
 
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Per type of node (node, type): nodes, isolated ones, largest and mean degree."""
+    """Per type of node (node, type): nodes, isolated ones and their share, largest and mean degree."""
     degree = adjacency(edges).groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("degree"))
     joined = nodes.join(degree, "node", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
-    return joined.groupBy("type").agg(F.count(F.lit(1)).alias("nodes"), F.expr("count_if(degree = 0)").alias("isolated"), F.max("degree").alias("largest"), F.round(F.avg("degree"), 6).alias("mean"))
+    isolated = F.expr("count_if(degree = 0)")
+    return joined.groupBy("type").agg(
+        F.count(F.lit(1)).alias("nodes"), isolated.alias("isolated"), F.round(isolated / F.count(F.lit(1)), 6).alias("orphan_rate"), F.max("degree").alias("largest"), F.round(F.avg("degree"), 6).alias("mean")
+    )
 
 
-def components(nodes: DataFrame, edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """(node, component): the smallest node of each node's component.
+def density(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row: nodes, edges (distinct ordered pairs of different ends) and their share of all ordered pairs, 0.0 below two nodes."""
+    pairs = edges.where("source != target").select("source", "target").distinct().agg(F.count(F.lit(1)).alias("edges"))
+    count = nodes.agg(F.count(F.lit(1)).alias("nodes")).crossJoin(F.broadcast(pairs))
+    return count.select("nodes", "edges", F.round(F.coalesce(F.try_divide(F.col("edges").cast("double"), F.col("nodes").cast("double") * (F.col("nodes") - 1)), F.lit(0.0)), 9).alias("density"))
 
-    Labels flow to neighbours and are shortened through each other's labels, until a round changes nothing;
-    every round's labels are written, so that lineage stays short.
+
+def upsert(graph: DataFrame, rows: DataFrame, keys: list[str], add: list[str], least: list[str]) -> DataFrame:
+    """``graph`` with ``rows`` merged in by ``keys``: counts in ``add`` are added up, of ``least`` the least stays, new keys come in.
+
+    Nulls in keys are a key like any other. Both sides are reduced where they are read, so a hot key costs a row a task.
     """
-    near = written(adjacency(edges).select("a", "b").distinct())
-    labels = written(nodes.select("node", F.col("node").alias("label")))
-    for _ in range(rounds):
-        offered = near.join(labels.select(F.col("node").alias("b"), F.col("label").alias("l")), "b").groupBy(F.col("a").alias("node")).agg(F.min("l").alias("l"))
-        lower = labels.join(offered, "node", "left").select("node", F.col("label").alias("old"), F.least("label", F.coalesce("l", "label")).alias("label"))
-        up = lower.select(F.col("node").alias("label"), F.col("label").alias("up"))
-        new = written(lower.join(up, "label", "left").select("node", "old", F.least("label", F.coalesce("up", "label")).alias("label")))
-        labels = new.select("node", "label")
-        if new.where("old != label").isEmpty():
-            return labels.select("node", F.col("label").alias("component"))
-    raise RuntimeError("components did not settle")
+    every = graph.select(*keys, *add, *least).unionByName(rows.select(*keys, *add, *least))
+    return every.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in add], *[F.min(c).alias(c) for c in least])
+
+
+def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
+    """(node, root) for every node of the edges (u, v); root is any fixed member of its component.
+
+    Each round hooks every node to its neighbour of least rank, in a random order drawn
+    anew each round, and contracts the edges. The rows written shrink with every round, a giant component's too.
+    """
+    edges = written(edges)
+    maps = []
+    for r in range(rounds):
+        if edges.isEmpty():
+            break
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        rank = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(r)).alias("h"), F.col(c).alias("n"))  # noqa: B023, E731
+        best = both.groupBy("u").agg(F.min(rank("v")).alias("best"))
+        hook = written(best.select(F.col("u").alias("node"), F.least(rank("u"), F.col("best"))["n"].alias("parent")))
+        maps.append(hook)
+        a = hook.select(F.col("node").alias("u"), F.col("parent").alias("pu"))
+        b = hook.select(F.col("node").alias("v"), F.col("parent").alias("pv"))
+        edges = written(edges.join(a, "u").join(b, "v").where("pu != pv").select(F.least("pu", "pv").alias("u"), F.greatest("pu", "pv").alias("v")).distinct())
+    else:
+        raise RuntimeError("components did not settle")
+    if not maps:
+        return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    out = maps[-1].select("node", F.col("parent").alias("root"))
+    for hook in reversed(maps[:-1]):
+        up = out.select(F.col("node").alias("parent"), "root")
+        out = hook.join(up, "parent", "left").select("node", F.coalesce("root", "parent").alias("root"))
+    return out
+
+
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, component): the smallest node of each node's component; a node without edges is its own."""
+    roots = written(connected(edges.where("source != target").select(F.least("source", "target").alias("u"), F.greatest("source", "target").alias("v")).distinct()))
+    least = roots.groupBy("root").agg(F.min("node").alias("component"))
+    named = roots.join(least, "root").select("node", "component")
+    return nodes.select("node").distinct().join(named, "node", "left").select("node", F.coalesce("component", "node").alias("component"))

@@ -116,11 +116,17 @@ def pair_scores(queries: DataFrame, corpus: DataFrame, *, cosine: bool = False)
     return pairs.where("id != query_id").select("query_id", "id", score.alias("score"))
 
 
-def hash_encode(texts: DataFrame, dims: int = 64) -> DataFrame:
+#: What encoders of asymmetric search expect before a text of each role.
+ROLE_PREFIX = {"query": "query: ", "passage": "passage: "}
+
+
+def hash_encode(texts: DataFrame, dims: int = 64, role: str | None = None) -> DataFrame:
     """(id, embedding): a deterministic encoder that stands in for a model, normalised hashed word counts.
 
-    ``texts`` has id and text. Words hash to a dimension and a sign; a text without words gives zeros.
+    ``texts`` has id and text; ``role`` puts its prefix before each text. Words hash to a dimension and a sign; a text
+    without words gives zeros, and so does a null text without a role.
     """
+    texts = texts.withColumn("text", F.concat(F.lit(ROLE_PREFIX[role]), F.coalesce("text", F.lit("")))) if role else texts
     words = F.expr("filter(split(lower(text), '[^\\\\p{L}\\\\p{N}]+'), w -> w != '')")
     raw = F.expr(
         f"transform(sequence(0, {dims - 1}), d -> aggregate(filter(_w, w -> pmod(xxhash64(w), {dims}) = d), 0D, (t, w) -> t + if(pmod(xxhash64(w, 1), 2) = 0, 1D, -1D)))"

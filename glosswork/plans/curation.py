@@ -13,13 +13,15 @@ from glosswork.operators import lexicon as lx
 from glosswork.operators import sampling as sa
 from glosswork.operators import validate as va
 from glosswork.operators import vectors as vec
-from glosswork.operators.durable import shared_folder
+from glosswork.operators.durable import shared_folder, written
 from glosswork.plans import retrieval as rt
 from glosswork.plans.text import _SENT, ALLOWED, TERMS, _docs, _match, sentences
 from glosswork.sources import files
 from glosswork.sources.tables import table
 
 SEED = 7
+#: Who the prompts are written for.
+PROFILE = "level: new to the subject"
 
 
 def scan_chunks(spark, d):
@@ -200,10 +202,10 @@ def ledger_merge(spark, d):
 
 
 def _evidence(spark: SparkSession, d: str) -> DataFrame:
-    """Evidence of ten queries: first turns of conversations, and of each third one the second turn too."""
-    t = table(spark, d, "conversations").where("turn = 0 or (turn = 1 and conv_id % 3 = 0)").where("role in ('user', 'assistant')")
-    rank = F.row_number().over(Window.partitionBy(F.col("conv_id") % 10).orderBy("conv_id", "turn"))
-    return t.select((F.col("conv_id") % 10).alias("query_id"), rank.cast("long").alias("rank"), (F.col("conv_id") * 1000 + F.col("turn")).alias("chunk_id"), F.col("conv_id").alias("qa_id"), (F.col("role") == "user").alias("is_question"))
+    """Evidence of a query for each ten conversations: all their turns, in order."""
+    query, turn = F.expr("conv_id div 10").alias("query_id"), F.col("conv_id") * 1000 + F.col("turn")
+    t = table(spark, d, "conversations").where("role in ('user', 'assistant')")
+    return t.select(query, turn.alias("rank"), turn.alias("chunk_id"), F.col("conv_id").alias("qa_id"), (F.col("role") == "user").alias("is_question"))
 
 
 def qa_siblings(spark, d):
@@ -217,7 +219,7 @@ def ordered_distinct(spark, d):
 
 
 def corpus_fingerprint(spark, d):
-    return cu.fingerprint(_docs(spark, d), "doc_id", "text", prefix=2)
+    return cu.fingerprint(_docs(spark, d), "doc_id", "text")
 
 
 def _ranked(spark: SparkSession, d: str, k: int) -> DataFrame:
@@ -254,22 +256,28 @@ def gold_union(spark, d):
 
 
 def hash_encode(spark, d):
-    """Hashed embeddings of the benchmark items; rows only."""
-    return vec.hash_encode(table(spark, d, "benchmark").select(F.col("item_id").alias("id"), "text"), 32).select(F.col("id").alias("item_id"), F.transform("embedding", lambda x: F.round(x.cast("double"), 5)).cast("string").alias("embedding"))
+    """Hashed embeddings of the benchmark items as queries and of the documents as passages; tests hold them against a plain version."""
+    part = lambda df, key, role: vec.hash_encode(df.select(F.col(key).alias("id"), "text"), 32, role).select(F.lit(role).alias("role"), "id", F.transform("embedding", lambda x: F.round(x.cast("double"), 5)).cast("string").alias("embedding"))
+    return part(table(spark, d, "benchmark"), "item_id", "query").unionByName(part(_docs(spark, d), "doc_id", "passage"))
 
 
 def _prompt_parts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     stats = ev.band(vec.score_statistics(vec.search(rt._queries(spark, d), rt._corpus(spark, d), 5)), 0.36, 0.42)
     docs = _docs(spark, d)
-    questions = stats.select("query_id", "band").join(docs.select(F.col("doc_id").alias("query_id"), tx.snippet(F.col("text"), 80).alias("question"), F.col("text").alias("full")), "query_id")
+    questions = stats.select("query_id", "band").join(docs.select(F.col("doc_id").alias("query_id"), tx.squash(F.col("text")).alias("question"), F.col("text").alias("full")), "query_id")
     found = _ranked(spark, d, 5).join(docs.select(F.col("doc_id").alias("id"), "text", "source", "lang"), "id")
-    evidence = found.select("query_id", F.col("rank").alias("ordinal"), F.concat(F.lit("document "), "id").alias("header"), tx.snippet(F.col("text"), 60).alias("text"), (F.col("lang") != "de").alias("citable"))
+    evidence = found.select("query_id", F.col("rank").alias("ordinal"), F.col("id").alias("chunk_id"), F.concat(F.lit("document "), "id").alias("header"), "text", (F.col("lang") != "de").alias("citable"))
     return questions, evidence
 
 
 def prompt_render(spark, d):
     questions, evidence = _prompt_parts(spark, d)
-    return cu.prompts(questions.select("query_id", "question", "band"), evidence)
+    return cu.prompts(questions.select("query_id", "question", "band"), evidence, PROFILE)
+
+
+def prompt_citations(spark, d):
+    """Which document each number of the prompts stands for."""
+    return cu.citations(_prompt_parts(spark, d)[1])
 
 
 def answer_pipeline(spark, d):
@@ -277,7 +285,7 @@ def answer_pipeline(spark, d):
     questions, evidence = _prompt_parts(spark, d)
     guarded = questions.withColumn("blocked", lx.guard_input(F.col("full"), lx.load_terms(TERMS), ALLOWED)["blocked"])
     asked = guarded.where("band != 'refuse' and not blocked")
-    prompt = cu.prompts(asked.select("query_id", "question", "band"), evidence.join(asked.select("query_id"), "query_id", "left_semi"))
+    prompt = cu.prompts(asked.select("query_id", "question", "band"), evidence.join(asked.select("query_id"), "query_id", "left_semi"), PROFILE)
     joined = guarded.join(prompt, "query_id", "left")
     status = F.when(F.col("band") == "refuse", "refused").when(F.col("blocked"), "blocked").otherwise("prompted")
     return joined.select("query_id", "band", status.alias("status"), F.when(status != "prompted", F.lit(lx.REFUSAL)).alias("answer"), F.sha2("prompt", 256).alias("prompt_sha256"))
@@ -292,13 +300,12 @@ def backfill_merge(spark, d):
 
 
 def synthetic_build(spark, d):
-    """Questions from documents' first sentences: skipped if short or seen before, the rest numbered."""
-    first = sentences(_docs(spark, d)).where("pos = 1").select("doc_id", F.col("sentence").alias("question"))
-    key = F.lower(F.regexp_replace("question", r"\s", ""))
-    rank = F.row_number().over(Window.partitionBy(key).orderBy("doc_id"))
-    marked = first.withColumn("reason", F.when(F.length("question") < 40, "short").when(rank > 1, "seen before"))
-    kept = sa.number(marked.where("reason is null").select("doc_id", "question"), "doc_id")
-    return kept.select("doc_id", F.format_string("s%04d", "row_number").alias("query_id"), F.lit("kept").alias("outcome")).unionByName(marked.where("reason is not null").select("doc_id", F.lit(None).cast("string").alias("query_id"), F.col("reason").alias("outcome")))
+    """Questions from all sentences, as a model might return them: skipped if empty, short or seen before, the rest numbered."""
+    proposed = sentences(_docs(spark, d)).withColumnRenamed("sentence", "question")
+    marked = written(cu.normalise_questions(proposed, ["doc_id", "pos"]))
+    kept = sa.number(marked.where("reason is null").select("doc_id", "pos"), "doc_id", "pos")
+    gone = marked.where("reason is not null").select("doc_id", "pos", F.lit(None).cast("string").alias("query_id"), F.col("reason").alias("outcome"))
+    return kept.select("doc_id", "pos", F.format_string("s%06d", "row_number").alias("query_id"), F.lit("kept").alias("outcome")).unionByName(gone)
 
 
 def label_import(spark, d):
@@ -339,20 +346,15 @@ def extraction_run(spark, d):
 
 _WORDS5 = r"SELECT doc_id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda w: length(w) >= 5))) AS word FROM documents"
 _LEX = f"w AS ({_WORDS5}), lx AS (SELECT q.query_id, a.doc_id AS id, count(*) AS hits FROM q JOIN w b ON b.doc_id = q.query_id JOIN w a ON a.word = b.word AND a.doc_id <> q.query_id GROUP BY ALL)"
-_SNIP = "CASE WHEN length({t}) > {n} THEN left({t}, {n}) || '…' ELSE {t} END"
 _FLAT = r"trim(regexp_replace({c}, '\s+', ' ', 'g'))"
 
 
-def _sn(c: str, n: int) -> str:
-    return _SNIP.format(t=_FLAT.format(c=c), n=n)
-
-
 _BLOCKED = f"len({_match('d.text', sorted(TERMS, key=lambda t: -len(t)))}) > 0 AND len({_match('d.text', ALLOWED)}) = 0"
-_PROMPT = f"""{rt._BASE}, b AS (SELECT st.query_id, CASE WHEN score_gap < 0.36 THEN 'refuse' WHEN score_gap < 0.42 THEN 'hedge' ELSE 'answer' END AS band, {_sn('d.text', 80)} AS question, {_BLOCKED} AS blocked FROM st JOIN documents d ON d.doc_id = st.query_id),
-e AS (SELECT r.query_id, r.rank, d.lang <> 'de' AS citable, 'document ' || d.doc_id AS header, {_sn('d.text', 60)} AS text FROM r JOIN documents d ON d.doc_id = r.vec_id WHERE r.rank <= 5),
+_PROMPT = f"""{rt._BASE}, b AS (SELECT st.query_id, CASE WHEN score_gap < 0.36 THEN 'refuse' WHEN score_gap < 0.42 THEN 'hedge' ELSE 'answer' END AS band, {_FLAT.format(c='d.text')} AS question, {_BLOCKED} AS blocked FROM st JOIN documents d ON d.doc_id = st.query_id),
+e AS (SELECT r.query_id, r.rank, d.lang <> 'de' AS citable, 'document ' || d.doc_id AS header, d.text, d.doc_id AS chunk_id FROM r JOIN documents d ON d.doc_id = r.vec_id WHERE r.rank <= 5),
 f AS (SELECT *, row_number() OVER (PARTITION BY query_id, citable ORDER BY rank) AS n FROM e),
 g AS (SELECT query_id, coalesce(string_agg('[' || n || '] ' || header || chr(10) || text, chr(10) || chr(10) ORDER BY rank) FILTER (WHERE citable), '') AS s, coalesce(string_agg('(' || header || ')' || chr(10) || text, chr(10) || chr(10) ORDER BY rank) FILTER (WHERE NOT citable), '') AS c FROM f GROUP BY query_id),
-p AS (SELECT query_id, band, blocked, '{cu.RULES}' || CASE WHEN band = 'hedge' THEN chr(10) || '{cu.HEDGE_RULE}' ELSE '' END || CASE WHEN c <> '' THEN chr(10) || '{cu.CONTEXT_RULE}' ELSE '' END || chr(10) || chr(10) || 'Sources:' || chr(10) || s
+p AS (SELECT query_id, band, blocked, '{cu.RULES}' || CASE WHEN band = 'hedge' THEN chr(10) || '{cu.HEDGE_RULE}' ELSE '' END || CASE WHEN c <> '' THEN chr(10) || '{cu.CONTEXT_RULE}' ELSE '' END || chr(10) || chr(10) || 'Reader:' || chr(10) || '{PROFILE}' || chr(10) || chr(10) || 'Sources:' || chr(10) || s
   || CASE WHEN c <> '' THEN chr(10) || chr(10) || 'Cases:' || chr(10) || c ELSE '' END || chr(10) || chr(10) || 'Question: ' || question AS prompt FROM b LEFT JOIN g USING (query_id))"""
 
 QUERIES = {
@@ -360,7 +362,7 @@ QUERIES = {
     for f in (
         scan_chunks, scan_jsonl, scan_csv, vtt_parse, approved_ids, metadata_semi, semi_anti, set_difference, keep_last, dedupe_question, coalesce_fields, systematic_sample, seeded_sample, stratified_sample,
         stratified_two_level, batch_ids, eligible_filter, split_filter, chunk_header, corpus_union, prefix_resolve, validate_rows, validate_unique, validate_single_config, incremental_plan, grounding_check,
-        hash_join_lookup, anchor_join, ledger_merge, qa_siblings, ordered_distinct, corpus_fingerprint, two_net_pool, hybrid_merge, gold_union, hash_encode, prompt_render, answer_pipeline, backfill_merge,
+        hash_join_lookup, anchor_join, ledger_merge, qa_siblings, ordered_distinct, corpus_fingerprint, two_net_pool, hybrid_merge, gold_union, hash_encode, prompt_render, prompt_citations, answer_pipeline, backfill_merge,
         synthetic_build, label_import, flatten_props, extraction_run,
     )
 }
@@ -402,19 +404,20 @@ ORACLES = {
     "ledger_merge": """WITH l AS (SELECT o_custkey AS id, o_orderpriority AS title, o_orderstatus AS review_status FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r FROM orders) WHERE r = 1)
         SELECT coalesce(l.id, c_custkey) AS id, coalesce(c_name, title) AS title, coalesce(c_mktsegment, 'OLD') AS classification, CASE WHEN l.id IS NULL THEN 'PENDING' ELSE review_status END AS review_status, CASE WHEN l.id IS NULL THEN '' ELSE 'seen' END AS review_reason
         FROM l FULL JOIN customer ON c_custkey = l.id WHERE l.id IS NOT NULL OR c_mktsegment = 'BUILDING'""",
-    "qa_siblings": """WITH e AS (SELECT conv_id % 10 AS query_id, row_number() OVER (PARTITION BY conv_id % 10 ORDER BY conv_id, turn) AS rank, conv_id * 1000 + turn AS chunk_id, conv_id, role FROM conversations WHERE (turn = 0 OR (turn = 1 AND conv_id % 3 = 0)) AND role IN ('user', 'assistant')),
+    "qa_siblings": """WITH e AS (SELECT conv_id // 10 AS query_id, conv_id * 1000 + turn AS rank, conv_id * 1000 + turn AS chunk_id, conv_id, role FROM conversations WHERE role IN ('user', 'assistant')),
         a AS (SELECT conv_id, conv_id * 1000 + turn AS chunk_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS nth FROM conversations WHERE role = 'assistant'),
         u AS (SELECT query_id, 0 AS later, rank, 0 AS nth, chunk_id FROM e WHERE role = 'assistant' OR conv_id IN (SELECT conv_id FROM a) UNION ALL SELECT query_id, 1, rank, nth, a.chunk_id FROM e JOIN a USING (conv_id) WHERE role = 'user' AND nth <= 2),
         o AS (SELECT *, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY later, rank, nth) AS k FROM u)
         SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY later, rank, nth, chunk_id) AS ordinal, chunk_id, later = 1 AS appended FROM o WHERE k = 1""",
     "ordered_distinct": "SELECT o_custkey, string_agg(o_orderpriority, '|' ORDER BY f) AS priorities FROM (SELECT o_custkey, o_orderpriority, min(o_orderkey) AS f FROM orders GROUP BY ALL) GROUP BY o_custkey",
-    "corpus_fingerprint": "WITH h AS (SELECT sha256(doc_id || chr(0) || text || chr(0)) AS h FROM documents), g AS (SELECT left(h, 2) AS p, count(*) AS n, sha256(string_agg(h, '' ORDER BY h)) AS g FROM h GROUP BY 1) SELECT CAST(sum(n) AS BIGINT) AS n, sha256(string_agg(g, '' ORDER BY p)) AS fingerprint FROM g",
+    "corpus_fingerprint": "WITH h AS (SELECT sha256(doc_id || chr(0) || text || chr(0)) AS h FROM documents), g AS (SELECT left(h, 4) AS p, count(*) AS n, sha256(string_agg(h, '' ORDER BY h)) AS g FROM h GROUP BY 1) SELECT CAST(sum(n) AS BIGINT) AS n, sha256(string_agg(g, '' ORDER BY p)) AS fingerprint FROM g",
     "two_net_pool": f"""{rt._BASE}, {_LEX}, x AS (SELECT query_id, id, hits, row_number() OVER (PARTITION BY query_id ORDER BY hits DESC, id) AS rank FROM lx WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.query_id = lx.query_id AND r.vec_id = lx.id AND r.rank <= 20))
         SELECT query_id, 'vector' AS net, rank, vec_id AS id FROM r WHERE rank <= 20 UNION ALL SELECT query_id, 'lexical', rank, id FROM x WHERE rank <= 10""",
     "hybrid_merge": f"""{rt._BASE}, {_LEX}, x AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY hits DESC, id) AS rank FROM lx), u AS (SELECT query_id, 0 AS l, rank, vec_id AS id FROM r WHERE rank <= 5 UNION ALL SELECT query_id, 1, rank, id FROM x WHERE rank <= 10),
         o AS (SELECT *, row_number() OVER (PARTITION BY query_id, id ORDER BY l, rank) AS k FROM u) SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY l, rank, id) AS ordinal, id FROM o WHERE k = 1""",
     "gold_union": f"WITH {rt._Q}, {rt._GOLD}, {_LEX} SELECT query_id, vec_id AS id FROM g WHERE span_id = 0 UNION SELECT query_id, id FROM lx WHERE hits >= 12",
     "prompt_render": f"{_PROMPT} SELECT query_id, prompt FROM p",
+    "prompt_citations": f"{_PROMPT} SELECT query_id, n AS number, chunk_id FROM f WHERE citable",
     "answer_pipeline": f"""{_PROMPT}, z AS (SELECT *, CASE WHEN band = 'refuse' THEN 'refused' WHEN blocked THEN 'blocked' ELSE 'prompted' END AS status FROM p)
         SELECT query_id, band, status, CASE WHEN status <> 'prompted' THEN '{lx.REFUSAL}' END AS answer, CASE WHEN status = 'prompted' THEN sha256(prompt) END AS prompt_sha256 FROM z""",
     "backfill_merge": """WITH r AS (SELECT doc_id AS query_id, CASE WHEN doc_id % 10 = 4 THEN 'v1' ELSE 'v2' END AS v, CASE WHEN n_chars < 300 THEN 'refuse' ELSE 'answer' END AS band, CASE WHEN lang = 'de' THEN source END AS answer, doc_id % 4 <> 1 AS generated FROM documents),
@@ -422,9 +425,10 @@ ORACLES = {
         s AS (SELECT coalesce(r.query_id, a.query_id) AS query_id, answer, text, CASE WHEN text IS NOT NULL AND r.query_id IS NULL THEN 'unknown' WHEN text IS NOT NULL AND v <> 'v2' THEN 'version mismatch' WHEN text IS NOT NULL AND band = 'refuse' THEN 'refused band'
           WHEN text IS NOT NULL AND coalesce(answer, '') <> '' AND generated THEN 'occupied' WHEN text IS NOT NULL THEN 'filled' WHEN generated AND coalesce(answer, '') = '' THEN 'pending' ELSE 'kept' END AS status FROM r FULL JOIN a ON a.query_id = r.query_id)
         SELECT query_id, status, CASE WHEN status = 'filled' THEN text ELSE answer END AS answer FROM s""",
-    "synthetic_build": "WITH " + _SENT + r""", f AS (SELECT doc_id, sentence, row_number() OVER (PARTITION BY lower(regexp_replace(sentence, '\s', '', 'g')) ORDER BY doc_id) AS r FROM s WHERE pos = 1),
-        m AS (SELECT doc_id, CASE WHEN length(sentence) < 40 THEN 'short' WHEN r > 1 THEN 'seen before' END AS reason FROM f)
-        SELECT doc_id, 's' || lpad(CAST(row_number() OVER (ORDER BY doc_id) AS VARCHAR), 4, '0') AS query_id, 'kept' AS outcome FROM m WHERE reason IS NULL UNION ALL SELECT doc_id, NULL, reason FROM m WHERE reason IS NOT NULL""",
+    "synthetic_build": "WITH " + _SENT + r""", c AS (SELECT doc_id, pos, regexp_replace(sentence, '^(?:[-*•]|\d+[.)])\s+|^["''“]|["''”]$', '', 'g') AS q FROM s),
+        f AS (SELECT doc_id, pos, q, row_number() OVER (PARTITION BY lower(regexp_replace(q, '\s', '', 'g')), length(q) >= 40 ORDER BY doc_id, pos) AS r FROM c),
+        m AS (SELECT doc_id, pos, CASE WHEN q = '' THEN 'empty' WHEN length(q) < 40 THEN 'short' WHEN r > 1 THEN 'seen before' END AS reason FROM f)
+        SELECT doc_id, pos, 's' || lpad(CAST(row_number() OVER (ORDER BY doc_id, pos) AS VARCHAR), 6, '0') AS query_id, 'kept' AS outcome FROM m WHERE reason IS NULL UNION ALL SELECT doc_id, pos, NULL, reason FROM m WHERE reason IS NOT NULL""",
     "label_import": r"""WITH j AS (SELECT doc_id, quality AS label, CAST(n_chars > 1500 AS INT) AS suggestion, regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}') AS blocked FROM labels JOIN documents USING (doc_id))
         SELECT doc_id, label, suggestion, label <> suggestion AS differs, blocked, (SELECT count(*) FROM j WHERE blocked) = 0 AS imported FROM j""",
     "flatten_props": """SELECT event_id, coalesce(CAST(json_extract_string(props, '$.k') AS BIGINT), 0) AS k, '' AS thumbnail, '["' || event_type || '","' || user_id || '"]' AS tags FROM events""",

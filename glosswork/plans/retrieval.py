@@ -41,7 +41,8 @@ def _gold(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _per_query(spark: SparkSession, d: str) -> DataFrame:
-    return ev.per_query(vec.ranking(_found(spark, d)), _gold(spark, d))
+    items = _corpus(spark, d).select("id", "label", (F.col("id") % 3).alias("span_id"))
+    return ev.per_query_of_classes(vec.ranking(_found(spark, d)), _queries(spark, d).select("query_id", "label"), items, "label")
 
 
 def _rounded(df: DataFrame) -> DataFrame:
@@ -83,8 +84,7 @@ def ir_metrics(spark: SparkSession, d: str) -> DataFrame:
 def ir_metrics_scored(spark: SparkSession, d: str) -> DataFrame:
     """Measures over queries with gold only, here those whose label is even; the others are counted apart."""
     q = _queries(spark, d)
-    gold = _gold(spark, d).join(q.where("label % 2 = 0").select("query_id"), "query_id", "left_semi")
-    scored = ev.totals(ev.per_query(vec.ranking(_found(spark, d)), gold))
+    scored = ev.totals(_per_query(spark, d).join(q.where("label % 2 = 0").select("query_id"), "query_id", "left_semi"))
     return scored.crossJoin(F.broadcast(q.agg(F.expr("count_if(label % 2 != 0)").alias("refuse_only"))))
 
 
@@ -108,8 +108,8 @@ def gap_decomposition(spark: SparkSession, d: str) -> DataFrame:
 
 
 def baseline_delta(spark: SparkSession, d: str) -> DataFrame:
-    """Each query's gap and its change against a baseline that lacks some queries: null there."""
-    old = _before(spark, d).where("query_id % 200 = 0").select("query_id", F.col("score_gap").alias("old_gap"))
+    """Each query's gap and its change against a baseline that had no queries of the new labels (from 5): null there."""
+    old = _before(spark, d).join(_queries(spark, d).where("label < 5").select("query_id"), "query_id", "left_semi").select("query_id", F.col("score_gap").alias("old_gap"))
     return _rounded(_stats(spark, d).select("query_id", "score_gap").join(old, "query_id", "left").withColumn("delta", F.col("score_gap") - F.col("old_gap")))
 
 
@@ -180,8 +180,8 @@ def separability(spark: SparkSession, d: str) -> DataFrame:
 
 
 def gold_missing_check(spark: SparkSession, d: str) -> DataFrame:
-    """Queries without gold that aren't marked as missing. Gold: same label among ids below 20, first span; label 3 is marked missing."""
-    gold = _gold(spark, d).where("id < 20 and span_id = 0")
+    """Queries without gold that aren't marked as missing. Gold: found in the top 5 under the query's label; label 3 is marked missing."""
+    gold = _per_query(spark, d).where("first_relevant_rank is not null")
     q = _queries(spark, d).select("query_id", F.when(F.col("label") == 3, "missing").otherwise("answerable").alias("coverage"))
     return q.join(gold, "query_id", "left_anti").where("coverage != 'missing'").select("query_id", "coverage")
 
@@ -245,7 +245,7 @@ ORACLES = {
     "gap_decomposition": f"""{_OLD} SELECT st.query_id, round(st.top1_score - sto.top1_score, 6) AS d_top1, round(sto.corpus_mean_score - st.corpus_mean_score, 6) AS d_mean_drop,
         round(st.score_gap - sto.score_gap, 6) AS d_gap, st.top1_score - sto.top1_score > 0.001 AS moved FROM st JOIN sto USING (query_id)""",
     "baseline_delta": f"""{_OLD} SELECT st.query_id, round(st.score_gap, 6) AS score_gap, round(sto.score_gap, 6) AS old_gap, round(st.score_gap - sto.score_gap, 6) AS delta
-        FROM st LEFT JOIN sto ON sto.query_id = st.query_id AND sto.query_id % 200 = 0""",
+        FROM st LEFT JOIN (sto JOIN q USING (query_id)) ON sto.query_id = st.query_id AND q.label < 5""",
     "slot_coverage": f"""{_OLD} SELECT r.query_id, count(*) FILTER (WHERE r.label >= 5) AS new_in_top5, count(*) FILTER (WHERE r.label = q.label) AS on_target,
         CASE WHEN any_value(sto.top1_minus_top5) IS NULL OR any_value(sto.top1_minus_top5) >= {MARGIN} THEN 'PASS' ELSE 'REFUSE' END AS gate_before,
         CASE WHEN any_value(st.top1_minus_top5) IS NULL OR any_value(st.top1_minus_top5) >= {MARGIN} THEN 'PASS' ELSE 'REFUSE' END AS gate_after
@@ -265,5 +265,5 @@ ORACLES = {
     "tradeoff_curve": f"{_GAPS}, t AS (SELECT DISTINCT value AS threshold FROM v WHERE NOT found UNION SELECT round(max(value) * 1.05, 4) FROM v WHERE NOT found) {_SWEEP}",
     "separability": f"""{_GAPS}, a AS (SELECT min(value) FILTER (WHERE found) AS min_found, max(value) FILTER (WHERE NOT found) AS max_absent FROM v)
         SELECT min_found, max_absent, min_found > max_absent AS separable, round((min_found + max_absent) / 2, 6) AS midpoint FROM a""",
-    "gold_missing_check": f"""WITH {_Q}, {_GOLD} SELECT query_id, 'answerable' AS coverage FROM q WHERE label <> 3 AND query_id NOT IN (SELECT query_id FROM g WHERE vec_id < 20 AND span_id = 0)""",
+    "gold_missing_check": f"""{_FULL} SELECT query_id, 'answerable' AS coverage FROM q WHERE label <> 3 AND query_id NOT IN (SELECT query_id FROM p WHERE first_relevant_rank IS NOT NULL)""",
 }

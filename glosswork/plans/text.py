@@ -48,10 +48,15 @@ def neighbor_context(spark, d):
 
 
 def token_window(spark, d):
-    """Four words either side of the first word 'de' or 'the' of each document, the word itself marked."""
-    w = _docs(spark, d).select("doc_id", tx.words(F.col("text")).alias("w")).withColumn("at", F.expr("array_min(filter(array(array_position(w, 'de'), array_position(w, 'the')), x -> x > 0))"))
-    hit = w.where("at is not null")
-    return hit.select("doc_id", F.col("at").alias("word_at"), F.expr("array_join(concat(slice(w, cast(greatest(1, at - 4) as int), cast(least(4, at - 1) as int)), array('[' || element_at(w, cast(at as int)) || ']'), slice(w, cast(at + 1 as int), 4)), ' ')").alias("context"))
+    """Four words either side of every word 'de' or 'the', the word itself marked."""
+    w = _docs(spark, d).select("doc_id", tx.words(F.col("text")).alias("w"))
+    return word_windows(w, ["de", "the"], 4)
+
+
+def word_windows(words: DataFrame, terms: list[str], around: int) -> DataFrame:
+    """(doc_id, word_at, context) of every hit among rows (doc_id, w), with ``around`` words on either side."""
+    near = F.transform("w", lambda x, i: F.when(x.isin(*terms), F.struct((i + 1).alias("at"), F.concat_ws(" ", F.slice("w", F.greatest(i - around + 1, F.lit(1)), F.least(i, F.lit(around))), F.concat(F.lit("["), x, F.lit("]")), F.slice("w", i + 2, around)).alias("context"))))
+    return words.select("doc_id", F.explode(F.array_compact(near)).alias("x")).select("doc_id", F.col("x.at").cast("long").alias("word_at"), "x.context")
 
 
 def group_count(spark, d):
@@ -325,8 +330,8 @@ QUERIES = {
 ORACLES = {
     "sentence_split": f"WITH {_SENT} SELECT doc_id, pos, sentence FROM s",
     "neighbor_context": f"WITH {_SENT} SELECT doc_id, pos, sentence, coalesce(lag(sentence) OVER w, '') AS previous, coalesce(lead(sentence) OVER w, '') AS following FROM s WINDOW w AS (PARTITION BY doc_id ORDER BY pos)",
-    "token_window": f"""WITH w AS (SELECT doc_id, {_WORDS.format(c='text')} AS w FROM documents), a AS (SELECT doc_id, w, list_min(list_filter([list_position(w, 'de'), list_position(w, 'the')], lambda x: x > 0)) AS p FROM w)
-        SELECT doc_id, CAST(p AS BIGINT) AS word_at, array_to_string(list_concat(list_concat(w[greatest(1, p - 4):p - 1], ['[' || w[p] || ']']), w[p + 1:p + 4]), ' ') AS context FROM a WHERE p IS NOT NULL""",
+    "token_window": f"""WITH w AS (SELECT doc_id, {_WORDS.format(c='text')} AS w FROM documents), a AS (SELECT doc_id, w, unnest(list_filter(range(1, len(w) + 1), lambda p: w[p] IN ('de', 'the'))) AS p FROM w)
+        SELECT doc_id, p AS word_at, array_to_string(list_concat(list_concat(w[greatest(1, p - 4):p - 1], ['[' || w[p] || ']']), w[p + 1:p + 4]), ' ') AS context FROM a""",
     "group_count": "SELECT lang, count(*) AS n FROM documents GROUP BY lang",
     "tag_counts": f"{_TOPIC} SELECT topic, count(*) AS sentences FROM t GROUP BY topic",
     "term_doc_freq": f"{_TOPIC} SELECT topic, count(DISTINCT doc_id) AS docs FROM t GROUP BY topic",
