@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glosswork.llm.common import bound_batches, fresh, materialise, small_or_shuffled, table
+from glosswork.operators.graph import connected
 
 RADIUS = 3
 SEED = 42
@@ -149,38 +150,6 @@ def _star_links(met: DataFrame) -> DataFrame:
     )
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, root) for every node of the edges (u, v); root is any fixed member of its component.
-
-    Each round hooks every node to its neighbour of least rank, in a random order drawn
-    anew each round, and contracts the edges. The rows written shrink with every round.
-    """
-    edges = materialise(edges)
-    maps = []
-    for r in range(rounds):
-        if edges.isEmpty():
-            break
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        rank = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(r)).alias("h"), F.col(c).alias("n"))
-        best = both.groupBy("u").agg(F.min(rank("v")).alias("best"))
-        hook = materialise(best.select(F.col("u").alias("node"), F.least(rank("u"), F.col("best"))["n"].alias("parent")))
-        maps.append(hook)
-        a = hook.select(F.col("node").alias("u"), F.col("parent").alias("pu"))
-        b = hook.select(F.col("node").alias("v"), F.col("parent").alias("pv"))
-        edges = materialise(
-            edges.join(a, "u").join(b, "v").where("pu != pv").select(F.least("pu", "pv").alias("u"), F.greatest("pu", "pv").alias("v")).distinct()
-        )
-    else:
-        raise RuntimeError("components did not settle")
-    if not maps:
-        return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    out = maps[-1].select("node", F.col("parent").alias("root"))
-    for hook in reversed(maps[:-1]):
-        up = out.select(F.col("node").alias("parent"), "root")
-        out = hook.join(up, "parent", "left").select("node", F.coalesce("root", "parent").alias("root"))
-    return out
-
-
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
     """One row per row of ``docs``: doc_id, rid, fp, component_id.
 
@@ -190,7 +159,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     prints = materialise(fingerprints(docs, id_col, text_col, words))
     nodes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    roots = components(links(nodes.select("fp")))
+    roots = connected(links(nodes.select("fp")))
     joined = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = joined.groupBy("root").agg(F.min("first").alias("component_id"))
     by_print = joined.where("root is not null").join(least, "root").select("fp", "component_id")

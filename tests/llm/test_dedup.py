@@ -12,6 +12,7 @@ import xxhash
 from glosswork.llm import exact_dedup as ex
 from glosswork.llm import queries, similar
 from glosswork.llm import simhash as sh
+from glosswork.operators.graph import connected
 
 SCHEMA = "doc_id long, text string, extra string, fp string, rid long, component string"
 ODD = [(5, None), (3, ""), (4, " \t"), (1, "Ab c"), (2, "ab  C"), (2, "ab  C"), (None, "Ab \n c"), (7, "x"), (8, "long " * 3000 + "end"), (9, "long " * 3000 + "end"), (10, "ab C")]
@@ -129,7 +130,7 @@ def test_links_connect_all_within_three_bits(spark, monkeypatch, limit):
     nodes = spark.createDataFrame([(x,) for x in signed], "fp long")
     edges = sh.links(nodes)
     assert all(((r.u ^ r.v) & (2**64 - 1)).bit_count() <= 3 for r in edges.collect())
-    roots = {r.node: r.root for r in sh.components(edges).collect()}
+    roots = {r.node: r.root for r in connected(edges).collect()}
     got = [roots.get(x, x) for x in signed]
     want = plain_components(fps)
     assert len(set(zip(got, want, strict=True))) == len(set(got)) == len(set(want))
