@@ -11,9 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where it is unset, as in tests, a temporary one."""
+    """The folder named in spark.checkpoint.dir; where it is unset and Spark runs in one process, as in tests, a temporary one."""
     at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or getattr(spark.sparkContext, "_glosswork_shared", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         at = spark.sparkContext._glosswork_shared = "file://" + tempfile.mkdtemp(prefix="glosswork-")
     return at.rstrip("/")
 

@@ -13,8 +13,8 @@ from glosswork.operators.durable import ship
 
 #: Terms compared inside one expression; larger lexicons go through ``term_hits``.
 INLINE_TERMS = 32
-#: Terms of one automaton, which is broadcast as a list.
-BLOCK_TERMS = 100_000
+#: Terms and their bytes, about, of one automaton, which is broadcast as a list.
+BLOCK_TERMS, BLOCK_BYTES = 100_000, 8 << 20
 DISCLAIMER = " [This is general information.]"
 REFUSAL = "This question is outside what can be answered here."
 
@@ -28,16 +28,16 @@ def term_hits(texts: DataFrame, terms: DataFrame) -> DataFrame:
     """(id, term) of every literal containment, for lexicons of any size.
 
     ``texts`` is (id, text), ``terms`` (term). Up to INLINE_TERMS terms are tested inside one Spark expression;
-    more go in blocks of BLOCK_TERMS, each an automaton that reads a text once whatever the number of terms.
+    more go in blocks of BLOCK_TERMS terms or BLOCK_BYTES, each an automaton that reads a text once whatever the number of terms.
     Nothing is shuffled.
     """
     wanted = terms.select("term").where("length(term) > 0").distinct()
-    n = wanted.count()
-    if n <= INLINE_TERMS:
+    n, size = wanted.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("term")), F.lit(0))).first()
+    if n <= INLINE_TERMS and size <= BLOCK_BYTES:
         return texts.select("id", F.explode(matching(F.col("text"), sorted(r[0] for r in wanted.collect()))).alias("term"))
-    blocks, out = -(-n // BLOCK_TERMS), None
+    blocks, out = max(-(-n // BLOCK_TERMS), -(-size // BLOCK_BYTES)), None
     for b in range(blocks):
-        block = [r[0] for r in wanted.where(F.pmod(F.xxhash64("term"), F.lit(blocks)) == b).collect()]  # about BLOCK_TERMS
+        block = [r[0] for r in wanted.where(F.pmod(F.xxhash64("term"), F.lit(blocks)) == b).collect()]  # about a block
         one = _automaton_hits(texts, block)
         out = one if out is None else out.unionByName(one)
     return out

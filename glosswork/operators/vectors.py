@@ -14,6 +14,9 @@ from glosswork.operators.durable import ship
 #: Queries that one pass over the corpus answers. Their vectors are broadcast, so this bounds the broadcast.
 QUERY_BLOCK = 4096
 
+#: Rows of the corpus that are multiplied with a block's matrix at a time: a table of scores takes 32 MB at most.
+SCORED_ROWS = 1024
+
 #: Best first: by score, ties by smaller id.
 _BEST_FIRST = """(a, b) -> case when a.score > b.score then -1 when a.score < b.score then 1
     when a.id < b.id then -1 when a.id > b.id then 1 else 0 end"""
@@ -52,8 +55,8 @@ def _scorer(shared, k: int, not_itself: bool):
         ids, matrix = shared.value
         n, total = np.zeros(len(ids), np.int64), np.zeros(len(ids))
         best: list[list[tuple[float, int]]] = [[] for _ in ids]
-        for batch in batches:
-            if not batch.num_rows or not len(ids):
+        for batch in (b.slice(i, SCORED_ROWS) for b in batches for i in range(0, b.num_rows, SCORED_ROWS)):
+            if not len(ids):
                 continue
             own = batch.column("id").to_numpy()
             vectors = batch.column("embedding")

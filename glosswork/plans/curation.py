@@ -25,8 +25,8 @@ PROFILE = "level: new to the subject"
 
 
 def scan_chunks(spark, d):
-    """Documents as typed chunks in (source, id) order."""
-    return _docs(spark, d).select("source", "doc_id", F.length("text").cast("long").alias("chars"), "n_chars").orderBy("source", "doc_id")
+    """Documents as typed chunks in (source, id) order; they have no timeline."""
+    return files.forbid_columns(_docs(spark, d), ["start_ms", "end_ms", "segment_index"]).select("source", "doc_id", F.length("text").cast("long").alias("chars"), "n_chars").orderBy("source", "doc_id")
 
 
 def scan_jsonl(spark, d):
@@ -48,6 +48,26 @@ def scan_csv(spark, d):
     return files.read_csv(spark, path, ["c_custkey", "c_name"])
 
 
+def scan_tsv(spark, d):
+    """Suppliers through a tab-separated index and back."""
+    import uuid
+
+    path = f"{shared_folder(spark)}/tsv-{uuid.uuid4().hex}"
+    table(spark, d, "supplier").select(F.concat_ws("\t", "s_suppkey", "s_name", "s_nationkey")).write.text(path)
+    return files.read_tsv(spark, path, "s_suppkey long, s_name string, s_nationkey int")
+
+
+def scan_records(spark, d):
+    """Benchmark items through JSON documents with an array of records each, and back."""
+    import uuid
+
+    path = f"{shared_folder(spark)}/records-{uuid.uuid4().hex}"
+    grouped = table(spark, d, "benchmark").groupBy(F.expr("item_id div 10").alias("g")).agg(F.collect_list(F.struct("item_id", "text")).alias("queries"))
+    one = grouped.select("g", F.to_json(F.struct(F.lit("v1").alias("version"), "queries")).alias("value"))
+    one.repartition(4, "g").write.partitionBy("g").text(path)
+    return files.read_records(spark, path, "queries", "item_id bigint, text string").select("item_id", F.sha2("text", 256).alias("text_sha256"))
+
+
 def vtt_parse(spark, d):
     """Captions made of conversations and parsed again."""
     line = F.concat(tx.ms_to_clock(F.col("turn") * 2000), F.lit(" --> "), tx.ms_to_clock(F.col("turn") * 2000 + 1500), F.lit("\n<b>"), F.regexp_replace("text", "\n+", " "), F.lit("</b>\n\n"))
@@ -112,9 +132,10 @@ def stratified_two_level(spark, d):
 
 
 def batch_ids(spark, d):
-    """Customers in batches of 50 by nation."""
-    rank = F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey"))
-    return table(spark, d, "customer").select("c_custkey", "c_nationkey", F.floor((rank - 1) / 50).cast("long").alias("batch"))
+    """Batches of 50 customers of a nation, in key order; numbered by ranges, so that no task holds a nation."""
+    numbered = sa.number(table(spark, d, "customer").select("c_custkey", "c_nationkey"), "c_nationkey", "c_custkey")
+    first = numbered.groupBy("c_nationkey").agg(F.min("row_number").alias("first"))
+    return numbered.join(first, "c_nationkey").select("c_custkey", "c_nationkey", F.expr("(row_number - first) div 50").alias("batch"))
 
 
 def eligible_filter(spark, d):
@@ -360,7 +381,7 @@ p AS (SELECT query_id, band, blocked, '{cu.RULES}' || CASE WHEN band = 'hedge' T
 QUERIES = {
     f.__name__: f
     for f in (
-        scan_chunks, scan_jsonl, scan_csv, vtt_parse, approved_ids, metadata_semi, semi_anti, set_difference, keep_last, dedupe_question, coalesce_fields, systematic_sample, seeded_sample, stratified_sample,
+        scan_chunks, scan_jsonl, scan_csv, scan_tsv, scan_records, vtt_parse, approved_ids, metadata_semi, semi_anti, set_difference, keep_last, dedupe_question, coalesce_fields, systematic_sample, seeded_sample, stratified_sample,
         stratified_two_level, batch_ids, eligible_filter, split_filter, chunk_header, corpus_union, prefix_resolve, validate_rows, validate_unique, validate_single_config, incremental_plan, grounding_check,
         hash_join_lookup, anchor_join, ledger_merge, qa_siblings, ordered_distinct, corpus_fingerprint, two_net_pool, hybrid_merge, gold_union, hash_encode, prompt_render, prompt_citations, answer_pipeline, backfill_merge,
         synthetic_build, label_import, flatten_props, extraction_run,
@@ -371,6 +392,8 @@ ORACLES = {
     "scan_chunks": "SELECT source, doc_id, length(text) AS chars, n_chars FROM documents",
     "scan_jsonl": "SELECT doc_id, sha256(text) AS text_sha256, lang FROM documents",
     "scan_csv": "SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name FROM customer",
+    "scan_tsv": "SELECT s_suppkey, s_name, CAST(s_nationkey AS INTEGER) AS s_nationkey FROM supplier",
+    "scan_records": "SELECT item_id, sha256(text) AS text_sha256 FROM benchmark",
     "vtt_parse": r"""SELECT conv_id AS id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS cue_index, turn * 2000 AS start_ms, turn * 2000 + 1500 AS end_ms,
         trim(regexp_replace(regexp_replace(text, '<[^>]+>', '', 'g'), '\s+', ' ', 'g')) AS text FROM conversations""",
     "approved_ids": "SELECT DISTINCT o_custkey AS id FROM orders WHERE o_orderstatus = 'F'",

@@ -85,10 +85,13 @@ def topn_per_group(spark, d):
 def concentration(spark, d):
     """For each topic, the least number of documents that hold a quarter and half of its sentences."""
     per = _terms(_docs(spark, d)).groupBy("topic", "doc_id").agg(F.count(F.lit(1)).alias("n"))
-    order = Window.partitionBy("topic").orderBy(F.desc("n"), "doc_id")
-    ranked = per.select("topic", F.row_number().over(order).cast("long").alias("rank"), F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("cum"), F.sum("n").over(Window.partitionBy("topic")).alias("total"))
-    least = lambda s, n: F.min(F.when(F.col("cum") >= s * F.col("total"), F.col("rank"))).alias(n)
-    return ranked.groupBy("topic").agg(F.max("total").alias("total"), least(0.25, "docs_quarter"), least(0.5, "docs_half"))
+    same = per.groupBy("topic", "n").agg(F.count(F.lit(1)).alias("docs"))  # documents of equal counts are alike here
+    total = same.groupBy("topic").agg(F.sum(F.col("n") * F.col("docs")).alias("total"))
+    before = Window.partitionBy("topic").orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)
+    sums = same.withColumns({"docs0": F.coalesce(F.sum("docs").over(before), F.lit(0)), "hits0": F.coalesce(F.sum(F.col("n") * F.col("docs")).over(before), F.lit(0))}).join(total, "topic")
+    short = lambda s: F.ceil((s * F.col("total") - F.col("hits0")) / F.col("n"))
+    least = lambda s, name: F.min(F.when(short(s) <= F.col("docs"), F.col("docs0") + F.greatest(short(s), F.lit(1)))).alias(name)
+    return sums.groupBy("topic").agg(F.max("total").alias("total"), least(0.25, "docs_quarter"), least(0.5, "docs_half"))
 
 
 def cross_doc_reuse(spark, d):
@@ -211,6 +214,14 @@ def snippet(spark, d):
     return _docs(spark, d).select("doc_id", tx.snippet(F.col("text"), 40).alias("snippet"))
 
 
+def display_links(spark, d):
+    """Turns as a report shows them: short id, flattened text, address at a time (a turn takes 2.5 seconds, the first has none)."""
+    turns = table(spark, d, "conversations").select("conv_id", "turn", F.sha2(F.concat_ws("-", "conv_id", "turn"), 256).alias("chunk"), "text")
+    base = F.concat(F.lit("https://example.org/watch"), F.when(F.col("conv_id") % 2 == 0, F.concat(F.lit("?v="), "conv_id")).otherwise(F.lit("")))
+    start = F.when(F.col("turn") > 0, F.col("turn") * 2500)
+    return turns.select("conv_id", "turn", tx.short_id(F.col("chunk")).alias("short_id"), tx.snippet(F.col("text"), 60).alias("shown"), tx.deep_link(base, start).alias("link"))
+
+
 def html_tag_strip(spark, d):
     return table(spark, d, "pages").select("page_id", tx.strip_tags(F.col("html")).alias("text"))
 
@@ -324,7 +335,7 @@ QUERIES = {
     for f in (
         sentence_split, neighbor_context, token_window, group_count, tag_counts, term_doc_freq, crosstab_pivot, topn_per_group, concentration, cross_doc_reuse, doc_structure, topic_tags, numeric_regex,
         occurrences, occurrence_positions, suffix_strip, keywords, tail_predicate, nearest_term, oov_candidates, vocab_overlap, marker_flags, lens_classify, doc_reason_filter, triage_cascade, role_classify,
-        url_block, snippet, html_tag_strip, html_unescape, pii_block, substring_join, keyword_presence, guard_input_v1, guard_input_v2, guard_output_v1, guard_output_v2, guard_provenance, guardrail_confusion, lexicon_build,
+        url_block, snippet, display_links, html_tag_strip, html_unescape, pii_block, substring_join, keyword_presence, guard_input_v1, guard_input_v2, guard_output_v1, guard_output_v2, guard_provenance, guardrail_confusion, lexicon_build,
     )
 }
 ORACLES = {
@@ -374,9 +385,12 @@ ORACLES = {
         NOT (contains(lower(p), 'fr') OR contains(lower(p), 'de')) AS eligible, CASE WHEN contains(lower(p), 'fr') OR contains(lower(p), 'de') THEN 'marker' END AS reason FROM x""",
     "url_block": r"SELECT page_id, url FROM pages WHERE regexp_matches(url, '(?i)/(fr|de)(/|\?|#|$)')",
     "snippet": r"WITH x AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM documents) SELECT doc_id, CASE WHEN length(t) > 40 THEN left(t, 40) || '…' ELSE t END AS snippet FROM x",
+    "display_links": r"""WITH x AS (SELECT conv_id, turn, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t, 'https://example.org/watch' || CASE WHEN conv_id % 2 = 0 THEN '?v=' || conv_id ELSE '' END AS b FROM conversations)
+        SELECT conv_id, turn, right(sha256(conv_id || '-' || turn), 8) AS short_id, CASE WHEN length(t) > 60 THEN left(t, 60) || '…' ELSE t END AS shown,
+        b || CASE WHEN turn = 0 THEN '' ELSE CASE WHEN conv_id % 2 = 0 THEN '&t=' ELSE '?t=' END || (turn * 2500) // 1000 || 's' END AS link FROM x""",
     "html_tag_strip": r"SELECT page_id, trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '[\s\x{00A0}\x{3000}]+', ' ', 'g')) AS text FROM pages",
     "html_unescape": r"""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(html, '&nbsp;', chr(160)), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&apos;', ''''), '&amp;', '&'), '[\s\x{00A0}\x{3000}]+', ' ', 'g')) AS text
-        FROM pages WHERE contains(html, '&')""",
+        FROM (SELECT page_id, replace(replace(html, '&copy;', chr(169)), '&middot;', chr(183)) AS html FROM pages) WHERE contains(html, '&') OR contains(html, chr(169)) OR contains(html, chr(183))""",
     "pii_block": "SELECT * FROM (SELECT doc_id, " + _joined([(r"regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}')", "mail"), (r"regexp_matches(text, '\(?\d{3}\)?[ -]\d{3}-\d{4}')", "phone"), (r"regexp_matches(text, '\b[A-Z]\*{2,}')", "masked"), ("length(text) < 20", "short")]) + " AS blockers FROM documents) WHERE blockers <> ''",
     "substring_join": "SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)",
     "keyword_presence": "SELECT word, (SELECT count(*) FROM benchmark WHERE contains(text, word)) AS in_items, (SELECT count(*) FROM documents WHERE contains(text, word)) AS in_corpus FROM (SELECT unnest(['trash', 'password', 'zzz', 'the ']) AS word)",

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from glosswork.functions.text import clock_to_ms, squash
-from glosswork.operators.durable import ship
+from glosswork.operators.durable import ship, written
 
 BAD = "_bad"
 
@@ -38,8 +41,26 @@ def write_jsonl(df: DataFrame, path: str) -> None:
 
 
 def write_csv(df: DataFrame, path: str, columns: list[str]) -> None:
-    """Only ``columns``, in their order; other columns are left out."""
-    df.select(*columns).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    """Only ``columns``, in their order; other columns are left out. Every file begins with a byte-order mark, as spreadsheets ask for."""
+    marked = df.select(*[F.col(c).alias(("\ufeff" if i == 0 else "") + c) for i, c in enumerate(columns)])
+    marked.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+
+
+def read_tsv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows of a tab-separated index without header or quotes; a line with another number of fields raises, blank lines go."""
+    fields = T.StructType.fromDDL(schema).fields
+    parts = spark.read.text(path).where("trim(value) != ''").select(F.split("value", "\t", -1).alias("p"), "value")
+    if bad := parts.where(F.size("p") != len(fields)).limit(1).collect():
+        raise ValueError(f"{path}: {len(bad[0]['p'])} fields in place of {len(fields)}: {bad[0]['value'][:200]}")
+    return parts.select(*[F.col("p")[i].try_cast(f.dataType).alias(f.name) for i, f in enumerate(fields)])
+
+
+def read_records(spark: SparkSession, path: str, at: str, schema: str) -> DataFrame:
+    """Rows of JSON documents, a file each: the array of objects under the key ``at``, with the file. A file without it raises."""
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("_file"), F.from_json("value", f"`{at}` array<struct<{schema}>>").alias("j"))
+    if bad := whole.where(F.col("j").isNull() | F.col(f"j.{at}").isNull()).select("_file").limit(1).collect():
+        raise ValueError(f"{bad[0][0]}: no array under {at!r}")
+    return whole.select("_file", F.inline(f"j.{at}"))
 
 
 def refuse_overwrite(existing: DataFrame, key: str, answer: str) -> None:
@@ -48,6 +69,13 @@ def refuse_overwrite(existing: DataFrame, key: str, answer: str) -> None:
         raise ValueError(f"answers would be lost: {[r[0] for r in found]}")
 
 
+def forbid_columns(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``df``, or an error if it has any of ``columns``: documents have no timeline."""
+    if found := sorted({c.lower() for c in columns} & {c.lower() for c in df.columns}):
+        raise ValueError(f"columns {found} don't belong here")
+    return df
+
+
 def first_filled(*columns: Column) -> Column:
     """The first that is neither null nor empty."""
     return F.coalesce(*[F.nullif(c, F.lit("")) for c in columns])
@@ -92,22 +120,27 @@ def parse_captions(files: DataFrame) -> DataFrame:
     return cues.select("id", (F.col("cue") - 1).cast("long").alias("cue_index"), clock_to_ms(F.col("a")).alias("start_ms"), clock_to_ms(F.col("b")).alias("end_ms"), squash(F.regexp_replace("text", "<[^>]+>", "")).alias("text"))
 
 
-def paged(spark: SparkSession, pages: int, fetch, schema: str) -> DataFrame:
-    """Rows of a paged service: ``fetch(page)`` gives rows as tuples, an empty page ends it.
+def paged(spark: SparkSession, pages: int, fetch, schema: str, wave: int = 64) -> DataFrame:
+    """Rows of a paged service: ``fetch(page)`` gives rows as tuples; the first empty page ends it, whatever later pages hold.
 
-    Pages are spread over tasks; ``fetch`` is the only thing that knows the service, so tests pass a plain function.
+    Pages are fetched in waves, each spread over tasks and written, and no wave follows one with an empty page. ``fetch`` is the
+    only thing that knows the service, so tests pass a plain function.
     """
-    from collections.abc import Iterator
-
-    import pyarrow as pa
-
     ship(spark)
-    arrow = spark.createDataFrame([], schema).toArrow().schema
+    arrow = spark.createDataFrame([], f"_page long, {schema}").toArrow().schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for page in batch.column(0).to_pylist():
-                if rows := fetch(page):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
-
-    return spark.range(0, pages, 1, max(1, min(pages, 64))).mapInArrow(run, schema)
+                rows = [(page, *r) for r in fetch(page)] or [(-1 - page, *[None] * (len(arrow) - 1))]  # an empty page leaves its mark
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
+
+    out = spark.createDataFrame([], f"_page long, {schema}")
+    for at in range(0, pages, wave):
+        some = min(wave, pages - at)
+        got = written(spark.range(at, at + some, 1, some).mapInArrow(run, f"_page long, {schema}"))
+        end = got.where("_page < 0").agg(F.min(-1 - F.col("_page"))).first()[0]
+        out = out.unionByName(got.where("_page >= 0" + ("" if end is None else f" and _page < {end}")))
+        if end is not None:
+            break
+    return out.drop("_page")

@@ -1,5 +1,7 @@
 """Ledgers, siblings, merges, fingerprints, samples and graphs on small cases."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from glosswork.operators import curate as cu
@@ -96,3 +98,67 @@ def test_fold_takes_the_last_type_of_a_chunk(spark):
     assert {(n.node, n.type, tuple(n.aliases)) for n in nodes.collect()} == {("x", "one", ()), ("x", "two", ()), ("y", "one", ("y2",))}
     assert [(x.source, x.source_type, x.target) for x in edges.collect()] == [("x", "two", "y")]
     assert sorted(b.reason for b in bad.collect()) == ["not an entity of this chunk", "unknown type"]
+
+
+def plain_components(nodes, edges):
+    root = {n: n for n in nodes}
+
+    def top(n):
+        while root[n] != n:
+            n = root[n]
+        return n
+
+    for a, b in edges:
+        a, b = sorted((top(a), top(b)))
+        root[b] = a
+    return {n: top(n) for n in nodes}
+
+
+def test_components_of_random_graphs(spark):
+    rng = random.Random(2)
+    pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(160)] + [(0, i) for i in range(1, 300, 9)]
+    edges = spark.createDataFrame([(a, b, str(i)) for i, (a, b) in enumerate(pairs)], "source long, target long, edge string")
+    got = gr.components(spark.createDataFrame([(i,) for i in range(300)], "node long"), edges)
+    assert {r.node: r.component for r in got.collect()} == plain_components(range(300), pairs)
+    none = edges.where("false")
+    assert {r.component for r in gr.components(spark.createDataFrame([(1,), (2,)], "node long"), none).collect()} == {1, 2}
+
+
+def test_components_query(spark, small):
+    from glosswork.plans import graphs
+
+    nodes = [r.node for r in graphs._nodes(spark, small).collect()]
+    pairs = [(r.source, r.target) for r in graphs._edges(spark, small).collect()]
+    assert {r.node: r.component for r in graphs.components(spark, small).collect()} == plain_components(nodes, pairs)
+
+
+def test_degrees_density_upsert(spark):
+    nodes = spark.createDataFrame([("a", "t"), ("b", "t"), ("c", "u"), ("d", "u")], "node string, type string")
+    edges = spark.createDataFrame([("a", "b", "1"), ("a", "c", "2"), ("a", "c", "3"), ("c", "c", "4")], "source string, target string, edge string")
+    got = {r.type: (r.nodes, r.isolated, r.orphan_rate, r.largest, r.mean) for r in gr.degrees(nodes, edges).collect()}
+    assert got == {"t": (2, 0, 0.0, 3, 2.0), "u": (2, 1, 0.5, 4, 2.0)}
+    assert tuple(gr.density(nodes, edges).first()) == (4, 2, round(2 / 12, 9))
+    assert gr.density(nodes.where("false"), edges.where("false")).first().density == 0.0
+    old = spark.createDataFrame([("a", 1, 9), (None, 1, 1)], "k string, n long, first long")
+    new = spark.createDataFrame([("a", 2, 3), ("b", 1, 5), (None, 4, 2)], "k string, n long, first long")
+    assert {tuple(r) for r in gr.upsert(old, new, ["k"], ["n"], ["first"]).collect()} == {("a", 3, 3), ("b", 1, 5), (None, 5, 1)}
+
+
+def test_fingerprints_of_nulls(spark):
+    make = lambda *rows: cu.fingerprint(spark.createDataFrame(rows, "k long, t string"), "k", "t").first().fingerprint
+    seen = [make((1, "a"), (2, None)), make((1, "a"), (7, None)), make((1, "a")), make((1, "a"), (2, "")), make((1, "a"), (None, ""))]
+    assert len(set(seen)) == len(seen) and make((2, None), (1, "a")) == seen[0]
+
+
+def test_questions_of_a_model(spark):
+    ask = "what does it take to bake good bread at home"
+    rows = [(1, f"- {ask}"), (2, f'"{ask.upper()}"'), (3, None), (4, "why"), (5, "10. how long does it have to rest in the fridge"), (6, " ")]
+    got = cu.normalise_questions(spark.createDataFrame(rows, "id int, question string"), ["id"])
+    assert {r.id: r.reason for r in got.collect()} == {1: None, 2: "seen before", 3: "empty", 4: "short", 5: None, 6: "empty"}
+    assert {r.question for r in got.where("id = 5").collect()} == {"how long does it have to rest in the fridge"}
+
+
+def test_citations(spark):
+    rows = [(1, 1, "a", False), (1, 2, "b", True), (1, 5, "c", True), (2, 1, "a", True)]
+    got = cu.citations(spark.createDataFrame(rows, "query_id int, ordinal int, chunk_id string, citable boolean"))
+    assert sorted(map(tuple, got.collect())) == [(1, 1, "b"), (1, 2, "c"), (2, 1, "a")]

@@ -58,3 +58,18 @@ def test_report(spark):
     assert "- hit@1: 1 of 2" in text and "- mrr: 0.7500" in text
     assert text.endswith("| 1 | z | 0.5000 |\n| 2 | x\\|y | – |")
     assert report.drifted(totals, {"mrr": 0.75, "hit1": 2}) == {"hit1": (1, 2)}
+
+
+def test_guard_and_gate_reports(spark):
+    one = spark.createDataFrame([(4, 1, 0, 0, 0)], "block_total long, block_count long, fixture_total long, false_positives long, true_positives long")
+    text = report.guard_report("Guard", {"v1": one, "v2": one})
+    assert "| blocked outside the corpus | 1/4 (25.0%) | 1/4 (25.0%) |" in text and "| false positives | – | – |" in text
+    gate = spark.createDataFrame([(9, 7, 6)], "fixtures long, agreed long, majority_baseline long")
+    assert "| gap | 7/9 | 6/9 | yes |" in report.gate_report("Gate", {"gap": gate})
+
+
+def test_prompt_files(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a\nb"), (2, "c")], "query_id long, prompt string")
+    report.write_prompts(df, str(tmp_path))
+    assert sorted(map(tuple, spark.read.json(f"{tmp_path}/bundle").select("query_id", "prompt").collect())) == [(1, "a\nb"), (2, "c")]
+    assert {p.read_text() for p in (tmp_path / "files" / "query_id=1").glob("part-*.txt")} == {"a\nb\n"}

@@ -35,6 +35,31 @@ def test_round_trip(spark, tmp_path):
     assert sorted(tuple(r)[:2] for r in files.read_jsonl(spark, f"{tmp_path}/j", SCHEMA).select("id", "t").collect()) == [(1, "a"), (2, None)]
     files.write_csv(df.withColumn("x", F.lit(1)), f"{tmp_path}/c", ["id"])
     assert files.read_csv(spark, f"{tmp_path}/c", ["id"]).columns == ["id"]
+    assert all(p.read_bytes().startswith(b"\xef\xbb\xbfid") for p in (tmp_path / "c").glob("part-*"))
+
+
+def test_tsv(spark, tmp_path):
+    p = tmp_path / "x.tsv"
+    p.write_text("a\t1\n\nb\tx\n")
+    assert [tuple(r) for r in files.read_tsv(spark, str(p), "k string, n int").collect()] == [("a", 1), ("b", None)]
+    p.write_text("a\t1\t2\n")
+    with pytest.raises(ValueError, match="3 fields"):
+        files.read_tsv(spark, str(p), "k string, n int")
+
+
+def test_records(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"version": 1,\n "queries": [{"id": 1, "q": "x\\ny"}, {"id": 2}]}')
+    assert sorted(tuple(r)[1:] for r in files.read_records(spark, str(tmp_path), "queries", "id long, q string").collect()) == [(1, "x\ny"), (2, None)]
+    (tmp_path / "b.json").write_text('{"answers": []}')
+    with pytest.raises(ValueError, match="no array"):
+        files.read_records(spark, str(tmp_path), "queries", "id long, q string")
+
+
+def test_documents_have_no_timeline(spark):
+    df = spark.createDataFrame([(1, 2)], "id int, START_MS int")
+    with pytest.raises(ValueError, match="start_ms"):
+        files.forbid_columns(df, ["start_ms"])
+    assert files.forbid_columns(df, ["end_ms"]) is df
 
 
 def test_mixed_folder(spark, tmp_path):
@@ -59,11 +84,15 @@ def test_overwrite_guard(spark):
     files.refuse_overwrite(rows.where("q = 'a'"), "q", "answer")
 
 
-def test_paged(spark):
+def test_paged(spark, tmp_path):
     def fetch(page):
-        return [(page * 2 + i, f"p{page}") for i in range(2)] if page < 3 else []
+        (tmp_path / str(page)).touch()
+        return [(page * 2 + i, f"p{page}") for i in range(2)] if page != 3 else []
 
-    assert sorted(tuple(r) for r in files.paged(spark, 5, fetch, "id long, name string").collect()) == [(i, f"p{i // 2}") for i in range(6)]
+    got = files.paged(spark, 50, fetch, "id long, name string", wave=4)
+    assert sorted(tuple(r) for r in got.collect()) == [(i, f"p{i // 2}") for i in range(6)]
+    assert sorted(int(p.name) for p in tmp_path.iterdir()) == [0, 1, 2, 3]
+    assert files.paged(spark, 0, fetch, "id long, name string").count() == 0
 
 
 def test_stream_gives_what_the_table_gives(spark, tmp_path):
@@ -74,3 +103,12 @@ def test_stream_gives_what_the_table_gives(spark, tmp_path):
     query.awaitTermination(60)
     out = spark.read.parquet(f"{tmp_path}/out").select("doc_id", "cue", "emitted")
     assert sorted(map(tuple, out.collect()), key=str) == sorted(map(tuple, sq.rolling(cues).select("doc_id", "cue", "emitted").collect()), key=str)
+
+
+def test_first_of_key_in_a_stream(spark, tmp_path):
+    rows = [(k, f"2024-01-01 00:00:{s:02d}") for k, s in ((1, 1), (1, 2), (2, 3), (1, 4), (3, 5))]
+    table = spark.createDataFrame(rows, "k int, at string").select("k", F.col("at").cast("timestamp").alias("at"))
+    table.coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = batches.first_of_key(spark.readStream.schema(table.schema).parquet(f"{tmp_path}/in"), ["k"], "at", "1 hour")
+    batches.each_batch(stream, lambda df: df, f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
+    assert sorted(r.k for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [1, 2, 3]

@@ -1,10 +1,13 @@
 """Text functions and guards on small cases."""
 
+import html
+
 import pytest
 from pyspark.sql import functions as F
 
 from glosswork.functions import text as tx
 from glosswork.operators import lexicon as lx
+from glosswork.operators import vectors as vec
 
 
 def one(spark, column, **values):
@@ -80,3 +83,23 @@ def test_term_hits_agree_for_small_and_large_lexicons(spark, monkeypatch):
     monkeypatch.setattr(lx, "INLINE_TERMS", 1)
     monkeypatch.setattr(lx, "BLOCK_TERMS", 2)
     assert small == [(1, "bcd"), (2, "z")] == sorted(tuple(r) for r in lx.term_hits(texts, terms).collect())
+
+
+@pytest.mark.parametrize("text", ["a &amp;lt; b", "&copy;&eacute;&#233;&#xE9;&notit;", "no mark", "&unknown; & &#0;", "", None, "x&nbsp;y"])
+def test_all_references_are_decoded(spark, text):
+    want = None if text is None else " ".join(html.unescape(text).replace("\xa0", " ").split())
+    assert one(spark, tx.unescape(F.col("t")), t=text) == want
+
+
+def test_links_and_short_ids(spark):
+    df = spark.createDataFrame([("u?v=1", 61_999, "chunk-0123456789"), ("u", 0, "ab"), ("u", None, None)], "b string, ms long, id string")
+    got = df.select(tx.deep_link(F.col("b"), F.col("ms")).alias("l"), tx.short_id(F.col("id")).alias("s")).collect()
+    assert [tuple(r) for r in got] == [("u?v=1&t=61s", "23456789"), ("u?t=0s", "ab"), ("u", None)]
+
+
+def test_encoder_puts_roles_first(spark):
+    df = spark.createDataFrame([(1, "x y"), (2, None)], "id long, text string")
+    bare = {r.id: r.embedding for r in vec.hash_encode(df.selectExpr("id", "concat('query: ', coalesce(text, '')) as text"), 32).collect()}
+    assert bare == {r.id: r.embedding for r in vec.hash_encode(df, 32, "query").collect()}
+    assert bare != {r.id: r.embedding for r in vec.hash_encode(df, 32, "passage").collect()}
+    assert all(abs(sum(x * x for x in v) - 1) < 1e-5 for v in bare.values())
