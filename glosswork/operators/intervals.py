@@ -35,20 +35,30 @@ def close_open_ends(marks: DataFrame, key: str, start: str, last: DataFrame) ->
     return marks.join(last, key, "left").withColumn("end", F.coalesce(after, F.col("last"), F.col(start))).drop("last")
 
 
-def assign(segments: DataFrame, chapters: DataFrame, key: str) -> DataFrame:
+def assign(segments: DataFrame, chapters: DataFrame, key: str, bin_size: int) -> DataFrame:
     """Each segment (key, id, start, end) with the index of its chapter (key, idx, chapter_start, chapter_end).
 
-    The chapter of the largest overlap, ties to the lower index; without overlap the first that contains the
-    start; before the first chapter the first, after the last the last; else the nearest.
+    The chapter of the largest overlap, ties to the lower index; without overlap the one that the start touches; before
+    the first chapter the first, after the last the last; else the nearest. Chapters of a key don't overlap, so a segment that meets none lies
+    between two that a sort finds; pairs are formed within bins only.
     """
-    lap = F.greatest(F.lit(0), F.least("end", "chapter_end") - F.greatest("start", "chapter_start"))
-    inside = F.col("start").between(F.col("chapter_start"), F.col("chapter_end"))
-    away = F.when(inside, 0).otherwise(F.least(F.abs(F.col("start") - F.col("chapter_start")), F.abs(F.col("start") - F.col("chapter_end"))))
-    apart = lambda c: F.when(lap > 0, 0).otherwise(c)  # noqa: E731  with an overlap only the index breaks ties
-    first = F.struct((-lap).alias("lap"), apart(F.when(inside, 0).otherwise(1)).alias("out"), apart(away).alias("away"), F.col("idx").alias("idx"))
-    # A segment's candidates are reduced where they are joined; equality on the key keeps the join a hash join.
-    best = segments.join(chapters, key, "left").groupBy(key, "id", "start", "end").agg(F.min(F.when(F.col("idx").isNotNull(), first)).alias("best"))
-    return best.select(key, "id", "start", "end", F.col("best.idx").alias("chapter_index"), (-F.col("best.lap")).alias("overlap"))
+    parts = chapters.select(key, F.col("idx").alias("other_id"), F.col("chapter_start").alias("other_start"), F.col("chapter_end").alias("other_end"))
+    met = overlap_join(segments.select(key, "id", "start", "end"), parts, key, bin_size)
+    best = met.groupBy(key, "id").agg(F.min(F.struct((-F.col("overlap")).alias("lap"), F.col("other_id").alias("idx"))).alias("best"))
+    rest = segments.select(key, "id", "start", "end").join(best.select(key, "id", "best"), [key, "id"], "left")
+    one = F.struct("chapter_start", "chapter_end", "idx")
+    points = rest.withColumns({"_at": F.col("start"), "_kind": F.lit(1)}).unionByName(
+        chapters.select(key, F.col("chapter_start").alias("_at"), F.lit(0).alias("_kind"), one.alias("_c"), F.lag(one).over(Window.partitionBy(key).orderBy("chapter_start", "chapter_end", "idx")).alias("_p")), allowMissingColumns=True
+    )
+    order = Window.partitionBy(key).orderBy("_at", "_kind", F.col("_c.chapter_end"), F.col("_c.idx"))
+    later = Window.partitionBy(key).orderBy(F.desc("_at"), F.desc("_kind"), F.desc(F.col("_c.chapter_end")), F.desc(F.col("_c.idx")))
+    upto = lambda w: w.rowsBetween(Window.unboundedPreceding, 0)
+    near = points.withColumns({"_before": F.last("_c", ignorenulls=True).over(upto(order)), "_prior": F.last("_p", ignorenulls=True).over(upto(order)), "_after": F.last("_c", ignorenulls=True).over(upto(later))}).where("_kind = 1")
+    away = lambda c: F.when(F.col("start").between(F.col(f"{c}.chapter_start"), F.col(f"{c}.chapter_end")), 0).otherwise(F.least(F.abs(F.col("start") - F.col(f"{c}.chapter_start")), F.abs(F.col("start") - F.col(f"{c}.chapter_end"))))
+    nearest = F.array_min(F.array_compact(F.array(*[F.when(F.col(c).isNotNull(), F.struct(away(c).alias("away"), F.col(f"{c}.idx").alias("idx"))) for c in ("_prior", "_before", "_after")])))
+    found = near.withColumn("_n", nearest)
+    index = F.coalesce("best.idx", "_n.idx")
+    return found.select(key, "id", "start", "end", index.alias("chapter_index"), F.when(index.isNotNull(), F.coalesce(-F.col("best.lap"), F.lit(0))).alias("overlap"))
 
 
 def as_of(points: DataFrame, events: DataFrame, key: str, at: str, value: str) -> DataFrame:

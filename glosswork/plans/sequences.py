@@ -43,7 +43,7 @@ def chapter_assign(spark, d):
     marks = marks.withColumn("idx", F.row_number().over(Window.partitionBy("user_id").orderBy("chapter_start")).cast("long") - 1)
     rest = e.where("event_type != 'signup'").select("user_id", F.col("event_id").alias("id"), "start", "end")
     chapters = iv.close_open_ends(marks, "user_id", "chapter_start", rest.groupBy("user_id").agg(F.max("end").alias("last"))).withColumnRenamed("end", "chapter_end")
-    return iv.assign(rest, chapters, "user_id").select("id", "chapter_index", "overlap")
+    return iv.assign(rest, chapters, "user_id", 24 * HOUR).select("id", "chapter_index", "overlap")
 
 
 def asof_lookup(spark, d):

@@ -95,10 +95,33 @@ def test_packing(spark):
 
 
 def test_chapters(spark):
-    marks = spark.createDataFrame([(1, 0, 100), (1, 1, 200)], "v int, idx int, chapter_start long")
-    segments = spark.createDataFrame([(1, 0, 20, 50), (1, 1, 190, 210), (1, 2, 300, 320)], "v int, id int, start long, end long")
-    chapters = iv.close_open_ends(marks, "v", "chapter_start", segments.groupBy("v").agg(F.max("end").alias("last"))).withColumnRenamed("end", "chapter_end")
-    assert [r.chapter_index for r in iv.assign(segments, chapters, "v").orderBy("id").collect()] == [0, 0, 1]
+    """Against every chapter tried for every segment, over chapters that touch or leave gaps."""
+    rng, chapters, segments, want = random.Random(17), [], [], {}
+    for v in range(12):
+        at, own = rng.randint(0, 50), []
+        for idx in range(rng.randint(0, 6)):
+            at += rng.choice([0, 0, 30])
+            own.append((idx, at, at + rng.randint(1, 60)))
+            at = own[-1][2]
+        chapters += [(v, *c) for c in own]
+        for i in range(40):
+            start = rng.randint(-20, at + 40)
+            end = start + rng.randint(0, 50)
+            segments.append((v, i, start, end))
+            lap = lambda c: max(0, min(end, c[2]) - max(start, c[1]))  # noqa: B023, E731
+            away = lambda c: 0 if c[1] <= start <= c[2] else min(abs(start - c[1]), abs(start - c[2]))  # noqa: B023, E731
+            best = min(own, key=lambda c: (-lap(c), 0 if lap(c) else away(c), c[0]), default=None)  # noqa: B023
+            want[v, i] = (best[0], lap(best)) if best else (None, None)
+    df = spark.createDataFrame(segments, "v int, id int, start long, end long")
+    for size in (7, 1000):
+        got = iv.assign(df, spark.createDataFrame(chapters, "v int, idx int, chapter_start long, chapter_end long"), "v", size)
+        assert {(r.v, r.id): (r.chapter_index, r.overlap) for r in got.collect()} == want
+
+
+def test_open_ends_close(spark):
+    marks = spark.createDataFrame([(1, 0, 100), (1, 1, 200), (2, 0, 5)], "v int, idx int, chapter_start long")
+    last = spark.createDataFrame([(1, 320)], "v int, last long")
+    assert sorted((r.v, r.idx, r.end) for r in iv.close_open_ends(marks, "v", "chapter_start", last).collect()) == [(1, 0, 200), (1, 1, 320), (2, 0, 5)]
 
 
 def test_overlap_join_counts_each_pair_once(spark):
