@@ -59,10 +59,11 @@ def assemble(encode, role: str, text: str, trained: bool) -> tuple[np.ndarray, n
 
 
 def format_turns(turns: DataFrame, tokenizer: str, trained: tuple[str, ...] = ("assistant",)) -> DataFrame:
-    """(conv_id, turn, role, ids, loss) for each turn; no shuffle. Null role or text counts as empty.
+    """(conv_id, turn, role, text, ids, loss) for each turn; no shuffle. Null role or text counts as empty.
 
     A conversation's ids are those of its turns in order, whatever their number; turns
-    that tie on ``turn`` are ordered by role and ids. Other columns are not read.
+    that tie on ``turn`` are ordered by role and text, null turns come first, and rows that repeat count each. A text of any length is one turn.
+    Rows of a null conv_id are one conversation. Other columns are not read; an empty table gives an empty one.
     """
     spark = turns.sparkSession
     bound_batches(spark)
@@ -78,12 +79,12 @@ def format_turns(turns: DataFrame, tokenizer: str, trained: tuple[str, ...] = ("
                 ids.append(a)
                 loss.append(b)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("conv_id"), batch.column("turn"), batch.column("role"), pa.array(ids, pa.list_(pa.int32())), pa.array(loss, pa.list_(pa.bool_()))],
-                names=["conv_id", "turn", "role", "ids", "loss"],
+                [batch.column("conv_id"), batch.column("turn"), batch.column("role"), batch.column("text"), pa.array(ids, pa.list_(pa.int32())), pa.array(loss, pa.list_(pa.bool_()))],
+                names=["conv_id", "turn", "role", "text", "ids", "loss"],
             )
 
     kinds = {c: rows.schema[c].dataType.simpleString() for c in ("conv_id", "turn")}
-    return rows.mapInArrow(run, f"conv_id {kinds['conv_id']}, turn {kinds['turn']}, role string, ids array<int>, loss array<boolean>")
+    return rows.mapInArrow(run, f"conv_id {kinds['conv_id']}, turn {kinds['turn']}, role string, text string, ids array<int>, loss array<boolean>")
 
 
 def read_turn(decode, ids: np.ndarray, loss: np.ndarray) -> tuple[str, str, list[str], str]:
@@ -100,13 +101,14 @@ def read_turn(decode, ids: np.ndarray, loss: np.ndarray) -> tuple[str, str, list
 def digest_conversations(formatted: DataFrame, tokenizer: str) -> DataFrame:
     """Read formatted turns back: a row for each conversation with digests of what was read.
 
-    Turns are sorted within tasks and hashed as they stream by, so a conversation of
-    any length takes the memory of one batch.
+    Turns are sorted by turn, role and text within tasks and hashed as they stream by, so a conversation of
+    any length takes the memory of one batch. Everything returned is read from ids and mask; the text only orders turns that tie. Rows that are the same
+    count each, a null conv_id is a conversation, nulls came in as empty texts, and no turns give no rows.
     """
     spark = formatted.sparkSession
     bound_batches(spark)
     file = vocab.share(spark, tokenizer)
-    ordered = formatted.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "ids")
+    ordered = formatted.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
     kind = formatted.schema["conv_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -3,7 +3,7 @@
 A text is cut into parts, every part is hashed on its own, and part hashes
 combine by length-shifted arithmetic, h(ab) = h(a) * B^|b| + h(b) modulo a
 prime, so parts of a huge document may be hashed anywhere and in any order.
-Documents of equal fingerprint are then compared byte by byte, chunk by chunk.
+Documents of equal fingerprint are then compared byte by byte, chunk by chunk, and parted where a chunk differs.
 """
 
 from __future__ import annotations
@@ -28,9 +28,9 @@ PART = 1 << 20
 MAP_BITS = 1 << 24
 
 
-def _powers() -> np.ndarray:
+def _powers(bases: tuple[int, int] = BASES) -> np.ndarray:
     rows = []
-    for p, b in zip(PRIMES, BASES, strict=True):
+    for p, b in zip(PRIMES, bases, strict=True):
         row, x = np.empty(STEP), 1
         for i in range(STEP):
             row[STEP - 1 - i] = x
@@ -39,7 +39,7 @@ def _powers() -> np.ndarray:
     return np.ascontiguousarray(np.array(rows).T)
 
 
-def hash_bytes(data: bytes, powers: np.ndarray) -> tuple[int, int]:
+def hash_bytes(data: bytes, powers: np.ndarray, bases: tuple[int, int] = BASES) -> tuple[int, int]:
     """Polynomial hashes of a byte string: steps are hashed apart and combined by their lengths."""
     whole = np.frombuffer(data, np.uint8)
     out = [0, 0]
@@ -47,13 +47,13 @@ def hash_bytes(data: bytes, powers: np.ndarray) -> tuple[int, int]:
         step = whole[i : i + STEP]
         sums = (step + 1.0) @ powers[STEP - len(step) :]
         for k in (0, 1):
-            out[k] = (out[k] * pow(BASES[k], len(step), PRIMES[k]) + int(sums[k])) % PRIMES[k]
+            out[k] = (out[k] * pow(bases[k], len(step), PRIMES[k]) + int(sums[k])) % PRIMES[k]
     return out[0], out[1]
 
 
-def combine(left: tuple[int, int, int], right: tuple[int, int, int]) -> tuple[int, int, int]:
+def combine(left: tuple[int, int, int], right: tuple[int, int, int], bases: tuple[int, int] = BASES) -> tuple[int, int, int]:
     """Fingerprint (hash, hash, bytes) of two texts put together, from theirs alone."""
-    h = [(left[k] * pow(BASES[k], right[2], PRIMES[k]) + right[k]) % PRIMES[k] for k in (0, 1)]
+    h = [(left[k] * pow(bases[k], right[2], PRIMES[k]) + right[k]) % PRIMES[k] for k in (0, 1)]
     return h[0], h[1], left[2] + right[2]
 
 
@@ -74,15 +74,15 @@ def _parts(df: DataFrame, text: str) -> DataFrame:
     return df.select(*keep, F.posexplode(pieces).alias("part", "piece"))
 
 
-def _hash_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    powers = _powers()
+def _hash_batches(batches: Iterator[pa.RecordBatch], bases: tuple[int, int]) -> Iterator[pa.RecordBatch]:
+    powers = _powers(bases)
     for batch in batches:
         names = [n for n in batch.schema.names if n != "piece"]
         cols = [[], [], [], [], []]
         for value in batch.column("piece"):
             data = value.as_buffer().to_pybytes()
-            h1, h2 = hash_bytes(data, powers)
-            for c, v in zip(cols, (h1, h2, pow(BASES[0], len(data), PRIMES[0]), pow(BASES[1], len(data), PRIMES[1]), len(data)), strict=True):
+            h1, h2 = hash_bytes(data, powers, bases)
+            for c, v in zip(cols, (h1, h2, pow(bases[0], len(data), PRIMES[0]), pow(bases[1], len(data), PRIMES[1]), len(data)), strict=True):
                 c.append(v)
         yield pa.RecordBatch.from_arrays(
             [batch.column(n) for n in names] + [pa.array(c, pa.int64()) for c in cols],
@@ -90,7 +90,7 @@ def _hash_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         )
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bases: tuple[int, int] = BASES) -> DataFrame:
     """One row per row of ``docs``: doc_id, rid, probe, text_sha256, fp1, fp2, nbytes.
 
     ``rid`` tells rows apart that share doc_id and text. ``probe`` is a native
@@ -107,7 +107,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     kept = [f for f in parts.schema.fields if f.name != "piece"]
     types = {"bigint": "long"}
     schema = ", ".join(f"`{f.name}` {types.get(f.dataType.simpleString(), f.dataType.simpleString())}" for f in kept)
-    hashed = parts.mapInArrow(_hash_batches, schema + ", h1 long, h2 long, s1 long, s2 long, n long")
+    hashed = parts.mapInArrow(lambda b: _hash_batches(b, bases), schema + ", h1 long, h2 long, s1 long, s2 long, n long")
     zero = F.struct(F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"), F.lit(0).cast("long").alias("n"))
     folded = F.aggregate(
         F.array_sort(F.collect_list(F.struct("part", "h1", "h2", "s1", "s2", "n"))),
@@ -141,47 +141,68 @@ def _repeated_map(prints: DataFrame) -> list[int]:
     return out
 
 
-def _maybe_repeated(docs: DataFrame, bits: list[int]) -> DataFrame:
-    """Rows (norm, text_sha256) whose probe is in the map; a superset of the repeated texts."""
-    spark = docs.sparkSession
-    share = spark.sparkContext.broadcast(np.array(bits, np.int64).view(np.uint64))
-
-    @F.pandas_udf("boolean")
-    def seen(probe):
-        p = probe.to_numpy() % MAP_BITS
-        import pandas as pd
+def _repeated_chunks(docs: DataFrame, bits: list[int], bases: tuple[int, int]) -> DataFrame:
+    """(rid, fp1, fp2, nbytes, part, piece) of the rows (rid, norm, probe) whose probe is in the map: a superset of the repeated texts, with their fingerprints."""
+    share = docs.sparkSession.sparkContext.broadcast(np.array(bits, np.int64).view(np.uint64))
 
-        return pd.Series((share.value[p // 64] >> (p % 64).astype(np.uint64)) & np.uint64(1) == 1)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = _powers(bases)
+        for batch in batches:
+            probe = batch.column("probe").to_numpy() % MAP_BITS
+            seen = (share.value[probe // 64] >> (probe % 64).astype(np.uint64)) & np.uint64(1) == 1
+            for i in np.flatnonzero(seen).tolist():
+                text = batch.column("norm")[i].as_py()
+                pieces = [text[a : a + PART] for a in range(0, max(1, len(text)), PART)]
+                whole = (0, 0, 0)
+                for piece in pieces:
+                    data = piece.encode()
+                    whole = combine(whole, (*hash_bytes(data, powers, bases), len(data)), bases)
+                n = len(pieces)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([batch.column("rid")[i].as_py()] * n), *[pa.array([x] * n, pa.int64()) for x in whole], pa.array(range(n), pa.int32()), pa.array(pieces, pa.string())],
+                    names=["rid", "fp1", "fp2", "nbytes", "part", "piece"],
+                )
 
-    return docs.withColumn("probe", F.xxhash64("norm")).where(seen("probe")).select("norm", F.sha2("norm", 256).alias("text_sha256"))
+    return docs.mapInArrow(run, "rid long, fp1 long, fp2 long, nbytes long, part int, piece string")
 
 
-def compare_chunks(docs: DataFrame, prints: DataFrame, text_col: str = "text") -> None:
-    """Compare the texts of equal fingerprints chunk by chunk; raises if texts taken as equal differ.
+CLASS = ["fp1", "fp2", "nbytes"]
 
-    Only rows whose fingerprint occurs more than once come here. Equal chunks of
-    a class merge where they are read (map-side), so a class that holds a third of all
-    rows sends one copy of each chunk from each task, and no pairs are formed.
-    """
-    maybe = _maybe_repeated(docs.select(normalised(F.col(text_col)).alias("norm")), _repeated_map(prints))
-    chunks = _parts(maybe, "norm").groupBy("text_sha256", "part", "piece").agg(F.count(F.lit(1)).alias("k"))
-    differ = chunks.groupBy("text_sha256", "part").agg(F.count(F.lit(1)).alias("variants")).where("variants > 1")
-    if found := differ.limit(1).collect():
-        raise ValueError(f"texts of one fingerprint and digest differ: {found[0]}")
 
+def compare_chunks(docs: DataFrame, prints: DataFrame, text_col: str = "text", bases: tuple[int, int] = BASES) -> DataFrame | None:
+    """(rid, variant) of the rows whose fingerprint stands for different texts, rows of one variant being equal; None if there are none.
 
-def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    Only rows whose fingerprint occurs more than once are compared. Equal chunks of a class merge where they are read
+    (map-side), so a class that holds a third of all rows sends one copy of each chunk from each task, and no pairs are formed.
+    Classes that hold one text for every chunk, as nearly all do, need nothing more.
+    """
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), normalised(F.col(text_col)).alias("norm")).withColumn("probe", F.xxhash64("norm"))
+    chunks = _repeated_chunks(rows, _repeated_map(prints), bases)
+    variants = chunks.groupBy(*CLASS, "part", "piece").agg(F.min("rid").alias("first"))
+    differ = materialise(variants.groupBy(*CLASS, "part").agg(F.count(F.lit(1)).alias("variants")).where("variants > 1").select(*CLASS).distinct())
+    if differ.isEmpty():
+        return None
+    odd = chunks.join(differ, CLASS, "left_semi")
+    named = odd.join(odd.groupBy(*CLASS, "part", "piece").agg(F.min("rid").alias("first")), [*CLASS, "part", "piece"])
+    return materialise(named.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("part", "first"))).alias("variant")))
+
+
+def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bases: tuple[int, int] = BASES) -> DataFrame:
     """One row per row of ``docs``: doc_id, rid, keep_id, group_size, kept, text_sha256, fingerprint.
 
     Texts are equal when identical after white-space normalisation; null counts
     as empty, so null and blank texts of the same form are copies. The row of
     smallest doc_id (null last) stays; of rows that share doc_id and text, one.
-    Texts that share a fingerprint but not the bytes are told apart by their
-    SHA-256, and the comparison confirms every class. Other columns are not read.
+    Texts that share a fingerprint but not the bytes are told apart by the comparison; the SHA-256
+    takes no part. Texts of any length are compared whole; an empty table gives an empty one. ``docs`` must be a table of files, as it is
+    read twice. Other columns are not read.
     """
-    prints = materialise(fingerprints(docs, id_col, text_col))
-    compare_chunks(docs, prints, text_col)
-    key = ["fp1", "fp2", "nbytes", "text_sha256"]
+    prints = materialise(fingerprints(docs, id_col, text_col, bases))
+    parted = compare_chunks(docs, prints, text_col, bases)
+    none = F.lit(None).cast("array<struct<part: int, first: bigint>>")
+    prints = prints.withColumn("variant", none) if parted is None else prints.join(parted, "rid", "left")
+    prints = prints.withColumn("variant", F.coalesce(F.to_json("variant"), F.lit("")))
+    key = [*CLASS, "variant"]
     groups = prints.groupBy(*key).agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("first"),
         F.count(F.lit(1)).alias("group_size"),

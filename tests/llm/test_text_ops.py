@@ -112,6 +112,15 @@ def test_chat_odd_rows(spark):
     assert chat.digest_conversations(chat.format_turns(df.where("false"), JSON), JSON).count() == 0
 
 
+def test_chat_ties_go_by_role_and_text(spark):
+    rng = random.Random(6)
+    rows = [(k, rng.randrange(2), rng.choice(["user", "assistant", None]), rng.choice(["b a", "ba", "B", "é", "zz top", "", None, "a" * 50])) for k in range(20) for _ in range(6)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    for r in chat.digest_conversations(chat.format_turns(df, JSON), JSON).collect():
+        own = sorted((t, (role or "").encode(), (text or "").encode()) for k, t, role, text in rows if k == r.conv_id)
+        assert r.turns_sha256 == hashlib.sha256(b"".join(role + b"\n" + text + b"\n" for _, role, text in own)).hexdigest()
+
+
 def test_chat_query(spark, small):
     assert oracle.compare(spark, oracle.connect(small), small, queries.QUERIES["op7_chat_format"], queries.ORACLES["op7_chat_format"]) == ""
 
