@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from glosswork.llm.common import bound_batches, materialise, table
 
-DEGREE, BEAM, RELAX = 32, 64, 1.2
-SEARCH_BEAM = 96
+DEGREE, BEAM, RELAX = 48, 96, 1.2
+SEARCH_BEAM = 160
 #: Distinct vectors of a shard, and queries that search a shard together.
 SHARD_VECTORS, QUERY_BLOCK = 5_000, 20_000
 LEAST_SHARDS = 24
@@ -123,27 +123,40 @@ def build_graph(x: np.ndarray, degree: int = DEGREE, beam: int = BEAM, relax: fl
     return edges, entry
 
 
+def matrix(vectors: pa.ChunkedArray) -> np.ndarray:
+    """Rows of equal length as they came."""
+    flat = vectors.combine_chunks()
+    flat = flat.chunk(0) if isinstance(flat, pa.ChunkedArray) else flat
+    return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1)
+
+
 def equal_norm(x: np.ndarray) -> np.ndarray:
     """A coordinate more, so that all norms are the largest."""
+    x = x.astype(np.float64)
     square = (x**2).sum(axis=1)
     more = np.sqrt(np.maximum(square.max(initial=0.0) - square, 0))
     return np.concatenate([x, more[:, None]], axis=1).astype(np.float32)
 
 
 def searchable(vectors: DataFrame) -> DataFrame:
-    """(vec_id, embedding) of the vectors that take part: no nulls, finite, not zero, of the commonest dimension."""
-    v = vectors.select("vec_id", F.col("embedding").cast("array<float>").alias("embedding")).where(
-        "vec_id is not null and embedding is not null and size(embedding) > 0 and forall(embedding, e -> e is not null and not isnan(e) and abs(e) < float('infinity')) and exists(embedding, e -> e != 0)"
+    """(vec_id, embedding) of the vectors that take part: no nulls, finite, not zero, of the commonest dimension (of those as common the smallest), as others have no inner product with them.
+
+    Floats stay floats; any other numbers become doubles, so that scores come from the vectors as they were.
+    """
+    kind = "float" if vectors.schema["embedding"].dataType.elementType.typeName() == "float" else "double"
+    v = vectors.select("vec_id", F.col("embedding").cast(f"array<{kind}>").alias("embedding")).where(
+        "vec_id is not null and embedding is not null and size(embedding) > 0 and forall(embedding, e -> e is not null and not isnan(e) and abs(e) < double('infinity')) and exists(embedding, e -> e != 0)"
     )
     most = v.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
     return v.where(F.size("embedding") == (most["d"] if most else 0))
 
 
 def build_index(vectors: DataFrame, keep: int = 21, least_shards: int = LEAST_SHARDS) -> DataFrame:
-    """Index of all searchable rows: a row for each distinct vector with shard, ids, embedding, edges, entry.
+    """Index of all searchable rows: a row for each distinct vector with shard, ids, keep, embedding, edges, entry.
 
     ``ids`` are the ``keep`` smallest vec_ids of the vector, all that a search for keep - 1 can
-    return: copies tie, and ties go to smaller ids. Copies are cut to those where they are read.
+    return: copies tie, and ties go to smaller ids. Copies are cut to those where they are read. Rows that are the same count once. An
+    empty table, or one without a searchable vector, gives an empty index. Other columns are not read.
     """
     spark = vectors.sparkSession
     bound_batches(spark)
@@ -155,7 +168,7 @@ def build_index(vectors: DataFrame, keep: int = 21, least_shards: int = LEAST_SH
 
     def run(part: pa.Table) -> pa.Table:
         part = part.sort_by([("first", "ascending")])
-        x = np.array(part.column("embedding").to_pylist(), np.float32)
+        x = matrix(part.column("embedding"))
         edges, entry = build_graph(equal_norm(x))
         is_entry = np.zeros(len(x), bool)
         is_entry[entry] = True
@@ -164,6 +177,7 @@ def build_index(vectors: DataFrame, keep: int = 21, least_shards: int = LEAST_SH
                 "shard": part.column("shard"),
                 "node": pa.array(np.arange(len(x)), pa.int32()),
                 "ids": part.column("ids"),
+                "keep": pa.array(np.full(len(x), keep), pa.int32()),
                 "embedding": part.column("embedding"),
                 "edges": pa.array([e[e >= 0].astype(np.int32) for e in edges], pa.list_(pa.int32())),
                 "entry": pa.array(is_entry),
@@ -172,7 +186,7 @@ def build_index(vectors: DataFrame, keep: int = 21, least_shards: int = LEAST_SH
 
     kind = nodes.schema["ids"].dataType.simpleString()
     return materialise(
-        nodes.withColumn("first", F.col("ids")[0]).groupBy("shard").applyInArrow(run, f"shard int, node int, ids {kind}, embedding array<float>, edges array<int>, entry boolean")
+        nodes.withColumn("first", F.col("ids")[0]).groupBy("shard").applyInArrow(run, f"shard int, node int, ids {kind}, keep int, embedding {nodes.schema['embedding'].dataType.simpleString()}, edges array<int>, entry boolean")
     )
 
 
@@ -180,8 +194,11 @@ def search(index: DataFrame, queries: DataFrame, k: int = 20, beam: int = SEARCH
     """(query_id, rank, vec_id, score): each query's ``k`` best, not itself; ties go to smaller ids.
 
     ``queries`` has vec_id and embedding. Query blocks visit every shard; neither a shard
-    nor a block grows with the input.
+    nor a block grows with the input. ``k`` must lie below the index's ``keep``. Queries that can't take part have no rows, and neither
+    has an empty index; where there are fewer candidates than ``k``, all come.
     """
+    if (held := index.select("keep").first()) and k >= held[0]:
+        raise ValueError(f"an index that keeps {held[0]} ids a vector answers for {held[0] - 1} neighbours at most, not {k}")
     queries = searchable(queries).distinct()
     blocks = max(1, -(-queries.count() // QUERY_BLOCK))
     shards = [r[0] for r in index.select("shard").distinct().collect()]  # a number for each shard
@@ -193,17 +210,19 @@ def search(index: DataFrame, queries: DataFrame, k: int = 20, beam: int = SEARCH
         if not own.num_rows or not ask.num_rows:
             return pa.table(empty)
         own = own.sort_by([("node", "ascending")])
-        x = np.array(own.column("embedding").to_pylist(), np.float32)
+        whole = matrix(own.column("embedding"))
+        x = whole.astype(np.float32)
         near, ids = own.column("edges").to_pylist(), own.column("ids").to_pylist()
         edges = np.full((len(x), max(1, max(map(len, near)))), -1, np.int64)
         for i, e in enumerate(near):
             edges[i, : len(e)] = e
         entry = np.flatnonzero(own.column("entry").to_numpy())
-        q, qid = np.array(ask.column("embedding").to_pylist(), np.float32), ask.column("vec_id").to_pylist()
+        asked_for, qid = matrix(ask.column("embedding")), ask.column("vec_id").to_pylist()
         out_q, out_v, out_s = [], [], []
+        q = asked_for.astype(np.float32)
         for i in range(0, len(q), TOGETHER):
             found, _ = beam_search(x, edges, entry, q[i : i + TOGETHER], beam)
-            exact = np.einsum("bcd,bd->bc", x[found].astype(np.float64), q[i : i + TOGETHER].astype(np.float64))
+            exact = np.einsum("bcd,bd->bc", whole[found].astype(np.float64), asked_for[i : i + TOGETHER].astype(np.float64))
             exact[found < 0] = -np.inf
             best = np.argsort(-exact, axis=1, kind="stable")
             for j in range(len(found)):
