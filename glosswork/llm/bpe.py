@@ -26,8 +26,10 @@ from pyspark.sql.pandas.types import to_arrow_type
 from glosswork.llm import vocab
 from glosswork.llm.common import bound_batches, table
 
-#: Characters of text that make a block; a longer text is a block of its own.
-BLOCK_CHARS = 10 << 20
+#: Characters of text that make a block, at least and at most (blocks grow with the corpus, so that it makes about BLOCKS of them); a longer text is a block of its own.
+BLOCK_CHARS, MOST_BLOCK_CHARS, BLOCKS = 10 << 20, 64 << 20, 4096
+#: Characters of the corpus for each range of hashes; there are as many ranges at least as shuffle partitions.
+RANGE_CHARS = 5 << 20
 #: Bytes of a piece up to which it is folded as it is; a longer one is cut where no merge can reach across.
 WHOLE = 48
 #: Bytes of an uncuttable piece beyond which the fold's quadratic copying gives way to the library's merge loop.
@@ -149,7 +151,7 @@ def by_hash(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return hashes, np.argsort(hashes, kind="stable")
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], pattern: str, data: bytes) -> Iterator[pa.RecordBatch]:
+def _blocks(batches: Iterator[pa.RecordBatch], pattern: str, data: bytes, block_chars: int) -> Iterator[pa.RecordBatch]:
     """A row for each block: its documents, each one's pieces by number, and the parts of its distinct pieces."""
     cutter, key_type, task, count = _Cutter(pattern, data), pa.int64(), TaskContext.get().partitionId() << 32, 0
     number, docs, orders, chars = _Numbers(), [], [], 0
@@ -181,7 +183,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], pattern: str, data: bytes) -> Ite
             docs.append(doc)
             orders.append(np.fromiter(map(number.__getitem__, pieces), np.int32, len(pieces)))
             chars += len(text) + 1
-            if chars >= BLOCK_CHARS:
+            if chars >= block_chars:
                 yield out()
                 number, docs, orders, chars, count = _Numbers(), [], [], 0, count + 1
     if docs:
@@ -196,10 +198,9 @@ def _asks(batches: Iterator[pa.RecordBatch], ranges: int) -> Iterator[pa.RecordB
             parts = unbundle(batch.column("lengths")[i].as_py(), batch.column("parts")[i].as_py())
             hashes, order = by_hash(parts)
             ends = [*np.searchsorted(hashes[order], bounds).tolist(), len(parts)]
-            rows, order = [], order.tolist()
-            for r, (a, b) in enumerate(zip([0, *ends], ends, strict=False)):
-                if a < b:
-                    rows.append((r, batch.column("block")[i].as_py(), *bundle([parts[k] for k in order[a:b]])))
+            rows, order, cut = [], order.tolist(), [0, *ends]
+            for r in np.flatnonzero(np.diff(cut)).tolist():  # a cell holds a part at least, so cells never outnumber them
+                rows.append((r, batch.column("block")[i].as_py(), *bundle([parts[k] for k in order[cut[r] : cut[r + 1]]])))
             kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate(kinds)], names=["range", "block", "lengths", "parts"])
 
@@ -289,10 +290,11 @@ def _finish(block: pa.Table, replies: pa.Table, by_id: list[bytes], with_ids: bo
     return pa.table({n: pa.array(c, t) for n, c, t in zip(names, cols, kinds, strict=True)})
 
 
-def encode(docs: DataFrame, ranks_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
+def encode(docs: DataFrame, ranks_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True, block_chars: int | None = None) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256, ids) for every row and whole text.
 
-    Null counts as empty and has no ids. Rows that repeat are encoded each. Other columns are not read.
+    Null counts as empty and has no ids. Rows that repeat are encoded each. Texts of any length are encoded whole; an empty table
+    gives an empty one. Other columns are not read. Unless ``block_chars`` is given, blocks follow the size of the texts, and so do ranges of hashes.
     """
     spark = docs.sparkSession
     bound_batches(spark)
@@ -301,16 +303,18 @@ def encode(docs: DataFrame, ranks_file: str, pattern: str, id_col: str = "doc_id
     pieces = {r: p for p, r in ranks.items()}
     by_id = spark.sparkContext.broadcast([pieces.get(i, b"") for i in range(max(pieces) + 1)])
     byte_ids = [ranks[bytes([b])] for b in range(256)]
-    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    chars = docs.agg(F.sum(F.length(text_col).cast("long"))).first()[0] or 0
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), chars // RANGE_CHARS)
+    block_chars = block_chars or min(MOST_BLOCK_CHARS, max(BLOCK_CHARS, chars // BLOCKS))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType
     key_type = to_arrow_type(kind)
     kind = kind.simpleString()
     blocks = rows.mapInArrow(
-        lambda b: _blocks(b, pattern, file.value), f"block long, docs array<{kind}>, sizes array<int>, orders binary, split binary, lengths binary, parts binary"
+        lambda b: _blocks(b, pattern, file.value, block_chars), f"block long, docs array<{kind}>, sizes array<int>, orders binary, split binary, lengths binary, parts binary"
     ).repartition(ranges, "block")  # one exchange, read for the asks and again for the documents
     asks = blocks.mapInArrow(lambda b: _asks(b, ranges), "range int, block long, lengths binary, parts binary")
-    distinct = asks.groupBy("range").applyInArrow(
+    distinct = asks.repartition(ranges, "range").groupBy("range").applyInArrow(
         lambda t: _distinct(t, byte_ids), "range int, words array<array<int>>, blocks array<long>, who array<binary>, long array<binary>, long_at array<int>"
     )
     literal = spark.createDataFrame([(pair_table(ranks).tolist(),)], "pairs array<bigint>")

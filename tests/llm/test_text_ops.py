@@ -151,11 +151,10 @@ ODD = [(1, None), (2, ""), (3, " "), (4, "a" * 5000), (5, "=" * 3000 + " x"), (6
 
 
 @pytest.mark.parametrize("block", [1 << 20, 10])
-def test_bpe_equals_tiktoken(spark, monkeypatch, block):
-    monkeypatch.setattr(bpe, "BLOCK_CHARS", block)
+def test_bpe_equals_tiktoken(spark, block):
     enc = vocab.encoding(open(RANKS, "rb").read())
     df = spark.createDataFrame([(i, t, "x") for i, t in ODD], "doc_id long, text string, ids string").repartition(3)
-    got = bpe.encode(df, RANKS, tokenizers.PATTERN).collect()
+    got = bpe.encode(df, RANKS, tokenizers.PATTERN, block_chars=block).collect()
     assert len(got) == len(ODD)
     texts = dict(ODD)
     for r in got:
