@@ -150,18 +150,16 @@ def _repeated_chunks(docs: DataFrame, bits: list[int], bases: tuple[int, int]) -
         for batch in batches:
             probe = batch.column("probe").to_numpy() % MAP_BITS
             seen = (share.value[probe // 64] >> (probe % 64).astype(np.uint64)) & np.uint64(1) == 1
+            rows: list[tuple] = []
             for i in np.flatnonzero(seen).tolist():
-                text = batch.column("norm")[i].as_py()
+                text, whole = batch.column("norm")[i].as_py(), (0, 0, 0)
                 pieces = [text[a : a + PART] for a in range(0, max(1, len(text)), PART)]
-                whole = (0, 0, 0)
-                for piece in pieces:
-                    data = piece.encode()
+                for data in map(str.encode, pieces):
                     whole = combine(whole, (*hash_bytes(data, powers, bases), len(data)), bases)
-                n = len(pieces)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([batch.column("rid")[i].as_py()] * n), *[pa.array([x] * n, pa.int64()) for x in whole], pa.array(range(n), pa.int32()), pa.array(pieces, pa.string())],
-                    names=["rid", "fp1", "fp2", "nbytes", "part", "piece"],
-                )
+                rid = batch.column("rid")[i].as_py()
+                rows += [(rid, *whole, n, piece) for n, piece in enumerate(pieces)]
+            kinds = [pa.int64()] * 4 + [pa.int32(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate(kinds)], names=["rid", "fp1", "fp2", "nbytes", "part", "piece"])
 
     return docs.mapInArrow(run, "rid long, fp1 long, fp2 long, nbytes long, part int, piece string")
 

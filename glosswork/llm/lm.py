@@ -23,8 +23,10 @@ from pyspark.sql import functions as F
 
 from glosswork.llm.common import bound_batches, grow, materialise, shrink, table
 
-#: Tokens of a block and distinct n-grams, at most, that a range gets on average.
-BLOCK_TOKENS, RANGE_TOKENS = 1_000_000, 1_000_000
+#: Tokens of a block at least and at most: blocks grow with the corpus, so that it makes about BLOCKS of them.
+BLOCK_TOKENS, MOST_BLOCK_TOKENS, BLOCKS = 1_000_000, 16_000_000, 4096
+#: Distinct n-grams, at most, that a range gets on average.
+RANGE_TOKENS = 2_000_000
 #: Tokens of a document that lie in one block; a longer one goes on in the next, with its context.
 SEGMENT_TOKENS = 1_000_000
 START, END = 0, 1
@@ -151,12 +153,11 @@ def _asks(blocks: DataFrame, ranges: int) -> DataFrame:
                 grams = _grams(row)
                 counts, cut = grams.counts(), [0, *np.searchsorted(grams.sorted, bounds).tolist(), len(grams.sorted)]
                 cells = []
-                for r in range(ranges):
+                for r in np.flatnonzero(np.diff(cut)).tolist():  # a cell holds an n-gram at least, so cells never outnumber them
                     a, b = cut[r], cut[r + 1]
-                    if a < b:
-                        h = grams.sorted[a:b]
-                        step = np.concatenate([h[:1], np.diff(h)])
-                        cells.append((r, row["block"], shrink(step), shrink(counts[a:b].astype(np.int32))))
+                    h = grams.sorted[a:b]
+                    step = np.concatenate([h[:1], np.diff(h)])
+                    cells.append((r, row["block"], shrink(step), shrink(counts[a:b].astype(np.int32))))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([c[i] for c in cells], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.binary(), pa.binary()))],
                     names=["range", "block", "hashes", "counts"],
@@ -193,13 +194,13 @@ def bucket(context: np.ndarray) -> np.ndarray:
     return np.where(context > 0, np.floor(np.log2(np.maximum(context, 1))).astype(np.int64) + 1, 0)
 
 
-def _bin(p: np.ndarray) -> np.ndarray:
-    """Eighths of a doubling, 1 to 255; 0 for no probability."""
-    return np.where(p > 0, 1 + np.clip(np.rint(-8 * np.log2(np.maximum(p, 1e-300))), 0, 254).astype(np.int64), 0)
+#: Bits of an estimate's bin: BINS a doubling, so bins reach far below one over any count.
+BIN_BITS, BINS = 11, 8
 
 
-def _unbin(b: np.ndarray) -> np.ndarray:
-    return np.where(b > 0, 2.0 ** (-(b - 1) / 8), 0.0)
+def _bin(p: np.ndarray) -> np.ndarray:
+    """Eighths of a doubling, from 1; 0 for no probability. A bin's events count with their mean, so its width is felt in the second order only."""
+    return np.where(p > 0, 1 + np.clip(np.rint(-BINS * np.log2(np.maximum(p, 1e-300))), 0, (1 << BIN_BITS) - 2).astype(np.int64), 0)
 
 
 def _count_blocks(blocks: DataFrame, answers: DataFrame, n_train: int, n_docs: int) -> DataFrame:
@@ -220,7 +221,8 @@ def _count_blocks(blocks: DataFrame, answers: DataFrame, n_train: int, n_docs: i
         single, t, lengths = word[grams.token], grams.trained, np.array(row["sizes"]) - 1
         c1, c12, c2 = context[t] - 1, pair[t] - 1, single[t] - 1
         p2, p1 = np.where(c1 > 0, c12 / np.maximum(c1, 1), 0.0), c2 / max(1, n_train - 1)
-        keys, weights = np.unique((bucket(c1) << 16) | (_bin(p2) << 8) | _bin(p1), return_counts=True)
+        keys, at, weights = np.unique((bucket(c1) << 2 * BIN_BITS) | (_bin(p2) << BIN_BITS) | _bin(p1), return_inverse=True, return_counts=True)
+        tally = [{"key": k, "events": w, "pair": x, "single": y} for k, w, x, y in zip(keys.tolist(), weights.tolist(), np.bincount(at, p2).tolist(), np.bincount(at, p1).tolist(), strict=False)]
         return pa.table(
             {
                 "docs": pa.array([row["docs"]], types[0][1]),
@@ -229,27 +231,27 @@ def _count_blocks(blocks: DataFrame, answers: DataFrame, n_train: int, n_docs: i
                 "lead": pa.array([context[np.cumsum(lengths) - lengths].tolist()], pa.list_(pa.int64())),
                 "pair": pa.array([shrink(pair)], pa.binary()),
                 "single": pa.array([shrink(single)], pa.binary()),
-                "keys": pa.array([keys.tolist()], pa.list_(pa.int64())),
-                "weights": pa.array([weights.tolist()], pa.list_(pa.int64())),
+                "tally": pa.array([tally], types[-1][1]),
             }
         )
 
     key_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[blocks.schema["docs"].dataType.elementType.simpleString()]
-    types = [("docs", pa.list_(key_type)), ("rids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("lead", pa.list_(pa.int64())), ("pair", pa.binary()), ("single", pa.binary()), ("keys", pa.list_(pa.int64())), ("weights", pa.list_(pa.int64()))]
+    types = [("docs", pa.list_(key_type)), ("rids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("lead", pa.list_(pa.int64())), ("pair", pa.binary()), ("single", pa.binary())]
+    types.append(("tally", pa.list_(pa.struct([("key", pa.int64()), ("events", pa.int64()), ("pair", pa.float64()), ("single", pa.float64())]))))
     left = blocks.select("block", "docs", "rids", "train", "sizes", "ids", "words")
     docs = left.schema["docs"].dataType.simpleString()
     return left.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
-        run, f"docs {docs}, rids array<long>, sizes array<int>, lead array<long>, pair binary, single binary, keys array<long>, weights array<long>"
+        run, f"docs {docs}, rids array<long>, sizes array<int>, lead array<long>, pair binary, single binary, tally array<struct<key: long, events: long, pair: double, single: double>>"
     )
 
 
-def learn_weights(tallies: list[tuple[int, int]], words: int) -> np.ndarray:
-    """Weights (pair, single, uniform) for each bucket, by expectation-maximisation over tallied deleted events."""
+def learn_weights(tallies: list[tuple[int, int, float, float]], words: int) -> np.ndarray:
+    """Weights (pair, single, uniform) for each bucket, by expectation-maximisation over tallied deleted events: (key, events, sums of both estimates)."""
     out = np.full((64, 3), 1 / 3)
     if tallies:
-        keys, weight = np.array(tallies, np.int64).T
-        which = keys >> 16
-        p = np.stack([_unbin((keys >> 8) & 255), _unbin(keys & 255), np.full(len(keys), 1 / (words + 1))], axis=1)
+        keys, weight, pair, single = (np.array(c) for c in zip(*tallies, strict=True))
+        which = keys >> 2 * BIN_BITS
+        p = np.stack([pair / weight, single / weight, np.full(len(keys), 1 / (words + 1))], axis=1)
         for b in np.unique(which):
             at = which == b
             q, w, mix = p[at], weight[at].astype(float), np.full(3, 1 / 3)
@@ -294,17 +296,21 @@ def _score_blocks(counted: DataFrame, weights: np.ndarray, n_train: int, words:
                 )
 
     kind = counted.schema["docs"].dataType.elementType.simpleString()
-    return counted.drop("keys", "weights").mapInArrow(run, f"doc_id {kind}, rid long, n_tokens long, n_known long, base_score double, score double")
+    return counted.drop("tally").mapInArrow(run, f"doc_id {kind}, rid long, n_tokens long, n_known long, base_score double, score double")
 
 
-def score_documents(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = BLOCK_TOKENS, segment_tokens: int = SEGMENT_TOKENS) -> DataFrame:
+def score_documents(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text", block_tokens: int | None = None, segment_tokens: int = SEGMENT_TOKENS) -> DataFrame:
     """(doc_id, rid, n_tokens, n_known, train_tokens, base_score, score) for every row; ``train`` is a boolean column.
 
     A null or blank text is its end alone. Repeated rows count and score each. Without
-    training rows every estimate is uniform. Other columns are not read.
+    training rows every estimate is uniform. Texts of any length are read whole, in segments; an empty table gives an empty one. Other columns are
+    not read. Unless ``block_tokens`` is given, blocks follow the size of the texts.
     """
     spark = docs.sparkSession
     bound_batches(spark)
+    if block_tokens is None:
+        size = docs.agg(F.sum(F.octet_length(text_col).cast("long"))).first()[0] or 0
+        block_tokens = min(MOST_BLOCK_TOKENS, max(BLOCK_TOKENS, size // (6 * BLOCKS)))  # a token takes some six bytes
     rows = docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("rid"), F.coalesce(train, F.lit(False)).alias("train"), F.col(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     blocks = materialise(
@@ -322,7 +328,7 @@ def score_documents(docs: DataFrame, train, id_col: str = "doc_id", text_col: st
     answers = materialise(asks.groupBy("range").applyInArrow(_answer, "block long, range int, counts binary, words long"))
     words = answers.where("block = -1").agg(F.sum("words")).first()[0] or 0
     counted = materialise(_count_blocks(blocks, answers.where("block >= 0").select("block", "range", "counts"), n_train, n_docs))
-    tallies = counted.select(F.explode(F.arrays_zip("keys", "weights")).alias("x")).groupBy("x.keys").agg(F.sum("x.weights")).collect()  # bins, not events
+    tallies = counted.select(F.inline("tally")).groupBy("key").agg(F.sum("events"), F.sum("pair"), F.sum("single")).collect()  # bins, not events
     weights = learn_weights([tuple(t) for t in tallies], words)
     scored = _score_blocks(counted, weights, n_train, words).groupBy("doc_id", "rid")
     return scored.agg(*[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")]).withColumn("train_tokens", F.lit(n_train).cast("long"))

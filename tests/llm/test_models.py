@@ -76,16 +76,25 @@ def test_scores_follow_exact_weights(corpus):
         for a, b in zip([None, *ws], ws, strict=False):
             c1 = docs if a is None else c[a]
             k = int(math.log2(c1)) + 1 if c1 else 0
-            m = mixes.get(k)
-            if m is None:
-                continue
-            m = m.copy()
+            m = mixes[max(x for x in mixes if x <= k)].copy()  # a bucket without events takes the next smaller one's
             if not c1:
                 m[0] = 0
                 m /= m.sum()
             want += math.log10(m[0] * (pair[a, b] / c1 if c1 else 0) + m[1] * c[b] / n + m[2] / (v + 1))
-        if all((docs if a is None else c[a]) == 0 or int(math.log2(docs if a is None else c[a])) + 1 in mixes for a in [None, *ws]) and 0 in mixes:
-            assert r.score == pytest.approx(want, rel=0.02)
+        assert r.score == pytest.approx(want, rel=1e-3)
+
+
+def test_small_estimates_keep_apart():
+    p = 2.0 ** -np.arange(0, 60, 0.25)
+    assert (np.diff(lm._bin(p)) == 2).all() and lm._bin(np.array([0.0]))[0] == 0 < lm._bin(p)[0]
+
+
+def test_weights_of_a_corpus_of_any_size():
+    """Estimates far below one in four thousand million weigh what they are, against a uniform one that is smaller still."""
+    events = [(3, 1000, 0.0, 2.0**-40), (3, 1000, 0.0, 2.0**-44)]
+    tallies = [((b << 2 * lm.BIN_BITS) | int(lm._bin(np.array([x]))[0]), n, y * n, x * n) for b, n, y, x in events]
+    weights = lm.learn_weights(tallies, 2**50)
+    assert weights[3, 1] > 0.99
 
 
 def test_blocks_and_segments_change_nothing(corpus):
@@ -220,6 +229,25 @@ def test_search_of_odd_vectors(spark):
         assert [m[2] for m in mine] == sorted((m[2] for m in mine), reverse=True)
 
 
+def test_scores_come_from_the_vectors_as_they_came(spark):
+    """Doubles that differ beyond a float's precision."""
+    rows = [(i, [1.0 + i * 1e-12, 0.5]) for i in range(30)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in ann.search(ann.build_index(df, least_shards=2), df.where("vec_id % 20 = 0")).collect():
+        got[r.query_id].append((r.rank, r.vec_id, r.score))
+    for q, v in ((q, dict(rows)[q]) for q in (0, 20)):
+        want = sorted(((-(np.array(v) @ np.array(x)), i) for i, x in rows if i != q))[:20]
+        assert [(i, s) for _, i, s in sorted(got[q])] == [(i, pytest.approx(-s, rel=1e-15)) for s, i in want]
+
+
+def test_more_neighbours_than_the_index_keeps(spark):
+    df = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(50)], "vec_id long, embedding array<float>")
+    with pytest.raises(ValueError, match="keeps 21"):
+        ann.search(ann.build_index(df), df, k=21)
+    assert ann.search(ann.build_index(df, keep=41), df.where("vec_id = 0"), k=40).count() == 40
+
+
 def test_few_vectors(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (20, [0.0, 2.0]), (5, [3.0, 1.0])], "vec_id long, embedding array<float>")
     got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in ann.search(ann.build_index(df), df.where("vec_id % 20 = 0")).collect())
