@@ -2,8 +2,9 @@
 
 Documents come as a stream. What exceeds whole windows is an item; an item of
 size s goes to the fill level h whose change h -> h + s (or a new window) leaves the least
-sum of squared counts of partially filled windows, which a level array holds. Windows that
-stay open are bounded: beyond OPEN_WINDOWS an item is cut to close the fullest.
+sum of squared counts of partially filled windows, which a level array holds. Where an item doesn't fit, its first
+part may fill a window up; that is a choice like any other, at a price of CUT on the same sum.
+Counts of a level can't grow much beyond the price then, so open windows are bounded by it and the levels.
 Every task packs its own stream and leaves one window at most that isn't full.
 """
 
@@ -23,31 +24,38 @@ from glosswork.llm.common import bound_batches, table
 
 WINDOW = 1024
 END = 0
-OPEN_WINDOWS = 256
+#: What cutting an item costs, in the sum of squares.
+CUT = 8
 
 
 class Packer:
     """Packs a stream of id arrays; ``closed`` collects the pieces of windows that are full."""
 
-    def __init__(self, window: int = WINDOW, open_windows: int = OPEN_WINDOWS) -> None:
-        self.window, self.most = window, open_windows
+    def __init__(self, window: int = WINDOW, cut: int = CUT) -> None:
+        self.window, self.cut = window, cut
         self.count = np.zeros(window + 1, np.int64)  # windows at each level
         self.open: list[list[list]] = [[] for _ in range(window + 1)]  # their pieces
         self.n_open = self.sequences = 0
         self.closed: list[tuple] = []
 
     def level_for(self, size: int) -> int:
-        """Level to fill up (0: a new window) for the least sum of squares; ties go to the fullest."""
-        w = self.window
-        levels = self.count[1 : w - size + 1]
-        after = self.count[1 + size : w + 1].copy()
-        change = 2 * (after - levels + 1)
-        if len(change):
-            change[-1] = 1 - 2 * levels[-1]  # a window that is full leaves the count
-        change[levels == 0] = np.iinfo(np.int64).max
-        new = 2 * self.count[size] + 1
-        best = len(change) - 1 - int(np.argmin(change[::-1])) if len(change) else -1
-        return best + 1 if best >= 0 and change[best] <= new else 0
+        """Level to fill up (0: a new window) for the least sum of squares; ties go to a whole item, then to the fullest.
+
+        At a level that the item passes, its first part fills the window and the rest counts as a window of its own.
+        """
+        w, n = self.window, self.count
+        change = np.full(w, np.iinfo(np.int64).max)
+        change[0] = 2 * n[size] + 1
+        held = np.flatnonzero(n[1:w]) + 1
+        fits, over = held[held <= w - size], held[held > w - size]
+        change[fits] = 2 * (n[fits + size] - n[fits] + 1)
+        change[w - size] = 1 - 2 * n[w - size] if n[w - size] else change[w - size]  # a window that is full leaves the count
+        change[over] = 2 - 2 * n[over] + 2 * n[size + over - w] + self.cut
+        whole = change[: w - size + 1]
+        best = w - size - int(np.argmin(whole[::-1]))
+        if len(over) and change[over].min() < change[best]:
+            best = int(over[len(over) - 1 - int(np.argmin(change[over][::-1]))])
+        return best
 
     def add(self, key, ids: np.ndarray) -> None:
         w, start = self.window, 0
@@ -59,12 +67,10 @@ class Packer:
 
     def _place(self, key, start: int, ids: np.ndarray, total: int) -> None:
         level = self.level_for(len(ids))
-        if level == 0 and self.n_open >= self.most:
-            level = int(np.flatnonzero(self.count[: self.window])[-1])  # the fullest
-            if (gap := self.window - level) < len(ids):
-                self._put(level, key, start, ids[:gap], total)
-                return self._place(key, start + gap, ids[gap:], total)
-        self._put(level, key, start, ids, total)
+        gap = self.window - level
+        self._put(level, key, start, ids[:gap], total)
+        if gap < len(ids):
+            self._place(key, start + gap, ids[gap:], total)
 
     def _put(self, level: int, key, start: int, ids: np.ndarray, total: int) -> None:
         pieces: list = []
@@ -118,8 +124,8 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids.
 
     A document is its ids and the end id; a null or empty text is the end id alone, and
-    rows that repeat are packed each. No shuffle: each task packs the rows it reads, in bounded
-    memory, and a task run again does the same. sequence_id is the task's number above 33 bits
+    rows that repeat are packed each; an empty table gives no pieces. No shuffle: each task packs the rows it reads, in memory bounded by its open windows
+    and its longest text, and a task run again does the same. sequence_id is the task's number above 33 bits
     of the task's own count. Other columns are not read.
     """
     spark = docs.sparkSession
