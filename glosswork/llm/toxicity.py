@@ -29,8 +29,9 @@ TOXIC_DOCS, CLEAN_DOCS, TRAIN_CHARS = 2000, 4000, 10_000
 EPOCHS, BATCH, RATE = 8, 256, 0.01
 #: Steps that a small sample trains at least, by more epochs and smaller batches; and most epochs.
 LEAST_STEPS, MOST_EPOCHS = 350, 60
-#: Bytes of text scored at a time.
+#: Bytes of text scored at a time, and words of one text read at a time: a stride less than a window more than whole strides.
 SCORE_BYTES = 2 << 20
+SEGMENT = (1 << 17) + WINDOW - STRIDE
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _PAD_GATE = 30.0
@@ -162,11 +163,14 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.scale * logits + self.shift, -60, 60)))
 
     def logits(self, docs: list[list[bytes]]) -> np.ndarray:
-        """Highest window logit of each document."""
+        """Highest window logit of each document. A long one is read in segments whose windows are those of the whole."""
         if not docs:
             return np.zeros(0)
         if not self.weights:
             return np.zeros(len(docs))
+        parts = [segments(len(d)) for d in docs]
+        if max(map(len, parts)) > 1:
+            return np.array([max(float(self.logits([d[a:b]])[0]) for a, b in cut) for d, cut in zip(docs, parts, strict=True)])
         words, rows, first = windows(docs)
         return np.maximum.reduceat(self.each(self.table(words), rows), first)
 
@@ -174,6 +178,14 @@ class Model:
         return np.concatenate([self.run(x, rows[i : i + step]) for i in range(0, len(rows), step)])
 
 
+def segments(n: int, size: int = SEGMENT) -> list[tuple[int, int]]:
+    """Parts of a text of ``n`` words that overlap so that their windows together are the windows of the whole."""
+    begin = [0]
+    while begin[-1] + size < n:
+        begin.append(min(begin[-1] + size - WINDOW + STRIDE, (n - WINDOW) // STRIDE * STRIDE))
+    return [(a, min(a + size, n)) for a in begin]
+
+
 def windows(docs: list[list[bytes]]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """Distinct words, all overlapping windows as rows of word numbers, and each document's first window.
 
@@ -301,18 +313,26 @@ def held_out(doc_id, folds: int = 5):
 
 
 def training_sample(docs: DataFrame, labels: DataFrame) -> tuple[list[str], np.ndarray]:
-    """At most TOXIC_DOCS and CLEAN_DOCS labelled texts outside the held-out fold, chosen by a hash of doc_id."""
+    """At most TOXIC_DOCS and CLEAN_DOCS labelled texts outside the held-out fold, chosen by a hash of doc_id.
+
+    Labels without doc_id or class don't count, of several for one document the highest does. Null and longer texts (TRAIN_CHARS) don't train; of rows
+    that share a doc_id one does. Empty tables give no texts. Ids may be of any type; other columns are not read.
+    """
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~held_out(F.col("doc_id")))
     by_hash = [F.xxhash64("doc_id", F.lit(6)), F.col("doc_id")]
     some = known.where("toxic = 1").orderBy(*by_hash).limit(TOXIC_DOCS).unionByName(known.where("toxic = 0").orderBy(*by_hash).limit(CLEAN_DOCS))
-    chosen = docs.sparkSession.createDataFrame(some.collect(), "doc_id long, toxic int")  # bounded by the two parameters
+    kind = known.schema["doc_id"].dataType.simpleString()
+    chosen = docs.sparkSession.createDataFrame([(r[0], int(r[1])) for r in some.collect()], f"doc_id {kind}, toxic int")  # bounded by the two parameters
     got = docs.select("doc_id", "text").where(F.length("text") <= TRAIN_CHARS).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
     rows = sorted(got.select("doc_id", "text", "toxic").collect())
     return [r[1] for r in rows], np.array([r[2] for r in rows], np.float32)
 
 
 def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, score) of every row: whole texts, no shuffle. Null and blank texts score as an empty window."""
+    """(doc_id, score) of every row: whole texts, no shuffle. Null and blank texts score as an empty window.
+
+    Rows that repeat are scored each, texts of any length in segments, and an empty table gives an empty one. Other columns are not read.
+    """
     bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -334,7 +354,10 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
 
 
 def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``docs`` that score under 0.5, with all columns."""
+    """The rows of ``docs`` that score under 0.5, with all columns whatever their names; rows that repeat go or stay each.
+
+    Null and blank texts score as in ``score_documents``; an empty table stays empty.
+    """
     bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

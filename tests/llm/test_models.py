@@ -4,6 +4,7 @@ import math
 import random
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -144,6 +145,86 @@ def test_gradient():
         assert g[at] == pytest.approx((up - down) / 2e-3, rel=0.02, abs=1e-6)
 
 
+def plain_logit(m, words):
+    """The network read aloud: one window, one number at a time."""
+    w, size = m.weights, tox.HIDDEN
+    sigmoid = lambda x: 1 / (1 + math.exp(-x))
+    inputs = []
+    for word in words:
+        marked = b"^" + word + b"$"
+        codes = [((((marked[i] << 16) | (marked[i + 1] << 8) | marked[i + 2]) * 2654435761) % 2**32 >> 7) % tox.TRIGRAMS for i in range(len(word))]
+        inputs.append([sum(float(w["char"][c][k]) for c in codes) / len(codes) + float(w["word"][m.vocabulary.get(word, 0)][k]) for k in range(tox.EMBED)])
+    states = [[] for _ in words]
+    for d, order in (("f", range(len(words))), ("b", reversed(range(len(words))))):
+        h = [0.0] * size
+        for t in order:
+            given = [sum(x * float(w[f"x{d}"][i][j]) for i, x in enumerate(inputs[t])) + float(w[f"c{d}"][j]) for j in range(3 * size)]
+            own = [sum(h[i] * float(w[f"h{d}"][i][j]) for i in range(size)) for j in range(3 * size)]
+            reset = [sigmoid(given[j] + own[j]) for j in range(size)]
+            stay = [sigmoid(given[size + j] + own[size + j]) for j in range(size)]
+            new = [math.tanh(given[2 * size + j] + reset[j] * own[2 * size + j]) for j in range(size)]
+            h = [stay[j] * h[j] + (1 - stay[j]) * new[j] for j in range(size)]
+            states[t] += h
+    look = [sum(math.tanh(sum(s[i] * float(w["a"][i][k]) for i in range(2 * size)) + float(w["ab"][k])) * float(w["v"][k]) for k in range(tox.ATTEND)) for s in states]
+    share = [math.exp(x - max(look)) for x in look]
+    return sum(share[t] / sum(share) * states[t][i] * float(w["o"][i]) for t in range(len(words)) for i in range(2 * size)) + float(w["ob"][0])
+
+
+def test_network_equals_plain_loops():
+    m, rng = tox.Model.start({b"bad": 1, b"the": 2}, seed=3), random.Random(1)
+    m.weights["word"][:] = np.random.default_rng(5).standard_normal(m.weights["word"].shape)
+    words = [b"bad", b"the", b"a", "é".encode(), b"longerword", b"x9"]
+    for n in (1, 5, tox.WINDOW):
+        text = [rng.choice(words) for _ in range(n)]
+        assert m.logits([text])[0] == pytest.approx(plain_logit(m, text), abs=2e-4)
+    text = [rng.choice(words) for _ in range(90)]
+    starts = [*range(0, 90 - tox.WINDOW, tox.STRIDE), 90 - tox.WINDOW]
+    assert m.logits([text])[0] == pytest.approx(max(plain_logit(m, text[i : i + tox.WINDOW]) for i in starts), abs=2e-4)
+
+
+def test_segments_have_the_windows_of_the_whole():
+    starts = lambda a, b: {a + i for i in [*range(0, max(1, b - a - tox.WINDOW), tox.STRIDE), max(0, b - a - tox.WINDOW)]}
+    size = 4 * tox.STRIDE + tox.WINDOW - tox.STRIDE
+    for n in [*range(0, 400), 1000]:
+        cut = tox.segments(n, size)
+        assert all(b - a <= size for a, b in cut)
+        assert set().union(*(starts(a, b) for a, b in cut)) == starts(0, n)
+
+
+def test_a_long_text_is_read_whole(model, monkeypatch):
+    texts = ["c1 " * 700 + "vile scum vilest", "c2 " * 900, "vile scum " + "c1 " * 500]
+    whole = model.score(texts)
+    monkeypatch.setattr(tox, "segments", lambda n, cut=tox.segments: cut(n, 6 * tox.STRIDE + tox.WINDOW - tox.STRIDE))
+    assert model.score(texts) == pytest.approx(whole, abs=1e-5)
+    assert whole[0] > 0.5 > whole[1]
+
+
+SOME = Path("/root/testdata/sf0.1")
+
+
+@pytest.mark.skipif(not SOME.is_dir(), reason="no table with enough labels")
+def test_toxic_documents_of_the_held_out_fold(spark):
+    """Of held-out labelled documents, by the query itself. Some labels are wrong: what counts as toxic has a word that only toxic documents of the other folds have, and often."""
+    texts = {r.doc_id: tox.words_of(r.text) for r in spark.read.parquet(f"{SOME}/documents.parquet").collect()}
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{SOME}/labels.parquet").collect() if r.doc_id in texts}
+    got = {r.doc_id: r for r in queries.QUERIES["op6_toxicity"](spark, str(SOME)).collect()}
+    seen = {t: Counter(w for d, x in labels.items() if x == t and not got[d].held_out for w in set(texts[d])) for t in (0, 1)}
+    telling = {w for w, k in seen[1].items() if k >= 40 and seen[0][w] == 0}
+    held = [(t, not telling.isdisjoint(texts[d]), got[d].predicted) for d, t in labels.items() if got[d].held_out]
+    toxic, clean = [p for t, told, p in held if t == 1 and told], [p for t, _, p in held if t == 0]
+    assert len(telling) >= 5 and len(toxic) > 30
+    assert sum(toxic) >= 0.95 * len(toxic) and sum(clean) <= 0.03 * len(clean)
+
+
+def test_labels_of_any_key(spark):
+    docs = spark.createDataFrame([(str(i), f"text {i}") for i in range(40)] + [("3", "again"), (None, "x"), ("50", None)], "doc_id string, text string")
+    labels = spark.createDataFrame([(str(i), i % 2) for i in range(60)] + [(None, 1), ("1", None), ("2", 1)], "doc_id string, toxic int")
+    texts, toxic = tox.training_sample(docs, labels)
+    known = {str(i): int(i % 2 or i == 2) for i in range(40) if zlib.crc32(str(i).encode()) % 5}
+    assert len(texts) == len(known) and toxic.sum() == sum(known.values())
+    assert tox.training_sample(docs.where("false"), labels)[0] == tox.training_sample(docs, labels.where("false"))[0] == []
+
+
 def test_trigrams_stay_inside_words():
     code, begin = tox.trigrams([b"abc", b"d"])
     assert begin.tolist() == [0, 3] and len(code) == 4
