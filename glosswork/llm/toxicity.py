@@ -10,7 +10,7 @@ of labelled documents by choosing, epoch after epoch, each document's highest wi
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -186,7 +186,7 @@ def segments(n: int, size: int = SEGMENT) -> list[tuple[int, int]]:
     return [(a, min(a + size, n)) for a in begin]
 
 
-def windows(docs: list[list[bytes]]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+def windows(docs: Iterable[list[bytes]]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """Distinct words, all overlapping windows as rows of word numbers, and each document's first window.
 
     A text shorter than a window is padded by one past the last number; the last window ends with the text.
@@ -236,17 +236,16 @@ def train(texts: list[str], toxic: np.ndarray, seed: int = 6) -> Model:
     toxic = np.asarray(toxic, np.float32)
     if len(toxic) == 0 or toxic.min() == toxic.max():
         return Model(shift=float(-4 if len(toxic) == 0 else np.log((toxic.sum() + 0.5) / (len(toxic) - toxic.sum() + 0.5))))
-    docs = [words_of(t) for t in texts]
-    seen = Counter(w for d in docs for w in set(d))
+    seen = Counter(w for t in texts for w in set(words_of(t)))  # words are cut again below: all of them together would take the driver's memory
     frequent = sorted((w for w, k in seen.items() if k >= 5), key=lambda w: (-seen[w], w))[:WORDS]
     model = Model.start({w: i + 1 for i, w in enumerate(frequent)}, seed)
     rng = np.random.default_rng(seed)
     held = rng.random(len(texts)) < 0.2  # sets scale and shift, and the epoch that stays
     if len({*toxic[held]}) < 2 or len({*toxic[~held]}) < 2:
         held[:] = False
-    words, rows, first = windows(docs)
+    del seen
+    words, rows, first = windows(words_of(t) for t in texts)
     rows = rows.astype(np.int32)
-    del docs, seen
     last = np.append(first[1:], len(rows))
     use = np.flatnonzero(~held)
     moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in model.weights.items()}
