@@ -2,7 +2,7 @@
 
 All visible text comes out, in order. Blocks stand on lines of their own, with a
 blank line around paragraphs, headings, lists and tables; list items carry marks and
-indents; cells of a table line up in columns.
+indents; cells of a table line up in columns, those of several lines (lists, inner tables, wrapped text) line by line.
 """
 
 from __future__ import annotations
@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from glosswork.llm.common import bound_batches, table
 
-#: Columns wider than this are not padded, so that one long cell doesn't blow up its column.
-PAD_TO = 40
+#: Lines of cells are wrapped at this width, so that one long cell doesn't blow up its column.
+WRAP = 80
 
 _TOKEN = re.compile(
     r"<!--(?P<comment>.*?)(?:-->|\Z)|<[!?][^>]*+>|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>|<(?P<close2>/?)(?P<tag2>[a-zA-Z][^\s/>]*+)(?P<attrs2>[^>]*+)>", re.S
@@ -251,21 +251,41 @@ class Lines:
         return self.lines
 
 
-def align(rows: list[list[str]]) -> list[str]:
-    """Rows of cells as lines whose columns begin at the same place."""
+def wrapped(line: str) -> list[str]:
+    """A line of a cell as lines of at most WRAP characters, cut at spaces; its own indent goes on. A longer word stays whole."""
+    if len(line) <= WRAP:
+        return [line]
+    indent = line[: len(line) - len(line.lstrip(" "))]
+    out, now = [], indent
+    for word in line.split():
+        if now.strip() and len(now) + 1 + len(word) > WRAP:
+            out.append(now)
+            now = indent
+        now += (" " if now.strip() else "") + word
+    return [*out, now]
+
+
+def align(rows: list[list[list[str]]]) -> list[str]:
+    """Rows of cells, each of some lines, as lines whose columns begin at the same place."""
+    rows = [[[part for line in cell for part in wrapped(line)] for cell in row] for row in rows]
     width: list[int] = []
     for row in rows:
+        width += [0] * (len(row) - len(width))
         for i, cell in enumerate(row):
-            if i == len(width):
-                width.append(0)
-            width[i] = max(width[i], min(len(cell), PAD_TO))
-    return ["  ".join(c.ljust(w) for c, w in zip(row, width, strict=False)).rstrip() for row in rows if any(row)]
+            width[i] = max([width[i], *(min(len(line), WRAP) for line in cell)])
+    out = []
+    for row in rows:
+        for n in range(max(map(len, row), default=0)):
+            line = "  ".join((cell[n] if n < len(cell) else "").ljust(w) for cell, w in zip(row, width, strict=False)).rstrip()
+            if line:
+                out.append(line)
+    return out
 
 
 def render(root: Node) -> str:
     """Text of the visible nodes. The walk keeps its own stack, so nesting of any depth is fine."""
     out = [Lines()]
-    tables: list[list[list[str]]] = []
+    tables: list[list[list[list[str]]]] = []
     lists: list[list] = []
     pre = 0
     stack: list[tuple] = [("node", root)]
@@ -331,12 +351,12 @@ def render(root: Node) -> str:
             elif tag in ("ul", "ol", "menu"):
                 lists.pop()
             elif tag in ("td", "th") and tables:
-                cell = " ".join(x.strip() for x in out.pop().done() if x)
+                cell = [x for x in out.pop().done() if x]
                 if not tables[-1]:
                     tables[-1].append([])
                 span = node.attrs.get("colspan", "1")
                 span = min(int(span), 1000) if span.isdigit() and len(span) < 9 else 1
-                tables[-1][-1] += [cell] + [""] * (max(1, span) - 1)
+                tables[-1][-1] += [cell] + [[]] * (max(1, span) - 1)
                 continue
             elif tag == "dd":
                 here.finish()
@@ -359,7 +379,8 @@ def page_text(source: str | None) -> str:
 def extract(pages: DataFrame, html_col: str = "html", text_col: str = "text") -> DataFrame:
     """``pages`` with a column of visible text in place of the html. Null and empty pages give empty text; no shuffle.
 
-    A column already named like the result is replaced.
+    A column already named like the result is replaced, other columns stay whatever their names. Rows that repeat are rendered each, pages of any length
+    whole (one at a time, in memory in proportion to the page), and an empty table stays empty.
     """
     bound_batches(pages.sparkSession)
     keep = [c for c in pages.columns if c.lower() not in (html_col.lower(), text_col.lower())]

@@ -2,6 +2,9 @@
 
 import hashlib
 import random
+import re
+from collections import Counter
+from html.parser import HTMLParser
 
 import numpy as np
 import oracle
@@ -26,6 +29,9 @@ JSON, RANKS = tokenizers.path("byte_bpe_50k.json"), tokenizers.path("byte_bpe_50
         ("<ol start=9><li>x<li>y<br>z</ol>", "9. x\n10. y\n    z"),
         ("<table><tr><th>Name<th>N<tr><td>Apple<td>3<tr><td>Fig<td>12</table>", "Name   N\nApple  3\nFig    12"),
         ("<table><tr><td colspan=2>a<td>b<tr><td>c<td>dd<td>e</table>", "a      b\nc  dd  e"),
+        ("<table><tr><td>a<ul><li>x<li>y</ul><td>b<tr><td>c<td>d</table>", "a    b\n- x\n- y\nc    d"),
+        ("<table><tr><td><table><tr><td>1<td>22<tr><td>333<td>4</table><td>z</table>", "1    22  z\n333  4"),
+        ("<table><tr><td>" + "word " * 30 + "<td>n<tr><td>x<td>m</table>", ("word " * 16).strip() + "  n\n" + ("word " * 14).strip() + "\nx" + " " * 80 + "m"),
         ("<td>no table", "no table"),
         ("<pre>a\n  b</pre>c", "a\n  b\n\nc"),
         ("<head><title>t</title></head>x", "x"),
@@ -77,9 +83,54 @@ def test_extract_replaces_the_column(spark):
     assert extract(df.where("false")).count() == 0
 
 
+class Plain(HTMLParser):
+    """Words of a page by the library's own parser: a stack of open elements tells whether text is seen."""
+
+    UNSEEN = {"head", "script", "style", "template", "noscript", "iframe", "object", "audio", "video", "canvas", "svg", "title"}
+    VOID = {"br", "hr", "img", "input", "meta", "link", "col", "wbr", "area", "base", "embed", "source", "track", "param"}
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.open, self.words = [], []
+
+    def handle_starttag(self, tag, attrs):
+        if tag not in self.VOID:
+            given = {k: (v or "").replace(" ", "").lower() for k, v in attrs}
+            hidden = "hidden" in given or "display:none" in given.get("style", "") or "visibility:hidden" in given.get("style", "")
+            self.open.append((tag, hidden or tag in self.UNSEEN or tag == "dialog" and "open" not in given))
+
+    def handle_endtag(self, tag):
+        at = [i for i, (t, _) in enumerate(self.open) if t == tag]
+        if at:
+            del self.open[at[-1] :]
+
+    def handle_data(self, data):
+        if not any(hidden for _, hidden in self.open):
+            self.words += data.replace("\xa0", " ").split()
+
+
 def test_html_query(spark, small):
+    """All visible words and no others, marks of lists aside; blocks stand on their own lines."""
+    pages = {r.page_id: r.html for r in spark.read.parquet(f"{small}/pages.parquet").collect()}
     got = {r.page_id: r.text for r in queries.QUERIES["op3_html_layout"](spark, small).collect()}
-    assert got == {r.page_id: page_text(r.html) for r in spark.read.parquet(f"{small}/pages.parquet").collect()}
+    assert set(got) == set(pages)
+    mark = re.compile(r"-|\d+\.")
+    for k, page in pages.items():
+        plain = Plain()
+        plain.feed(page or "")
+        plain.close()
+        want, have = Counter(plain.words), Counter(got[k].split())
+        assert not want - have, k
+        assert all(mark.fullmatch(w) for w in have - want), k
+        for heading in re.findall(r"<h[1-6]>([^<>&]+)</h[1-6]>", page or ""):
+            assert " ".join(heading.split()) in [x.strip() for x in got[k].split("\n")] or not want[heading.split()[0]]
+
+
+def test_pages_of_any_size(spark):
+    long = "<p>" + "one two " * 200_000 + "<table>" + "<tr><td>a<td>b" * 20_000 + "</table>"
+    df = spark.createDataFrame([(1, long, 5), (1, long, 5), (2, None, None)], "page_id int, html string, lang int")
+    got = extract(df).collect()
+    assert [len(r.text.split()) for r in got if r.page_id == 1] == [440_000] * 2 and got[0].lang == 5
 
 
 @given(st.text(alphabet="<|\\aim_end>", max_size=40))
