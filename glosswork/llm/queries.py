@@ -19,4 +19,5 @@ QUERIES = {
 ORACLES = {
     "op4_exact_dedup": exact_dedup.OP4_SQL,
     "op7_chat_format": chat.OP7_SQL,
+    "op8_feistel_sharding": sharding.OP8_SQL,
 }

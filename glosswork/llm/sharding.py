@@ -3,56 +3,61 @@
 Rows are numbered 0..n-1 in a total order, the number is permuted by a keyed
 Feistel network with cycle walking, and the permuted number gives shard and
 slot by division. Anyone who knows n and the seed computes where a row went
-(``locate``) and which row lies in a place (``row_at``) without any table.
+(``locate``) and which row lies in a place (``row_at``) without any table. The same network
+is written for Spark (``permuted``), as plain long arithmetic, and for numpy.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glosswork.llm.common import bound_batches, fresh, materialise, table
+from glosswork.llm.common import fresh, materialise, table
 
 ROUNDS = 6
 SHARDS = 16
 SEED = 20
+#: A prime below 2^31 and two factors: products of residues fit a signed 64-bit integer.
+PRIME, FACTORS = 2_147_483_647, (1_103_515_245, 1_402_024_253)
+#: Steps of a walk that are tried before and after the first look; a step ends outside with a chance of less than one half.
+WALK = (6, 122)
 
 
-def _mix(x: np.ndarray, key: int) -> np.ndarray:
-    """A 64-bit finaliser, keyed by round and seed."""
-    with np.errstate(over="ignore"):
-        x = x + np.uint64(key)
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return x ^ (x >> np.uint64(31))
+def _keys(seed: int) -> list[int]:
+    return [((seed + 1) * 1_000_003 + (r + 1) * 15_485_863) * 48_271 % PRIME for r in range(ROUNDS)]
 
 
-def _keys(seed: int) -> list[int]:
-    return [(seed * 0x9E3779B97F4A7C15 + (r + 1) * 0xD1342543DE82EF95) % (1 << 64) for r in range(ROUNDS)]
+def _halves(n: int) -> tuple[int, int]:
+    """Bits of the left and the right half: together the fewest that hold n values."""
+    bits = max(2, (max(n, 2) - 1).bit_length())
+    if bits > 61:
+        raise ValueError("more rows than the network permutes")
+    return bits // 2, bits - bits // 2
 
 
-def _half(n: int) -> int:
-    """Bits of each half: the smallest even-width block that holds n values."""
-    return max(1, ((max(n, 2) - 1).bit_length() + 1) // 2)
+def _mix(x: np.ndarray, key: int) -> np.ndarray:
+    """A number below 2^31 from one below 2^31, by round and seed."""
+    x = (x * FACTORS[0] + key) % PRIME
+    x = ((x ^ (x >> 13)) * FACTORS[1] + key) % PRIME
+    return x ^ (x >> 16)
 
 
 def _walk(rows: np.ndarray, n: int, seed: int, back: bool) -> np.ndarray:
-    half, keys = _half(n), _keys(seed)
-    low = np.uint64((1 << half) - 1)
-    out = np.asarray(rows).astype(np.uint64)
+    """Rounds in turn change the left half by the right one and the right half by the left one, so halves may differ in width."""
+    (a, b), keys = _halves(n), list(enumerate(_keys(seed)))
+    out = np.array(rows, np.int64)
     todo = np.arange(len(out))
     while len(todo):  # a value that falls outside 0..n-1 is permuted again
-        left, right = out[todo] >> np.uint64(half), out[todo] & low
-        for key in reversed(keys) if back else keys:
-            if back:
-                left, right = right ^ (_mix(left, key) & low), left
+        left, right = out[todo] >> b, out[todo] & ((1 << b) - 1)
+        for r, key in reversed(keys) if back else keys:
+            if r % 2:
+                right = right ^ (_mix(left, key) & ((1 << b) - 1))
             else:
-                left, right = right, left ^ (_mix(right, key) & low)
-        out[todo] = (left << np.uint64(half)) | right
-        todo = todo[out[todo] >= np.uint64(n)]
-    return out.astype(np.int64)
+                left = left ^ (_mix(right, key) & ((1 << a) - 1))
+        out[todo] = (left << b) | right
+        todo = todo[out[todo] >= n]
+    return out
 
 
 def permute(rows: np.ndarray, n: int, seed: int = SEED) -> np.ndarray:
@@ -65,6 +70,35 @@ def unpermute(places: np.ndarray, n: int, seed: int = SEED) -> np.ndarray:
     return _walk(places, n, seed, back=True)
 
 
+def permuted(row: str, n: int, seed: int = SEED) -> Column:
+    """``permute`` of a column of row numbers as Spark expressions, which stay in the JVM."""
+    a, b = _halves(n)
+    let = lambda value, name, body: f"transform(array({value}), {name} -> {body})[0]"
+    mixed = lambda x, key: let(f"({x} * {FACTORS[0]}L + {key}) % {PRIME}L", "u", let(f"((u ^ shiftright(u, 13)) * {FACTORS[1]}L + {key}) % {PRIME}L", "w", "w ^ shiftright(w, 16)"))
+    keys = _keys(seed)
+    pairs = ", ".join(f"named_struct('a', {x}L, 'b', {y}L)" for x, y in zip(keys[::2], keys[1::2], strict=True))
+    two = let(f"s.l ^ ({mixed('s.r', 'k.a')} & {(1 << a) - 1}L)", "v", f"named_struct('l', v, 'r', s.r ^ ({mixed('v', 'k.b')} & {(1 << b) - 1}L))")  # both rounds of a pair of keys
+    once = lambda x: f"aggregate(array({pairs}), named_struct('l', shiftright({x}, {b}), 'r', {x} & {(1 << b) - 1}L), (s, k) -> {two}, s -> shiftleft(s.l, {b}) | s.r)"
+    walk = lambda start, times: f"aggregate(array_repeat(0, {times}), {start}, (x, i) -> if(x < {n}L, x, {once('x')}))"
+    at = let(walk(once(f"`{row}`"), WALK[0]), "y", f"if(y < {n}L, y, {walk('y', WALK[1])})")
+    return F.expr(let(at, "z", f"if(z < {n}L, z, raise_error('a walk did not come back'))"))
+
+
+def permuted_sql(row: str, n: str, left: str, right: str, steps: int = 64, seed: int = SEED) -> str:
+    """``permute`` as DuckDB SQL; ``left`` and ``right`` are columns that hold 2 to the bits of each half."""
+    let = lambda value, name, body: f"list_transform([{value}], lambda {name}: {body})[1]"
+    mixed = lambda x, key: let(f"({x} * {FACTORS[0]} + {key}) % {PRIME}", "u", let(f"(xor(u, u >> 13) * {FACTORS[1]} + {key}) % {PRIME}", "w", "xor(w, w >> 16)"))
+
+    def once(x: str) -> str:
+        step = f"{{'l': {x} // {right}, 'r': {x} % {right}}}"
+        for r, key in enumerate(_keys(seed)):
+            halves = ("s.l", f"xor(s.r, {mixed('s.l', key)} % {right})") if r % 2 else (f"xor(s.l, {mixed('s.r', key)} % {left})", "s.r")
+            step = let(step, "s", "{{'l': {}, 'r': {}}}".format(*halves))
+        return let(step, "s", f"s.l * {right} + s.r")
+
+    return f"list_reduce(range({steps}), lambda x, i: CASE WHEN x < {n} THEN x ELSE {once('x')} END, {once(row)})"
+
+
 def locate(row: int, n: int, shards: int = SHARDS, seed: int = SEED) -> tuple[int, int]:
     """(shard, slot) of a row number."""
     place = int(permute(np.array([row]), n, seed)[0])
@@ -112,21 +146,15 @@ def number_rows(df: DataFrame, order: list[str], name: str = "row_number") -> tu
 def shard_rows(df: DataFrame, order: list[str], shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """Add row_number, shard and slot: a reproducible shuffle into shards of at most one row's difference.
 
-    Columns of these names in ``df`` are replaced. Rows with nulls, empty texts
-    and repeated rows are rows like any other; an empty table stays empty.
+    Columns of these names in ``df`` are replaced. Rows with nulls, empty or long texts
+    and repeated rows are rows like any other; rows that tie on ``order`` may change places; an empty table stays empty.
     Slots are gapless from 0 in every shard.
     """
     df = df.drop(*[c for c in df.columns if c.lower() in ("row_number", "shard", "slot")])
-    bound_batches(df.sparkSession)
     numbered, n = number_rows(df, order)
-
-    @F.pandas_udf("long")
-    def place(rows: pd.Series) -> pd.Series:
-        return pd.Series(permute(rows.to_numpy(), n, seed))
-
     at = fresh(df, "_place")
     return (
-        numbered.withColumn(at, place("row_number"))
+        numbered.withColumn(at, permuted("row_number", max(n, 1), seed))
         .withColumn("shard", (F.col(at) % shards).cast("int"))
         .withColumn("slot", F.expr(f"`{at}` div {shards}"))
         .drop(at)
@@ -162,3 +190,16 @@ def op8_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"),
         "row_number",
     )
+
+
+OP8_SQL = f"""
+WITH t AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS t),
+d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+b AS (SELECT doc_id, len(h) // 2 + 1 AS size, list_transform(regexp_extract_all(h, '..'), lambda x: CAST('0x' || x AS BIGINT)) AS b, t FROM d, t),
+c AS (SELECT doc_id, size, xor(list_reduce(b, lambda c, v: xor(c >> 8, t[(xor(c, v) & 255) + 1]), 4294967295), 4294967295) AS text_crc32 FROM b),
+r AS (SELECT *, row_number() OVER (ORDER BY doc_id NULLS FIRST, size, text_crc32) - 1 AS row_number, count(*) OVER () AS n FROM c),
+w AS (SELECT *, greatest(2, len(bin(greatest(n, 2) - 1))) AS bits FROM r),
+p AS (SELECT *, CAST(2 ** (bits // 2) AS BIGINT) AS pl, CAST(2 ** (bits - bits // 2) AS BIGINT) AS pr FROM w),
+z AS (SELECT *, {permuted_sql("row_number", "n", "pl", "pr")} AS place FROM p)
+SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(place % {SHARDS} AS INTEGER) AS shard, place // {SHARDS} AS slot, CAST(NULL AS INTEGER) AS grown_shard, row_number FROM z
+"""

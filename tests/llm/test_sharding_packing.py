@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import oracle
 import pytest
 
 from glosswork.llm import packing as pk
@@ -24,6 +25,24 @@ def test_permutation(n):
         assert sd.row_at(*sd.locate(row, n, 4, 3), n, 4, 3) == row
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 1000, 65_537, (1 << 40) + 3, 1 << 61])
+def test_spark_permutes_like_numpy(spark, n):
+    rows = sorted({*range(min(n, 500)), *(n - 1 - i for i in range(min(n, 500)))})
+    df = spark.createDataFrame([(i,) for i in rows], "row long")
+    got = {r.row: r.place for r in df.select("row", sd.permuted("row", n, 3).alias("place")).collect()}
+    assert [got[i] for i in rows] == sd.permute(np.array(rows), n, 3).tolist()
+    assert sd.unpermute(np.array([got[i] for i in rows]), n, 3).tolist() == rows
+
+
+def test_more_rows_than_the_network_holds():
+    with pytest.raises(ValueError, match="more rows"):
+        sd.permute(np.arange(2), 1 << 62)
+
+
+def test_sharding_query_equals_sql(spark, small):
+    assert oracle.compare(spark, oracle.connect(small), small, queries.QUERIES["op8_feistel_sharding"], queries.ORACLES["op8_feistel_sharding"]) == ""
+
+
 def test_shards(spark):
     rows = [(None, "a", 9), (2, None, 9), (2, None, 9), (2, None, 9), *[(i, "t", 9) for i in range(40)]]
     df = spark.createDataFrame(rows, "doc_id int, text string, SLOT int").repartition(5)
