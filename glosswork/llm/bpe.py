@@ -134,25 +134,19 @@ def grow(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).reshape(-1).view(np.int32)
 
 
-def bundle(parts: list[bytes]) -> tuple[bytes, bytes]:
-    """(lengths, bytes) of byte strings, compressed."""
-    return shrink(np.fromiter(map(len, parts), np.int64, len(parts))), zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
-
-
 def unbundle(lengths: bytes, data: bytes) -> list[bytes]:
+    """Byte strings from their lengths and their bytes end to end, both compressed."""
     ends = np.cumsum(grow(lengths)).tolist()
     whole = zstandard.ZstdDecompressor().decompress(data, max_output_size=1 << 34)
     return [whole[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
 
-def by_hash(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, order) of parts; the same wherever it is worked out."""
-    hashes = np.array([xxhash.xxh64_intdigest(p) for p in parts], np.uint64)
-    return hashes, np.argsort(hashes, kind="stable")
-
+def _blocks(batches: Iterator[pa.RecordBatch], pattern: str, data: bytes, block_chars: int, ranges: int) -> Iterator[pa.RecordBatch]:
+    """A row for each block: its documents, each one's pieces by number, and the parts of its distinct pieces in the order of their hashes.
 
-def _blocks(batches: Iterator[pa.RecordBatch], pattern: str, data: bytes, block_chars: int) -> Iterator[pa.RecordBatch]:
-    """A row for each block: its documents, each one's pieces by number, and the parts of its distinct pieces."""
+    ``places`` says where each part went, ``cuts`` how many parts fall to each range.
+    """
+    bounds = np.array([(i << 64) // ranges for i in range(1, ranges)], np.uint64)
     cutter, key_type, task, count = _Cutter(pattern, data), pa.int64(), TaskContext.get().partitionId() << 32, 0
     number, docs, orders, chars = _Numbers(), [], [], 0
 
@@ -161,7 +155,12 @@ def _blocks(batches: Iterator[pa.RecordBatch], pattern: str, data: bytes, block_
         for word in number:
             parts += cutter.parts(word)
             begin.append(len(parts))
-        lengths, joined = bundle(parts)
+        hashes = np.array([xxhash.xxh64_intdigest(p) for p in parts], np.uint64)
+        order = np.argsort(hashes, kind="stable")
+        places = np.empty(len(order), np.int64)
+        places[order] = np.arange(len(order))
+        cuts = np.diff([0, *np.searchsorted(hashes[order], bounds).tolist(), len(order)])
+        parts = [parts[k] for k in order.tolist()]
         return pa.RecordBatch.from_arrays(
             [
                 pa.array([task + count]),
@@ -169,10 +168,12 @@ def _blocks(batches: Iterator[pa.RecordBatch], pattern: str, data: bytes, block_
                 pa.array([[len(o) for o in orders]], pa.list_(pa.int32())),
                 pa.array([shrink(np.concatenate(orders)) if orders else b""], pa.binary()),
                 pa.array([shrink(np.diff(begin))], pa.binary()),
-                pa.array([lengths], pa.binary()),
-                pa.array([joined], pa.binary()),
+                pa.array([shrink(places)], pa.binary()),
+                pa.array([shrink(cuts)], pa.binary()),
+                pa.array([shrink(np.fromiter(map(len, parts), np.int64, len(parts)))], pa.binary()),
+                pa.array([zstandard.ZstdCompressor(level=1).compress(b"".join(parts))], pa.binary()),
             ],
-            names=["block", "docs", "sizes", "orders", "split", "lengths", "parts"],
+            names=["block", "docs", "sizes", "orders", "split", "places", "cuts", "lengths", "parts"],
         )
 
     for batch in batches:
@@ -190,17 +191,17 @@ def _blocks(batches: Iterator[pa.RecordBatch], pattern: str, data: bytes, block_
         yield out()
 
 
-def _asks(batches: Iterator[pa.RecordBatch], ranges: int) -> Iterator[pa.RecordBatch]:
+def _asks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each block and range of hashes: the block's parts there."""
-    bounds = np.array([(i << 64) // ranges for i in range(1, ranges)], np.uint64)
     for batch in batches:
         for i in range(batch.num_rows):
-            parts = unbundle(batch.column("lengths")[i].as_py(), batch.column("parts")[i].as_py())
-            hashes, order = by_hash(parts)
-            ends = [*np.searchsorted(hashes[order], bounds).tolist(), len(parts)]
-            rows, order, cut = [], order.tolist(), [0, *ends]
-            for r in np.flatnonzero(np.diff(cut)).tolist():  # a cell holds a part at least, so cells never outnumber them
-                rows.append((r, batch.column("block")[i].as_py(), *bundle([parts[k] for k in order[cut[r] : cut[r + 1]]])))
+            block, cuts, lengths = batch.column("block")[i].as_py(), grow(batch.column("cuts")[i].as_py()), grow(batch.column("lengths")[i].as_py())
+            whole = zstandard.ZstdDecompressor().decompress(batch.column("parts")[i].as_py(), max_output_size=1 << 34)
+            ends, at = np.cumsum(cuts).tolist(), np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
+            pack, rows = zstandard.ZstdCompressor(level=1).compress, []
+            for r in np.flatnonzero(cuts).tolist():  # a cell holds a part at least, so cells never outnumber them
+                a, b = ends[r] - int(cuts[r]), ends[r]
+                rows.append((r, block, shrink(lengths[a:b]), pack(whole[at[a] : at[b]])))
             kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate(kinds)], names=["range", "block", "lengths", "parts"])
 
@@ -256,7 +257,9 @@ def _finish(block: pa.Table, replies: pa.Table, by_id: list[bytes], with_ids: bo
     cols: list[list] = [[] for _ in names]
     text = list(map(str, range(len(by_id))))
     for row in block.to_pylist():
-        order = by_hash(unbundle(row["lengths"], row["parts"]))[1]
+        places = grow(row["places"])
+        order = np.empty(len(places), np.int64)
+        order[places] = np.arange(len(places))
         cells = sorted(zip(replies.column("range").to_pylist(), replies.column("counts").to_pylist(), replies.column("ids").to_pylist(), strict=True))
         n = np.concatenate([grow(c[1]) for c in cells]) if cells else np.zeros(0, np.int32)
         if len(n) != len(order):
@@ -311,9 +314,10 @@ def encode(docs: DataFrame, ranks_file: str, pattern: str, id_col: str = "doc_id
     key_type = to_arrow_type(kind)
     kind = kind.simpleString()
     blocks = rows.mapInArrow(
-        lambda b: _blocks(b, pattern, file.value, block_chars), f"block long, docs array<{kind}>, sizes array<int>, orders binary, split binary, lengths binary, parts binary"
+        lambda b: _blocks(b, pattern, file.value, block_chars, ranges),
+        f"block long, docs array<{kind}>, sizes array<int>, orders binary, split binary, places binary, cuts binary, lengths binary, parts binary",
     ).repartition(ranges, "block")  # one exchange, read for the asks and again for the documents
-    asks = blocks.mapInArrow(lambda b: _asks(b, ranges), "range int, block long, lengths binary, parts binary")
+    asks = blocks.mapInArrow(_asks, "range int, block long, lengths binary, parts binary")
     distinct = asks.repartition(ranges, "range").groupBy("range").applyInArrow(
         lambda t: _distinct(t, byte_ids), "range int, words array<array<int>>, blocks array<long>, who array<binary>, long array<binary>, long_at array<int>"
     )
