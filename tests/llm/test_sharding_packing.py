@@ -147,6 +147,26 @@ def test_same_ids_as_the_library(spark, small):
         assert vocab.encode_like_tokenizers(data, r.text) == t.encode(r.text, add_special_tokens=False).ids
 
 
+def test_a_text_the_matcher_gives_up_on_goes_to_the_library(monkeypatch):
+    tokenizers = pytest.importorskip("tokenizers")
+    data, text = open(TOKENIZER, "rb").read(), "a b"
+
+    class Broken:
+        def __init__(self, error):
+            self.error = error
+
+        def encode_ordinary(self, text):
+            raise self.error
+
+    panic = type("PanicException", (BaseException,), {"__module__": "pyo3_runtime"})
+    monkeypatch.setattr(vocab, "encoding", lambda *a: Broken(panic("stack")))
+    assert vocab.encode_like_tokenizers(data, text) == tokenizers.Tokenizer.from_file(TOKENIZER).encode(text, add_special_tokens=False).ids
+    for other in (ValueError("x"), KeyboardInterrupt(), GeneratorExit()):
+        monkeypatch.setattr(vocab, "encoding", lambda *a, e=other: Broken(e))
+        with pytest.raises(type(other)):
+            vocab.encode_like_tokenizers(data, text)
+
+
 def test_packing_query(spark, small):
     got = queries.QUERIES["op2_sum_of_squares_packing"](spark, small).collect()
     tokens = {r.doc_id: r.doc_tokens for r in got}
