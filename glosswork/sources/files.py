@@ -1,4 +1,4 @@
-"""File sources and sinks: JSON lines, CSV with a byte-order mark, mixed folders, captions, paged services."""
+"""File sources and sinks: JSON lines, CSV with a byte-order mark, mixed folders, PDF, captions, paged services."""
 
 from __future__ import annotations
 
@@ -99,6 +99,43 @@ def read_mixed(spark: SparkSession, folder: str, ids: tuple[str, ...] = ("doc_id
     return rows.select(F.coalesce(get(ids), F.concat("stem", F.lit("#"), "i")).alias("doc_id"), get(texts).alias("text"), F.col("path").alias("file")).where("text is not null")
 
 
+def _pdf_pages(content: bytes) -> list[str]:
+    try:
+        from pypdf import PdfReader
+    except ImportError as e:
+        raise ImportError("reading PDF needs pypdf or another function in its place") from e
+    import io
+
+    return [page.extract_text() or "" for page in PdfReader(io.BytesIO(content)).pages]
+
+
+def read_pdf(spark: SparkSession, folder: str, pages=_pdf_pages) -> DataFrame:
+    """(file, page, line_number, line) of the .pdf files under a folder, pages and lines from 1; blank lines go, a file that can't be read raises with its name.
+
+    ``pages(content)`` gives the texts of a file's pages; the default needs pypdf on the executors. A page's lines leave a task before
+    the next page's are cut.
+    """
+    ship(spark)
+    names = ["file", "page", "line_number", "line"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(batch.column("path"), batch.column("content"), strict=True):
+                try:
+                    texts = pages(content.as_py())
+                except ImportError:
+                    raise
+                except Exception as e:
+                    raise ValueError(f"{path.as_py()}: not readable: {e}") from e
+                for p, text in enumerate(texts, 1):
+                    found = [(n, x.strip()) for n, x in enumerate((text or "").splitlines(), 1) if x.strip()]
+                    cols = [pa.array([path.as_py()] * len(found), pa.string()), pa.array([p] * len(found), pa.int32()), pa.array([n for n, _ in found], pa.int32()), pa.array([x for _, x in found], pa.string())]
+                    yield pa.RecordBatch.from_arrays(cols, names=names)
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.pdf").load(folder)
+    return files.select("path", "content").mapInArrow(run, "file string, page int, line_number int, line string")
+
+
 _TIMING = r"^\s*((?:\d{2,}:)?\d{2}:\d{2}\.\d{3})\s+-->\s+((?:\d{2,}:)?\d{2}:\d{2}\.\d{3})"
 
 

@@ -95,6 +95,17 @@ def test_paged(spark, tmp_path):
     assert files.paged(spark, 0, fetch, "id long, name string").count() == 0
 
 
+def test_pdf_lines(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "a.pdf").write_bytes(b"one\n\n two \fthree")
+    (tmp_path / "in" / "b.pdf").write_bytes(b"")
+    (tmp_path / "c.txt").write_bytes(b"not read")
+    got = files.read_pdf(spark, str(tmp_path), lambda content: content.decode().split("\f"))
+    assert sorted((r.file.rsplit("/", 1)[1], r.page, r.line_number, r.line) for r in got.collect()) == [("a.pdf", 1, 1, "one"), ("a.pdf", 1, 3, "two"), ("a.pdf", 2, 1, "three")]
+    with pytest.raises(Exception, match=r"(a|b)\.pdf: not readable"):
+        files.read_pdf(spark, str(tmp_path), lambda content: content.decode()[99].split()).collect()
+
+
 def test_stream_gives_what_the_table_gives(spark, tmp_path):
     cues = spark.createDataFrame([(d, i, w.split()) for d in (1, 2) for i, w in enumerate(("A", "A B", "B C", ""))], "doc_id int, cue int, words array<string>")
     cues.coalesce(1).write.parquet(f"{tmp_path}/in")
