@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from glosswork.operators.durable import written
+from glosswork.operators.sampling import running
+
 #: Default threshold of each gate signal, and the two bounds of the bands.
 GATE_THRESHOLDS = {"score_gap": 0.024, "top1_minus_top2": 0.011, "top1_minus_top5": 0.0183}
 REFUSE_BELOW, ANSWER_FROM = 0.018, 0.024
@@ -104,14 +107,15 @@ def outcome(rows: DataFrame, cutoff: int = 5) -> DataFrame:
 def sweep(values: DataFrame, thresholds: DataFrame) -> DataFrame:
     """For each threshold, how many found values stay (value >= threshold) and how many absent ones go.
 
-    ``values`` has value and found (boolean). Values are pre-aggregated, sorted once and met with the
-    thresholds through running sums, so no pair of value and threshold is formed.
+    ``values`` has value and found (boolean). Values are pre-aggregated, sorted once by ranges and met with the
+    thresholds through running sums, so no pair of value and threshold is formed and no task holds all values.
     """
     marks = thresholds.select(F.col("threshold").alias("v"), F.lit(0).alias("f"), F.lit(0).alias("a"), F.lit(True).alias("mark")).distinct()
-    points = values.groupBy("value", "found").count().select(F.col("value").alias("v"), F.when(F.col("found"), F.col("count")).otherwise(0).alias("f"), F.when(~F.col("found"), F.col("count")).otherwise(0).alias("a"), F.lit(False).alias("mark"))
-    before = Window.orderBy("v", F.desc("mark")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = values.agg(F.count_if("found").alias("found_total"), F.count_if(~F.col("found")).alias("absent_total"))
-    run = marks.unionByName(points).select("v", "mark", F.sum("f").over(before).alias("below_found"), F.sum("a").over(before).alias("below_absent")).where("mark")
+    counted = written(values.groupBy("value", "found").count())
+    points = counted.select(F.col("value").alias("v"), F.when(F.col("found"), F.col("count")).otherwise(0).alias("f"), F.when(~F.col("found"), F.col("count")).otherwise(0).alias("a"), F.lit(False).alias("mark"))
+    total = lambda c: F.coalesce(F.sum(F.when(c, F.col("count"))), F.lit(0))
+    whole = counted.agg(total(F.col("found")).alias("found_total"), total(~F.col("found")).alias("absent_total"))
+    run = running(marks.unionByName(points), ["f", "a"], "v", F.desc("mark")).where("mark").select("v", F.col("upto_f").alias("below_found"), F.col("upto_a").alias("below_absent"))
     return run.crossJoin(F.broadcast(whole)).select(F.col("v").alias("threshold"), (F.col("found_total") - F.col("below_found")).alias("kept"), "found_total", F.col("below_absent").alias("blocked"), "absent_total")
 
 

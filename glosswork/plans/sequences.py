@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from glosswork.functions import text as tx
 from glosswork.operators import intervals as iv
 from glosswork.operators import sequence as sq
+from glosswork.operators.sampling import running
 from glosswork.plans.text import _SENT, lines, sentences
 from glosswork.sources.tables import table
 
@@ -245,9 +246,8 @@ def front_matter(spark, d):
 def duration_stats(spark, d):
     """Sum, upper median and count of the long ones, over lengths; the median by rank, without gathering values."""
     n = _docs(spark, d).groupBy("n_chars").count()
-    below = F.sum("count").over(Window.orderBy("n_chars").rowsBetween(Window.unboundedPreceding, 0))
     total = n.agg(F.sum("count").alias("total"), F.sum(F.col("n_chars") * F.col("count")).alias("chars"), F.sum(F.when(F.col("n_chars") >= 600, F.col("count")).otherwise(0)).alias("long"))
-    middle = n.withColumn("below", below).crossJoin(F.broadcast(total)).where("below > total div 2").agg(F.min("n_chars").alias("median"))
+    middle = running(n, ["count"], "n_chars").crossJoin(F.broadcast(total)).where("upto_count > total div 2").agg(F.min("n_chars").alias("median"))
     return total.crossJoin(F.broadcast(middle)).select(F.col("total").alias("n"), "chars", "median", "long")
 
 

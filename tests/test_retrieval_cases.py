@@ -96,6 +96,17 @@ def test_sweep_equals_counting(spark):
     assert {r.threshold: (r.kept, r.blocked) for r in got.collect()} == want
 
 
+def test_sweep_over_many_values_and_none(spark):
+    rng = random.Random(4)
+    values = [(rng.randrange(300) / 100, rng.random() < 0.4) for _ in range(2000)]
+    marks = [i / 50 - 0.1 for i in range(170)]
+    shape = spark.createDataFrame(marks, "double").toDF("threshold")
+    rows = spark.createDataFrame(values, "value double, found boolean")
+    want = {t: (sum(f and v >= t for v, f in values), sum(not f and v < t for v, f in values)) for t in marks}
+    assert {r.threshold: (r.kept, r.blocked) for r in ev.sweep(rows, shape).collect()} == want
+    assert {(r.kept, r.found_total, r.blocked, r.absent_total) for r in ev.sweep(rows.where("false"), shape).collect()} == {(0, 0, 0, 0)}
+
+
 def test_nearest_rank_rounds_half_to_even(spark):
     r = ev.nearest_rank(spark.createDataFrame([("a", x) for x in range(6)], "g string, v int"), "g", "v").first()
     assert (r.p10, r.p25, r.p50, r.p75) == (0, 1, 2, 4)  # 0.5, 1.25, 2.5, 3.75
