@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from glosswork.llm import ann, bpe, chat, exact_dedup, html_text, lm, packing, periodic, sharding, simhash, toxicity
+from glosswork.llm import align, ann, bpe, chat, exact_dedup, html_text, lm, packing, periodic, sharding, simhash, toxicity
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_feistel_sharding": sharding.op8_feistel_sharding,
     "op9_pruned_graph_search": ann.op9_pruned_graph_search,
     "op10_byte_bpe": bpe.op10_byte_bpe,
+    "op11_event_sweep": align.op11_event_sweep,
     "op12_periodic_runs": periodic.op12_periodic_runs,
 }
 ORACLES = {

@@ -100,3 +100,14 @@ def _library(data: bytes):
     if key not in _built:
         _built[key] = Tokenizer.from_str(data.decode())
     return _built[key]
+
+
+def plain_library(data: bytes):
+    """The library's tokenizer, for which strings of reserved entries within a text are plain text."""
+    from tokenizers import Tokenizer
+
+    key = ("plain library", _digest(data))
+    if key not in _built:
+        _built[key] = Tokenizer.from_str(data.decode())
+        _built[key].encode_special_tokens = True
+    return _built[key]
