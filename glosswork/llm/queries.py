@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from glosswork.llm import align, ann, bpe, chat, exact_dedup, html_text, lm, packing, periodic, sharding, simhash, toxicity
+from glosswork.llm import align, ann, bpe, chat, exact_dedup, html_text, langid, lm, packing, periodic, sharding, simhash, toxicity
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_byte_bpe": bpe.op10_byte_bpe,
     "op11_event_sweep": align.op11_event_sweep,
     "op12_periodic_runs": periodic.op12_periodic_runs,
+    "op13_viterbi_language": langid.op13_viterbi_language,
 }
 ORACLES = {
     "op4_exact_dedup": exact_dedup.OP4_SQL,
