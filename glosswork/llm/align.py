@@ -33,11 +33,11 @@ FRAME = 1 << 16
 #: Characters of text for each partition of the sweep; there are as many at least as shuffle partitions.
 PART_CHARS = 16 << 20
 #: Distinct links of a block's documents, at least and at most (blocks grow with the corpus, so that it makes about BLOCKS of them); a document lies in one block.
-BLOCK_LINKS, MOST_BLOCK_LINKS, BLOCKS = 4_000_000, 12_000_000, 4096
+BLOCK_LINKS, MOST_BLOCK_LINKS, BLOCKS = 3_000_000, 8_000_000, 4096
 #: Links of the corpus for each range of hashes; there are as many at least as shuffle partitions.
 RANGE_LINKS = 20_000_000
-#: Bytes of text that are encoded at a time.
-GROUP_BYTES = 1 << 20
+#: Characters of text that are encoded at a time, and bytes of packed events that are swept at a time; a longer text or frame is taken alone.
+GROUP_CHARS, SWEPT_BYTES = 1 << 20, 1 << 19
 #: Links of one group beyond which its pairs are counted by distinct ids instead of listed.
 LISTED = 4096
 #: Ids lie below this.
@@ -46,6 +46,8 @@ A, B = 0, 1
 
 Encoder = Callable[[list[str]], list[list[int]]]
 
+_SQUEEZE, _EXPAND = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()  # one of each for a process: their buffers cost more than a frame
+
 
 def byte_side(data: bytes) -> tuple[Encoder, list[bytes]]:
     """A byte-level tokenizer file as an encoder of space + text, strings of reserved entries being plain text, and the bytes of its ids."""
@@ -86,13 +88,13 @@ def _pack(ends: np.ndarray, ids: np.ndarray) -> bytes:
     head = np.array([len(ends), steps[0] if len(steps) else 0, wide], np.int64).tobytes()
     rest = steps[1:].astype(np.uint32 if wide else np.uint8)
     low, high = (ids & 255).astype(np.uint8), (ids >> 8).astype(np.uint8)
-    return head + zstandard.ZstdCompressor(level=1).compress(rest.tobytes() + low.tobytes() + high.tobytes())
+    return head + _SQUEEZE.compress(rest.tobytes() + low.tobytes() + high.tobytes())
 
 
 def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Ends and ids of a frame."""
     n, first, wide = np.frombuffer(data, np.int64, 3).tolist()
-    raw = zstandard.ZstdDecompressor().decompress(data[24:], max_output_size=1 << 30)
+    raw = _EXPAND.decompress(data[24:], max_output_size=1 << 30)
     kind = np.dtype(np.uint32 if wide else np.uint8)
     cut = (n - 1) * kind.itemsize
     ends = np.cumsum(np.concatenate([[first], np.frombuffer(raw, kind, n - 1)]).astype(np.int64))
@@ -113,7 +115,7 @@ def _events(docs: DataFrame, a_file, b_file, id_col: str, text_col: str, frame_b
             i = 0
             while i < batch.num_rows:
                 group, size, first = [], 0, i
-                while i < batch.num_rows and (not group or size < GROUP_BYTES):
+                while i < batch.num_rows and (not group or size < GROUP_CHARS):
                     group.append(texts[i].as_py() or "")
                     size += len(group[-1])
                     i += 1
@@ -123,12 +125,13 @@ def _events(docs: DataFrame, a_file, b_file, id_col: str, text_col: str, frame_b
                 for k, text in enumerate(group, first):
                     rid, found = rids[k].as_py(), next(at) if text else ([], [])
                     whole = b" " + text.encode()
-                    if not text or any(b"".join(map(by_id.__getitem__, ids)) != whole for ids, (_, by_id) in zip(found, sides, strict=True)):
-                        out.append((rid, k, 0, A, b""))
+                    ids_of = [np.array(ids, np.int32) for ids in found]
+                    ends_of = [np.cumsum(n[ids]) for n, ids in zip(lengths, ids_of, strict=True)]
+                    if not text or any(ends[-1] != len(whole) or (check and b"".join(map(by_id.__getitem__, ids)) != whole) for ends, ids, (_, by_id), check in zip(ends_of, found, sides, (False, True), strict=True)):
+                        out.append((rid, k, 0, A, b""))  # A's tokens are cut from the text's bytes: their length tells
                         continue
                     for side in (A, B):
-                        ids = np.array(found[side], np.int32)
-                        ends = np.cumsum(lengths[side][ids])
+                        ids, ends = ids_of[side], ends_of[side]
                         if len(whole) <= frame_bytes:
                             out.append((rid, k, 0, side, _pack(ends, ids)))
                             continue
@@ -169,6 +172,17 @@ def close(ends_a: np.ndarray, a: np.ndarray, ends_b: np.ndarray, b: np.ndarray)
     return done, (ends_a[i:], a[i:], ends_b[j:], b[j:])
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The frames of some SWEPT_BYTES at a time."""
+    for batch in batches:
+        ends = np.cumsum([len(x.as_buffer()) for x in batch.column("events")])
+        i = 0
+        while i < batch.num_rows:
+            j = max(i + 1, int(np.searchsorted(ends, SWEPT_BYTES + (ends[i - 1] if i else 0), "right")))
+            yield batch.slice(i, j - i)
+            i = j
+
+
 def _swept(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[tuple], np.ndarray, Closed]]:
     """The machine: frames in order of document and offset become closed groups.
 
@@ -178,9 +192,8 @@ def _swept(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[tuple], np.
     none = (np.zeros(0, np.int64), np.zeros(0, np.int32))
     open_, doc, base = (*none, *none), None, 0  # the document that is being read, and what its offsets are shifted by
 
-    for batch in batches:
-        rids, ats = batch.column("rid").to_pylist(), batch.column("at").to_pylist()
-        keys, sides, events = batch.column("doc_id"), batch.column("side").to_pylist(), batch.column("events")
+    for batch in _slices(batches):
+        rids, keys, sides, events = batch.column("rid").to_pylist(), batch.column("doc_id"), batch.column("side").to_pylist(), batch.column("events")
         docs, bases, parts, top = [], [], ([open_[0:2]], [open_[2:4]]), int(max([base, *open_[0][-1:], *open_[2][-1:]]))
         if doc is not None:
             docs.append(doc)
