@@ -27,6 +27,8 @@ from glosswork.llm.common import bound_batches, table
 TRAIN_DOCS = 1000
 #: Hashed trigrams, at most; fewer if there are so many languages that the table would pass MODEL_BYTES.
 TRIGRAMS, MODEL_BYTES = 1 << 16, 32 << 20
+#: Parts that a language's rows are drawn from.
+SALTS = 64
 #: Tasks that count the sample.
 COUNTING_TASKS = 16
 #: Least share of a language's letters that a script must have to be one of its scripts.
@@ -183,8 +185,10 @@ def train(docs: DataFrame, lang: str = "lang", id_col: str = "doc_id", text_col:
     spark = docs.sparkSession
     bound_batches(spark)
     rows = docs.select(F.xxhash64(F.col(id_col).cast("string")).alias("draw"), F.col(lang).cast("string").alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("draw"))
-    drawn = rows.select("lang", "draw").withColumn("rank", rank).where(F.col("rank") <= per_language).select("lang", "draw").distinct()
+    drawn = rows.select("lang", "draw").withColumn("salt", F.pmod("draw", F.lit(SALTS)))
+    for part in (["lang", "salt"], ["lang"]):  # the lowest of each salt first, so that the last sort of a language meets SALTS times as many rows as are drawn, at most
+        drawn = drawn.withColumn("rank", F.row_number().over(Window.partitionBy(*part).orderBy("draw"))).where(F.col("rank") <= per_language)
+    drawn = drawn.select("lang", "draw").distinct()
     sample = rows.join(F.broadcast(drawn), ["lang", "draw"]).select("lang", "text").repartition(COUNTING_TASKS)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
