@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from glosswork.operators.scan import HOT_ROWS, Scan, latest, previous, running
 
 def overlap_join(left: DataFrame, right: DataFrame, key: str, bin_size: int) -> DataFrame:
     """Pairs of (key, id, start, end) and (key, other_id, other_start, other_end) that share more than an instant.
@@ -61,22 +62,27 @@ def assign(segments: DataFrame, chapters: DataFrame, key: str, bin_size: int) ->
     return found.select(key, "id", "start", "end", index.alias("chapter_index"), F.when(index.isNotNull(), F.coalesce(-F.col("best.lap"), F.lit(0))).alias("overlap"))
 
 
-def as_of(points: DataFrame, events: DataFrame, key: str, at: str, value: str) -> DataFrame:
+def as_of(points: DataFrame, events: DataFrame, key: str, at: str, value: str, hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """Each point with the value of the latest event of its key at or before it, null if there is none.
 
-    ``points`` and ``events`` both have key and ``at``; one sort of their union, no pair is formed.
+    ``points`` and ``events`` both have key and ``at``; a scan of their union, no pair is formed. A key of more than ``hot_rows`` rows is
+    read in ranges of time.
     """
     both = points.withColumn("_kind", F.lit(1)).unionByName(events.select(key, at, F.col(value).alias("_value"), F.lit(0).alias("_kind")), allowMissingColumns=True)
-    run = Window.partitionBy(key).orderBy(at, "_kind").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn(value, F.last("_value", ignorenulls=True).over(run)).where("_kind = 1").drop("_kind", "_value")
+    scan = Scan(both, key, [at, "_kind"], hot_rows)
+    return scan.done(latest(scan, scan.rows, "_value", value)).where("_kind = 1").drop("_kind", "_value")
 
 
-def merge(spans: DataFrame, key: str) -> DataFrame:
-    """Unions of overlapping or touching (key, start, end): start, end and how many were merged."""
-    order = Window.partitionBy(key).orderBy("start", "end")
-    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    island = F.sum(F.when(F.col("start") <= reach, 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    return spans.withColumn("_island", island).groupBy(key, "_island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count(F.lit(1)).alias("parts")).drop("_island")
+def merge(spans: DataFrame, key: str, hot_rows: int | None = HOT_ROWS) -> DataFrame:
+    """Unions of overlapping or touching (key, start, end): start, end and how many were merged.
+
+    The reach of all earlier spans is carried from range to range of a key of more than ``hot_rows`` spans, and so is the number of the island.
+    """
+    scan = Scan(spans.select(key, "start", "end"), key, ["start", "end"], hot_rows)
+    reached = running(scan, scan.rows, "end", "_reach", "max", before=True)
+    marked = reached.withColumn("_new", F.when(F.col("start") <= F.col("_reach"), 0).otherwise(1))
+    numbered = running(scan, marked, "_new", "_island")
+    return numbered.groupBy(key, "_island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count(F.lit(1)).alias("parts")).drop("_island")
 
 
 def cut(text: DataFrame, spans: DataFrame) -> DataFrame:
@@ -91,7 +97,8 @@ def cut(text: DataFrame, spans: DataFrame) -> DataFrame:
     return text.join(cuts, "id", "left").select("id", F.when(F.col("cuts").isNull(), F.col("text")).otherwise(pieces).alias("text"))
 
 
-def gaps(rows: DataFrame, key: str, start: str, end: str, least: int) -> DataFrame:
-    """Add gap (to the end of the row before) and soft_before: whether it is ``least`` or more."""
-    gap = F.col(start) - F.lag(end).over(Window.partitionBy(key).orderBy(start, end))
-    return rows.withColumn("gap", gap).withColumn("soft_before", F.coalesce(gap >= least, F.lit(False)))
+def gaps(rows: DataFrame, key: str, start: str, end: str, least: int, hot_rows: int | None = HOT_ROWS) -> DataFrame:
+    """Add gap (to the end of the row before) and soft_before: whether it is ``least`` or more. A key of more than ``hot_rows`` rows is read in ranges."""
+    scan = Scan(rows, key, [start, end], hot_rows)
+    gap = previous(scan, scan.rows, end, "_e").withColumn("gap", F.col(start) - F.col("_e")).drop("_e")
+    return scan.done(gap).withColumn("soft_before", F.coalesce(F.col("gap") >= least, F.lit(False)))
