@@ -6,13 +6,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glosswork.operators.durable import ship
+from glosswork.operators.durable import ship, written
 
-#: Queries that one pass over the corpus answers. Their vectors are broadcast, so this bounds the broadcast.
-QUERY_BLOCK = 4096
+#: Queries of a block, rows of a block of the corpus, and bytes of either at most.
+QUERY_BLOCK, CORPUS_BLOCK, BLOCK_BYTES = 4096, 8192, 4 << 20
+#: Blocks of queries that are broadcast; more meet the corpus as a grid of blocks.
+BROADCAST_BLOCKS = 2
+#: Rows of the corpus that one task of the grid reads; fewer if tasks would be fewer than cores.
+TASK_ROWS = 4_000_000
 
 #: Rows of the corpus that are multiplied with a block's matrix at a time: a table of scores takes 32 MB at most.
 SCORED_ROWS = 1024
@@ -27,55 +32,118 @@ def dot(a: str, b: str) -> F.Column:
     return F.expr(f"aggregate(zip_with(`{a}`, `{b}`, (x, y) -> cast(x as double) * cast(y as double)), 0D, (t, x) -> t + x)")
 
 
-def search(queries: DataFrame, corpus: DataFrame, k: int = 5, *, not_itself: bool = True) -> DataFrame:
+_PACKED = "block long, ids binary, vectors binary"
+
+
+def _packed(rows: DataFrame, id_col: str, most: int) -> DataFrame:
+    """(block, ids, vectors): the rows of a partition, ``most`` of them to a block; vectors in the precision they came in. Rows without a vector go."""
+    wide = rows.schema["embedding"].dataType.elementType.simpleString() == "double"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, count, ids, held, rows_held = TaskContext.get().partitionId() << 32, 0, [], [], 0
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([task + count]), pa.array([np.concatenate(ids).tobytes()], pa.binary()), pa.array([np.concatenate(held).tobytes()], pa.binary())], names=["block", "ids", "vectors"])
+
+        for batch in batches:
+            own, flat = batch.column(0).to_numpy().astype(np.int64), batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64 if wide else np.float32)
+            if not len(own):
+                continue
+            dims = len(flat) // len(own)
+            step = max(1, min(most, BLOCK_BYTES // max(1, dims * flat.itemsize)))
+            for i in range(0, len(own), step):
+                if ids and rows_held + len(own[i : i + step]) > step:
+                    yield out()
+                    ids, held, rows_held, count = [], [], 0, count + 1
+                ids.append(own[i : i + step])
+                held.append(flat[i * dims : (i + step) * dims])
+                rows_held += len(ids[-1])
+        if ids:
+            yield out()
+
+    return rows.where("embedding is not null").select(id_col, "embedding").mapInArrow(run, _PACKED)
+
+
+def search(queries: DataFrame, corpus: DataFrame, k: int = 5, *, not_itself: bool = True, broadcast_blocks: int = BROADCAST_BLOCKS, task_rows: int = TASK_ROWS) -> DataFrame:
     """One row per query: query_id, n, total, top.
 
-    ``queries`` has query_id and embedding, ``corpus`` id and embedding. ``n`` and ``total`` are
-    the number and the sum of all scores, ``top`` the ``k`` best (score, id), best first. Queries go in
-    blocks; each task multiplies its batches with a block's matrix and sends one row for
-    each query, so what is shuffled depends on tasks and queries, not on the corpus.
+    ``queries`` has query_id and embedding, ``corpus`` id and embedding, vectors of one length; rows without a vector take no part. ``n`` and ``total`` are
+    the number and the sum of all finite scores, ``top`` the ``k`` best (score, id), best first, ties by smaller id. Both sides are packed into
+    blocks; every block of queries meets every block of the corpus on an executor, which keeps the ``k`` best of each query and sends one row for
+    each query it met. Up to ``broadcast_blocks`` blocks of queries, of BLOCK_BYTES each, are broadcast; beyond that both tables of blocks are written and a task
+    takes a block of queries and some ``task_rows`` of the corpus, so plan and driver don't grow with the queries.
     """
     spark = corpus.sparkSession
     ship(spark)
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    held = queries.select("query_id", "embedding").withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-    passes = None
-    for b in range(blocks):
-        rows = held.where(F.col("_block") == b).collect()  # about QUERY_BLOCK rows
-        ids = np.array([r[0] for r in rows], np.int64)
-        shared = spark.sparkContext.broadcast((ids, np.array([r[1] for r in rows], np.float64).reshape(len(rows), -1)))
-        one = corpus.select("id", "embedding").mapInArrow(_scorer(shared, k, not_itself), "query_id long, n long, total double, top array<struct<score: double, id: bigint>>")
-        passes = one if passes is None else passes.unionByName(one)
-    merged = passes.groupBy("query_id").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.flatten(F.collect_list("top")).alias("top"))
-    return merged.withColumn("top", F.expr(f"slice(array_sort(top, {_BEST_FIRST}), 1, {k})"))
-
-
-def _scorer(shared, k: int, not_itself: bool):
+    dims = queries.select(F.size("embedding")).where("embedding is not null").first()
+    size = 8 if queries.schema["embedding"].dataType.elementType.simpleString() == "double" else 4
+    per_block = max(1, min(QUERY_BLOCK, BLOCK_BYTES // max(1, (dims[0] if dims else 1) * size)))
+    blocks = max(1, -(-queries.count() // per_block))
+    kinds = [queries.schema["embedding"].dataType.elementType.simpleString(), corpus.schema["embedding"].dataType.elementType.simpleString()]
+    asked = _packed(queries.repartition(blocks), "query_id", per_block)
+    held = _packed(corpus, "id", CORPUS_BLOCK).select(F.col("ids").alias("own"), F.col("vectors").alias("rows"))
+    if blocks <= broadcast_blocks:
+        grid = held.crossJoin(F.broadcast(asked))
+    else:
+        tasks = max(-(-corpus.count() // task_rows), -(-spark.sparkContext.defaultParallelism // blocks))
+        held, asked = written(held.repartition(tasks)), written(asked)
+        # one partition of the product for each partition of either side: as many as there are blocks of queries, times the tasks of the corpus
+        grid = asked.repartition(blocks, "block").crossJoin(held.repartition(tasks))
+    passes = grid.select("block", "ids", "vectors", "own", "rows").mapInArrow(_scorer(k, not_itself, kinds), "query_id long, n long, total double, top array<struct<score: double, id: bigint>>")
+    found = passes.groupBy("query_id").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.flatten(F.collect_list("top")).alias("top"))
+    found = found.withColumn("top", F.expr(f"slice(array_sort(top, {_BEST_FIRST}), 1, {k})"))
+    if not corpus.isEmpty():
+        return found
+    nothing = F.array().cast("array<struct<score: double, id: bigint>>")
+    return queries.select("query_id", F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("total"), nothing.alias("top"))
+
+
+class _Best:
+    """The best of each query of a block so far."""
+
+    def __init__(self, ids: np.ndarray, k: int) -> None:
+        self.ids, self.k = ids, k
+        self.n, self.total = np.zeros(len(ids), np.int64), np.zeros(len(ids))
+        self.score, self.found = np.full((len(ids), k), -np.inf), np.full((len(ids), k), np.iinfo(np.int64).max)
+
+    def add(self, scores: np.ndarray, own: np.ndarray) -> None:
+        """Take in a table of scores, queries by rows of the corpus; what isn't finite doesn't count."""
+        counted = np.isfinite(scores)
+        self.n += counted.sum(axis=1)
+        self.total += np.where(counted, scores, 0).sum(axis=1)
+        scores = np.where(counted, scores, -np.inf)
+        keep = min(self.k, scores.shape[1])
+        at = np.argpartition(-scores, keep - 1, axis=1)[:, :keep]
+        limit = np.take_along_axis(scores, at, 1).min(axis=1)
+        for q in np.flatnonzero((scores >= limit[:, None]).sum(axis=1) > keep):  # several tie for the last place: smaller ids go first
+            near = np.flatnonzero(scores[q] >= limit[q])
+            at[q] = near[np.lexsort((own[near], -scores[q, near]))[:keep]]
+        score, found = np.hstack([self.score, np.take_along_axis(scores, at, 1)]), np.hstack([self.found, own[at]])
+        order = np.lexsort((found, -score), axis=1)[:, : self.k]
+        self.score, self.found = np.take_along_axis(score, order, 1), np.take_along_axis(found, order, 1)
+
+    def rows(self) -> pa.RecordBatch:
+        top = [[{"score": x, "id": i} for x, i in zip(s, f, strict=True) if x > -np.inf] for s, f in zip(self.score.tolist(), self.found.tolist(), strict=True)]
+        kind = pa.list_(pa.struct([("score", pa.float64()), ("id", pa.int64())]))
+        return pa.RecordBatch.from_arrays([pa.array(self.ids), pa.array(self.n), pa.array(self.total), pa.array(top, kind)], names=["query_id", "n", "total", "top"])
+
+
+def _scorer(k: int, not_itself: bool, kinds: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, matrix = shared.value
-        n, total = np.zeros(len(ids), np.int64), np.zeros(len(ids))
-        best: list[list[tuple[float, int]]] = [[] for _ in ids]
-        for batch in (b.slice(i, SCORED_ROWS) for b in batches for i in range(0, b.num_rows, SCORED_ROWS)):
-            if not len(ids):
-                continue
-            own = batch.column("id").to_numpy()
-            vectors = batch.column("embedding")
-            scores = matrix @ np.asarray(vectors.flatten(), np.float64).reshape(len(own), -1).T
-            if not_itself:
-                scores = np.where(own[None, :] == ids[:, None], -np.inf, scores)
-            counted = np.isfinite(scores)
-            n += counted.sum(axis=1)
-            total += np.where(counted, scores, 0).sum(axis=1)
-            keep = min(k, scores.shape[1])
-            limit = -np.partition(-scores, keep - 1, axis=1)[:, keep - 1]
-            for q in range(len(ids)):
-                near = np.flatnonzero(scores[q] >= limit[q])  # with all that tie
-                found = [(-scores[q, j], int(own[j])) for j in near if counted[q, j]]
-                best[q] = sorted(best[q] + found)[:k]
-        if len(ids):
-            top = [[{"score": -s, "id": i} for s, i in b] for b in best]
-            kind = pa.list_(pa.struct([("score", pa.float64()), ("id", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n), pa.array(total), pa.array(top, kind)], names=["query_id", "n", "total", "top"])
+        best: dict[int, _Best] = {}
+        types = [np.float64 if kind == "double" else np.float32 for kind in kinds]
+        for batch in batches:
+            for block, ids, vectors, own, rows in zip(*(batch.column(c) for c in range(5)), strict=True):
+                ids, own = np.frombuffer(ids.as_py(), np.int64), np.frombuffer(own.as_py(), np.int64)
+                held = best.setdefault(block.as_py(), _Best(ids, k))
+                matrix = np.frombuffer(vectors.as_py(), types[0]).reshape(len(ids), -1).astype(np.float64)
+                rows = np.frombuffer(rows.as_py(), types[1]).reshape(len(own), -1)
+                for i in range(0, len(own), SCORED_ROWS):
+                    mine = own[i : i + SCORED_ROWS]
+                    scores = matrix @ rows[i : i + SCORED_ROWS].T.astype(np.float64)
+                    held.add(np.where(mine[None, :] == ids[:, None], -np.inf, scores) if not_itself else scores, mine)
+        for held in best.values():
+            yield held.rows()
 
     return run
 
