@@ -9,6 +9,7 @@ from glosswork.functions import text as tx
 from glosswork.operators import curate as cu
 from glosswork.operators import evaluate as ev
 from glosswork.operators import extract as xt
+from glosswork.operators import lexical
 from glosswork.operators import lexicon as lx
 from glosswork.operators import sampling as sa
 from glosswork.operators import validate as va
@@ -247,33 +248,32 @@ def _ranked(spark: SparkSession, d: str, k: int) -> DataFrame:
     return vec.ranking(vec.search(rt._queries(spark, d), rt._corpus(spark, d), k))
 
 
-def _lexical(spark: SparkSession, d: str) -> DataFrame:
-    """Documents by how many distinct words they share with each query's document: (query_id, id, hits)."""
-    w = _docs(spark, d).select("doc_id", F.explode(F.array_distinct(tx.words(F.lower("text")))).alias("word")).where("length(word) >= 5")
-    q = rt._queries(spark, d).select("query_id").join(w, F.col("query_id") == F.col("doc_id")).select("query_id", "word")
-    return w.join(q, "word").where("doc_id != query_id").groupBy("query_id", F.col("doc_id").alias("id")).agg(F.count(F.lit(1)).alias("hits"))
+def _long_words(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Distinct words of five letters or more, of the query set's documents and of all."""
+    words = F.filter(F.array_distinct(tx.words(F.lower("text"))), lambda w: F.length(w) >= 5)
+    docs = _docs(spark, d).select(F.col("doc_id").alias("id"), words.alias("words"))
+    asked = rt._queries(spark, d).select("query_id").join(docs, F.col("query_id") == F.col("id")).select("query_id", "words")
+    return asked, docs
 
 
 def two_net_pool(spark, d):
     """The top 20 by vector, and the top 10 by shared words that aren't among them."""
     dense = _ranked(spark, d, 20)
-    rest = _lexical(spark, d).join(dense, ["query_id", "id"], "left_anti")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("hits"), "id"))
-    lexical = rest.withColumn("rank", rank.cast("long")).where("rank <= 10").select("query_id", F.lit("lexical").alias("net"), "rank", "id")
-    return dense.select("query_id", F.lit("vector").alias("net"), "rank", "id").unionByName(lexical)
+    rest = lexical.top_shared(*_long_words(spark, d), 30).join(dense, ["query_id", "id"], "left_anti")  # 20 of 30 may be known, 10 are left
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))
+    found = rest.withColumn("rank", rank.cast("long")).where("rank <= 10").select("query_id", F.lit("lexical").alias("net"), "rank", "id")
+    return dense.select("query_id", F.lit("vector").alias("net"), "rank", "id").unionByName(found)
 
 
 def hybrid_merge(spark, d):
     """The top 5 by vector, then the top 10 by shared words, each id once."""
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("hits"), "id"))
-    lexical = _lexical(spark, d).withColumn("rank", rank.cast("long")).where("rank <= 10").select("query_id", "rank", "id")
-    return cu.ordered_merge(_ranked(spark, d, 5).select("query_id", "rank", "id"), lexical)
+    return cu.ordered_merge(_ranked(spark, d, 5).select("query_id", "rank", "id"), lexical.top_shared(*_long_words(spark, d), 10).select("query_id", "rank", "id"))
 
 
 def gold_union(spark, d):
     """Relevant ids by label of the first span, and by shared words."""
     a = rt._gold(spark, d).where("span_id = 0").select("query_id", "id")
-    return a.union(_lexical(spark, d).where("hits >= 12").select("query_id", "id")).distinct()
+    return a.union(lexical.sharing(*_long_words(spark, d), 12).select("query_id", "id")).distinct()
 
 
 def hash_encode(spark, d):
