@@ -214,7 +214,7 @@ def chunk_pack(spark, d):
 
 
 def segment_chunk(spark, d):
-    """Sentences as timed segments, cut at soft boundaries; rows only."""
+    """Sentences as timed segments, cut at soft boundaries."""
     s = sentences(_docs(spark, d)).select("doc_id", F.col("pos").alias("idx"), (F.col("pos") * 3000).alias("start_ms"), (F.col("pos") * 3000 + 1500 + (F.length("sentence") % 3) * 700).alias("end_ms"), F.col("sentence").alias("text"))
     return sq.chunk_segments(s, "doc_id", 420, 150, 480)
 
@@ -333,6 +333,19 @@ ORACLES = {
           FROM g JOIN s ON s.doc_id = g.doc_id AND s.pos = g.pos + 1),
         f AS (SELECT g.doc_id, CASE WHEN open = '' THEN done WHEN len(done) > 0 AND length(done[-1]) + length(open) + 1 <= 480 THEN list_append(done[:len(done) - 1], done[-1] || ' ' || open) ELSE list_append(done, open) END AS c FROM g JOIN n ON n.doc_id = g.doc_id AND n.n = g.pos)
         SELECT doc_id, i - 1 AS chunk_index, c[i] AS text FROM (SELECT doc_id, c, unnest(range(1, len(c) + 1)) AS i FROM f)""",
+    "segment_chunk": rf"""WITH RECURSIVE {_SENT}, g AS (SELECT doc_id, pos, sentence, pos * 3000 AS b, pos * 3000 + 1500 + (length(sentence) % 3) * 700 AS e FROM s),
+        a AS (SELECT doc_id, pos AS j, b, e, sentence, sum(length(sentence) + 1) OVER w AS total, regexp_matches(sentence, '[.!?…]\s*$') AS stop, coalesce(lead(b) OVER w - e >= 1200, FALSE) AS pause, coalesce(starts_with(lead(sentence) OVER w, '>>'), FALSE) AS mark,
+          lead(length(sentence)) OVER w AS next_size, count(*) OVER (PARTITION BY doc_id) AS n FROM g WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+        r AS (SELECT DISTINCT doc_id, CAST(0 AS BIGINT) AS s, CAST(0 AS HUGEINT) AS begun, CAST(1 AS BIGINT) AS j, CAST(NULL AS BIGINT) AS soft, CAST(NULL AS BIGINT) AS cut FROM a
+          UNION ALL SELECT y.doc_id, CASE WHEN y.cut IS NULL THEN y.s ELSE y.cut END, CASE WHEN y.cut IS NULL THEN y.begun ELSE z.total END, CASE WHEN y.cut IS NULL THEN y.j + 1 ELSE y.cut + 1 END, CASE WHEN y.cut IS NULL THEN y.soft END, y.cut
+          FROM (SELECT *, CASE WHEN size >= 420 AND soft1 IS NOT NULL THEN soft1 WHEN j < n AND ((size >= 420 AND (soft2 IS NOT NULL OR mark)) OR size + 1 + next_size > 480) THEN coalesce(soft2, j) END AS cut, soft2 AS soft
+            FROM (SELECT *, CASE WHEN j < n AND pause AND size >= 150 THEN j ELSE soft1 END AS soft2 FROM (SELECT r.doc_id, r.s, r.begun, r.j, a.n, a.pause, a.mark, a.next_size, a.total - r.begun - 1 AS size,
+              CASE WHEN a.stop AND a.total - r.begun - 1 >= 150 THEN r.j ELSE r.soft END AS soft1 FROM r JOIN a ON a.doc_id = r.doc_id AND a.j = r.j))) y LEFT JOIN a z ON z.doc_id = y.doc_id AND z.j = y.cut),
+        c AS (SELECT r.doc_id, cut, total, lag(total, 1, 0) OVER (PARTITION BY r.doc_id ORDER BY cut) AS before, lead(cut) OVER (PARTITION BY r.doc_id ORDER BY cut) IS NULL AS last, n, max(total) OVER (PARTITION BY r.doc_id) AS t FROM r JOIN a ON a.doc_id = r.doc_id AND a.j = r.cut WHERE cut < n),
+        m AS (SELECT doc_id, max(total) AS whole FROM a GROUP BY doc_id),
+        k AS (SELECT c.doc_id, cut FROM c JOIN m ON m.doc_id = c.doc_id WHERE NOT (last AND whole - total - 1 < 150 AND total - before - 1 + whole - total - 1 <= 480)),
+        x AS (SELECT a.*, (SELECT count(*) FROM k WHERE k.doc_id = a.doc_id AND k.cut < a.j) AS chunk_index FROM a)
+        SELECT doc_id, chunk_index, min(j) AS first_idx, max(j) AS last_idx, min_by(b, j) AS start_ms, max_by(e, j) AS end_ms, string_agg(sentence, ' ' ORDER BY j) AS text FROM x GROUP BY doc_id, chunk_index""",
     "chunk_ids": """SELECT doc_id, 'docchunk-' || sha256('{"schema_version":"document-chunk-v2","doc_id":' || doc_id || ',"chunk_index":0,"qa_id":null,"text_sha256":"' || sha256(text) || '","target_chars":420}') AS chunk_id FROM documents""",
     "boundary_split": """WITH x AS (SELECT doc_id, text, (length(text) - length(replace(text, '. The ', ''))) // 6 AS n, strpos(text, '. The ') AS p FROM documents)
         SELECT doc_id, CASE WHEN n = 1 THEN 'OK' ELSE 'PARSE_REVIEW' END AS status, CASE WHEN n = 0 THEN 'no boundary' WHEN n > 1 THEN 'several boundaries' END AS reason, CASE WHEN n = 1 THEN p - 1 END AS question_chars, CASE WHEN n = 1 THEN length(text) - p - 5 END AS answer_chars FROM x""",
