@@ -56,12 +56,56 @@ def walk(seeds: DataFrame, near: DataFrame, hops: int = 2) -> tuple[DataFrame, D
     return reached, touched.groupBy("edge").agg(F.min("hop").alias("hop"))
 
 
+#: Edges of a node beyond which its neighbours are dealt to several tasks.
+HUB_EDGES = 100_000
+
+
+def walk_each(seeds: DataFrame, near: DataFrame, hops: int = 2, hub_edges: int = HUB_EDGES) -> tuple[DataFrame, DataFrame]:
+    """``walk`` for many questions at once: (query_id, node, hop) and (query_id, edge, hop) from seeds (query_id, node).
+
+    The frontier is keyed by question and node, so a hop is one join for all questions, and the walk costs what they reach. The edges of a hub are dealt
+    to salts and its rows of the frontier to each of them, so that no task holds a hub's edges times the questions that pass it.
+    A seed that no edge touches is reached, and nothing else from it.
+    """
+    hubs = written(near.groupBy("a").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hub_edges).select("a", F.ceil(F.col("_n") / hub_edges).cast("int").alias("_salts")))  # 2 edges / hub_edges rows at most
+    salts = F.coalesce("_salts", F.lit(1))
+    dealt = near.join(F.broadcast(hubs), "a", "left").withColumn("_salt", F.pmod(F.xxhash64("edge", "b"), salts).cast("int")).drop("_salts")
+    reached = written(seeds.select("query_id", "node").distinct().withColumn("hop", F.lit(0)))
+    frontier, touched = reached, None
+    for hop in range(1, hops + 1):
+        asked = frontier.select("query_id", F.col("node").alias("a")).join(F.broadcast(hubs), "a", "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
+        step = asked.join(dealt, ["a", "_salt"])
+        seen = step.select("query_id", "edge", F.lit(hop).alias("hop")).distinct()
+        touched = seen if touched is None else touched.unionByName(seen)
+        frontier = written(step.select("query_id", F.col("b").alias("node")).distinct().join(reached, ["query_id", "node"], "left_anti").withColumn("hop", F.lit(hop)))
+        reached = reached.unionByName(frontier)
+    return reached, touched.groupBy("query_id", "edge").agg(F.min("hop").alias("hop"))
+
+
+def mentions(questions: DataFrame, names: DataFrame, least: int = 3, grams: int = 8) -> DataFrame:
+    """(query_id, node): nodes (node, name) whose name stands in a question (query_id, question), names of ``least`` characters or more.
+
+    A name is looked up by its rarest run of ``grams`` characters, a shorter one by itself, among the runs of the questions; what meets there
+    is then compared whole. Names that repeat are looked up once. Null names and questions meet nothing.
+    """
+    distinct = names.where(F.length("name") >= least).select("name").distinct().withColumn("_q", F.least(F.length("name"), F.lit(grams)))
+    runs = distinct.withColumn("_at", F.explode(F.sequence(F.lit(1), F.length("name") - F.col("_q") + 1))).withColumn("_gram", F.substring("name", F.col("_at"), F.col("_q")))
+    rarest = runs.join(runs.groupBy("_gram").agg(F.count(F.lit(1)).alias("_n")), "_gram").groupBy("name").agg(F.min(F.struct("_n", "_at", "_gram")).alias("_r"))
+    sizes = F.filter(F.array(*[F.lit(n) for n in range(least, grams + 1)]), lambda n: n <= F.length("question"))
+    asked = questions.select("query_id", "question", F.explode(sizes).alias("_q")).withColumn("_place", F.explode(F.sequence(F.lit(1), F.length("question") - F.col("_q") + 1)))
+    met = asked.withColumn("_gram", F.substring("question", F.col("_place"), F.col("_q"))).join(rarest.select("name", F.col("_r._at").alias("_at"), F.col("_r._gram").alias("_gram")), "_gram")
+    start = F.col("_place") - F.col("_at") + 1
+    held = met.where((start >= 1) & (F.substring("question", F.greatest(start, F.lit(1)), F.length("name")) == F.col("name"))).select("query_id", "name").distinct()
+    return held.join(names.select("node", "name"), "name").select("query_id", "node").distinct()
+
+
 def evidence(nodes: DataFrame, edges: DataFrame, node_chunks: DataFrame, edge_chunks: DataFrame) -> DataFrame:
-    """(chunk, hop, kind, key): chunks of a walk, each at its first place: by hop, nodes (0) before edges (1), then key."""
-    a = nodes.join(node_chunks, "node").select("chunk", "hop", F.lit(0).alias("kind"), F.col("node").cast("string").alias("key"))
-    b = edges.join(edge_chunks, "edge").select("chunk", "hop", F.lit(1).alias("kind"), F.col("edge").cast("string").alias("key"))
+    """(chunk, hop, kind, key): chunks of a walk, each at its first place: by hop, nodes (0) before edges (1), then key. Of walks with query_id, for each."""
+    by = [c for c in ("query_id",) if c in nodes.columns]
+    a = nodes.join(node_chunks, "node").select(*by, "chunk", "hop", F.lit(0).alias("kind"), F.col("node").cast("string").alias("key"))
+    b = edges.join(edge_chunks, "edge").select(*by, "chunk", "hop", F.lit(1).alias("kind"), F.col("edge").cast("string").alias("key"))
     # nodes of all hops come before edges of all hops
-    return a.unionByName(b).groupBy("chunk").agg(F.min(F.struct("kind", "hop", "key")).alias("m")).select("chunk", "m.kind", "m.hop", "m.key")
+    return a.unionByName(b).groupBy(*by, "chunk").agg(F.min(F.struct("kind", "hop", "key")).alias("m")).select(*by, "chunk", "m.kind", "m.hop", "m.key")
 
 
 def incoming_paths(edges: DataFrame, target: str, types: list[str], hops: int = 2) -> DataFrame:
