@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from glosswork.functions import text as tx
 from glosswork.operators.durable import written
 from glosswork.operators.sampling import running
 
@@ -141,3 +142,32 @@ def misses(ranks: DataFrame, rows: DataFrame, groups: DataFrame) -> DataFrame:
     gold = ranked.select("query_id", F.col("rank").alias("first_relevant_rank"), F.col("grp").alias("gold_group"))
     joined = late.join(first, "query_id", "left").join(gold, ["query_id", "first_relevant_rank"], "left")
     return joined.withColumn("verdict", F.when(F.col("first_relevant_rank").isNull(), "MISSED").when(F.col("gold_group") == F.col("top_group"), "SAME").otherwise("DIFF"))
+
+
+def gold_coverage(queries: DataFrame, gold: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(query_id, coverage, refs, gold, verdict): whether each query's given gold can be used.
+
+    ``queries`` has query_id and coverage, ``gold`` rows (query_id, chunk_id) as they were given, ``chunks`` the ids (chunk_id) that may be found. ``refs`` are
+    a query's distinct references, ``gold`` those that are chunks. Verdict: ``gold`` with some; ``none expected`` without any where coverage says ``missing``,
+    as nothing to be found is the right answer there; else ``error``, a null coverage included: gold that dwindles in silence makes measures look better.
+    """
+    refs = gold.select("query_id", "chunk_id").distinct().join(chunks.select("chunk_id", F.lit(1).alias("_held")).distinct(), "chunk_id", "left")
+    counted = refs.groupBy("query_id").agg(F.count(F.lit(1)).alias("refs"), F.count("_held").alias("gold"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    rows = queries.join(counted, "query_id", "left").select("query_id", "coverage", zero("refs"), zero("gold"))
+    return rows.withColumn("verdict", F.when(F.col("gold") > 0, "gold").when(F.col("coverage") == "missing", "none expected").otherwise("error"))
+
+
+def keyword_presence(found: DataFrame, queries: DataFrame, corpus: DataFrame, keywords: list[str]) -> DataFrame:
+    """(query_id, word, ranks, in_corpus, verdict): where each keyword stands in what each query found, literally.
+
+    ``found`` has query_id, rank and id, ``corpus`` id and text. Verdict: ``found`` if a result holds the word; ``ranking`` if only other texts of the
+    corpus do; ``collection`` if none does. ``ranks`` are joined by bars. A query that found nothing has every word too. Keywords are a short list; texts are read once.
+    """
+    held = corpus.select("id", tx.matching(F.col("text"), keywords).alias("_m"))
+    everywhere = held.select(F.explode("_m").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("in_corpus"))
+    met = found.join(held, "id").select("query_id", "rank", F.explode("_m").alias("word")).groupBy("query_id", "word").agg(F.array_join(F.array_sort(F.collect_list("rank")).cast("array<string>"), "|").alias("ranks"))
+    every = queries.select("query_id", F.explode(F.array(*[F.lit(w) for w in keywords])).alias("word"))
+    rows = every.join(met, ["query_id", "word"], "left").join(F.broadcast(everywhere), "word", "left")  # a row for each keyword
+    verdict = F.when(F.col("ranks").isNotNull(), "found").when(F.col("in_corpus") > 0, "ranking").otherwise("collection")
+    return rows.select("query_id", "word", F.coalesce("ranks", F.lit("")).alias("ranks"), F.coalesce("in_corpus", F.lit(0)).cast("long").alias("in_corpus"), verdict.alias("verdict"))
