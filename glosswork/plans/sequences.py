@@ -9,7 +9,7 @@ from glosswork.functions import text as tx
 from glosswork.operators import intervals as iv
 from glosswork.operators import sequence as sq
 from glosswork.operators.sampling import running
-from glosswork.plans.text import _SENT, lines, sentences
+from glosswork.plans.text import _SENT, line_array, lines, sentences
 from glosswork.sources.tables import table
 
 HOUR = 3_600_000
@@ -157,7 +157,7 @@ def parent_carry(spark, d):
 
 def hard_wrap(spark, d):
     """Documents of ten lines or more, most of them short."""
-    g = lines(_docs(spark, d)).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.length("line"))).alias("n"))
+    g = _docs(spark, d).select("doc_id", F.array_sort(F.transform(line_array(), F.length)).alias("n")).where(F.size("n") > 0)
     short = F.expr("size(filter(n, x -> x <= 60)) / size(n)")
     return g.select("doc_id", F.size("n").cast("long").alias("lines"), ((F.size("n") >= 10) & (short >= 0.3) & (F.expr("n[size(n) div 2]") <= 200)).alias("wrapped"))
 
@@ -209,7 +209,7 @@ def description_intro(spark, d):
 
 def chunk_pack(spark, d):
     """Sentences of each document packed to 420 characters, at most 480."""
-    s = sentences(_docs(spark, d)).groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "sentence"))), lambda x: x["sentence"]).alias("units"))
+    s = _docs(spark, d).select("doc_id", tx.sentences(F.col("text")).alias("units"))
     return s.select("doc_id", F.posexplode(sq.pack_units("units", 420, 480)).alias("i", "text")).select("doc_id", F.col("i").cast("long").alias("chunk_index"), "text")
 
 

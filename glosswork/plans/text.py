@@ -20,21 +20,25 @@ def _docs(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", "text", "lang", "source", "n_chars")
 
 
-def sentences(docs: DataFrame) -> DataFrame:
-    """(doc_id, pos, sentence) with pos from 1."""
-    return docs.select("doc_id", F.posexplode(tx.sentences(F.col("text"))).alias("p", "sentence")).select("doc_id", (F.col("p") + 1).cast("long").alias("pos"), "sentence")
+def sentences(docs: DataFrame, *carried: str) -> DataFrame:
+    """(doc_id, pos, sentence) with pos from 1, and other columns of the document."""
+    return docs.select("doc_id", *carried, F.posexplode(tx.sentences(F.col("text"))).alias("p", "sentence")).select("doc_id", (F.col("p") + 1).cast("long").alias("pos"), "sentence", *carried)
+
+
+def line_array() -> F.Column:
+    """The lines of ``text`` that aren't blank, in order."""
+    return F.filter(F.transform(F.split("text", "\n"), F.trim), lambda x: x != "")
 
 
 def lines(docs: DataFrame) -> DataFrame:
     """(doc_id, pos, line) of the lines that aren't blank."""
-    parts = F.filter(F.transform(F.split("text", "\n"), F.trim), lambda x: x != "")
-    return docs.select("doc_id", F.posexplode(parts).alias("p", "line")).select("doc_id", (F.col("p") + 1).cast("long").alias("pos"), "line")
+    return docs.select("doc_id", F.posexplode(line_array()).alias("p", "line")).select("doc_id", (F.col("p") + 1).cast("long").alias("pos"), "line")
 
 
 def _terms(docs: DataFrame) -> DataFrame:
     """(doc_id, source, topic) of the topics each sentence has."""
     topics = tx.labels(*[(tx.contains_any(F.col("sentence"), w), t) for t, w in TOPICS.items()])
-    return sentences(docs).select("doc_id", "pos", F.explode(topics).alias("topic")).join(docs.select("doc_id", "source", "lang"), "doc_id")
+    return sentences(docs, "source", "lang").select("doc_id", "pos", F.explode(topics).alias("topic"), "source", "lang")
 
 
 def sentence_split(spark, d):
@@ -42,9 +46,10 @@ def sentence_split(spark, d):
 
 
 def neighbor_context(spark, d):
-    order = Window.partitionBy("doc_id").orderBy("pos")
-    s = sentences(_docs(spark, d))
-    return s.withColumns({"previous": F.coalesce(F.lag("sentence").over(order), F.lit("")), "following": F.coalesce(F.lead("sentence").over(order), F.lit(""))})
+    """Each sentence with those around it, which lie in the same row's array: nothing is shuffled."""
+    s = _docs(spark, d).select("doc_id", tx.sentences(F.col("text")).alias("s"))
+    near = F.expr("transform(s, (x, i) -> named_struct('sentence', x, 'previous', coalesce(get(s, i - 1), ''), 'following', coalesce(get(s, i + 1), '')))")
+    return s.select("doc_id", F.posexplode(near).alias("p", "x")).select("doc_id", (F.col("p") + 1).cast("long").alias("pos"), "x.*")
 
 
 def token_window(spark, d):
