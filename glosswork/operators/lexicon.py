@@ -110,3 +110,30 @@ def confusion(rows: DataFrame) -> DataFrame:
         F.count_if(inside & F.col("blocked") & (F.col("reason") != "GUARDED")).alias("false_positives"),
         F.count_if(inside & F.col("blocked") & (F.col("reason") == "GUARDED")).alias("true_positives"),
     )
+
+
+def deletions(word: str, most: str) -> Column:
+    """Array of the distinct strings that are left of a word when up to ``most`` (SQL, 0 to 2) of its characters go."""
+    once = "transform(sequence(1, length(x)), i -> concat(substring(x, 1, i - 1), substring(x, i + 1)))"
+    step = f"flatten(transform(a, x -> if(length(x) = 0, array(x), {once})))"
+    return F.expr(f"array_distinct(aggregate(sequence(1, 2), array({word}), (a, n) -> if(n > {most}, a, array_distinct(concat(a, {step})))))")
+
+
+#: How far a term may be from a word: one edit up to SHORT characters, else two.
+SHORT = 4
+
+
+def nearest(words: DataFrame, terms: DataFrame) -> DataFrame:
+    """(word, term, distance): the nearest of ``terms`` (term) to each distinct word (word) within its bound of edits, ties by the term's order.
+
+    Two strings that are d edits apart have a string in common that either becomes by losing d characters at most; so words and
+    terms meet by what is left of them, and what meets is measured. Neither list is broadcast or held whole; a string of n characters
+    stands for n squared over two rows. Null words and terms, and words that no term is near, are left out.
+    """
+    bound = F.when(F.length("word") <= SHORT, 1).otherwise(2)
+    asked = words.select("word").where("word is not null").distinct().withColumn("_most", bound)
+    held = terms.select("term").where("term is not null").distinct()
+    left = asked.withColumn("_left", F.explode(deletions("word", "_most")))
+    met = held.withColumn("_left", F.explode(deletions("term", "2"))).join(left, "_left").where(F.abs(F.length("word") - F.length("term")) <= F.col("_most"))
+    near = met.select("word", "term", "_most").distinct().withColumn("distance", F.levenshtein("word", "term")).where("distance <= _most")
+    return near.groupBy("word").agg(F.min(F.struct("distance", "term")).alias("m")).select("word", "m.term", "m.distance")

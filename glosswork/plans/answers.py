@@ -11,6 +11,7 @@ from glosswork.operators import evaluate as ev
 from glosswork.operators import lexical
 from glosswork.operators import lexicon as lx
 from glosswork.operators import vectors as vec
+from glosswork.operators import versions as vs
 from glosswork.plans import curation as cn
 from glosswork.plans import retrieval as rt
 from glosswork.plans.text import _SENT, ALLOWED, MARKERS, TERMS, _docs, _list, _match, sentences
@@ -69,7 +70,25 @@ def numeric_summary(spark: SparkSession, d: str) -> DataFrame:
     return per.groupBy("lang").agg(F.sum("n").alias("sentences"), F.count(F.lit(1)).alias("documents"))
 
 
-QUERIES = {f.__name__: f for f in (answer_records, gold_exceptions, keyword_ranks, numeric_hits, numeric_summary)}
+def nearest_word(spark: SparkSession, d: str) -> DataFrame:
+    """For each word of the benchmark that no document has, the nearest of the words that five documents or more have."""
+    plain = lambda df: df.select(F.explode(F.array_distinct(tx.words(F.lower("text")))).alias("word")).where(F.col("word").rlike("^[a-z]{3,12}$"))
+    counted = plain(_docs(spark, d)).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    unknown = plain(table(spark, d, "benchmark")).distinct().join(counted, "word", "left_anti")
+    return lx.nearest(unknown, counted.where("n >= 5").select(F.col("word").alias("term")))
+
+
+def corpus_changes(spark: SparkSession, d: str) -> DataFrame:
+    """What changed between two versions of the documents: some are new, some lost, and of some the language or the text is another."""
+    docs = _docs(spark, d).select("doc_id", "text", "lang")
+    old = docs.where("doc_id % 97 != 3")
+    text = F.when(F.col("doc_id") % 89 == 5, F.concat("text", F.lit(" "))).otherwise(F.col("text"))
+    new = docs.where("doc_id % 83 != 7").select("doc_id", text.alias("text"), F.when(F.col("doc_id") % 101 == 9, None).otherwise(F.col("lang")).alias("lang"))
+    found = vs.changes(*[vs.rows_of(v, "doc_id", ["text", "lang"]) for v in (old, new)])
+    return found.withColumnRenamed("key", "doc_id")
+
+
+QUERIES = {f.__name__: f for f in (answer_records, gold_exceptions, keyword_ranks, numeric_hits, numeric_summary, nearest_word, corpus_changes)}
 
 _E = "e AS (SELECT r.query_id, r.rank, d.lang <> 'de' AS citable, 'document ' || d.doc_id AS header, d.text, d.doc_id AS chunk_id FROM r JOIN documents d ON d.doc_id = r.vec_id WHERE r.rank <= 5)"
 _BOTH = f"""{cn._LEX}, t5 AS (SELECT query_id, rank, vec_id AS id FROM r WHERE rank <= 5),
@@ -92,5 +111,11 @@ ORACLES = {
         h AS (SELECT r.query_id, word, string_agg(rank, '|' ORDER BY rank) AS ranks FROM r JOIN documents d ON d.doc_id = r.vec_id JOIN k ON contains(d.text, word) WHERE rank <= 5 GROUP BY ALL)
         SELECT q.query_id, n.word, coalesce(ranks, '') AS ranks, in_corpus, CASE WHEN ranks IS NOT NULL THEN 'found' WHEN in_corpus > 0 THEN 'ranking' ELSE 'collection' END AS verdict FROM q CROSS JOIN n LEFT JOIN h ON h.query_id = q.query_id AND h.word = n.word""",
     "numeric_hits": rf"""WITH {_SENT}, x AS (SELECT doc_id, pos, regexp_extract_all(sentence, '{NUMBER}') AS l FROM s) SELECT doc_id, pos, CAST(hit AS BIGINT) AS hit, l[hit] AS number FROM (SELECT *, unnest(range(1, len(l) + 1)) AS hit FROM x)""",
+    "nearest_word": rf"""WITH a AS (SELECT word, count(*) AS n FROM (SELECT unnest(list_distinct(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda w: w <> ''))) AS word FROM documents) WHERE regexp_full_match(word, '[a-z]{{3,12}}') GROUP BY word),
+        b AS (SELECT DISTINCT word FROM (SELECT unnest(regexp_split_to_array(lower(text), '\s+')) AS word FROM benchmark) WHERE regexp_full_match(word, '[a-z]{{3,12}}') AND word NOT IN (SELECT word FROM a)),
+        x AS (SELECT b.word, a.word AS term, CAST(levenshtein(b.word, a.word) AS INTEGER) AS distance FROM b JOIN a ON abs(length(a.word) - length(b.word)) <= 2 AND n >= 5)
+        SELECT word, term, distance FROM x WHERE distance <= CASE WHEN length(word) <= 4 THEN 1 ELSE 2 END QUALIFY row_number() OVER (PARTITION BY word ORDER BY distance, term) = 1""",
+    "corpus_changes": """SELECT doc_id, CASE WHEN doc_id % 97 = 3 THEN 'added' WHEN doc_id % 83 = 7 THEN 'removed' ELSE 'changed' END AS change FROM documents
+        WHERE (doc_id % 97 = 3) <> (doc_id % 83 = 7) OR (doc_id % 97 <> 3 AND doc_id % 83 <> 7 AND (doc_id % 89 = 5 OR (doc_id % 101 = 9 AND lang IS NOT NULL)))""",
     "numeric_summary": rf"WITH {_SENT} SELECT lang, count(*) AS sentences, count(DISTINCT doc_id) AS documents FROM s JOIN documents USING (doc_id) WHERE regexp_matches(sentence, '{NUMBER}') GROUP BY lang",
 }
