@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from glosswork.functions import text as tx
 from glosswork.operators.durable import written
+from glosswork.operators.order import quantiles
 from glosswork.operators.sampling import running
 
 #: Default threshold of each gate signal, and the two bounds of the bands.
@@ -122,13 +123,7 @@ def sweep(values: DataFrame, thresholds: DataFrame) -> DataFrame:
 
 def nearest_rank(values: DataFrame, group: str, value: str, fractions: tuple[float, ...] = (0.10, 0.25, 0.50, 0.75)) -> DataFrame:
     """Quantiles by nearest rank, the index f * (n - 1) rounded half to even, for each group. Nulls don't count."""
-    # Equal values are counted where they are read, so a window holds a group's distinct values, not its rows.
-    counted = values.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count(F.lit(1)).alias("_k"))
-    upto = F.sum("_k").over(Window.partitionBy(group).orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    ranked = counted.withColumn("_upto", upto).join(counted.groupBy(group).agg(F.sum("_k").alias("_n")), group)
-    at = lambda f: F.bround(f * (F.col("_n") - 1))
-    pick = lambda f: F.max(F.when((at(f) < F.col("_upto")) & (at(f) >= F.col("_upto") - F.col("_k")), F.col(value)))
-    return ranked.groupBy(group).agg(F.max("_n").alias("n"), *[pick(f).alias(f"p{round(f * 100)}") for f in fractions])
+    return quantiles(values, group, value, {f"p{round(f * 100)}": f for f in fractions})
 
 
 def misses(ranks: DataFrame, rows: DataFrame, groups: DataFrame) -> DataFrame:

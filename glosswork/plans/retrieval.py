@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from glosswork.operators import evaluate as ev
 from glosswork.operators import vectors as vec
+from glosswork.operators.order import quantiles
 from glosswork.sources.tables import table
 
 #: Margin that tells this table's queries apart; the default passes all of them.
@@ -136,7 +137,7 @@ def signal_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 def median_by_outcome(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(_outcomes(spark, d).groupBy("outcome").agg(F.count(F.lit(1)).alias("n"), F.median("score_gap").alias("median_gap")))
+    return _rounded(quantiles(_outcomes(spark, d), "outcome", "score_gap", {"median_gap": 0.5}, between=True))
 
 
 def nearest_rank_quantiles(spark: SparkSession, d: str) -> DataFrame:
