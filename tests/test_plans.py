@@ -47,9 +47,3 @@ def test_keep_first_merges_where_rows_are_read(spark, small):
 @pytest.mark.parametrize("name", ["sentence_split", "neighbor_context", "chunk_pack", "hard_wrap", "line_clean", "token_window", "numeric_hits"])
 def test_what_lies_in_one_row_is_not_shuffled(spark, small, name):
     assert "Exchange" not in plan(spark, small, name)
-
-
-def test_hot_keys_have_no_window_of_their_own(spark, small):
-    """The plans that read events by user use the scan, which deals hot keys to ranges."""
-    for name in ("asof_lookup", "interval_merge", "soft_boundaries"):
-        assert "_range" in plan(spark, small, name)
