@@ -2,7 +2,8 @@
 
 All visible text comes out, in order. Blocks stand on lines of their own, with a
 blank line around paragraphs, headings, lists and tables; list items carry marks and
-indents; cells of a table line up in columns, those of several lines (lists, inner tables, wrapped text) line by line.
+indents; cells of a table line up in the columns of a grid that spans keep free, those of several lines (lists, inner tables, wrapped text) line by line;
+blocks within a cell go without blank lines, text's own blank lines stay.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from itertools import accumulate, zip_longest
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -25,7 +27,8 @@ _TOKEN = re.compile(
 )
 _ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _SPACE = re.compile(r"[ \t\n\r\f\xa0]+")
-_HIDING = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
+_HIDING = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
+_VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*(hidden|collapse|visible|initial)", re.I)
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
@@ -187,6 +190,7 @@ def parse(source: str) -> Node:
 
 
 def visible(node: Node) -> bool:
+    """Whether a node and what is in it may be seen at all; ``seen`` is about its own text."""
     a = node.attrs
     if node.tag in UNSEEN or "hidden" in a and a["hidden"].lower() != "until-found":
         return False
@@ -195,10 +199,46 @@ def visible(node: Node) -> bool:
     return not ("style" in a and _HIDING.search(a["style"]))
 
 
-class Lines:
-    """Text flowing into lines; ``blank`` asks for an empty line before the next one."""
+def seen(node: Node, inherited: bool) -> bool:
+    """Visibility of a node's own text: the last that its style names, else that of the node around it; what is in a hidden node may be visible again."""
+    named = _VISIBILITY.findall(node.attrs["style"]) if "style" in node.attrs else []
+    return named[-1].lower() in ("visible", "initial") if named else inherited
+
+
+def whole(node: Node, name: str, default: int, most: int) -> int:
+    """A whole number given as an attribute."""
+    given = node.attrs.get(name, "").strip()
+    return min(int(given), most) if given.lstrip("-").isdigit() and len(given) < 9 else default
+
+
+class Table:
+    """Rows of cells on a grid; ``held`` tells for how many rows from here on each column is taken by a cell from above."""
 
     def __init__(self) -> None:
+        self.rows: list[list[list[str]]] = []
+        self.held: list[int] = []
+        self.coming: list[int] = []
+
+    def row(self) -> None:
+        self.held = [max(a - 1, b) for a, b in zip_longest(self.held, self.coming, fillvalue=0)]
+        self.coming = []
+        self.rows.append([])
+
+    def cell(self, lines: list[str], wide: int, tall: int) -> None:
+        if not self.rows:
+            self.row()
+        row = self.rows[-1]
+        while len(row) < len(self.held) and self.held[len(row)] > 0:
+            row.append([])
+        self.coming += [0] * (len(row) - len(self.coming)) + [tall - 1] * wide
+        row += [lines] + [[]] * (wide - 1)
+
+
+class Lines:
+    """Text flowing into lines; ``blank`` asks for an empty line before the next one, which the lines of a cell (``compact``) go without."""
+
+    def __init__(self, compact: bool = False) -> None:
+        self.compact = compact
         self.lines: list[str] = []
         self.parts: list[str] = []
         self.space = self.blank = False
@@ -235,7 +275,7 @@ class Lines:
                 self.mark = ""
 
     def put(self, line: str) -> None:
-        if self.blank and self.lines and self.lines[-1]:
+        if self.blank and not self.compact and self.lines and self.lines[-1]:
             self.lines.append("")
         self.blank = False
         self.lines.append(line.rstrip(" "))
@@ -266,37 +306,47 @@ def wrapped(line: str) -> list[str]:
 
 
 def align(rows: list[list[list[str]]]) -> list[str]:
-    """Rows of cells, each of some lines, as lines whose columns begin at the same place."""
+    """Rows of cells, each of some lines, as lines whose columns begin at the same place.
+
+    A word that is wider than a column may be stands on a line of its own, under its column's beginning, unless nothing follows it.
+    """
     rows = [[[part for line in cell for part in wrapped(line)] for cell in row] for row in rows]
     width: list[int] = []
     for row in rows:
         width += [0] * (len(row) - len(width))
         for i, cell in enumerate(row):
             width[i] = max([width[i], *(min(len(line), WRAP) for line in cell)])
+    begin = [0, *accumulate(w + 2 for w in width)]
     out = []
     for row in rows:
         for n in range(max(map(len, row), default=0)):
-            line = "  ".join((cell[n] if n < len(cell) else "").ljust(w) for cell, w in zip(row, width, strict=False)).rstrip()
-            if line:
+            held = [cell[n] if n < len(cell) else "" for cell in row]
+            last = max((i for i, text in enumerate(held) if text), default=0)
+            wide = [i for i, text in enumerate(held) if len(text) > width[i] and i < last]
+            line = "  ".join(("" if i in wide else text).ljust(w) for i, (text, w) in enumerate(zip(held, width, strict=False))).rstrip()
+            if line or not wide:
                 out.append(line)
+            out += [" " * begin[i] + held[i] for i in wide]
     return out
 
 
 def render(root: Node) -> str:
     """Text of the visible nodes. The walk keeps its own stack, so nesting of any depth is fine."""
     out = [Lines()]
-    tables: list[list[list[list[str]]]] = []
+    tables: list[Table] = []
     lists: list[list] = []
     pre = 0
-    stack: list[tuple] = [("node", root)]
+    stack: list[tuple] = [("node", root, True)]
     while stack:
-        kind, node = stack.pop()
+        kind, node, shown = stack.pop()
         if kind == "node":
             if isinstance(node, str):
-                out[-1].exact(node) if pre else out[-1].flow(node)
+                if shown:
+                    out[-1].exact(node) if pre else out[-1].flow(node)
                 continue
             if not visible(node):
                 continue
+            shown = seen(node, shown)
             tag, here = node.tag, out[-1]
             if tag == "br":
                 here.finish(True)
@@ -313,32 +363,34 @@ def render(root: Node) -> str:
             if tag in ("pre", "textarea"):
                 pre += 1
             elif tag in ("ul", "ol", "menu"):
-                begin = node.attrs.get("start", "1")
-                lists.append([tag, int(begin) if begin.lstrip("-").isdigit() and len(begin) < 9 else 1])
+                back = tag == "ol" and "reversed" in node.attrs
+                items = sum(isinstance(c, Node) and c.tag == "li" for c in node.children) if back else 1
+                lists.append([tag, whole(node, "start", items, 10**8), -1 if back else 1])
             elif tag == "li":
                 if lists and lists[-1][0] == "ol":
+                    lists[-1][1] = whole(node, "value", lists[-1][1], 10**8)
                     here.mark = f"{lists[-1][1]}. "
-                    lists[-1][1] += 1
+                    lists[-1][1] += lists[-1][2]
                 else:
                     here.mark = "- "
                 here.indent.append(here.indent[-1] + " " * len(here.mark))
-                stack.append(("li", node))
-                stack.extend(("node", c) for c in reversed(node.children))
+                stack.append(("li", node, shown))
+                stack.extend(("node", c, shown) for c in reversed(node.children))
                 continue
             elif tag == "dd":
                 here.indent.append(here.indent[-1] + "  ")
             elif tag == "table":
-                tables.append([])
+                tables.append(Table())
             elif tag == "tr" and tables:
-                tables[-1].append([])
+                tables[-1].row()
             elif tag in ("td", "th") and tables:
-                out.append(Lines())
+                out.append(Lines(compact=True))
             elif tag == "details" and "open" not in node.attrs:
-                stack.append(("leave", node))
-                stack.extend(("node", c) for c in reversed(node.children) if isinstance(c, Node) and c.tag == "summary")
+                stack.append(("leave", node, shown))
+                stack.extend(("node", c, shown) for c in reversed(node.children) if isinstance(c, Node) and c.tag == "summary")
                 continue
-            stack.append(("leave", node))
-            stack.extend(("node", c) for c in reversed(node.children))
+            stack.append(("leave", node, shown))
+            stack.extend(("node", c, shown) for c in reversed(node.children))
         elif kind == "li":
             out[-1].finish()
             out[-1].mark = ""
@@ -351,19 +403,15 @@ def render(root: Node) -> str:
             elif tag in ("ul", "ol", "menu"):
                 lists.pop()
             elif tag in ("td", "th") and tables:
-                cell = [x for x in out.pop().done() if x]
-                if not tables[-1]:
-                    tables[-1].append([])
-                span = node.attrs.get("colspan", "1")
-                span = min(int(span), 1000) if span.isdigit() and len(span) < 9 else 1
-                tables[-1][-1] += [cell] + [[]] * (max(1, span) - 1)
+                tall = whole(node, "rowspan", 1, 65_534) or 65_534  # none: to the end of the table
+                tables[-1].cell(out.pop().done(), max(1, whole(node, "colspan", 1, 1000)), max(1, tall))
                 continue
             elif tag == "dd":
                 here.finish()
                 here.indent.pop()
             elif tag == "table":
                 here.apart()
-                for line in align(tables.pop()):
+                for line in align(tables.pop().rows):
                     here.put(here.indent[-1] + line)
             if tag in PARAGRAPH and not (tag in ("ul", "ol", "menu") and lists):
                 here.apart()

@@ -75,6 +75,58 @@ def test_all_visible_words_survive():
         assert sorted(page_text("".join(parts)).replace("-", " ").split()) == sorted(words)
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ('<div style="visibility:hidden">a <b style="color:red; visibility: visible">b</b> c<p style="visibility:inherit">d</div>e', "b\n\ne"),
+        ('<p style="visibility:hidden;visibility:visible">x<i style="display:none"><b style="visibility:visible">y</b></i></p>', "x"),
+        ('<ul style="visibility:collapse"><li>a<li style="visibility:visible">b</ul>', "- b"),
+        ("<table><tr><td rowspan=2>L<td>a<tr><td>R<tr><td>x<td>y</table>", "L  a\n   R\nx  y"),
+        ("<table><tr><td>1<td rowspan=3 colspan=2>2<td>3<tr><td>4<td>5<tr><td>6<tr><td>7<td>8</table>", "1  2    3\n4       5\n6\n7  8"),
+        ("<table><tr><td rowspan=0>a<td>b<tr><td>c<tr><td>d</table>", "a  b\n   c\n   d"),
+        ("<table><tr><td><p>a<p>b<td>c</table>", "a  c\nb"),
+        ("<table><tr><td>k<td><pre>x\n\ny</pre></table>", "k  x\n\n   y"),
+        ("<ol reversed><li>a<li>b<li>c</ol>", "3. a\n2. b\n1. c"),
+        ("<ol start=7><li>a<li value=2>b<li>c</ol>", "7. a\n2. b\n3. c"),
+        ("<ol reversed start=5><li>a<li>b</ol>", "5. a\n4. b"),
+        (f"<table><tr><td>{'w' * 90}<td>b<tr><td>c<td>d</table>", " " * 82 + "b\n" + "w" * 90 + "\nc" + " " * 81 + "d"),
+        (f"<table><tr><td>a<td>{'w' * 90}<tr><td>c<td>d</table>", "a  " + "w" * 90 + "\nc  d"),
+    ],
+)
+def test_visibility_spans_and_numbers(page, text):
+    assert page_text(page) == text
+
+
+def plain_grid(rows):
+    """Column of each cell (text, colspan, rowspan) by marking every field of a grid."""
+    taken, out = set(), {}
+    for r, row in enumerate(rows):
+        c = 0
+        for text, wide, tall in row:
+            while (r, c) in taken:
+                c += 1
+            out[text] = c
+            taken |= {(r + i, c + j) for i in range(tall) for j in range(wide)}
+            c += wide
+    return out
+
+
+def test_cells_stand_in_the_columns_of_a_grid():
+    rng = random.Random(31)
+    for _ in range(150):
+        n, rows = 0, []
+        for _ in range(rng.randint(1, 6)):
+            row = []
+            for _ in range(rng.randint(1, 4)):
+                row.append((f"c{n:03d}", 1, rng.choice([1, 1, 1, 2, 3])))
+                n += 1
+            rows.append(row)
+        page = "<table>" + "".join("<tr>" + "".join(f"<td colspan={w} rowspan={h}>{t}</td>" for t, w, h in row) for row in rows) + "</table>"
+        lines = page_text(page).split("\n")
+        where = {m.group(): m.start() // 6 for line in lines for m in re.finditer(r"c\d{3}", line)}  # four letters and two spaces to a column
+        assert where == plain_grid(rows)
+
+
 def test_extract_replaces_the_column(spark):
     df = spark.createDataFrame([(1, None, "old"), (2, "<p>a", "old"), (2, "<p>a", "old")], "page_id int, html string, TEXT string")
     got = extract(df)
@@ -96,16 +148,18 @@ class Plain(HTMLParser):
     def handle_starttag(self, tag, attrs):
         if tag not in self.VOID:
             given = {k: (v or "").replace(" ", "").lower() for k, v in attrs}
-            hidden = "hidden" in given or "display:none" in given.get("style", "") or "visibility:hidden" in given.get("style", "")
-            self.open.append((tag, hidden or tag in self.UNSEEN or tag == "dialog" and "open" not in given))
+            style = given.get("style", "")
+            hidden = "hidden" in given or "display:none" in style or tag in self.UNSEEN or tag == "dialog" and "open" not in given
+            shown = self.open[-1][2] if self.open else True
+            self.open.append((tag, hidden, False if "visibility:hidden" in style else True if "visibility:visible" in style else shown))
 
     def handle_endtag(self, tag):
-        at = [i for i, (t, _) in enumerate(self.open) if t == tag]
+        at = [i for i, (t, _, _) in enumerate(self.open) if t == tag]
         if at:
             del self.open[at[-1] :]
 
     def handle_data(self, data):
-        if not any(hidden for _, hidden in self.open):
+        if not any(hidden for _, hidden, _ in self.open) and (not self.open or self.open[-1][2]):
             self.words += data.replace("\xa0", " ").split()
 
 
