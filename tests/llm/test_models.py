@@ -214,6 +214,9 @@ def test_toxic_documents_of_the_held_out_fold(spark):
     toxic, clean = [p for t, told, p in held if t == 1 and told], [p for t, _, p in held if t == 0]
     assert len(telling) >= 5 and len(toxic) > 30
     assert sum(toxic) >= 0.95 * len(toxic) and sum(clean) <= 0.03 * len(clean)
+    # against the labels themselves, wrong ones and documents without a telling word included
+    every = [p for t, _, p in held if t == 1]
+    assert sum(every) >= 0.7 * len(every) and sum(every) >= 0.85 * (sum(every) + sum(clean))
 
 
 def test_labels_of_any_key(spark):

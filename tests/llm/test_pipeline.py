@@ -29,8 +29,11 @@ def test_documents_keep_their_columns(stages):
 def test_toxic_documents_go(spark, small, stages):
     toxic = {r.doc_id for r in spark.read.parquet(f"{small}/labels.parquet").where("toxic = 1").collect()}
     left = {r.doc_id for r in stages[1].collect()}
-    clean = {r.doc_id for r in stages[0].collect()} - toxic
+    before = {r.doc_id for r in stages[0].collect()}
+    clean = before - toxic
     assert len(clean & left) >= 0.9 * len(clean)
+    # of documents labelled toxic, held-out ones and wrong labels included: 6 of 11 in this table, where 4 have none of the words that mark the others
+    assert len(toxic & before) >= 5 and len((toxic & before) - left) >= 0.5 * len(toxic & before)
 
 
 def test_no_copies_are_left(stages):
