@@ -219,10 +219,10 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns.
+    """The rows of ``docs`` that stay, with all their columns, whatever their names: of equal texts one row. An empty table stays empty.
 
     Rows are matched by their place in the scan, so ``docs`` must be a table that is
-    read the same way each time, as files are.
+    read the same way each time, as files are; write one that comes from a shuffle or join first. For nulls, ties, repeats and long texts see ``exact_duplicates``.
     """
     gone = materialise(exact_duplicates(docs, id_col, text_col).where("not kept").select("rid"))
     rid = fresh(docs, "_rid")
