@@ -2,19 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glosswork.functions.text import matching
-from glosswork.operators.durable import ship
+from glosswork.operators.containment import contained
 
-#: Terms compared inside one expression; larger lexicons go through ``term_hits``.
-INLINE_TERMS = 32
-#: Terms and their bytes, about, of one automaton, which is broadcast as a list.
-BLOCK_TERMS, BLOCK_BYTES = 100_000, 8 << 20
+#: Terms, and their bytes, compared inside one expression; larger lexicons go through ``term_hits``.
+INLINE_TERMS, INLINE_BYTES = 32, 1 << 20
 DISCLAIMER = " [This is general information.]"
 REFUSAL = "This question is outside what can be answered here."
 
@@ -25,45 +20,16 @@ def load_terms(terms: list[str], least: int = 2) -> list[str]:
 
 
 def term_hits(texts: DataFrame, terms: DataFrame) -> DataFrame:
-    """(id, term) of every literal containment, for lexicons of any size.
+    """(id, term), once each, of every literal containment, for lexicons of any size.
 
     ``texts`` is (id, text), ``terms`` (term). Up to INLINE_TERMS terms are tested inside one Spark expression;
-    more go in blocks of BLOCK_TERMS terms or BLOCK_BYTES, each an automaton that reads a text once whatever the number of terms.
-    Nothing is shuffled.
+    more meet the texts by rare runs of characters (``containment.contained``).
     """
     wanted = terms.select("term").where("length(term) > 0").distinct()
     n, size = wanted.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("term")), F.lit(0))).first()
-    if n <= INLINE_TERMS and size <= BLOCK_BYTES:
-        return texts.select("id", F.explode(matching(F.col("text"), sorted(r[0] for r in wanted.collect()))).alias("term"))
-    blocks, out = max(-(-n // BLOCK_TERMS), -(-size // BLOCK_BYTES)), None
-    for b in range(blocks):
-        block = [r[0] for r in wanted.where(F.pmod(F.xxhash64("term"), F.lit(blocks)) == b).collect()]  # about a block
-        one = _automaton_hits(texts, block)
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
-def _automaton_hits(texts: DataFrame, terms: list[str]) -> DataFrame:
-    ship(texts.sparkSession)
-    shared = texts.sparkSession.sparkContext.broadcast(terms)
-    kind = texts.schema["id"].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import ahocorasick
-
-        machine = ahocorasick.Automaton()
-        for t in shared.value:
-            machine.add_word(t, t)
-        machine.make_automaton()
-        for batch in batches:
-            ids, found = [], []
-            for key, text in zip(batch.column("id").to_pylist(), batch.column("text"), strict=True):
-                hits = {t for _, t in machine.iter(text.as_py() or "")}
-                ids += [key] * len(hits)
-                found += sorted(hits)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field("id").type), pa.array(found, pa.string())], names=["id", "term"])
-
-    return texts.select("id", "text").mapInArrow(run, f"id {kind}, term string")
+    if n <= INLINE_TERMS and size <= INLINE_BYTES:
+        return texts.select("id", F.explode(matching(F.col("text"), sorted(r[0] for r in wanted.collect()))).alias("term")).distinct()
+    return contained(texts, wanted)
 
 
 def guard_input(text: Column, terms: list[str], allowed: list[str] | None = None) -> Column:

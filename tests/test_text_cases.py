@@ -81,7 +81,6 @@ def test_term_hits_agree_for_small_and_large_lexicons(spark, monkeypatch):
     terms = spark.createDataFrame([("bcd",), ("z",), ("q",), ("",)], "term string")
     small = sorted(tuple(r) for r in lx.term_hits(texts, terms).collect())
     monkeypatch.setattr(lx, "INLINE_TERMS", 1)
-    monkeypatch.setattr(lx, "BLOCK_TERMS", 2)
     assert small == [(1, "bcd"), (2, "z")] == sorted(tuple(r) for r in lx.term_hits(texts, terms).collect())
 
 
