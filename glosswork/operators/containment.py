@@ -1,6 +1,6 @@
-"""Literal containment of many terms in many texts: rare runs of characters as anchors, in Spark expressions only.
+"""Literal containment of many terms in many texts: rare runs of bytes as anchors, in Spark expressions only.
 
-Neither the terms nor the texts are broadcast or held whole. Each term is found by one run of characters of its own, its anchor, which
+Neither the terms nor the texts are broadcast or held whole. Each term is found by one run of bytes of its own, its anchor, which
 is the rarest among the texts; texts give the runs at all their places, a bounded set of bits takes out those that
 are no anchor before anything is shuffled, and what meets is compared literally.
 """
@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 
 from glosswork.operators.durable import written
 
-#: Lengths of anchors; a term's is the greatest that isn't longer than the term.
+#: Bytes of anchors; a term's is the greatest that isn't longer than the term.
 SIZES = (1, 2, 4, 8, 16, 32)
-#: Characters of a block, from which runs are read: a place in a text is never looked up from the text's start.
-BLOCK = 64
-#: Characters of a stretch, in which a candidate is compared: a very long text is read by many tasks.
+#: Bytes of a block, from which runs are read. A place among bytes costs the same wherever it is; one among characters is counted from the start.
+BLOCK = 1024
+#: Bytes of a stretch, in which a candidate is compared: a very long text is read by many tasks.
 STRETCH = 65_536
 #: One block in so many counts the runs of the texts. The counts choose anchors, and so the work, not the result.
 COUNTED_SHARE = 16
@@ -49,18 +49,22 @@ class Bits:
 
 
 def runs(rows: DataFrame, column: str, sizes: list[int], *carried: str, share: int = 1) -> DataFrame:
-    """(carried, at, size, h): the hash of the characters from each place (from 0) of a text on, for each size up to BLOCK.
+    """(carried, at, size, h): the hash of the bytes from each place (from 0) of a binary column on, for each size.
 
     At the end of a text the last ones are shorter than their size. With ``share`` only one block in so many is read.
     """
-    blocks = rows.select(*carried, F.regexp_extract_all(column, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0)).alias("_b"))
-    wide = F.transform("_b", lambda x, i: F.struct(F.length(x).alias("n"), F.concat(x, F.substring(F.coalesce(F.get("_b", i + 1), F.lit("")), 1, max(sizes) - 1)).alias("x")))
-    parts = blocks.select(*carried, F.posexplode(wide).alias("_i", "_w"))
+    blocks = rows.select(*carried, F.col(column).alias("_t")).where("length(_t) > 0")
+    blocks = blocks.select(*carried, "_t", F.explode(F.expr(f"sequence(0, (length(_t) - 1) div {BLOCK})")).alias("_i"))
     if share > 1:
-        parts = parts.where(F.pmod(F.xxhash64(*carried, "_i"), F.lit(share)) == 0)
-    places = parts.select(*carried, "_i", F.col("_w.x").alias("_x"), F.explode(F.expr("sequence(1, _w.n)")).alias("_p"))
-    each = F.explode(F.array(*[F.struct(F.lit(s).alias("size"), F.xxhash64(F.substring(F.col("_x"), F.col("_p"), F.lit(s))).alias("h")) for s in sizes]))
-    return places.select(*carried, (F.col("_i").cast("long") * BLOCK + F.col("_p") - 1).alias("at"), each.alias("_g")).select(*carried, "at", "_g.size", "_g.h")
+        blocks = blocks.where(F.pmod(F.xxhash64(*carried, "_i"), F.lit(share)) == 0)
+    parts = blocks.select(*carried, "_i", F.expr(f"substring(_t, cast(_i * {BLOCK} + 1 as int), {BLOCK + max(sizes) - 1})").alias("_x"))
+    places = parts.select(*carried, "_i", "_x", F.explode(F.expr(f"sequence(1, least({BLOCK}, length(_x)))")).alias("_p"))
+    hashed = lambda s: F.xxhash64(F.substring(F.col("_x"), F.col("_p"), F.lit(s)))
+    at = (F.col("_i") * BLOCK + F.col("_p") - 1).alias("at")
+    if len(sizes) == 1:
+        return places.select(*carried, at, F.lit(sizes[0]).alias("size"), hashed(sizes[0]).alias("h"))
+    each = F.explode(F.array(*[F.struct(F.lit(s).alias("size"), hashed(s).alias("h")) for s in sizes]))
+    return places.select(*carried, at, each.alias("_g")).select(*carried, "at", "_g.size", "_g.h")
 
 
 def _anchors(texts: DataFrame, terms: DataFrame, sizes: list[int]) -> DataFrame:
@@ -79,14 +83,15 @@ def contained(texts: DataFrame, terms: DataFrame) -> DataFrame:
     Rows that share an id are one text's parts: a term in any of them is found once. A null id is an id. Null texts, and null and empty
     terms, give nothing; a term of any length is found in a text of any length. Other columns aren't read.
     """
-    texts = texts.select("id", "text")
+    kind = texts.schema["text"].dataType
+    texts = texts.select("id", F.col("text").cast("binary").alias("text"))
     own = F.greatest(*[F.when(F.length("term") >= s, s).otherwise(1) for s in SIZES])
-    named = terms.select("term").where("length(term) > 0").withColumn("key", F.unhex(F.sha2("term", 256)))
+    named = terms.select(F.col("term").cast("binary").alias("term")).where("length(term) > 0").withColumn("key", F.unhex(F.sha2("term", 256)))
     wanted = written(named.groupBy("key").agg(F.any_value("term").alias("term")).withColumns({"n": F.length("term"), "own": own}))
     found = wanted.agg(F.collect_set("own").alias("sizes"), F.max("n").alias("longest")).first()
     if not found.sizes:
-        return texts.select("id", F.col("text").alias("term")).where("false")
-    sizes, more = sorted(found.sizes), -(-found.longest // STRETCH)
+        return texts.select("id", F.col("text").cast(kind).alias("term")).where("false")
+    sizes = sorted(found.sizes)
     held = _anchors(texts, wanted, sizes)
 
     # where an anchor stands: for each text and stretch once, before and after the shuffle
@@ -103,10 +108,10 @@ def contained(texts: DataFrame, terms: DataFrame) -> DataFrame:
 
     # literal comparison; only texts with a candidate are moved
     few = Bits(met.select(F.xxhash64("id").alias("h")).distinct())
-    cut = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{STRETCH}}}"), F.lit(0))
-    windows = F.transform("_s", lambda _, i: F.concat_ws("", F.slice("_s", i + 1, F.lit(1 + more))))
-    pieces = texts.where(few.may_hold(F.xxhash64("id"))).select(F.col("id").alias("_id"), cut.alias("_s")).select("_id", F.posexplode(windows).alias("_n", "_window"))
+    cut = F.explode(F.expr(f"sequence(0L, (length(text) - 1L) div {STRETCH})")).alias("_n")
+    window = F.expr(f"substring(_t, cast(_n * {STRETCH} + 1 as int), {STRETCH + found.longest - 1})").alias("_window")
+    pieces = texts.where("length(text) > 0").where(few.may_hold(F.xxhash64("id"))).select(F.col("id").alias("_id"), F.col("text").alias("_t"), cut).select("_id", "_n", window)
     asked = met.join(wanted.select("key", "term"), "key")
     same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("stretch") == F.col("_n"))
     hits = asked.join(pieces, same).where(F.contains("_window", "term")).select("id", "key").distinct()
-    return hits.join(wanted.select("key", "term"), "key").select("id", "term")
+    return hits.join(wanted.select("key", "term"), "key").select("id", F.col("term").cast(kind).alias("term"))
