@@ -30,7 +30,9 @@ class Bits:
     """What tells of most hashes that they are not among some (``hashes``, column h), in a bounded number of bits; two bits for each."""
 
     def __init__(self, hashes: DataFrame) -> None:
-        spark, n, self.size = hashes.sparkSession, hashes.count(), 64
+        spark, n, self.size, self.held = hashes.sparkSession, hashes.count(), 64, None
+        if n == 0:
+            return
         while self.size < min(BITS_EACH * n, MOST_BITS):
             self.size *= 2
         at = hashes.select(F.explode(F.array(*self._places(F.col("h")))).alias("at"))
@@ -43,6 +45,8 @@ class Bits:
 
     def may_hold(self, h: Column) -> Column:
         """False only for hashes that aren't there."""
+        if self.held is None:
+            return F.lit(False)
         words = self.held.scalar()
         one, two = (F.getbit(F.get(words, F.shiftright(p, 6).cast("int")), p.bitwiseAND(F.lit(63)).cast("int")) == 1 for p in self._places(h))
         return one & two
@@ -115,3 +119,11 @@ def contained(texts: DataFrame, terms: DataFrame) -> DataFrame:
     same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("stretch") == F.col("_n"))
     hits = asked.join(pieces, same).where(F.contains("_window", "term")).select("id", "key").distinct()
     return hits.join(wanted.select("key", "term"), "key").select("id", F.col("term").cast(kind).alias("term"))
+
+
+def overlapping(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(a, b), once each, of the terms of two vocabularies (term) of which one contains the other; equal terms do. Null and empty terms have no part."""
+    as_text = lambda terms: terms.select(F.col("term").alias("id"), F.col("term").alias("text")).distinct()
+    inside = contained(as_text(right), left).select(F.col("term").alias("a"), F.col("id").alias("b"))
+    around = contained(as_text(left), right).where("id != term").select(F.col("id").alias("a"), F.col("term").alias("b"))
+    return inside.unionByName(around)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from glosswork.functions import text as tx
 from glosswork.operators import lexicon as lx
+from glosswork.operators.containment import overlapping
 from glosswork.sources.tables import table
 
 #: Topics and their words.
@@ -165,10 +166,9 @@ def oov_candidates(spark, d):
 
 
 def vocab_overlap(spark, d):
-    """Pairs of two vocabularies of which one term contains the other."""
-    a = spark.createDataFrame([(t,) for t in ["pass", "the ", "moron", "http"]], "a string")
-    b = spark.createDataFrame([(t,) for t in [*TERMS, *[w for ws in TOPICS.values() for w in ws]]], "b string")
-    return a.join(b, F.contains("a", "b") | F.contains("b", "a"))
+    """Words of the benchmark and of the documents of which one contains the other."""
+    vocabulary = lambda t: table(spark, d, t).select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), F.lit(0))).alias("term")).distinct()
+    return overlapping(vocabulary("benchmark"), vocabulary("documents"))
 
 
 def marker_flags(spark, d):
@@ -378,7 +378,8 @@ ORACLES = {
     "oov_candidates": f"""WITH w AS (SELECT doc_id, {_WORDS.format(c='lower(text)')} AS w FROM documents), e AS (SELECT w, unnest(range(0, len(w))) AS p, unnest(w) AS word FROM w)
         SELECT word, count(*) AS n FROM e WHERE regexp_full_match(word, '[a-z]{{2,6}}') AND list_has_any(w[greatest(1, p - 4):greatest(1, p - 4) + 10], ['trash', 'idiot', 'moron'])
         AND NOT ({' OR '.join(f"contains('{t}', word) OR contains(word, '{t}')" for t in TERMS)}) GROUP BY word HAVING count(*) >= 3""",
-    "vocab_overlap": f"""SELECT a, b FROM (SELECT unnest({_list('pass', 'the ', 'moron', 'http')}) AS a), (SELECT unnest({_list(*TERMS, *[w for ws in TOPICS.values() for w in ws])}) AS b) WHERE contains(a, b) OR contains(b, a)""",
+    "vocab_overlap": """WITH a AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) AS a FROM benchmark), b AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) AS b FROM documents)
+        SELECT a, b FROM a, b WHERE contains(a, b) OR contains(b, a)""",
     "marker_flags": f"SELECT * FROM (SELECT doc_id, {_joined([(_any('text', ['@']), 'mail'), (_any('text', ['password', 'token']), 'secret'), (_any('text', ['License', 'license']), 'license')])} AS flags FROM documents) WHERE flags <> ''",
     "lens_classify": "SELECT CASE WHEN contains(source, '1') THEN 'one' WHEN contains(source, '2') THEN 'two' ELSE 'unknown' END AS lens, count(*) AS docs FROM documents GROUP BY 1",
     "doc_reason_filter": f"""WITH x AS (SELECT doc_id, text, string_split(text, chr(10))[1] AS title FROM documents) SELECT * FROM (SELECT doc_id, {_joined([(_any('left(text, 300)', ['http', '@']), 'marker'),

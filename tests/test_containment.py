@@ -35,6 +35,13 @@ def test_equals_plain_containment(spark, monkeypatch, alphabet):
     assert found(spark, texts, terms) == plain(texts, terms)
 
 
+def test_overlapping_vocabularies(spark):
+    a, b = ["pass", "moron", "a", "xyz", "", None, "a"], ["password", "moron", "yz", "ss", "q", None]
+    rows = ct.overlapping(*(spark.createDataFrame([(t,) for t in v], "term string") for v in (a, b))).collect()
+    want = {(x, y) for x in a for y in b if x and y and (x in y or y in x)}
+    assert len(rows) == len(want) and {tuple(r) for r in rows} == want
+
+
 def test_nothing_asked_and_nothing_there(spark):
     assert found(spark, [(1, "a")], [None, ""]) == []
     assert found(spark, [], ["a"]) == []

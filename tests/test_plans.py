@@ -8,10 +8,10 @@ from glosswork import plans
 
 QUERIES = plans.queries()
 #: Queries whose nested-loop join is with one row or with a stated, bounded set.
-SMALL_LOOPS = {"cross_scores", "cosine_scores", "vocab_overlap", "duration_stats", "label_import", "threshold_sweep", "tradeoff_curve", "ir_metrics_scored"}
+SMALL_LOOPS = {"cross_scores", "cosine_scores", "duration_stats", "label_import", "threshold_sweep", "tradeoff_curve", "ir_metrics_scored"}
 NATIVE = [
     "sentence_split", "neighbor_context", "topn_per_group", "crosstab_pivot", "line_clean", "section_split", "chunk_pack", "heading_promotion", "interval_overlap_join", "chapter_assign", "asof_lookup", "interval_merge",
-    "rolling_dedup", "segment_chunk", "guard_output_v2", "keep_last", "ledger_merge", "qa_siblings", "ordered_distinct", "corpus_fingerprint", "stratified_sample", "validate_rows", "backfill_merge", "flatten_props", "degree_stats",
+    "rolling_dedup", "segment_chunk", "guard_output_v2", "substring_join", "grounding_check", "vocab_overlap", "keep_last", "ledger_merge", "qa_siblings", "ordered_distinct", "corpus_fingerprint", "stratified_sample", "validate_rows", "backfill_merge", "flatten_props", "degree_stats",
 ]
 
 
