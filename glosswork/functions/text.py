@@ -61,13 +61,22 @@ def snippet(text: Column, limit: int = 60) -> Column:
     return F.when(F.length(flat) > limit, F.concat(F.substring(flat, 1, limit), F.lit("…"))).otherwise(flat)
 
 
-def unescape(text: Column) -> Column:
-    """All named and numeric character references decoded, then squashed. Only texts with an ampersand go through Python, in Arrow batches."""
-    import html
+def unescape(text: Column, closed: bool = False) -> Column:
+    """All named and numeric character references decoded, then squashed. Only texts with an ampersand go through Python, in Arrow batches.
+
+    With ``closed`` a reference counts only if a semicolon ends it; without, some old names do without one, as browsers read them.
+    """
+    import html.entities
+    import re
+
+    whole = re.compile(r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);")
+
+    def reference(m: re.Match) -> str:
+        return html.unescape(m[0]) if m[0][1] == "#" or m[0][1:] in html.entities.html5 else m[0]
 
     @F.pandas_udf("string")
     def decoded(texts: pd.Series) -> pd.Series:
-        return texts.map(html.unescape, na_action="ignore")
+        return texts.map((lambda t: whole.sub(reference, t)) if closed else html.unescape, na_action="ignore")
 
     marked = F.contains(text, F.lit("&"))
     return squash(F.when(marked, decoded(F.when(marked, text))).otherwise(text))

@@ -110,3 +110,8 @@ def test_lines_keep_their_figures(spark):
 
     df = spark.createDataFrame([(1, "0997 a 0\n1219 b 1\n  c  \n3\n\n 5x5"), (2, None)], "doc_id long, text string")
     assert [(r.pos, r.line) for r in plan.lines(df).orderBy("pos").collect()] == [(1, "0997 a 0"), (2, "1219 b 1"), (3, "c"), (4, "3"), (5, "5x5")]
+
+
+@pytest.mark.parametrize(("text", "want"), [("ver&amp</title> &lt;b&gt;", "ver&amp</title> <b>"), ("&ampx; &amp;lt; &#233; &#xE9; &eacute; &x;", "&ampx; &lt; \u00e9 \u00e9 \u00e9 &x;"), ("&nbsp; &copy", "&copy"), (None, None)])
+def test_closed_references_only(spark, text, want):
+    assert one(spark, tx.unescape(F.col("t"), closed=True), t=text) == want
