@@ -175,16 +175,54 @@ def score_statistics(found: DataFrame) -> DataFrame:
     )
 
 
+#: Queries of a block of the whole score table, and rows of a corpus block: a batch of it has their product of rows.
+TABLE_QUERIES, TABLE_ROWS = 64, 2048
+
+
 def pair_scores(queries: DataFrame, corpus: DataFrame, *, cosine: bool = False) -> DataFrame:
     """(query_id, id, score) of every query with every other row: the whole score table.
 
-    The result itself has queries x corpus rows, so this is for query sets that are stated and few.
+    The result itself has queries x corpus rows, so this is for query sets that are stated. Both sides are packed into small blocks, which
+    meet as a grid; a task holds one block of either and a batch of TABLE_QUERIES x TABLE_ROWS scores. Products are added up in the order of the
+    components, in double precision. A row without a vector has a null score.
     """
-    pairs = corpus.crossJoin(F.broadcast(queries.select("query_id", F.col("embedding").alias("_q")))) if queries.count() <= QUERY_BLOCK else corpus.crossJoin(queries.select("query_id", F.col("embedding").alias("_q")))
-    score = dot("embedding", "_q")
-    if cosine:
-        score = F.try_divide(score, F.sqrt(dot("embedding", "embedding")) * F.sqrt(dot("_q", "_q")))
-    return pairs.where("id != query_id").select("query_id", "id", score.alias("score"))
+    spark = corpus.sparkSession
+    ship(spark)
+    kinds = [df.schema["embedding"].dataType.elementType.simpleString() for df in (queries, corpus)]
+    cores = spark.sparkContext.defaultParallelism
+    asked = written(_packed(queries.repartition(max(1, min(cores, -(-queries.count() // TABLE_QUERIES)))), "query_id", TABLE_QUERIES))
+    held = written(_packed(corpus.repartition(4 * cores), "id", TABLE_ROWS).select(F.col("ids").alias("own"), F.col("vectors").alias("rows")))
+    grid = asked.repartition(max(1, min(4 * cores, asked.count())), "block").crossJoin(held.repartition(4 * cores))
+    scored = grid.select("ids", "vectors", "own", "rows").mapInArrow(_pairs(cosine, kinds), "query_id long, id long, score double")
+    bare = lambda df, key: df.where("embedding is null").select(key)
+    none = F.lit(None).cast("double").alias("score")
+    lacking = queries.select("query_id", F.col("embedding").isNull().alias("_q")).crossJoin(bare(corpus, "id"))
+    lacking = lacking.select("query_id", "id").unionByName(bare(queries, "query_id").crossJoin(corpus.where("embedding is not null").select("id")))
+    return scored.unionByName(lacking.where("id != query_id").select("query_id", "id", none))
+
+
+def _pairs(cosine: bool, kinds: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = [np.float64 if kind == "double" else np.float32 for kind in kinds]
+        for batch in batches:
+            for ids, vectors, own, rows in zip(*(batch.column(c) for c in range(4)), strict=True):
+                ids, own = np.frombuffer(ids.as_py(), np.int64), np.frombuffer(own.as_py(), np.int64)
+                a = np.frombuffer(vectors.as_py(), types[0]).reshape(len(ids), -1).T.astype(np.float64)
+                b = np.frombuffer(rows.as_py(), types[1]).reshape(len(own), -1).T.astype(np.float64)
+                score = np.zeros((len(ids), len(own)))
+                for x, y in zip(a, b, strict=True):
+                    score += np.multiply.outer(x, y)
+                absent = np.zeros(score.shape, bool)
+                if cosine:
+                    size = lambda m: np.sqrt(np.add.accumulate(m * m)[-1] if len(m) else np.zeros(m.shape[1]))
+                    length = np.multiply.outer(size(a), size(b))
+                    absent = length == 0
+                    score = np.divide(score, length, out=score, where=~absent)
+                kept = (ids[:, None] != own[None, :]).ravel()
+                columns = [np.repeat(ids, len(own))[kept], np.tile(own, len(ids))[kept]]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(score.ravel()[kept], mask=absent.ravel()[kept])], names=["query_id", "id", "score"])
+
+    return run
 
 
 #: What encoders of asymmetric search expect before a text of each role.
@@ -198,14 +236,23 @@ def hash_encode(texts: DataFrame, dims: int = 64, role: str | None = None) -> Da
     without words gives zeros, and so does a null text without a role.
     """
     texts = texts.withColumn("text", F.concat(F.lit(ROLE_PREFIX[role]), F.coalesce("text", F.lit("")))) if role else texts
+    ship(texts.sparkSession)
     words = F.expr("filter(split(lower(text), '[^\\\\p{L}\\\\p{N}]+'), w -> w != '')")
-    raw = F.expr(
-        f"transform(sequence(0, {dims - 1}), d -> aggregate(filter(_w, w -> pmod(xxhash64(w), {dims}) = d), 0D, (t, w) -> t + if(pmod(xxhash64(w, 1), 2) = 0, 1D, -1D)))"
-    )
-    norm = F.expr("sqrt(aggregate(_v, 0D, (t, x) -> t + x * x))")
-    return (
-        texts.select("id", F.coalesce(words, F.array()).alias("_w"))
-        .withColumn("_v", raw)
-        .withColumn("_n", norm)
-        .select("id", F.expr("transform(_v, x -> cast(coalesce(try_divide(x, _n), 0D) as float))").alias("embedding"))
-    )
+    codes = F.expr(f"transform(_w, w -> cast(pmod(xxhash64(w), {dims}) * 2 + pmod(xxhash64(w, 1), 2) as int))")  # a dimension, and whether it is taken off
+    kind = texts.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, held = len(batch), batch.column(1)
+            of = np.repeat(np.arange(n), np.diff(held.offsets.to_numpy()))
+            counts = np.zeros(n * dims * 2, np.int64)
+            np.add.at(counts, of * (dims * 2) + held.flatten().to_numpy(zero_copy_only=False), 1)
+            each = counts.reshape(n, dims, 2)
+            raw = (each[:, :, 0] - each[:, :, 1]).astype(np.float64)
+            norm = np.sqrt((raw * raw).sum(axis=1, keepdims=True))
+            out = np.divide(raw, norm, out=np.zeros_like(raw), where=norm > 0).astype(np.float32)
+            offsets = pa.array(np.arange(n + 1, dtype=np.int32) * dims)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(out.ravel()))], names=["id", "embedding"])
+
+    coded = texts.select("id", F.coalesce(words, F.array().cast("array<string>")).alias("_w")).select("id", codes.alias("_c"))
+    return coded.mapInArrow(run, f"id {kind}, embedding array<float>")

@@ -133,3 +133,42 @@ def test_words_near_marks_carry_no_text(spark):
     assert got == sorted(want) and got
     long = spark.range(1).select(F.expr("concat(array('trash'), array_repeat('ab', 200000))").alias("w"))
     assert plan.near_unknown(long, ["trash"], []).count() == 6
+
+
+@pytest.mark.parametrize("cosine", [False, True])
+def test_whole_score_table_in_blocks(spark, cosine, monkeypatch):
+    """Every pair once, nulls and zero vectors too, over several blocks; the plan has no pair of arrays to fold in rows."""
+    import math
+
+    monkeypatch.setattr(vec, "TABLE_QUERIES", 3)
+    monkeypatch.setattr(vec, "TABLE_ROWS", 4)
+    rows = [(i, [float(i % 5), -1.5, i / 7]) for i in range(20)] + [(20, [0.0, 0.0, 0.0]), (21, None)]
+    corpus = spark.createDataFrame(rows, "id long, embedding array<float>")
+    queries = corpus.where("id % 3 = 0").withColumnRenamed("id", "query_id")
+    table = vec.pair_scores(queries, corpus, cosine=cosine)
+    assert "aggregate(" not in table._jdf.queryExecution().toString()
+    got = {(r.query_id, r.id): r.score for r in table.collect()}
+    held = dict(r for r in [tuple(r) for r in corpus.collect()])
+    assert set(got) == {(q, i) for q in held if q % 3 == 0 for i in held if i != q}
+    for (q, i), score in got.items():
+        a, b = held[q], held[i]
+        size = None if a is None or b is None else math.sqrt(sum(x * x for x in a)) * math.sqrt(sum(x * x for x in b))
+        want = None if size is None or (cosine and size == 0) else sum(x * y for x, y in zip(a, b)) / (size if cosine else 1)
+        assert score is None and want is None or abs(score - want) < 1e-12
+
+
+def test_encoder_reads_each_word_once(spark):
+    """Against a plain version; the plan hashes words once, not once a dimension."""
+    import numpy as np
+
+    df = spark.createDataFrame([(1, "x y x, Z"), (2, None), (3, " "), (4, "a " * 50_000)], "id long, text string")
+    encoded = vec.hash_encode(df, 16)
+    assert encoded._jdf.queryExecution().optimizedPlan().toString().count("xxhash64(") == 2
+    got = {r.id: r.embedding for r in encoded.collect()}
+    codes = {w: tuple(spark.range(1).select(F.expr(f"pmod(xxhash64('{w}'), 16)"), F.expr(f"pmod(xxhash64('{w}', 1), 2)")).first()) for w in "xyza"}
+    for i, words in ((1, "x y x z"), (2, ""), (3, ""), (4, "a " * 50_000)):
+        v = np.zeros(16)
+        for w in words.split():
+            v[codes[w][0]] += 1 if codes[w][1] == 0 else -1
+        size = np.sqrt((v * v).sum())
+        assert np.allclose(got[i], v / size if size else v, atol=1e-6)
