@@ -47,3 +47,30 @@ def test_mentions(spark):
     got = gr.mentions(spark.createDataFrame(asked, "query_id int, question string"), spark.createDataFrame(names, "node int, name string"), 3, 5)
     want = sorted((q, n) for q, t in asked for n, name in names if t is not None and name is not None and len(name) >= 3 and name in t)
     assert sorted(map(tuple, got.collect())) == want and (101, 502) in want
+
+
+def test_common_names_are_dealt(spark):
+    """A name of many nodes that many questions hold comes from several tasks; nodes of two names come once."""
+    names = [(i, "bolt") for i in range(50)] + [(i, "nut bolt") for i in range(45, 55)] + [(7, "bolt"), (99, "unasked")]
+    asked = [(q, "which nut bolt?" if q % 2 else "a bolt") for q in range(20)]
+    got = gr.mentions(spark.createDataFrame(asked, "query_id int, question string"), spark.createDataFrame(names, "node int, name string"), 3, 5, name_rows=100)
+    want = sorted((q, n) for q in range(20) for n in range(55 if q % 2 else 50))
+    assert sorted(map(tuple, got.collect())) == want
+
+
+def test_search_walks_once_for_a_name(spark, monkeypatch):
+    """The evidence of questions, each from all nodes that it names, though walks are made for names."""
+    rng = random.Random(9)
+    edges = [(f"e{i}", rng.randint(0, 30), rng.randint(0, 30)) for i in range(35)]
+    names = [(i, ["red", "blue", "old", "cold", "new"][i % 5]) for i in range(12)] + [(40, "lone")]
+    asked = [(1, "a red one"), (2, "red and blue"), (3, "cold"), (4, "none"), (5, "lone"), (6, "a red one"), (7, None)]
+    frame = spark.createDataFrame
+    n, e = frame(names, "node int, name string"), frame(edges, "edge string, source int, target int")
+    node_chunks, edge_chunks = frame([(i, i % 17) for i in range(41)], "node int, chunk int"), frame([(x, int(x[1:]) % 23) for x, _, _ in edges], "edge string, chunk int")
+    q = frame(asked, "query_id int, question string")
+    plain = gr.evidence(*gr.walk_each(gr.mentions(q, n), gr.adjacency(e), 2), node_chunks, edge_chunks)
+    seeds, walk = [], gr.walk_each
+    monkeypatch.setattr(gr, "walk_each", lambda s, *a: seeds.append(s.count()) or walk(s, *a))
+    got = gr.search(q, n, gr.adjacency(e), node_chunks, edge_chunks, 2)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, plain.collect()))
+    assert seeds == [sum(any(m in (t or "") for _, t in asked) for _, m in names)]  # each name once, however many questions
