@@ -12,6 +12,7 @@ from glosswork.operators import lexical
 from glosswork.operators import lexicon as lx
 from glosswork.operators import vectors as vec
 from glosswork.operators import versions as vs
+from glosswork.operators.durable import written
 from glosswork.plans import curation as cn
 from glosswork.plans import retrieval as rt
 from glosswork.plans.text import _SENT, ALLOWED, MARKERS, TERMS, _docs, _list, _match, sentences
@@ -32,13 +33,16 @@ def _say(prompt: F.Column) -> F.Column:
 
 def answer_records(spark: SparkSession, d: str) -> DataFrame:
     """A record of every question, answered by a stand-in client, shared words being the second net."""
-    stats = ev.band(vec.score_statistics(rt._found(spark, d)), 0.36, 0.42).select("query_id", "band", "score_gap")
-    gated = stats.join(ev.gate(rt._stats(spark, d), "score_gap", GATE).select("query_id", "verdict"), "query_id")
+    hits = written(rt._found(spark, d))  # one search for band, gate and ranks
+    stats = vec.score_statistics(hits)
+    gated = written(ev.band(stats, 0.36, 0.42).select("query_id", "band", "score_gap").join(ev.gate(stats, "score_gap", GATE).select("query_id", "verdict"), "query_id"))
     docs = _docs(spark, d)
     questions = gated.join(docs.select(F.col("doc_id").alias("query_id"), tx.squash(F.col("text")).alias("question"), F.col("text").alias("guarded")), "query_id")
     one = docs.select(F.col("doc_id").alias("id"), F.concat(F.lit("document "), "doc_id").alias("header"), "text", (F.col("lang") != "de").alias("citable"))
     found = lambda ranks: ranks.join(one, "id").select("query_id", F.col("rank").alias("ordinal"), F.col("id").alias("chunk_id"), "header", "text", "citable")
-    vector, second = found(vec.ranking(rt._found(spark, d))), found(lexical.top_shared(*cn._long_words(spark, d), 3))
+    words, rows = cn._long_words(spark, d)
+    words = words.join(gated.where("verdict = 'PASS' and band != 'refuse'").select("query_id"), "query_id", "left_semi")  # the second net is used for no other
+    vector, second = found(vec.ranking(hits)), found(lexical.top_shared(words, rows, 3))
     out = an.records(questions, vector, second, an.column_client(_say), lx.load_terms(TERMS), MARKERS, ALLOWED, cn.PROFILE)
     ids = F.array_join(F.col("evidence").cast("array<string>"), "|")
     return out.select("query_id", "band", "status", "gate_verdict", ids.alias("evidence"), F.sha2("answer", 256).alias("answer_sha256"), F.col("guard.blocked").alias("output_blocked"), F.array_join("guard.matched_terms", "|").alias("matched_terms"))

@@ -75,3 +75,20 @@ def test_keyword_presence(spark):
     got = {(r["query_id"], r["word"]): (r["ranks"], r["in_corpus"], r["verdict"]) for r in ev.keyword_presence(found, queries, corpus, ["cat", "dog", "cow"]).collect()}
     assert got[10, "cat"] == ("1|2", 2, "found") and got[10, "dog"] == ("1", 2, "found")
     assert got[11, "dog"] == got[12, "dog"] == ("", 2, "ranking") and got[12, "cow"] == ("", 0, "collection") and len(got) == 9
+
+
+def test_answer_records_search_once(spark, small, monkeypatch):
+    """Band, gate and ranks read one search of vectors, and the second net is asked only for questions that it may answer."""
+    from glosswork.operators import evaluate as ev
+    from glosswork.operators import lexical
+    from glosswork.operators import vectors as vec
+    from glosswork.plans import answers
+    from glosswork.plans import retrieval as rt
+
+    searches, asked, search, shared = [], [], vec.search, lexical.top_shared
+    stats = rt._stats(spark, small)
+    want = {r.query_id for r in ev.band(stats, 0.36, 0.42).where("band != 'refuse'").where(f"score_gap >= {answers.GATE}").collect()}
+    monkeypatch.setattr(vec, "search", lambda *a, **k: searches.append(1) or search(*a, **k))
+    monkeypatch.setattr(lexical, "top_shared", lambda q, r, k: asked.extend(x.query_id for x in q.select("query_id").collect()) or shared(q, r, k))
+    answers.answer_records(spark, small)
+    assert len(searches) == 1 and set(asked) <= want
