@@ -160,3 +160,12 @@ def test_parents_go_to_the_next_section_with_text(spark):
     lines = [(1, i, t, h) for i, (t, h) in enumerate([("H1", True), ("H2", True), ("text", False), ("H3", True), ("more", False)])]
     found = sq.sections(spark.createDataFrame(lines, "d int, pos int, line string, h boolean"), "d", "pos", "h")
     assert [(r.heading_path, r.body) for r in sq.carry_parents(found, "d").orderBy("section").collect()] == [(["H1", "H2"], "text"), (["H3"], "more")]
+
+
+def test_ingest_log_reads_whole_lines(spark, tmp_path):
+    """A second line that begins with 1 keeps it: its date is dropped as one, and its 41 characters are no heading."""
+    from glosswork.plans import sequences as plan
+
+    texts = ["first line of it\n1999-01-02 some news of that day that was", "first line of it\n1" + "x" * 40, None]
+    spark.createDataFrame([(i, t, "en", "s", 9) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted(map(tuple, plan.ingest_log(spark, str(tmp_path)).collect())) == [(0, 2, 1, 1, 2), (1, 2, 0, 1, 2), (2, 0, 0, 0, 0)]
