@@ -41,3 +41,13 @@ def ship(spark: SparkSession) -> None:
             out.write(file, file.relative_to(package.parent))
     context.addPyFile(str(path))
     context._glosswork_shipped = True
+
+
+#: Most bytes of one Arrow batch that Python functions are handed; a row longer than this travels alone.
+BATCH_BYTES = 16 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Before Python functions run on rows of blocks: ship the package, and bound Arrow batches by bytes."""
+    ship(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))

@@ -251,9 +251,9 @@ def _ranked(spark: SparkSession, d: str, k: int) -> DataFrame:
 def _long_words(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Distinct words of five letters or more, of the query set's documents and of all."""
     words = F.filter(F.array_distinct(tx.words(F.lower("text"))), lambda w: F.length(w) >= 5)
-    docs = _docs(spark, d).select(F.col("doc_id").alias("id"), words.alias("words"))
-    asked = rt._queries(spark, d).select("query_id").join(docs, F.col("query_id") == F.col("id")).select("query_id", "words")
-    return asked, docs
+    docs = _docs(spark, d).select(F.col("doc_id").alias("id"), "text")
+    asked = rt._queries(spark, d).select("query_id").join(docs, F.col("query_id") == F.col("id"))  # texts are split after the join: only those that ask
+    return asked.select("query_id", words.alias("words")), docs.select("id", words.alias("words"))
 
 
 def two_net_pool(spark, d):

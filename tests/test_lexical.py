@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -52,3 +53,29 @@ def test_frequent_words_are_not_joined(spark):
     assert met < whole / 4 and met < 120 * 1200
     got = lx.top_shared(queries, df, 10).collect()
     assert len(got) == 1200 and {r["hits"] for r in got} == {32} and all(r["id"] % 60 == r["query_id"] % 60 for r in got)
+
+
+def test_no_posting_is_joined(spark):
+    """Blocks meet in a product; neither words nor pairs are exploded, joined by word or shuffled."""
+    df = spark.createDataFrame(corpus(1, 30), "id long, words array<string>")
+    text = lx.sharing(df.withColumnRenamed("id", "query_id"), df, 2)._jdf.queryExecution().executedPlan().toString()
+    assert ("CartesianProduct" in text or "BroadcastNestedLoopJoin" in text) and "Generate" not in text and "hashpartitioning" not in text
+
+
+@pytest.mark.parametrize(("rows_most", "words_most", "cells", "added"), [(7, 1 << 20, 1 << 21, 1 << 21), (8192, 5, 1, 1), (50, 100, 300, 40), (1, 1, 64, 1 << 21)])
+def test_blocks_of_any_size(monkeypatch, rows_most, words_most, cells, added):
+    """Limits of blocks and of tables of counts change the work, not the result; a row of more words than a block takes is read whole."""
+    for name, value in (("BLOCK_WORDS", words_most), ("CELLS", cells), ("ADDED", added)):
+        monkeypatch.setattr(lx, name, value)
+    monkeypatch.setattr(lx, "TaskContext", type("T", (), {"get": staticmethod(lambda: type("C", (), {"partitionId": staticmethod(lambda: 3)}))}))
+    rows = [(i, sorted({int(w[1:]) for w in words})) for i, words in corpus(5, 120)]
+    random.Random(1).shuffle(rows)
+    batches = [pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.int64()), pa.array([r[1] for r in part], pa.list_(pa.int64()))], names=["id", "h"]) for part in (rows[:50], rows[50:50], rows[50:])]
+    packed = list(lx._packed(iter(batches), rows_most))
+    assert sum(len(b.column(1)[0].as_py()) // 8 for b in packed) == sum(bool(w) for _, w in rows)
+    pairs = [pa.RecordBatch.from_arrays([*a.columns, *b.columns[1:]], names=list("abcdefghi")) for a in packed for b in packed]
+    asked = [r for r in rows if r[1]]
+    got = [x for b in lx._all_of(3)(iter(pairs)) for x in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+    assert sorted(got) == sorted((q, i, h) for q, _, i, h in plain(rows, asked, 10**6, 3))
+    got = [x for b in lx._best_of(4)(iter(pairs)) for x in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+    assert sorted(got) == sorted((q, i, h) for q, _, i, h in plain(rows, asked, 4))
