@@ -123,7 +123,8 @@ def contained(texts: DataFrame, terms: DataFrame) -> DataFrame:
 
 def overlapping(left: DataFrame, right: DataFrame) -> DataFrame:
     """(a, b), once each, of the terms of two vocabularies (term) of which one contains the other; equal terms do. Null and empty terms have no part."""
-    as_text = lambda terms: terms.select(F.col("term").alias("id"), F.col("term").alias("text")).distinct()
+    left, right = (written(terms.select("term").where("length(term) > 0").distinct()) for terms in (left, right))  # each is read several times below, what it is made of once
+    as_text = lambda terms: terms.select(F.col("term").alias("id"), F.col("term").alias("text"))
     inside = contained(as_text(right), left).select(F.col("term").alias("a"), F.col("id").alias("b"))
     around = contained(as_text(left), right).where("id != term").select(F.col("id").alias("a"), F.col("term").alias("b"))
     return inside.unionByName(around)

@@ -54,3 +54,10 @@ def test_a_million_terms_without_python_or_broadcast_terms(spark):
     hits = ct.contained(texts, terms)
     assert "Python" not in hits._jdf.queryExecution().executedPlan().toString()
     assert hits.agg(F.count_if(F.expr("substring(sha2(cast(id as string), 256), 1, 14) = term")), F.count(F.lit(1))).first()[:] == (400, 400)
+
+
+def test_vocabularies_are_made_once(spark, small):
+    """What reads a vocabulary again reads the written one, not the documents."""
+    from glosswork.plans import text as plan
+
+    assert "regexp_extract_all" not in plan.vocab_overlap(spark, small)._jdf.queryExecution().executedPlan().toString()
