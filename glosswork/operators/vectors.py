@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glosswork.operators.durable import ship, written
+from glosswork.operators.durable import bound_batches, written
 
 #: Queries of a block, rows of a block of the corpus, and bytes of either at most.
 QUERY_BLOCK, CORPUS_BLOCK, BLOCK_BYTES = 4096, 8192, 4 << 20
@@ -74,7 +74,7 @@ def search(queries: DataFrame, corpus: DataFrame, k: int = 5, *, not_itself: boo
     takes a block of queries and some ``task_rows`` of the corpus, so plan and driver don't grow with the queries.
     """
     spark = corpus.sparkSession
-    ship(spark)
+    bound_batches(spark)  # a row of the grid holds two blocks: some of them at a time, however many a task reads
     dims = queries.select(F.size("embedding")).where("embedding is not null").first()
     size = 8 if queries.schema["embedding"].dataType.elementType.simpleString() == "double" else 4
     per_block = max(1, min(QUERY_BLOCK, BLOCK_BYTES // max(1, (dims[0] if dims else 1) * size)))

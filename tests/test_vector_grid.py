@@ -59,3 +59,12 @@ def test_no_rows(spark):
     queries = spark.createDataFrame([(1, [1.0])], "query_id long, embedding array<float>")
     assert [tuple(r) for r in vec.search(queries, corpus).collect()] == [(1, 0, 0.0, [])]
     assert vec.search(queries.limit(0), corpus.union(spark.createDataFrame([(1, [1.0])], "id long, embedding array<float>"))).count() == 0
+
+
+def test_batches_of_blocks_are_bounded(spark):
+    """A search bounds the bytes of the batches that Python is handed, however many blocks a task reads."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(name)
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "id long, embedding array<float>")
+    vec.search(df.withColumnRenamed("id", "query_id"), df, 1)
+    assert int(spark.conf.get(name)) <= 16 << 20
