@@ -20,16 +20,19 @@ def fold(entities: DataFrame, relations: DataFrame, aliases: DataFrame, edge_typ
     chunk doesn't list and types that aren't known are reported. Nodes are keyed by canonical name and type.
     """
     named = canonical(entities, "name", aliases)
-    nodes = named.groupBy(F.col("name_name").alias("node"), "type").agg(
-        F.count_distinct("chunk").alias("chunks"), F.min("chunk").alias("first_chunk"), F.array_sort(F.collect_set(F.when(F.col("name") != F.col("name_name"), F.col("name")))).alias("aliases")
-    )
+    # Counted in two steps of plain keys and numbers, and aliases apart, as few names have any: nothing is sorted to be counted.
+    held = named.select(F.col("name_name").alias("node"), "type", "chunk").distinct().groupBy("node", "type").agg(F.count("chunk").alias("chunks"), F.min("chunk").alias("first_chunk"))
+    other = named.where("name != name_name").groupBy(F.col("name_name").alias("_node"), F.col("type").alias("_type")).agg(F.array_sort(F.collect_set("name")).alias("aliases"))
+    same = F.col("node").eqNullSafe(F.col("_node")) & F.col("type").eqNullSafe(F.col("_type"))
+    nodes = held.join(other, same, "left").select("node", "type", "chunks", "first_chunk", F.coalesce("aliases", F.array().cast("array<string>")).alias("aliases"))
     # Ends are looked up in one table of the chunks' names, which has their canonical names already.
     kind = named.groupBy("chunk", "name").agg(F.max(F.struct("pos", "type")).alias("last"), F.min("name_name").alias("to"))
     ends = relations
     for side in ("source", "target"):
         ends = ends.join(kind.select("chunk", F.col("name").alias(side), F.col("last.type").alias(f"{side}_type"), F.col("to").alias(f"{side}_name")), ["chunk", side], "left")
     why = F.when(F.col("source_type").isNull() | F.col("target_type").isNull(), "not an entity of this chunk").when(~F.col("type").isin(*edge_types), "unknown type")
-    checked = ends.withColumn("reason", why)
+    # Written, as edges and what is unresolved would each look all ends up again.
+    checked = written(ends.withColumn("reason", why).select("chunk", "source", "source_type", "source_name", "target", "target_type", "target_name", "type", "reason"))
     edges = checked.where("reason is null").groupBy(F.col("source_name").alias("source"), "source_type", "type", F.col("target_name").alias("target"), "target_type").agg(F.count_distinct("chunk").alias("chunks"), F.min("chunk").alias("first_chunk"))
     return nodes, edges, checked.where("reason is not null").select("chunk", "source", "target", "type", "reason")
 

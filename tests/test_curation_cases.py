@@ -162,3 +162,15 @@ def test_citations(spark):
     rows = [(1, 1, "a", False), (1, 2, "b", True), (1, 5, "c", True), (2, 1, "a", True)]
     got = cu.citations(spark.createDataFrame(rows, "query_id int, ordinal int, chunk_id string, citable boolean"))
     assert sorted(map(tuple, got.collect())) == [(1, 1, "b"), (1, 2, "c"), (2, 1, "a")]
+
+
+def test_fold_looks_ends_up_once(spark):
+    """Edges and what is unresolved come from one look-up of all ends, and counts of nodes from plain aggregates; nulls are names and types like any other."""
+    e = spark.createDataFrame([(1, 1, "a", "t"), (1, 2, "a2", "t"), (2, 1, "a2", "t"), (2, 2, None, "t"), (3, 1, "b", None), (None, 1, "b", None), (4, 1, "a", "u")], "chunk int, pos int, name string, type string")
+    r = spark.createDataFrame([(1, "a2", "a", "k"), (2, "a2", "a", "k"), (1, "a", "a2", "x")], "chunk int, source string, target string, type string")
+    nodes, edges, bad = gr.fold(e, r, spark.createDataFrame([("a2", "a"), ("c", "a")], "surface string, canonical string"), ["k"])
+    assert {(n.node, n.type): (n.chunks, n.first_chunk, n.aliases) for n in nodes.collect()} == {("a", "t"): (2, 1, ["a2"]), (None, "t"): (1, 2, []), ("b", None): (1, 3, []), ("a", "u"): (1, 4, [])}
+    assert [tuple(x) for x in edges.collect()] == [("a", "t", "k", "a", "t", 1, 1)]
+    assert sorted(map(tuple, bad.collect())) == [(1, "a", "a2", "x", "unknown type"), (2, "a2", "a", "k", "not an entity of this chunk")]
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan(edges) + plan(bad) and "Expand" not in plan(nodes)
