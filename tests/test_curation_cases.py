@@ -174,3 +174,33 @@ def test_fold_looks_ends_up_once(spark):
     assert sorted(map(tuple, bad.collect())) == [(1, "a", "a2", "x", "unknown type"), (2, "a2", "a", "k", "not an entity of this chunk")]
     plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan(edges) + plan(bad) and "Expand" not in plan(nodes)
+
+
+def test_components_aggregate_longs_only(spark):
+    """Names are linked by numbers, so no round sorts strings; numbers that meet are drawn anew."""
+    rng = random.Random(8)
+    pairs = [(f"n{rng.randint(0, 60)}", f"n{rng.randint(0, 60)}") for _ in range(40)]
+    edges = spark.createDataFrame(pairs, "source string, target string")
+    nodes = spark.createDataFrame([(f"n{i}",) for i in range(70)], "node string")
+    drawn = []
+
+    def few(seed, name):  # the first two draws give many names one number
+        drawn.append(1)
+        return F.when(seed < 2, F.xxhash64(seed, name) % 5).otherwise(F.xxhash64(seed, name))
+
+    got = gr.components(nodes, edges, few)
+    assert {r.node: r.component for r in got.collect()} == plain_components([f"n{i}" for i in range(70)], pairs) and len(drawn) > 3
+    numbers = spark.createDataFrame([(1, 2), (2, 3), (7, 9)], "u long, v long")
+    roots = {r.node: r.root for r in gr.connected_numbers(numbers).collect()}
+    assert roots[1] == roots[2] == roots[3] != roots[7] == roots[9]
+
+
+def test_pairs_are_dealt_by_their_number(spark, small, monkeypatch):
+    """As many tasks fold pairs as line items ask for."""
+    from glosswork.plans import graphs
+
+    monkeypatch.setattr(graphs, "PAIR_ROWS", 500)
+    items = spark.read.parquet(f"{small}/lineitem.parquet")
+    got = graphs._pairs(spark, small)
+    assert got.rdd.getNumPartitions() == -(-items.count() // 500)
+    assert got.count() == items.select("l_suppkey", "l_partkey").distinct().count()
