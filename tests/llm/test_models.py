@@ -228,6 +228,56 @@ def test_labels_of_any_key(spark):
     assert tox.training_sample(docs.where("false"), labels)[0] == tox.training_sample(docs, labels.where("false"))[0] == []
 
 
+def toxic_texts(rows):
+    """Texts of which every third holds a word of its own class."""
+    rng = random.Random(8)
+    words = [" ".join(rng.choice(["c1", "c2", "c3", "c4", "c5"]) for _ in range(rng.randint(5, 70))) for _ in range(rows)]
+    return [(i, w + (" vile scum " + w if i % 3 == 0 else "")) for i, w in enumerate(words)]
+
+
+@pytest.mark.parametrize("several", [False, True])
+def test_every_label_trains(spark, monkeypatch, several):
+    """What a bound on documents or characters would leave out decides: long texts, and more documents than a sample of three of each class."""
+    monkeypatch.setattr(tox, "TOXIC_DOCS", 3)
+    monkeypatch.setattr(tox, "CLEAN_DOCS", 3)
+    monkeypatch.setattr(tox, "TRAIN_CHARS", 10)
+    if several:  # blocks, and a join by shuffle
+        monkeypatch.setattr(tox, "BLOCK_WINDOWS", 400)
+        monkeypatch.setattr(tox, "BROADCAST_BYTES", 0)
+        monkeypatch.setattr(tox, "LEAST_STEPS", 0)
+    rows = toxic_texts(1500)
+    docs = spark.createDataFrame([*rows, (None, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in rows] + [(9_000, 1), (None, 1), (1, None)], "doc_id long, toxic int")
+    model = tox.learn(docs, labels)
+    score = model.score([t for _, t in rows])
+    held = [(i % 3 == 0, p >= 0.5) for (i, _), p in zip(rows, score, strict=True) if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert sum(a == b for a, b in held) >= 0.97 * len(held)
+
+
+def test_pipeline_learns_from_every_label(spark, tmp_path, monkeypatch):
+    import corpus_pipeline as cp
+
+    monkeypatch.setattr(tox, "TRAIN_CHARS", 10)
+    rows = toxic_texts(600)
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in rows], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    left = {r.doc_id for r in cp.drop_toxic(spark, spark.read.parquet(str(tmp_path / "documents.parquet")), str(tmp_path)).collect()}
+    assert len(left ^ {i for i, _ in rows if i % 3}) <= 0.05 * len(rows)
+
+
+def test_labelled_rows(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(40)] + [(3, "again"), (None, "x"), (50, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(None, 1), (1, None), (2, 1), (7, 5)], "doc_id long, toxic int")
+    known = {i: int(i % 2 or i == 2) for i in range(60) if zlib.crc32(str(i).encode()) % 5}
+    wanted = sorted((t or "", known[i]) for i, t in [(r.doc_id, r.text) for r in docs.collect()] if i in known)
+    for most in (tox.BROADCAST_BYTES, 0):
+        monkeypatch.setattr(tox, "BROADCAST_BYTES", most)
+        assert sorted((r.text or "", r.toxic) for r in tox.labelled(docs, labels).collect()) == wanted
+    texts = docs.select("doc_id", "text")
+    assert {r.doc_id for r in tox.marked(texts, labels.select("doc_id").where("doc_id < 5")).collect()} == set(range(5))
+    assert tox.learn(docs.where("false"), labels).score(["x"])[0] < 0.5
+
+
 def test_trigrams_stay_inside_words():
     code, begin = tox.trigrams([b"abc", b"d"])
     assert begin.tolist() == [0, 3] and len(code) == 4
