@@ -68,3 +68,13 @@ def test_batches_of_blocks_are_bounded(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "id long, embedding array<float>")
     vec.search(df.withColumnRenamed("id", "query_id"), df, 1)
     assert int(spark.conf.get(name)) <= 16 << 20
+
+
+def test_cosine_table_loads_and_bounds_batches(spark):
+    """The table is made at all, and the batches of blocks that Python is handed are bounded by bytes."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(name)
+    df = spark.createDataFrame([(1, [3.0, 4.0]), (2, [0.0, 2.0])], "id long, embedding array<float>")
+    table = vec.pair_scores(df.withColumnRenamed("id", "query_id"), df, cosine=True)
+    assert int(spark.conf.get(name)) <= 16 << 20
+    assert sorted((r.query_id, r.id, round(r.score, 9)) for r in table.collect()) == [(1, 2, 0.8), (2, 1, 0.8)]
