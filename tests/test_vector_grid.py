@@ -78,3 +78,10 @@ def test_cosine_table_loads_and_bounds_batches(spark):
     table = vec.pair_scores(df.withColumnRenamed("id", "query_id"), df, cosine=True)
     assert int(spark.conf.get(name)) <= 16 << 20
     assert sorted((r.query_id, r.id, round(r.score, 9)) for r in table.collect()) == [(1, 2, 0.8), (2, 1, 0.8)]
+
+
+def test_product_table_loads(spark):
+    """The table of plain products is made at all, over vectors of either precision and a row without one."""
+    a = spark.createDataFrame([(1, [3.0, 4.0])], "query_id long, embedding array<double>")
+    b = spark.createDataFrame([(1, [3.0, 4.0]), (2, [0.5, 2.0]), (3, None)], "id long, embedding array<float>")
+    assert sorted(map(tuple, vec.pair_scores(a, b).collect())) == [(1, 2, 9.5), (1, 3, None)]
