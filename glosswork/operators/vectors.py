@@ -236,7 +236,7 @@ def hash_encode(texts: DataFrame, dims: int = 64, role: str | None = None) -> Da
     without words gives zeros, and so does a null text without a role.
     """
     texts = texts.withColumn("text", F.concat(F.lit(ROLE_PREFIX[role]), F.coalesce("text", F.lit("")))) if role else texts
-    ship(texts.sparkSession)
+    bound_batches(texts.sparkSession)  # texts differ in length by orders of magnitude
     words = F.expr("filter(split(lower(text), '[^\\\\p{L}\\\\p{N}]+'), w -> w != '')")
     codes = F.expr(f"transform(_w, w -> cast(pmod(xxhash64(w), {dims}) * 2 + pmod(xxhash64(w, 1), 2) as int))")  # a dimension, and whether it is taken off
     kind = texts.schema["id"].dataType.simpleString()
