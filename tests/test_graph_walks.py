@@ -74,3 +74,40 @@ def test_search_walks_once_for_a_name(spark, monkeypatch):
     got = gr.search(q, n, gr.adjacency(e), node_chunks, edge_chunks, 2)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, plain.collect()))
     assert seeds == [sum(any(m in (t or "") for _, t in asked) for _, m in names)]  # each name once, however many questions
+
+
+@pytest.mark.parametrize("hub", [2, 100_000])
+def test_packed_walks(spark, hub):
+    """64 questions to a row, as bits: the same walks, and no more rows for 60 questions of the same seeds than for one."""
+    rng = random.Random(hub)
+    edges = [(f"e{i}", 0 if i % 3 == 0 else rng.randint(0, 40), rng.randint(0, 40)) for i in range(60)]
+    seeds = [(q, rng.randint(0, 60)) for q in range(1, 140) for _ in range(2)] + [(63, 3), (127, 3), (127, 3)]
+    near = gr.adjacency(spark.createDataFrame(edges, "edge string, source int, target int"))
+    asked = spark.createDataFrame(seeds, "query_id long, node int")
+    for packed, plain, key in zip(gr.walk_each(asked, near, 2, hub, True), gr.walk_each(asked, near, 2, hub), ("node", "edge"), strict=True):
+        got = {}
+        for r in packed.collect():
+            for i in range(64):
+                if r["mask"] >> i & 1:
+                    at = (r["block"] * 64 + i, r[key])
+                    got[at] = min(r["hop"], got.get(at, 9))
+        assert got == {(r["query_id"], r[key]): r["hop"] for r in plain.collect()}
+    same = spark.range(60).selectExpr("id as query_id", "0 as node")
+    counts = lambda s: [df.count() for df in gr.walk_each(s, near, 2, hub, True)]
+    assert counts(same) == counts(same.where("query_id = 0"))
+
+
+def test_search_of_many_names(spark):
+    """Names of several blocks, sets of names that questions share, a name inside another one."""
+    rng = random.Random(4)
+    edges = [(f"e{i}", rng.randint(0, 119), rng.randint(0, 119)) for i in range(150)]
+    names = [(i, f"<n{i}>" if i < 90 else "n7>") for i in range(100)] + [(110, None), (5, "<n6>")]
+    asked = [(q, " ".join(f"<n{rng.randint(0, 99)}>" for _ in range(q % 4))) for q in range(150)] + [(200, "<n7>"), (201, "<n7>"), (202, None)]
+    frame = spark.createDataFrame
+    q, n, e = frame(asked, "query_id int, question string"), frame(names, "node int, name string"), frame(edges, "edge string, source int, target int")
+    node_chunks, edge_chunks = frame([(i, f"c{i % 31}") for i in range(120)], "node int, chunk string"), frame([(x, f"c{int(x[1:]) % 40}") for x, _, _ in edges], "edge string, chunk string")
+    plain = gr.evidence(*gr.walk_each(gr.mentions(q, n), gr.adjacency(e), 2), node_chunks, edge_chunks)
+    got = gr.search(q, n, gr.adjacency(e), node_chunks, edge_chunks, 2)
+    assert got.columns == ["query_id", "chunk", "kind", "hop", "key"]
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, plain.select(*got.columns).collect()))
+    assert gr.search(q.where("query_id = 202"), n, gr.adjacency(e), node_chunks, edge_chunks, 2).count() == 0
