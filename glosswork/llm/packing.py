@@ -26,6 +26,8 @@ WINDOW = 1024
 END = 0
 #: What cutting an item costs, in the sum of squares.
 CUT = 8
+#: Pieces that a task gathers before it hands them on, and with their ids (a window each at most).
+PIECES, PIECES_WITH_IDS = 20_000, 2_000
 
 
 class Packer:
@@ -136,12 +138,15 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer, data = Packer(window), file.value
+        packer, data, most = Packer(window), file.value, PIECES_WITH_IDS if with_ids else PIECES
         base = TaskContext.get().partitionId() << 33
         key_type = None
 
-        def out() -> pa.RecordBatch:
-            found = packer.take()
+        def out() -> Iterator[pa.RecordBatch]:
+            every = packer.take()
+            yield from (made(every[i : i + most]) for i in range(0, len(every), most))
+
+        def made(found: list[tuple]) -> pa.RecordBatch:
             cols = [
                 pa.array([x[0] for x in found], key_type),
                 pa.array([x[1] for x in found], pa.int64()),
@@ -153,7 +158,8 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
             ]
             names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
             if with_ids:
-                cols.append(pa.array([x[2].astype(np.int32) for x in found], pa.list_(pa.int32())))
+                ends = np.cumsum([0, *(len(x[2]) for x in found)]).astype(np.int32)
+                cols.append(pa.ListArray.from_arrays(ends, pa.array(np.concatenate([x[2] for x in found]).astype(np.int32))))
                 names.append("ids")
             return pa.RecordBatch.from_arrays(cols, names=names)
 
@@ -163,13 +169,11 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
                 ids = vocab.encode_like_tokenizers(data, text.as_py())
                 ids.append(END)
                 packer.add(key, np.array(ids, "<u4"))
-                if len(packer.closed) >= 20_000:
-                    yield out()
-            if packer.closed:
-                yield out()
+                if len(packer.closed) >= most:
+                    yield from out()
+            yield from out()
         packer.finish()
-        if packer.closed:
-            yield out()
+        yield from out()
 
     return rows.mapInArrow(run, schema)
 

@@ -5,7 +5,7 @@ of WINDOW words that overlap by half are read by a recurrent network in both dir
 attention pools the states into a logit. A document scores as its highest
 window, so every word of every text counts.
 
-``learn`` trains on all labelled documents, in Spark: words are counted by class over all of
+``learn`` trains on all labelled documents (but for a held-out fold, if one is asked for), in Spark: words are counted by class over all of
 them, each document's most telling window is chosen where the document lies, and windows are
 dealt to blocks that descend apart and are averaged round by round. Then each document's
 highest window is chosen anew by the network, and so on. ``train`` does the like on texts in memory.
@@ -520,26 +520,27 @@ def marked(texts: DataFrame, known: DataFrame) -> DataFrame:
     return texts.withColumn(word, F.floor(bit / 64)).join(F.broadcast(bits), word).where(F.getbit("bits", place) == 1).drop(word, "bits")  # at most MARKS / 64 rows
 
 
-def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(h, toxic, text) of every row of ``docs`` that has a label and is outside the held-out fold; ``h`` is a hash of its doc_id.
+def labelled(docs: DataFrame, labels: DataFrame, whole: bool = False) -> DataFrame:
+    """(h, toxic, text) of every row of ``docs`` that has a label and is outside the held-out fold, or in any with ``whole``; ``h`` is a hash of its doc_id.
 
     Labels without doc_id or class don't count, of several for one document the highest does. Texts of any length train, null ones as empty,
     and so does each row of those that share a doc_id. Ids may be of any type; other columns are not read.
     """
-    known = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).where(~held_out(F.col("doc_id")))
+    known = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    known = known if whole else known.where(~held_out(F.col("doc_id")))
     known, texts = materialise(known), docs.select("doc_id", "text")
     if (many := known.count()) * 16 > BROADCAST_BYTES and docs.schema["doc_id"].dataType == known.schema["doc_id"].dataType:
         texts = marked(texts, known)
     return texts.join(small_or_shuffled(known, many, 16), "doc_id").select(F.xxhash64("doc_id", F.lit(6)).alias("h"), "toxic", "text")
 
 
-def learn(docs: DataFrame, labels: DataFrame, seed: int = 6) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, seed: int = 6, whole: bool = False) -> Model:
     """Fit on all labelled documents outside the held-out fold, in Spark; what is collected is bounded by the model's size.
 
-    A fifth of them sets scale and shift. With one class only, or none, the model is that class's rate.
+    With ``whole`` no fold is held out, for a model that nobody measures on one. A fifth of the documents sets scale and shift. With one class only, or none, the model is that class's rate.
     """
     bound_batches(docs.sparkSession)
-    every = materialise(labelled(docs, labels).withColumn("held", F.pmod(F.xxhash64("h"), F.lit(5)) == 0))
+    every = materialise(labelled(docs, labels, whole).withColumn("held", F.pmod(F.xxhash64("h"), F.lit(5)) == 0))
     cells = {(r["toxic"], r["held"]): r["n"] for r in every.groupBy("toxic", "held").agg(F.count(F.lit(1)).alias("n")).collect()}
     clean, bad = (cells.get((k, False), 0) + cells.get((k, True), 0) for k in (0, 1))
     if not clean or not bad:

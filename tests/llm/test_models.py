@@ -265,6 +265,18 @@ def test_pipeline_learns_from_every_label(spark, tmp_path, monkeypatch):
     assert len(left ^ {i for i, _ in rows if i % 3}) <= 0.05 * len(rows)
 
 
+def test_pipeline_learns_from_the_fold_that_op6_holds_out(spark, tmp_path):
+    """Only that fold has labels here, so a model that left it out would know nothing and drop nothing."""
+    import corpus_pipeline as cp
+
+    rows = toxic_texts(1500)
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    known = [(i, int(i % 3 == 0)) for i, _ in rows if zlib.crc32(str(i).encode()) % 5 == 0]
+    spark.createDataFrame(known, "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    left = {r.doc_id for r in cp.drop_toxic(spark, spark.read.parquet(str(tmp_path / "documents.parquet")), str(tmp_path)).collect()}
+    assert len(left ^ {i for i, _ in rows if i % 3}) <= 0.05 * len(rows)
+
+
 def test_labelled_rows(spark, monkeypatch):
     docs = spark.createDataFrame([(i, f"text {i}") for i in range(40)] + [(3, "again"), (None, "x"), (50, None)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(None, 1), (1, None), (2, 1), (7, 5)], "doc_id long, toxic int")

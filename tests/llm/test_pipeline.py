@@ -65,6 +65,21 @@ def test_all_that_stays_is_packed(stages):
     assert got == tokens
 
 
+def test_pieces_hold_their_ids(stages):
+    """The ids of each document, in order, are those of the tokenizers library and the end."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    parts = {}
+    for r in stages[4].collect():
+        parts.setdefault(r.doc_id, []).append((r.start, r.length, r.ids))
+    for d in stages[3].collect():
+        held = sorted(parts[d.doc_id])
+        assert all(n == len(ids) for _, n, ids in held)
+        assert [i for _, _, ids in held for i in ids] == [*library.encode(d.text or "", add_special_tokens=False).ids, 0]
+
+
 def test_run_equals_the_stages(spark, small, stages):
     key = lambda df: sorted((r.doc_id, r.doc_tokens, r.start == 0) for r in df.where("start = 0").collect())
     assert key(cp.run(spark, small)) == key(stages[4])
